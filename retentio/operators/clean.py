@@ -108,7 +108,9 @@ def customer_profile_long(df: DataFrame, columns: list[str] | None = None,
     def fmt(c):
         t = types[c]
         if isinstance(t, (DoubleType, FloatType)):
-            return F.format_string("%.2f", F.col(c))
+            # format_number rounds the exact binary value (as Python's f"{x:.2f}");
+            # format_string("%.2f") rounds the shortest decimal form instead
+            return F.regexp_replace(F.format_number(F.col(c), 2), ",", "")
         if isinstance(t, (IntegerType, LongType)):
             return F.col(c).cast("string")
         return F.col(c).cast("string")

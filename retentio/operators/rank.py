@@ -110,3 +110,42 @@ def running_totals(df: DataFrame, order: list[Column | str], values: dict[str, C
     if with_rank:
         extra.append((F.col("_off_cnt") + F.col("_pos") + 1).alias(with_rank))
     return j.select(*cols, *extra)
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: str | None = None,
+                    num_partitions: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles (pandas/numpy ``linear``) per group.
+
+    Spark's ``percentile`` merges every distinct value of a group into one
+    task; here the order statistics come from the distributed rank instead, so
+    no task holds more than one range partition.  Output: one row per group
+    with ``q0..q{k-1}`` (and ``n``).  NULL values are ignored.
+    """
+    g = F.col(by) if by else F.lit(0)
+    slim = df.select(g.alias("_g"), F.col(value).cast("double").alias("_x")).filter(
+        F.col("_x").isNotNull())
+    counts = slim.groupBy("_g").agg(F.count(F.lit(1)).alias("_ng"))
+    w = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    goff = counts.select("_g", "_ng", F.coalesce(F.sum("_ng").over(w), F.lit(0)).alias("_goff"))
+    ranked = exact_rank(slim, [F.col("_g"), F.col("_x")], rank_col="_r", total_col=None,
+                        num_partitions=num_partitions)
+    # positions (1-based, within group) needed for each probability
+    pos = goff
+    for i, p in enumerate(probs):
+        h = (F.col("_ng") - 1).cast("double") * F.lit(float(p))
+        pos = (pos.withColumn(f"_h{i}", h)
+               .withColumn(f"_lo{i}", F.floor(h).cast("long") + 1)
+               .withColumn(f"_hi{i}", F.ceil(h).cast("long") + 1))
+    wanted = F.lit(False)
+    j = ranked.join(F.broadcast(pos), "_g").withColumn("_wr", F.col("_r") - F.col("_goff"))
+    for i in range(len(probs)):
+        wanted = wanted | (F.col("_wr") == F.col(f"_lo{i}")) | (F.col("_wr") == F.col(f"_hi{i}"))
+    picked = j.filter(wanted)
+    aggs = []
+    for i in range(len(probs)):
+        lo = F.max(F.when(F.col("_wr") == F.col(f"_lo{i}"), F.col("_x")))
+        hi = F.max(F.when(F.col("_wr") == F.col(f"_hi{i}"), F.col("_x")))
+        frac = F.first(F.col(f"_h{i}")) - F.floor(F.first(F.col(f"_h{i}")))
+        aggs.append((lo + frac * (hi - lo)).alias(f"q{i}"))
+    out = picked.groupBy("_g").agg(F.first("_ng").alias("n"), *aggs)
+    return out.withColumnRenamed("_g", by) if by else out.drop("_g")

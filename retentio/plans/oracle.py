@@ -146,3 +146,77 @@ def with_clean(body: str) -> str:
 
 def with_feat(body: str) -> str:
     return "WITH " + FEAT_CTE + "\n" + body
+
+
+SCORED_CTE = """,
+scored AS (
+  SELECT customerID, Churn AS label, tenure, MonthlyCharges,
+         (1.0 - tenure / max(tenure) OVER ()) * CAST(0.6 AS DOUBLE) AS score
+  FROM clean)"""
+
+CUM_CTE = """,
+sc AS (SELECT CAST(score AS DOUBLE) AS threshold, count_if(label = 1) AS pos,
+              count_if(label = 0) AS neg
+       FROM scored WHERE label IS NOT NULL AND score IS NOT NULL GROUP BY 1),
+cum AS (SELECT *,
+          CAST(sum(pos) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_tp,
+          CAST(sum(neg) OVER (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_fp,
+          CAST(sum(pos) OVER () AS BIGINT) AS all_tp, CAST(sum(neg) OVER () AS BIGINT) AS all_fp
+        FROM sc)"""
+
+
+def sdiv(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) <> 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) ELSE 0.0 END)"
+
+
+def half_even(a: str, b: str) -> str:
+    """round(a / b) ties-to-even for integer a, positive integer b (HUGEINT arithmetic)."""
+    A, B = f"CAST({a} AS HUGEINT)", f"CAST({b} AS HUGEINT)"
+    r = f"((({A}) % ({B}) + ({B})) % ({B}))"
+    q = f"(({A}) - {r}) // ({B})"
+    return (f"CAST(CASE WHEN 2 * {r} > {B} THEN {q} + 1 WHEN 2 * {r} < {B} THEN {q} "
+            f"ELSE {q} + ((({q}) % 2 + 2) % 2) END AS BIGINT)")
+
+
+LIFE_CTE = """,
+lr0 AS (
+  SELECT
+    CASE WHEN count(CASE WHEN Contract = 'Month-to-month' THEN Churn END) > 0
+         THEN CAST(sum(CASE WHEN Contract = 'Month-to-month' THEN Churn END) AS BIGINT) ELSE 43 END AS s1,
+    CASE WHEN count(CASE WHEN Contract = 'Month-to-month' THEN Churn END) > 0
+         THEN count(CASE WHEN Contract = 'Month-to-month' THEN Churn END) ELSE 100 END AS c1,
+    CASE WHEN count(CASE WHEN Contract = 'One year' THEN Churn END) > 0
+         THEN CAST(sum(CASE WHEN Contract = 'One year' THEN Churn END) AS BIGINT) ELSE 11 END AS s2,
+    CASE WHEN count(CASE WHEN Contract = 'One year' THEN Churn END) > 0
+         THEN count(CASE WHEN Contract = 'One year' THEN Churn END) ELSE 100 END AS c2,
+    CASE WHEN count(CASE WHEN Contract = 'Two year' THEN Churn END) > 0
+         THEN CAST(sum(CASE WHEN Contract = 'Two year' THEN Churn END) AS BIGINT) ELSE 3 END AS s3,
+    CASE WHEN count(CASE WHEN Contract = 'Two year' THEN Churn END) > 0
+         THEN count(CASE WHEN Contract = 'Two year' THEN Churn END) ELSE 100 END AS c3,
+    CAST(sum(Churn) AS BIGINT) AS s, count(Churn) AS c
+  FROM clean),
+lr1 AS (
+  SELECT *, """ + half_even("100 * (CAST(s1 AS HUGEINT) * c3 - CAST(s3 AS HUGEINT) * c1)",
+                            "CAST(c1 AS HUGEINT) * c3") + """ AS k_prem,
+         """ + half_even("100 * (CAST(s1 AS HUGEINT) * c2 - CAST(s2 AS HUGEINT) * c1)",
+                         "CAST(c1 AS HUGEINT) * c2") + """ AS k_std
+  FROM lr0),
+life AS (
+  SELECT CAST(k_prem AS DOUBLE) / 100 AS lift_premium, CAST(k_std AS DOUBLE) / 100 AS lift_standard,
+         CAST(""" + half_even("6 * k_std", "10") + """ AS DOUBLE) / 100 AS lift_basic,
+         CAST(""" + half_even("k_std", "4") + """ AS DOUBLE) / 100 AS lift_minimal,
+         CASE WHEN c > 0 THEN CAST(s AS DOUBLE) / CAST(c AS DOUBLE) END AS base_churn,
+         CASE WHEN s > 0 THEN """ + half_even("c", "s") + """ ELSE 24 END AS implied_lifetime
+  FROM lr1)"""
+
+
+def with_scored(body: str) -> str:
+    return "WITH " + CLEAN_CTE + SCORED_CTE + "\n" + body
+
+
+def with_cum(body: str) -> str:
+    return "WITH " + CLEAN_CTE + SCORED_CTE + CUM_CTE + "\n" + body
+
+
+def with_life(body: str) -> str:
+    return "WITH " + CLEAN_CTE + LIFE_CTE + "\n" + body

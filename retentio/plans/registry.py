@@ -285,3 +285,560 @@ SELECT (SELECT lv FROM r ORDER BY rate, lv LIMIT 1) AS best_level, min(rate) AS
 FROM r""".replace("\n, r AS", ", r AS", 1)))
 def q_best_level(spark, d):
     return R.best_level(cleaned(spark, d))
+
+
+# ------------------------------------------------------------------ 2.4 profiling
+
+from retentio.operators import profile as P  # noqa: E402
+from retentio.operators import metrics as M  # noqa: E402
+from retentio.operators import roi as X  # noqa: E402
+from retentio.operators import whatif as WI  # noqa: E402
+
+_RAW_ORDER = ["customerID", "gender", "SeniorCitizen", "Partner", "Dependents", "tenure",
+              "PhoneService", "MultipleLines", "InternetService", "OnlineSecurity",
+              "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV",
+              "StreamingMovies", "Contract", "PaperlessBilling", "PaymentMethod",
+              "MonthlyCharges", "TotalCharges", "Churn"]
+_NUMERIC = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges", "Churn"]
+_CATS = [c for c in O._STR_COLS if c != "customerID"]
+
+
+def coerced(spark, d):
+    return C.coerce_numeric_col(raw(spark, d))
+
+
+@register("null_counts", O.with_clean("\nUNION ALL\n".join(
+    f"SELECT {i + 1} AS pos, '{c}' AS \"column\", count_if({c} IS NULL) AS null_count FROM coerced"
+    for i, c in enumerate(_RAW_ORDER))))
+def q_null_counts(spark, d):
+    return P.null_counts(coerced(spark, d))
+
+
+@register("duplicate_count", O.with_clean("""
+SELECT (SELECT count(*) FROM coerced) AS "rows", (SELECT count(*) FROM deduped) AS distinct_rows,
+       (SELECT count(*) FROM coerced) - (SELECT count(*) FROM deduped) AS duplicates"""))
+def q_duplicate_count(spark, d):
+    return P.duplicate_count(coerced(spark, d))
+
+
+@register("distinct_counts", O.with_clean("\nUNION ALL\n".join(
+    f"SELECT {i + 1} AS pos, '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_count FROM clean"
+    for i, c in enumerate(_RAW_ORDER))))
+def q_distinct_counts(spark, d):
+    return P.distinct_counts(cleaned(spark, d))
+
+
+@register("data_dictionary")
+def q_data_dictionary(spark, d):
+    return P.data_dictionary(cleaned(spark, d))
+
+
+@register("describe_numeric", O.with_clean("\nUNION ALL\n".join(
+    f"SELECT {i + 1} AS pos, '{c}' AS \"column\", count({c}) AS count, "
+    f"round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, "
+    f"round(CAST(min({c}) AS DOUBLE), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS p25, "
+    f"round(quantile_cont({c}, 0.5), 4) AS p50, round(quantile_cont({c}, 0.75), 4) AS p75, "
+    f"round(CAST(max({c}) AS DOUBLE), 4) AS max FROM clean"
+    for i, c in enumerate(_NUMERIC))))
+def q_describe_numeric(spark, d):
+    return P.describe_numeric(cleaned(spark, d), _NUMERIC)
+
+
+_HIST_CTE = """,
+rng AS (SELECT CAST(min(tenure) AS DOUBLE) AS lo, CAST(max(tenure) AS DOUBLE) AS hi
+        FROM clean WHERE tenure IS NOT NULL),
+hb AS (SELECT Churn, lo, hi,
+         CAST(coalesce(least(CAST(floor((CAST(tenure AS DOUBLE) - lo) / (hi - lo) * 30) AS BIGINT) + 1, 30), 1)
+              AS BIGINT) AS bin
+       FROM clean, rng WHERE tenure IS NOT NULL),
+hist AS (SELECT Churn, bin, count(*) AS count, first(lo + (bin - 1) * ((hi - lo) / 30)) AS bin_lo,
+                first(lo + bin * ((hi - lo) / 30)) AS bin_hi
+         FROM hb GROUP BY Churn, bin)"""
+
+
+@register("histogram", O.with_clean(_HIST_CTE + "\nSELECT * FROM hist"))
+def q_histogram(spark, d):
+    return P.histogram(cleaned(spark, d), "tenure", 30, by="Churn")
+
+
+@register("class_density", O.with_clean(_HIST_CTE + """
+SELECT Churn, bin, count, CAST(count AS DOUBLE) / CAST(sum(count) OVER (PARTITION BY Churn) AS DOUBLE) AS share
+FROM hist"""))
+def q_class_density(spark, d):
+    return P.class_density(cleaned(spark, d), "tenure", "Churn", 30)
+
+
+@register("box_stats", O.with_clean("""
+, q AS (SELECT Churn, quantile_cont(MonthlyCharges, 0.25) AS q1, quantile_cont(MonthlyCharges, 0.5) AS median,
+              quantile_cont(MonthlyCharges, 0.75) AS q3, count(MonthlyCharges) AS n
+       FROM clean WHERE Churn IS NOT NULL AND MonthlyCharges IS NOT NULL GROUP BY Churn),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
+SELECT f.Churn, f.q1, f.median, f.q3, f.n, f.iqr, f.lower_fence, f.upper_fence,
+  min(CASE WHEN c.MonthlyCharges >= lower_fence AND c.MonthlyCharges <= upper_fence THEN c.MonthlyCharges END) AS whisker_low,
+  max(CASE WHEN c.MonthlyCharges >= lower_fence AND c.MonthlyCharges <= upper_fence THEN c.MonthlyCharges END) AS whisker_high,
+  count_if(NOT (c.MonthlyCharges >= lower_fence AND c.MonthlyCharges <= upper_fence)) AS outliers
+FROM f JOIN clean c ON c.Churn = f.Churn
+GROUP BY ALL""".replace("\n, q AS", ", q AS", 1)))
+def q_box_stats(spark, d):
+    return P.box_stats(cleaned(spark, d), "MonthlyCharges", "Churn")
+
+
+def _corr_sql() -> str:
+    parts = [f"SELECT Churn, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM clean"
+             for c in ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges"]]
+    for c in _CATS:
+        parts.append(
+            f"SELECT s.Churn, '{c}_' || l.v AS feature, CAST(coalesce(s.{c} = l.v, false) AS DOUBLE) AS x "
+            f"FROM clean s, (SELECT DISTINCT {c} AS v FROM clean WHERE {c} IS NOT NULL) l")
+    return (", enc AS (" + "\nUNION ALL\n".join(parts) + "),\n"
+            "cr AS (SELECT feature, round(CASE WHEN stddev_pop(x) > 0 AND stddev_pop(Churn) > 0 "
+            "THEN corr(x, Churn) END, 6) AS correlation FROM enc WHERE Churn IS NOT NULL GROUP BY feature)")
+
+
+@register("target_correlation", O.with_clean(_corr_sql() + "\nSELECT * FROM cr"))
+def q_target_correlation(spark, d):
+    return P.target_correlation(cleaned(spark, d))
+
+
+@register("top_correlations", O.with_clean(_corr_sql() + """
+SELECT * FROM (
+  SELECT 'positive' AS direction, row_number() OVER (ORDER BY correlation DESC, feature) AS rank, feature, correlation
+  FROM cr WHERE correlation IS NOT NULL) WHERE rank <= 5
+UNION ALL
+SELECT * FROM (
+  SELECT 'negative' AS direction, row_number() OVER (ORDER BY correlation ASC, feature) AS rank, feature, correlation
+  FROM cr WHERE correlation IS NOT NULL) WHERE rank <= 5"""))
+def q_top_correlations(spark, d):
+    return P.top_correlations(cleaned(spark, d), 5)
+
+
+# ------------------------------------------------------------------ 2.8 metrics on the X2 score
+
+def scored_heuristic(spark, d) -> DataFrame:
+    """Clean table with the X2 heuristic score as (label, score)."""
+    s = X.with_heuristic_score(cleaned(spark, d), out="score")
+    return s.select("customerID", F.col("Churn").alias("label"), "tenure", "MonthlyCharges", "score")
+
+
+@register("heuristic_score", O.with_scored("SELECT customerID, score AS churn_prob FROM scored"))
+def q_heuristic_score(spark, d):
+    return X.with_heuristic_score(cleaned(spark, d)).select("customerID", "churn_prob")
+
+
+@register("risk_tiers", O.with_scored("""
+SELECT customerID, score AS churn_prob,
+  CASE WHEN score >= 0.65 THEN 'HIGH RISK' WHEN score >= 0.35 THEN 'MEDIUM RISK' ELSE 'LOW RISK' END AS risk_tier
+FROM scored"""))
+def q_risk_tiers(spark, d):
+    return X.risk_tiers(X.with_heuristic_score(cleaned(spark, d))).select(
+        "customerID", "churn_prob", "risk_tier")
+
+
+@register("at_risk", O.with_scored("SELECT customerID, score AS churn_prob FROM scored WHERE score >= 0.5"))
+def q_at_risk(spark, d):
+    return C.at_risk(X.with_heuristic_score(cleaned(spark, d)), "churn_prob", 0.5).select(
+        "customerID", "churn_prob")
+
+
+@register("roc_curve", O.with_cum(f"""
+SELECT CAST('Infinity' AS DOUBLE) AS threshold, CAST(0 AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp,
+       CAST(0.0 AS DOUBLE) AS tpr, CAST(0.0 AS DOUBLE) AS fpr
+UNION ALL
+SELECT threshold, cum_tp, cum_fp, {O.sdiv('cum_tp', 'all_tp')}, {O.sdiv('cum_fp', 'all_fp')} FROM cum"""))
+def q_roc_curve(spark, d):
+    return M.roc_curve(scored_heuristic(spark, d))
+
+
+@register("auc_roc", O.with_cum("""
+SELECT CASE WHEN max(all_tp) * max(all_fp) > 0 THEN
+  CAST(sum(CAST(neg AS HUGEINT) * (2 * cum_tp - pos)) AS DOUBLE) / CAST(2 * max(all_tp) * max(all_fp) AS DOUBLE) END AS auc,
+  max(all_tp) AS positives, max(all_fp) AS negatives FROM cum"""))
+def q_auc_roc(spark, d):
+    return M.auc_roc(scored_heuristic(spark, d))
+
+
+@register("pr_curve", O.with_cum(f"""
+SELECT threshold, {O.sdiv('cum_tp', 'cum_tp + cum_fp')} AS precision, {O.sdiv('cum_tp', 'all_tp')} AS recall FROM cum
+UNION ALL SELECT CAST('Infinity' AS DOUBLE), 1.0, 0.0"""))
+def q_pr_curve(spark, d):
+    return M.pr_curve(scored_heuristic(spark, d))
+
+
+@register("avg_precision", O.with_cum(f"""
+SELECT round(sum({O.sdiv('pos', 'all_tp')} * {O.sdiv('cum_tp', 'cum_tp + cum_fp')}), 10) AS avg_precision FROM cum"""))
+def q_avg_precision(spark, d):
+    return M.avg_precision(scored_heuristic(spark, d))
+
+
+_CNT = """, cnt AS (SELECT count_if(label = 1 AND score >= {t}) AS tp, count_if(label = 0 AND score >= {t}) AS fp,
+  count_if(label = 1 AND NOT score >= {t}) AS fn, count_if(label = 0 AND NOT score >= {t}) AS tn
+  FROM scored WHERE label IS NOT NULL)"""
+
+
+def _report(prefix: str = "") -> str:
+    return (f"{O.sdiv('tp', 'tp + fp')} AS precision, {O.sdiv('tp', 'tp + fn')} AS recall, "
+            f"{O.sdiv('2 * tp', '2 * tp + fp + fn')} AS f1")
+
+
+@register("confusion_matrix", O.with_scored(_CNT.format(t="0.5") + """
+SELECT 1 AS actual, 1 AS predicted, tp AS count FROM cnt UNION ALL SELECT 0, 1, fp FROM cnt
+UNION ALL SELECT 1, 0, fn FROM cnt UNION ALL SELECT 0, 0, tn FROM cnt"""))
+def q_confusion_matrix(spark, d):
+    return M.confusion_matrix(scored_heuristic(spark, d), 0.5)
+
+
+@register("classification_report", O.with_scored(_CNT.format(t="0.5") + f"""
+SELECT tp, fp, fn, tn, {O.sdiv('tp + tn', 'tp + fp + fn + tn')} AS accuracy, {_report()} FROM cnt"""))
+def q_classification_report(spark, d):
+    return M.classification_report(scored_heuristic(spark, d), 0.5)
+
+
+@register("threshold_metrics", O.with_scored(_CNT.format(t="0.5") + f"""
+SELECT CAST(0.5 AS DOUBLE) AS threshold, {_report()}, tp + fp AS flagged, tp + fp + fn + tn AS total FROM cnt"""))
+def q_threshold_metrics(spark, d):
+    return M.threshold_metrics(scored_heuristic(spark, d), 0.5)
+
+
+@register("threshold_sweep", O.with_scored(""",
+ts AS (SELECT i / 100 AS t FROM range(10, 91, 5) r(i)),
+cnt AS (SELECT t, count_if(label = 1 AND score >= t) AS tp, count_if(label = 0 AND score >= t) AS fp,
+  count_if(label = 1 AND NOT score >= t) AS fn, count_if(label = 0 AND NOT score >= t) AS tn
+  FROM ts, scored WHERE label IS NOT NULL GROUP BY t)
+SELECT t AS threshold, """ + _report() + """, tp + fp AS flagged, tp + fp + fn + tn AS total FROM cnt"""
+.replace("\n,\nts AS", ", ts AS", 1).replace(",\nts AS", ", ts AS", 1)))
+def q_threshold_sweep(spark, d):
+    return M.threshold_sweep(scored_heuristic(spark, d))
+
+
+# ------------------------------------------------------------------ 2.10 ROI, CLV, actions
+
+_LIFE_COLS = ["lift_premium", "lift_standard", "lift_basic", "lift_minimal", "base_churn",
+              "implied_lifetime"]
+
+
+@register("lift_rates", O.with_life("SELECT * FROM life"))
+def q_lift_rates(spark, d):
+    return X.lift_rates(cleaned(spark, d))
+
+
+@register("implied_lifetime", O.with_life("SELECT base_churn, implied_lifetime FROM life"))
+def q_implied_lifetime(spark, d):
+    return X.lift_rates(cleaned(spark, d)).select("base_churn", "implied_lifetime")
+
+
+@register("clv_variants", O.with_life(""",
+cl AS (SELECT customerID,
+  MonthlyCharges * tenure * CAST(0.25 AS DOUBLE) * CAST(83.0 AS DOUBLE) AS clv_lookup,
+  MonthlyCharges * greatest(tenure, 1) * CAST(0.25 AS DOUBLE) * CAST(83.0 AS DOUBLE) AS clv_simulator,
+  MonthlyCharges * implied_lifetime * CAST(0.25 AS DOUBLE) * CAST(83.0 AS DOUBLE) AS clv_roi
+  FROM clean, life)
+SELECT * FROM cl""".replace("\n,\ncl AS", ", cl AS", 1).replace(",\ncl AS", ", cl AS", 1)))
+def q_clv_variants(spark, d):
+    c = cleaned(spark, d)
+    life = X.lift_rates(c).select("implied_lifetime")
+    return (X.clv_variants(c.crossJoin(F.broadcast(life)), lifetime=F.col("implied_lifetime"))
+            .select("customerID", "clv_lookup", "clv_simulator", "clv_roi"))
+
+
+_PROF = X.PROFILES["orders"]
+
+
+@register("retention_action", O.with_scored(f""",
+a AS (SELECT customerID, score AS churn_prob,
+  MonthlyCharges * tenure * CAST(0.25 AS DOUBLE) * CAST(83.0 AS DOUBLE) AS clv FROM scored)
+SELECT customerID, churn_prob, clv,
+  CASE WHEN churn_prob >= 0.65 AND clv >= {_PROF['clv_high']} THEN 'Personal Manager + 20% Discount'
+       WHEN churn_prob >= 0.65 THEN 'Targeted 15% Discount'
+       WHEN churn_prob >= 0.35 AND clv >= {_PROF['clv_mid']} THEN 'Loyalty Rewards + Upgrade Offer'
+       WHEN churn_prob >= 0.35 THEN 'Automated Re-engagement'
+       ELSE 'Monitor - Low Risk' END AS action,
+  CASE WHEN churn_prob >= 0.65 AND clv >= {_PROF['clv_high']} THEN 500
+       WHEN churn_prob >= 0.65 THEN 200
+       WHEN churn_prob >= 0.35 AND clv >= {_PROF['clv_mid']} THEN 300
+       WHEN churn_prob >= 0.35 THEN 50 ELSE 10 END AS action_cost
+FROM a""".replace("\n,\na AS", ", a AS", 1).replace(",\na AS", ", a AS", 1)))
+def q_retention_action(spark, d):
+    s = X.with_heuristic_score(cleaned(spark, d))
+    return X.retention_actions(s).select("customerID", "churn_prob", "clv", "action", "action_cost")
+
+
+def _strategy_sql() -> str:
+    parts = []
+    for i, (name, lift, cost) in enumerate(X.STRATEGIES):
+        sv = f"(CASE WHEN floor(coalesce(n, 0) * {lift}) > 0 THEN coalesce(sv_{name}, 0.0) ELSE 0.0 END)"
+        cc = f"CAST(coalesce(n, 0) * {cost} AS BIGINT)"
+        parts.append(
+            f"SELECT {i + 1} AS pos, '{name}' AS strategy, {lift} AS lift, {cost} AS cost_per_customer, "
+            f"CAST(coalesce(n, 0) AS BIGINT) AS n_at_risk, "
+            f"CASE WHEN customers > 0 THEN CAST(coalesce(n, 0) AS DOUBLE) / customers END AS share_of_base, "
+            f"round(coalesce(clv_at_risk, 0.0), 2) AS clv_at_risk, {cc} AS campaign_cost, "
+            f"CAST(floor(coalesce(n, 0) * {lift}) AS BIGINT) AS saved_n, round({sv}, 2) AS clv_saved, "
+            f"round({sv} - {cc}, 2) AS net, "
+            f"round(CASE WHEN {cc} > 0 THEN ({sv} - {cc}) / {cc} * 100 ELSE 0.0 END, 4) AS roi_pct "
+            f"FROM agg, life, (SELECT count(*) AS customers FROM clean)")
+    sums = ", ".join(
+        f"sum(CASE WHEN clv_rank <= floor(n_at_risk * {lift}) THEN CLV END) AS sv_{name}"
+        for name, lift, _ in X.STRATEGIES)
+    return O.with_life(f""", sc AS (SELECT customerID, MonthlyCharges,
+      (1.0 - tenure / max(tenure) OVER ()) * CAST(0.6 AS DOUBLE) AS churn_prob FROM clean),
+atr AS (SELECT customerID, MonthlyCharges * implied_lifetime * CAST(0.25 AS DOUBLE) * CAST(83.0 AS DOUBLE) AS CLV
+        FROM sc, life WHERE churn_prob >= 0.5),
+rk AS (SELECT *, row_number() OVER (ORDER BY CLV DESC, customerID) AS clv_rank,
+              count(*) OVER () AS n_at_risk FROM atr),
+agg AS (SELECT count(*) AS n, sum(CLV) AS clv_at_risk, {sums} FROM rk, life),
+cmp AS ({' UNION ALL '.join(parts)})
+""")
+
+
+_STRAT = _strategy_sql()
+
+
+@register("strategy_comparison", _STRAT + "SELECT * FROM cmp")
+def q_strategy_comparison(spark, d):
+    return X.strategy_comparison(X.with_heuristic_score(cleaned(spark, d)))
+
+
+@register("campaign_roi", _STRAT + "SELECT * EXCLUDE (pos) FROM cmp WHERE strategy = 'Premium'")
+def q_campaign_roi(spark, d):
+    return X.campaign_roi(X.with_heuristic_score(cleaned(spark, d)), "Premium")
+
+
+@register("top_clv_saved", _STRAT + "SELECT saved_n, clv_saved FROM cmp WHERE strategy = 'Premium'")
+def q_top_clv_saved(spark, d):
+    return X.top_clv_saved(X.with_heuristic_score(cleaned(spark, d)), "Premium")
+
+
+@register("roi_waterfall", _STRAT + """
+SELECT 1 AS pos, 'Revenue Saved' AS step, clv_saved AS value, roi_pct FROM cmp WHERE strategy = 'Premium'
+UNION ALL SELECT 2, 'Campaign Cost', CAST(-campaign_cost AS DOUBLE), roi_pct FROM cmp WHERE strategy = 'Premium'
+UNION ALL SELECT 3, 'Net', net, roi_pct FROM cmp WHERE strategy = 'Premium'
+""".replace("roi_pct FROM", "CASE WHEN roi_pct > 100 THEN 'strong' WHEN roi_pct > 0 THEN 'positive' "
+            "ELSE 'negative' END AS roi_band FROM"))
+def q_roi_waterfall(spark, d):
+    return X.roi_waterfall(X.with_heuristic_score(cleaned(spark, d)), "Premium")
+
+
+@register("contract_lift", O.with_clean("""
+, r AS (SELECT Contract, avg(Churn) AS churn_rate FROM clean WHERE Contract IS NOT NULL GROUP BY Contract)
+SELECT r.Contract, r.churn_rate, b.churn_rate - r.churn_rate AS lift_vs_baseline
+FROM r, (SELECT churn_rate FROM r WHERE Contract = 'Month-to-month') b""".replace("\n, r AS", ", r AS", 1)))
+def q_contract_lift(spark, d):
+    return X.contract_lift(cleaned(spark, d))
+
+
+@register("clv_distribution", O.with_life(""", sc AS (SELECT MonthlyCharges,
+      (1.0 - tenure / max(tenure) OVER ()) * CAST(0.6 AS DOUBLE) AS churn_prob FROM clean),
+atr AS (SELECT MonthlyCharges * implied_lifetime * CAST(0.25 AS DOUBLE) * CAST(83.0 AS DOUBLE) AS CLV
+        FROM sc, life WHERE churn_prob >= 0.5)
+SELECT count(*) AS n_at_risk, round(avg(CLV), 2) AS clv_mean, round(quantile_cont(CLV, 0.75), 2) AS clv_p75
+FROM atr"""))
+def q_clv_distribution(spark, d):
+    return X.clv_distribution(X.with_heuristic_score(cleaned(spark, d)))
+
+
+# ------------------------------------------------------------------ what-if, risk factors
+
+def _profiles(spark, d):
+    return FE.add_charges_per_month(FE.add_engagement(cleaned(spark, d)))
+
+
+def _factor_sql() -> str:
+    fb = WI.FALLBACKS
+    st = ",\n".join(
+        f"coalesce(avg(CASE WHEN {cond} THEN Churn END), {fb[k]}) AS {k}" for k, cond in [
+            ("early_churn", "tenure <= 12"), ("mature_churn", "tenure >= 36"),
+            ("no_support_churn", "TechSupport = 'No'"), ("yes_support_churn", "TechSupport = 'Yes'"),
+            ("high_eng_churn", "engagement_score >= 5"), ("low_eng_churn", "engagement_score <= 2"),
+            ("mtm_churn", "Contract = 'Month-to-month'"), ("one_year_churn", "Contract = 'One year'"),
+            ("two_year_churn", "Contract = 'Two year'")])
+    rules = [
+        (1, "'Month-to-Month Contract'", "neg", "mtm_churn", "Contract = 'Month-to-month' AND has_contract"),
+        (1, "'Two-Year Contract'", "pos", "two_year_churn", "Contract = 'Two year'"),
+        (1, "'One-Year Contract'", "neu", "one_year_churn", "Contract = 'One year'"),
+        (2, "'New Customer (<=12 months)'", "neg", "early_churn", "tenure <= 12"),
+        (2, "'Long-Tenure Customer (36+ months)'", "pos", "mature_churn", "tenure >= 36"),
+        (3, "'No Tech Support'", "neg", "no_support_churn", "TechSupport = 'No' AND InternetService <> 'No'"),
+        (3, "'Tech Support Active'", "pos", "yes_support_churn", "TechSupport = 'Yes'"),
+        (4, "PaymentMethod", "neg", "pay_rate", "pay_rate IS NOT NULL AND pay_rate >= max_pay * 0.9"),
+        (4, "PaymentMethod", "pos", "pay_rate",
+         "pay_rate IS NOT NULL AND NOT (pay_rate >= max_pay * 0.9) AND pay_rate <= min_pay * 1.2"),
+        (5, "'High Engagement (' || engagement_score || '/8 services)'", "pos", "high_eng_churn",
+         "engagement_score >= 5"),
+        (5, "'Low Engagement (' || engagement_score || '/8 services)'", "neg", "low_eng_churn",
+         "engagement_score <= 2"),
+        (6, "InternetService || ' Internet'", "neg", "int_rate",
+         "int_rate IS NOT NULL AND int_rate >= max_int * 0.9"),
+        (8, "'Senior Citizen'", "neg", "NULL", "SeniorCitizen = 1"),
+    ]
+    sel = "\nUNION ALL\n".join(
+        f"SELECT customerID, {p} AS pos, {lab} AS factor, '{k}' AS kind, CAST({rate} AS DOUBLE) AS rate, "
+        f"{'false' if p == 8 else 'true'} AS from_data FROM j WHERE {cond}"
+        for p, lab, k, rate, cond in rules)
+    return O.with_feat(f""", st AS (SELECT {st},
+  count(CASE WHEN Contract IS NOT NULL THEN 1 END) > 0 AS has_contract FROM f1),
+pay AS (SELECT PaymentMethod, avg(Churn) AS pay_rate FROM f1 WHERE PaymentMethod IS NOT NULL GROUP BY 1),
+net AS (SELECT InternetService, avg(Churn) AS int_rate FROM f1 WHERE InternetService IS NOT NULL GROUP BY 1),
+mm AS (SELECT (SELECT max(pay_rate) FROM pay) AS max_pay, (SELECT min(pay_rate) FROM pay) AS min_pay,
+              (SELECT max(int_rate) FROM net) AS max_int),
+j AS (SELECT f1.*, pay.pay_rate, net.int_rate, st.*, mm.*
+      FROM f1 LEFT JOIN pay ON f1.PaymentMethod = pay.PaymentMethod
+      LEFT JOIN net ON f1.InternetService = net.InternetService, st, mm)
+{sel}""")
+
+
+@register("risk_factors", _factor_sql())
+def q_risk_factors(spark, d):
+    p = _profiles(spark, d)
+    return WI.risk_factors(p, p)
+
+
+def heuristic_scorer(population: DataFrame, prob: str = "churn_prob"):
+    """X2 as a scorer with the population's max tenure frozen."""
+    mx = population.agg(F.max("tenure").alias("_mx"))
+
+    def score(rows: DataFrame) -> DataFrame:
+        from retentio.functions.expr import heuristic_score
+        return (rows.crossJoin(F.broadcast(mx))
+                .withColumn(prob, heuristic_score("tenure", "_mx")).drop("_mx"))
+    return score
+
+
+def _scenario_sql() -> str:
+    vals = ", ".join(f"({i}, '{n}')" for i, n in WI.SCENARIOS)
+    eng = O._ENG
+    return O.with_clean(f""", prof AS (SELECT *, {eng} AS engagement_score,
+    CASE WHEN tenure > 0 THEN TotalCharges / tenure ELSE MonthlyCharges END AS charges_per_month FROM clean),
+pm AS (SELECT max(tenure) AS mx,
+         (SELECT PaymentMethod FROM (SELECT PaymentMethod, avg(Churn) AS rate FROM prof
+           WHERE PaymentMethod IS NOT NULL GROUP BY 1) ORDER BY rate, PaymentMethod LIMIT 1) AS best_pay
+       FROM prof),
+scn AS (SELECT * FROM (VALUES {vals}) t(scenario_id, scenario)),
+x AS (SELECT prof.*, scn.scenario_id, scn.scenario, pm.best_pay, pm.mx,
+             (1.0 - prof.tenure / pm.mx) * CAST(0.6 AS DOUBLE) AS base
+      FROM prof, scn, pm
+      WHERE scenario_id IN (0, 5) OR (scenario_id = 1 AND Contract <> 'Two year')
+         OR (scenario_id = 2 AND TechSupport = 'No' AND InternetService <> 'No')
+         OR (scenario_id = 3 AND best_pay IS NOT NULL AND best_pay <> PaymentMethod)
+         OR (scenario_id = 4 AND tenure < 60)),
+y AS (SELECT customerID, gender, SeniorCitizen, Partner, Dependents,
+    CASE WHEN scenario_id = 4 THEN tenure + 12 ELSE tenure END AS tenure,
+    PhoneService, MultipleLines, InternetService,
+    CASE WHEN scenario_id = 5 THEN 'Yes' ELSE OnlineSecurity END AS OnlineSecurity,
+    CASE WHEN scenario_id = 5 THEN 'Yes' ELSE OnlineBackup END AS OnlineBackup,
+    CASE WHEN scenario_id = 5 THEN 'Yes' ELSE DeviceProtection END AS DeviceProtection,
+    CASE WHEN scenario_id IN (2, 5) THEN 'Yes' ELSE TechSupport END AS TechSupport,
+    StreamingTV, StreamingMovies,
+    CASE WHEN scenario_id = 1 THEN 'Two year' ELSE Contract END AS Contract, PaperlessBilling,
+    CASE WHEN scenario_id = 3 THEN best_pay ELSE PaymentMethod END AS PaymentMethod, MonthlyCharges,
+    CASE WHEN scenario_id = 4 THEN (tenure + 12) * MonthlyCharges ELSE TotalCharges END AS TotalCharges,
+    Churn, scenario_id,
+    CASE WHEN scenario_id = 3 THEN 'Switch to ' || best_pay ELSE scenario END AS scenario, base, mx FROM x)
+SELECT y.* EXCLUDE (base, mx), {eng} AS engagement_score,
+  CASE WHEN tenure > 0 THEN TotalCharges / tenure ELSE MonthlyCharges END AS charges_per_month,
+  (1.0 - tenure / mx) * CAST(0.6 AS DOUBLE) AS churn_prob,
+  (1.0 - tenure / mx) * CAST(0.6 AS DOUBLE) - base AS delta
+FROM y""")
+
+
+@register("whatif_scenarios", _scenario_sql())
+def q_whatif_scenarios(spark, d):
+    p = _profiles(spark, d)
+    return WI.whatif_scenarios(p, p, heuristic_scorer(p))
+
+
+# ------------------------------------------------------------------ lookups, transposes, encodings
+
+_LOOKUP_Q = """q AS (SELECT DISTINCT CASE WHEN c_custkey % 2 = 0
+      THEN upper('cust-' || lpad(CAST(c_custkey AS VARCHAR), 8, '0'))
+      ELSE right(lpad(CAST(c_custkey AS VARCHAR), 8, '0'), 5) END AS query FROM customer)"""
+
+
+def lookup_queries(spark, d) -> DataFrame:
+    """Search strings derived from every customer key: exact ids for even keys
+    (upper-cased), 5-digit fragments for odd keys (exercise the contains path)."""
+    from retentio.sources.tables import read_table
+    k = F.col("c_custkey")
+    padded = F.lpad(k.cast("string"), 8, "0")
+    return read_table(spark, d, "customer", ["c_custkey"]).select(
+        F.when(k % 2 == 0, F.upper(F.concat(F.lit("cust-"), padded)))
+        .otherwise(F.substring(padded, 4, 5)).alias("query"))
+
+
+@register("lookup_customer", O.with_clean(f""", {_LOOKUP_Q},
+ex AS (SELECT q.query, min(s.customerID) AS customerID FROM q JOIN clean s
+       ON lower(trim(q.query)) = lower(s.customerID) GROUP BY q.query),
+rest AS (SELECT query FROM q WHERE query NOT IN (SELECT query FROM ex)),
+ct AS (SELECT r.query, min(s.customerID) AS customerID FROM rest r JOIN clean s
+       ON contains(lower(s.customerID), lower(trim(r.query))) GROUP BY r.query)
+SELECT query, customerID, 'exact' AS match_type FROM ex
+UNION ALL SELECT query, customerID, 'contains' AS match_type FROM ct"""))
+def q_lookup_customer(spark, d):
+    return C.lookup_customer(cleaned(spark, d), lookup_queries(spark, d))
+
+
+_PROFILE_COLS = ["gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "Contract",
+                 "InternetService", "MonthlyCharges", "TotalCharges", "PaymentMethod"]
+
+
+@register("customer_profile_long", O.with_clean("\nUNION ALL\n".join(
+    f"SELECT customerID, {i + 1} AS pos, '{c}' AS Feature, "
+    + (f"printf('%.2f', {c})" if c in ("MonthlyCharges", "TotalCharges") else f"CAST({c} AS VARCHAR)")
+    + " AS Value FROM clean" for i, c in enumerate(_PROFILE_COLS))))
+def q_customer_profile_long(spark, d):
+    return C.customer_profile_long(cleaned(spark, d), _PROFILE_COLS)
+
+
+@register("sample_ids")
+def q_sample_ids(spark, d):
+    return C.sample_ids(cleaned(spark, d), 6, 42)
+
+
+def _long_onehot(df: DataFrame, levels: dict, drop_first: bool, id_col: str = "customerID"):
+    enc = FE.one_hot(df.select(id_col, *levels.keys()), levels, drop_first=drop_first)
+    feats = [c for c in enc.columns if c != id_col]
+    arr = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("value"))
+                    for f in feats])
+    return enc.select(id_col, F.inline(arr))
+
+
+def _onehot_sql(drop_first: bool, src: str = "clean") -> str:
+    parts = []
+    for c in _CATS:
+        lv = (f"(SELECT v FROM (SELECT DISTINCT {c} AS v FROM clean WHERE {c} IS NOT NULL) "
+              f"ORDER BY v OFFSET {1 if drop_first else 0})")
+        parts.append(f"SELECT s.customerID, '{c}_' || l.v AS feature, "
+                     f"CAST(coalesce(s.{c} = l.v, false) AS INTEGER) AS value FROM {src} s, {lv} l")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("one_hot_all", O.with_clean(_onehot_sql(False)))
+def q_one_hot_all(spark, d):
+    c = cleaned(spark, d)
+    return _long_onehot(c, FE.categorical_levels(c, _CATS), False)
+
+
+@register("one_hot_drop_first", O.with_clean(_onehot_sql(True)))
+def q_one_hot_drop_first(spark, d):
+    c = cleaned(spark, d)
+    return _long_onehot(c, FE.categorical_levels(c, _CATS), True)
+
+
+@register("encode_frozen", O.with_clean(", raw_t AS (SELECT * FROM subscribers_raw)\n"
+                                        + _onehot_sql(True, "raw_t")))
+def q_encode_frozen(spark, d):
+    """levels frozen on the clean table, applied to the raw (untrimmed) rows."""
+    c = cleaned(spark, d)
+    levels = FE.categorical_levels(c, _CATS)
+    return _long_onehot(raw(spark, d), levels, True)
+
+
+_STD_COLS = ["tenure", "MonthlyCharges", "TotalCharges"]
+
+
+@register("standardize", O.with_clean(", m AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _STD_COLS) + " FROM clean)\nSELECT customerID, "
+    + ", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END, 8) AS {c}"
+                for c in _STD_COLS) + " FROM clean, m"))
+def q_standardize(spark, d):
+    s = FE.standardize(cleaned(spark, d), _STD_COLS)
+    return s.select("customerID", *[F.round(F.col(c), 8).alias(c) for c in _STD_COLS])
