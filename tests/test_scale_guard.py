@@ -31,7 +31,8 @@ def _violations(plan: str):
             if any(op.startswith(k) for k in ("HashAggregate", "ObjectHashAggregate",
                                                 "SortAggregate", "LocalTableScan")):
                 break
-            if op.startswith(("Scan", "FileScan", "Exchange", "BroadcastExchange", "Window",
+            if op.startswith(("Scan", "FileScan", "Range", "InMemoryTableScan", "Exchange",
+                              "BroadcastExchange", "Window",
                               "BroadcastHashJoin", "SortMergeJoin")):
                 bad.append(ln.strip() + " <- " + op[:80])
                 break
