@@ -31,50 +31,83 @@ def cluster_vectors(df: DataFrame, features: list[str] | None = None) -> DataFra
     return scaler.transform(x).drop("_x")
 
 
+def _fit(vec: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
+    return KMeans(k=k, seed=seed, featuresCol="xs", predictionCol="cluster_id",
+                  initMode="k-means||", maxIter=max_iter).fit(vec)
+
+
+def kmeans_grid(vec: DataFrame, ks, n_init: int = 10, seed: int = 42, max_iter: int = 300,
+                max_workers: int = 8) -> dict[int, KMeansModel]:
+    """For every k the lowest-cost of ``n_init`` seeded k-means|| restarts.
+
+    The restarts are independent Spark jobs and run concurrently (the
+    reference's ``n_init`` loop); ties in cost keep the earliest seed.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    jobs = [(k, i) for k in ks for i in range(n_init)]
+    with ThreadPoolExecutor(max_workers=max_workers) as pool:
+        futs = {(k, i): pool.submit(_fit, vec, k, seed + i, max_iter) for k, i in jobs}
+        fitted = {key: f.result() for key, f in futs.items()}
+    best: dict[int, KMeansModel] = {}
+    for k in ks:
+        cands = [fitted[(k, i)] for i in range(n_init)]
+        best[k] = min(cands, key=lambda m: m.summary.trainingCost)
+    return best
+
+
 def best_kmeans(vec: DataFrame, k: int, n_init: int = 10, seed: int = 42,
                 max_iter: int = 300) -> KMeansModel:
     """The lowest-cost model among ``n_init`` seeded k-means|| restarts."""
-    best = None
-    for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, featuresCol="xs", predictionCol="cluster_id",
-                   initMode="k-means||", maxIter=max_iter).fit(vec)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best
+    return kmeans_grid(vec, [k], n_init, seed, max_iter)[k]
+
+
+def prepared_vectors(df: DataFrame) -> DataFrame:
+    """Standardised vectors, partitions sized by row count, persisted for the repeated fits."""
+    from retentio.operators.models import size_partitions
+    return size_partitions(cluster_vectors(df))
+
+
+def assign_clusters(model: KMeansModel, vec: DataFrame) -> DataFrame:
+    return (model.transform(vec).withColumn("Cluster", F.col("cluster_id").cast("string"))
+            .drop("cluster_id", "xs"))
 
 
 def kmeans_clusters(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) -> DataFrame:
     """Cluster label (string) per row."""
-    vec = cluster_vectors(df).persist()
+    vec = prepared_vectors(df)
     try:
         model = best_kmeans(vec, k, n_init, seed)
-        out = (model.transform(vec).withColumn("Cluster", F.col("cluster_id").cast("string"))
-               .drop("cluster_id", "xs"))
-        return out.checkpoint(eager=True)
+        return assign_clusters(model, vec).checkpoint(eager=True)
     finally:
         vec.unpersist()
 
 
-def kmeans_elbow(df: DataFrame, ks: range = range(2, 9), n_init: int = 10, seed: int = 42,
-                 with_silhouette: bool = True) -> DataFrame:
-    """C2 + C3: inertia (and silhouette) per k.
+def elbow_table(spark, vec: DataFrame, models: dict[int, KMeansModel],
+                with_silhouette: bool = True) -> DataFrame:
+    """C2 + C3 from fitted models: (k, inertia, silhouette).
 
     Silhouette is Spark's ``ClusteringEvaluator`` (squared Euclidean, O(n k));
     the exact O(n^2) Euclidean silhouette is not computed.
     """
-    spark = df.sparkSession
-    vec = cluster_vectors(df).persist()
+    ev = ClusteringEvaluator(featuresCol="xs", predictionCol="cluster_id",
+                             metricName="silhouette", distanceMeasure="squaredEuclidean")
     rows = []
+    for k in sorted(models):
+        m = models[k]
+        sil = ev.evaluate(m.transform(vec)) if with_silhouette else None
+        rows.append((k, float(m.summary.trainingCost), None if sil is None else float(sil)))
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
+
+
+def kmeans_elbow(df: DataFrame, ks: range = range(2, 9), n_init: int = 10, seed: int = 42,
+                 with_silhouette: bool = True) -> DataFrame:
+    """C2 + C3: inertia (and silhouette) per k."""
+    vec = prepared_vectors(df)
     try:
-        ev = ClusteringEvaluator(featuresCol="xs", predictionCol="cluster_id",
-                                 metricName="silhouette", distanceMeasure="squaredEuclidean")
-        for k in ks:
-            m = best_kmeans(vec, k, n_init, seed)
-            sil = ev.evaluate(m.transform(vec)) if with_silhouette else None
-            rows.append((k, float(m.summary.trainingCost), None if sil is None else float(sil)))
+        return elbow_table(df.sparkSession, vec, kmeans_grid(vec, ks, n_init, seed),
+                           with_silhouette)
     finally:
         vec.unpersist()
-    return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
 def pca_2d(df: DataFrame, id_col: str = "customerID") -> DataFrame:

@@ -140,6 +140,19 @@ def _classifier(name: str, label: str, params: dict | None = None):
     raise ValueError(f"unknown model {name}")
 
 
+def size_partitions(df: DataFrame, rows_per_partition: int = 500_000) -> DataFrame:
+    """Persisted copy with partitions sized by row count (at most one per core).
+
+    Iterative learners (boosting rounds, k-means steps) run several small
+    jobs per iteration; on small inputs extra partitions only add task
+    overhead, on large inputs the count gives one partition per ~500k rows.
+    """
+    cores = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    n = df.count()
+    parts = int(min(max(-(-n // rows_per_partition), 1), cores))
+    return df.coalesce(parts).persist()
+
+
 def train_model(train: DataFrame, name: str, label: str = "Churn", spec: FeatureSpec | None = None,
                 params: dict | None = None) -> PipelineModel:
     """Fit one reference model as a PipelineModel on ``train`` (weights added here)."""
@@ -182,10 +195,9 @@ def evaluate(scored: DataFrame, model_name: str, label: str = "Churn",
              prob: str = "churn_prob") -> DataFrame:
     """M12 + M9/M10 summary row: AUC, AP, accuracy, class-1 P/R/F1 (4 dp)."""
     s = scored.select(F.col(label).alias("label"), F.col(prob).alias("score"))
-    auc = M.auc_roc(s).select("auc")
-    ap = M.avg_precision(s).select("avg_precision")
+    curves = M.curve_summary(s).select("auc", "avg_precision")
     rep = M.classification_report(s, 0.5).select("accuracy", "precision", "recall", "f1")
-    row = auc.crossJoin(ap).crossJoin(rep)
+    row = curves.crossJoin(rep)
     return row.select(F.lit(model_name).alias("model"),
                       F.round("auc", 4).alias("auc_roc"), F.round("avg_precision", 4).alias("avg_precision"),
                       F.round("accuracy", 4).alias("accuracy"), F.round("precision", 4).alias("precision_churn"),
@@ -195,8 +207,7 @@ def evaluate(scored: DataFrame, model_name: str, label: str = "Churn",
 def train_all(split_df: DataFrame, label: str = "Churn", names: list[str] | None = None,
               params: dict | None = None) -> tuple[dict[str, PipelineModel], FeatureSpec]:
     """Fit every reference model on the train split with one frozen encoding."""
-    train = split_df.filter(F.col("split") == "train").drop("split")
-    train = train.persist()
+    train = size_partitions(split_df.filter(F.col("split") == "train").drop("split"))
     spec = feature_spec(train, label)
     names = names or list(MODEL_PARAMS)
     # independent fits run as concurrent Spark jobs (the reference's n_jobs=-1)
