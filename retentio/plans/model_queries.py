@@ -16,7 +16,7 @@ from retentio.operators import explain as EX
 from retentio.operators import models as MD
 from retentio.operators import roi as X
 from retentio.operators import whatif as WI
-from retentio.plans.registry import _profiles, cleaned, featured, register
+from retentio.plans.registry import _profiles, clean_table, features_table, register
 
 _CACHE: dict = {}
 _LOCK = threading.Lock()
@@ -31,7 +31,7 @@ def split_table(spark, d) -> DataFrame:
     k = ("split",) + _key(spark, d)
     with _LOCK:
         if k not in _CACHE:
-            _CACHE[k] = MD.stratified_split(featured(spark, d)).checkpoint(eager=True)
+            _CACHE[k] = MD.stratified_split(features_table(spark, d)).checkpoint(eager=True)
         return _CACHE[k]
 
 
@@ -62,7 +62,7 @@ SELECT Churn, count(*) AS n_class,
   CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*)) AS weight
 FROM clean WHERE Churn IS NOT NULL GROUP BY Churn""")
 def q_class_weights(spark, d):
-    return MD.class_weights(cleaned(spark, d))
+    return MD.class_weights(clean_table(spark, d))
 
 
 def _eval_one(name):
@@ -139,7 +139,7 @@ def best_scorer(spark, d):
 
 @register("score_population")
 def q_score_population(spark, d):
-    return best_scorer(spark, d)(featured(spark, d)).select("customerID", "churn_prob")
+    return best_scorer(spark, d)(features_table(spark, d)).select("customerID", "churn_prob")
 
 
 @register("feature_importance")
@@ -159,13 +159,13 @@ def q_importance_rank(spark, d):
 
 @register("strategy_comparison_model")
 def q_strategy_comparison_model(spark, d):
-    return X.strategy_comparison(best_scorer(spark, d)(featured(spark, d)))
+    return X.strategy_comparison(best_scorer(spark, d)(features_table(spark, d)))
 
 
 @register("whatif_scenarios_model")
 def q_whatif_scenarios_model(spark, d):
     models, _ = fitted(spark, d)
-    feats = featured(spark, d)
+    feats = features_table(spark, d)
     return WI.whatif_scenarios(feats, feats, best_scorer(spark, d))
 
 
@@ -181,20 +181,20 @@ def q_risk_factors_model(spark, d):
 @register("shap_linear")
 def q_shap_linear(spark, d):
     models, spec = fitted(spark, d)
-    return EX.shap_linear(models["Logistic Regression"], featured(spark, d), spec.features)
+    return EX.shap_linear(models["Logistic Regression"], features_table(spark, d), spec.features)
 
 
 @register("top_attributions")
 def q_top_attributions(spark, d):
     models, spec = fitted(spark, d)
-    attr = EX.shap_linear(models["Logistic Regression"], featured(spark, d), spec.features)
+    attr = EX.shap_linear(models["Logistic Regression"], features_table(spark, d), spec.features)
     return EX.top_attributions(attr, 12)
 
 
 @register("attribution_reasons")
 def q_attribution_reasons(spark, d):
     models, spec = fitted(spark, d)
-    attr = EX.shap_linear(models["Logistic Regression"], featured(spark, d), spec.features)
+    attr = EX.shap_linear(models["Logistic Regression"], features_table(spark, d), spec.features)
     return EX.attribution_reasons(attr)
 
 
@@ -203,7 +203,7 @@ def q_shap_sampled(spark, d):
     """Sampled Shapley values of the forest for every HIGH-risk customer (prob >= .65)."""
     models, spec = fitted(spark, d)
     rf = models["Random Forest"]
-    high = MD.score(rf, featured(spark, d)).filter(F.col("churn_prob") >= 0.65).drop("churn_prob")
+    high = MD.score(rf, features_table(spark, d)).filter(F.col("churn_prob") >= 0.65).drop("churn_prob")
     return EX.shap_sampled(rf, high, spec.features, m=8)
 
 
@@ -217,7 +217,7 @@ def kmeans_fits(spark, d):
     with _LOCK:
         if k in _CACHE:
             return _CACHE[k]
-    vec = CL.prepared_vectors(featured(spark, d))
+    vec = CL.prepared_vectors(features_table(spark, d))
     res = (vec, CL.kmeans_grid(vec, range(2, 9), n_init=10, seed=42))
     with _LOCK:
         _CACHE[k] = res
@@ -248,7 +248,7 @@ def q_kmeans_silhouette(spark, d):
 
 @register("pca_2d")
 def q_pca_2d(spark, d):
-    return CL.pca_2d(featured(spark, d))
+    return CL.pca_2d(features_table(spark, d))
 
 
 @register("cluster_profile")

@@ -16,6 +16,7 @@ from retentio.operators import clean as C
 from retentio.operators import features as FE
 from retentio.operators import rates as R
 from retentio.plans import oracle as O
+from retentio.sources.processed import processed
 from retentio.sources.subscribers import subscribers_raw
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,9 +45,23 @@ def featured(spark: SparkSession, d: str) -> DataFrame:
     return FE.all_features(cleaned(spark, d))
 
 
+def clean_table(spark: SparkSession, d: str, refresh: bool = False) -> DataFrame:
+    """The processed clean table (S2: built once per source fingerprint, then scanned)."""
+    return processed(spark, d, "clean", lambda: cleaned(spark, d), refresh=refresh)
+
+
+def features_table(spark: SparkSession, d: str, refresh: bool = False) -> DataFrame:
+    """The processed feature table (S2), the input of every downstream query."""
+    return processed(spark, d, "features", lambda: featured(spark, d), refresh=refresh)
+
+
 def base_features(spark: SparkSession, d: str) -> DataFrame:
-    """F1-F3 only (no ranks): enough for rate queries that need engagement."""
-    return FE.add_charges_per_month(FE.add_engagement(FE.add_tenure_group(cleaned(spark, d))))
+    """Clean columns plus F1-F3 (tenure_group, engagement_score, charges_per_month)."""
+    f = features_table(spark, d)
+    keep = [c for c in f.columns if c not in (
+        "recency", "frequency", "monetary", "R_Score", "F_Score", "M_Score", "RFM_Score",
+        "RFM_Segment")]
+    return f.select(*keep)
 
 
 # ------------------------------------------------------------------ 2.1 / 2.2 scans, cleaning
@@ -97,7 +112,7 @@ register("clean_subscribers", O.with_clean("SELECT * FROM clean"))(cleaned)
 
 @register("feature_columns", O.with_clean("SELECT * EXCLUDE (customerID, Churn) FROM clean"))
 def q_feature_columns(spark, d):
-    return C.feature_columns(cleaned(spark, d))
+    return C.feature_columns(clean_table(spark, d))
 
 
 # ------------------------------------------------------------------ 2.3 / 2.5 features, RFM
@@ -162,7 +177,7 @@ SELECT count(*) AS total, CAST(sum(Churn) AS BIGINT) AS churned,
        round(avg(MonthlyCharges) * 83.0, 4) AS avg_monthly_inr, avg(tenure) AS avg_tenure
 FROM clean"""))
 def q_kpi_overview(spark, d):
-    return R.kpi_overview(cleaned(spark, d))
+    return R.kpi_overview(clean_table(spark, d))
 
 
 def _rate_sql(dim: str, src: str = "clean") -> str:
@@ -175,7 +190,7 @@ for _dim in ["Contract", "InternetService", "PaymentMethod", "SeniorCitizen", "P
              "Dependents"]:
     def _mk(dim):
         def q(spark, d):
-            return R.churn_rate_by(cleaned(spark, d), dim)
+            return R.churn_rate_by(clean_table(spark, d), dim)
         return q
     register(f"churn_rate_by_{_dim.lower()}", O.with_clean(_rate_sql(_dim)))(_mk(_dim))
 
@@ -189,7 +204,7 @@ for _dim in ["tenure_group", "engagement_score"]:
 
 @register("churn_rate_by_rfm_segment", O.with_feat(_rate_sql("RFM_Segment", "feat")))
 def q_churn_rate_by_segment(spark, d):
-    return R.churn_rate_by(featured(spark, d), "RFM_Segment")
+    return R.churn_rate_by(features_table(spark, d), "RFM_Segment")
 
 
 _GS_DIMS = ["Contract", "InternetService", "PaymentMethod", "SeniorCitizen", "Partner",
@@ -219,7 +234,7 @@ SELECT InternetService,
   avg(CASE WHEN Contract = 'Two year' THEN Churn END) * 100 AS "Two year"
 FROM clean WHERE InternetService IS NOT NULL GROUP BY InternetService"""))
 def q_churn_pivot(spark, d):
-    return R.churn_pivot(cleaned(spark, d))
+    return R.churn_pivot(clean_table(spark, d))
 
 
 @register("segment_summary", O.with_feat(f"""
@@ -228,20 +243,20 @@ SELECT RFM_Segment, count(customerID) AS Customers, avg(Churn) AS Churn_Rate,
   round(avg(MonthlyCharges), 2) AS Avg_Revenue, avg(tenure) AS Avg_Tenure
 FROM feat WHERE RFM_Segment IS NOT NULL GROUP BY RFM_Segment"""))
 def q_segment_summary(spark, d):
-    return R.segment_summary(featured(spark, d))
+    return R.segment_summary(features_table(spark, d))
 
 
 @register("segment_rfm_means", O.with_feat("""
 SELECT RFM_Segment, avg(R_Score) AS R_Score, avg(F_Score) AS F_Score, avg(M_Score) AS M_Score
 FROM feat WHERE RFM_Segment IS NOT NULL GROUP BY RFM_Segment"""))
 def q_segment_rfm_means(spark, d):
-    return R.segment_rfm_means(featured(spark, d))
+    return R.segment_rfm_means(features_table(spark, d))
 
 
 @register("value_counts", O.with_clean("""
 SELECT Contract, count(*) AS count FROM clean WHERE Contract IS NOT NULL GROUP BY Contract"""))
 def q_value_counts(spark, d):
-    return R.value_counts(cleaned(spark, d), "Contract")
+    return R.value_counts(clean_table(spark, d), "Contract")
 
 
 @register("cohort_rates", O.with_feat("""
@@ -273,7 +288,7 @@ SELECT * FROM (VALUES
   (7, 'Electronic check churn', (SELECT CAST(avg(Churn) AS DOUBLE) FROM clean WHERE PaymentMethod = 'Electronic check'))
 ) AS t(pos, finding, value)"""))
 def q_eda_findings(spark, d):
-    return R.eda_findings(cleaned(spark, d))
+    return R.eda_findings(clean_table(spark, d))
 
 
 @register("best_level", O.with_clean("""
@@ -284,7 +299,7 @@ SELECT (SELECT lv FROM r ORDER BY rate, lv LIMIT 1) AS best_level, min(rate) AS
        count(*) AS levels
 FROM r""".replace("\n, r AS", ", r AS", 1)))
 def q_best_level(spark, d):
-    return R.best_level(cleaned(spark, d))
+    return R.best_level(clean_table(spark, d))
 
 
 # ------------------------------------------------------------------ 2.4 profiling
@@ -325,12 +340,12 @@ def q_duplicate_count(spark, d):
     f"SELECT {i + 1} AS pos, '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_count FROM clean"
     for i, c in enumerate(_RAW_ORDER))))
 def q_distinct_counts(spark, d):
-    return P.distinct_counts(cleaned(spark, d))
+    return P.distinct_counts(clean_table(spark, d))
 
 
 @register("data_dictionary")
 def q_data_dictionary(spark, d):
-    return P.data_dictionary(cleaned(spark, d))
+    return P.data_dictionary(clean_table(spark, d))
 
 
 @register("describe_numeric", O.with_clean("\nUNION ALL\n".join(
@@ -341,7 +356,7 @@ def q_data_dictionary(spark, d):
     f"round(CAST(max({c}) AS DOUBLE), 4) AS max FROM clean"
     for i, c in enumerate(_NUMERIC))))
 def q_describe_numeric(spark, d):
-    return P.describe_numeric(cleaned(spark, d), _NUMERIC)
+    return P.describe_numeric(clean_table(spark, d), _NUMERIC)
 
 
 _HIST_CTE = """,
@@ -358,14 +373,14 @@ hist AS (SELECT Churn, bin, count(*) AS count, first(lo + (bin - 1) * ((hi - lo)
 
 @register("histogram", O.with_clean(_HIST_CTE + "\nSELECT * FROM hist"))
 def q_histogram(spark, d):
-    return P.histogram(cleaned(spark, d), "tenure", 30, by="Churn")
+    return P.histogram(clean_table(spark, d), "tenure", 30, by="Churn")
 
 
 @register("class_density", O.with_clean(_HIST_CTE + """
 SELECT Churn, bin, count, CAST(count AS DOUBLE) / CAST(sum(count) OVER (PARTITION BY Churn) AS DOUBLE) AS share
 FROM hist"""))
 def q_class_density(spark, d):
-    return P.class_density(cleaned(spark, d), "tenure", "Churn", 30)
+    return P.class_density(clean_table(spark, d), "tenure", "Churn", 30)
 
 
 @register("box_stats", O.with_clean("""
@@ -380,7 +395,7 @@ SELECT f.Churn, f.q1, f.median, f.q3, f.n, f.iqr, f.lower_fence, f.upper_fence,
 FROM f JOIN clean c ON c.Churn = f.Churn
 GROUP BY ALL""".replace("\n, q AS", ", q AS", 1)))
 def q_box_stats(spark, d):
-    return P.box_stats(cleaned(spark, d), "MonthlyCharges", "Churn")
+    return P.box_stats(clean_table(spark, d), "MonthlyCharges", "Churn")
 
 
 def _corr_sql() -> str:
@@ -397,7 +412,7 @@ def _corr_sql() -> str:
 
 @register("target_correlation", O.with_clean(_corr_sql() + "\nSELECT * FROM cr"))
 def q_target_correlation(spark, d):
-    return P.target_correlation(cleaned(spark, d))
+    return P.target_correlation(clean_table(spark, d))
 
 
 @register("top_correlations", O.with_clean(_corr_sql() + """
@@ -409,20 +424,20 @@ SELECT * FROM (
   SELECT 'negative' AS direction, row_number() OVER (ORDER BY correlation ASC, feature) AS rank, feature, correlation
   FROM cr WHERE correlation IS NOT NULL) WHERE rank <= 5"""))
 def q_top_correlations(spark, d):
-    return P.top_correlations(cleaned(spark, d), 5)
+    return P.top_correlations(clean_table(spark, d), 5)
 
 
 # ------------------------------------------------------------------ 2.8 metrics on the X2 score
 
 def scored_heuristic(spark, d) -> DataFrame:
     """Clean table with the X2 heuristic score as (label, score)."""
-    s = X.with_heuristic_score(cleaned(spark, d), out="score")
+    s = X.with_heuristic_score(clean_table(spark, d), out="score")
     return s.select("customerID", F.col("Churn").alias("label"), "tenure", "MonthlyCharges", "score")
 
 
 @register("heuristic_score", O.with_scored("SELECT customerID, score AS churn_prob FROM scored"))
 def q_heuristic_score(spark, d):
-    return X.with_heuristic_score(cleaned(spark, d)).select("customerID", "churn_prob")
+    return X.with_heuristic_score(clean_table(spark, d)).select("customerID", "churn_prob")
 
 
 @register("risk_tiers", O.with_scored("""
@@ -430,13 +445,13 @@ SELECT customerID, score AS churn_prob,
   CASE WHEN score >= 0.65 THEN 'HIGH RISK' WHEN score >= 0.35 THEN 'MEDIUM RISK' ELSE 'LOW RISK' END AS risk_tier
 FROM scored"""))
 def q_risk_tiers(spark, d):
-    return X.risk_tiers(X.with_heuristic_score(cleaned(spark, d))).select(
+    return X.risk_tiers(X.with_heuristic_score(clean_table(spark, d))).select(
         "customerID", "churn_prob", "risk_tier")
 
 
 @register("at_risk", O.with_scored("SELECT customerID, score AS churn_prob FROM scored WHERE score >= 0.5"))
 def q_at_risk(spark, d):
-    return C.at_risk(X.with_heuristic_score(cleaned(spark, d)), "churn_prob", 0.5).select(
+    return C.at_risk(X.with_heuristic_score(clean_table(spark, d)), "churn_prob", 0.5).select(
         "customerID", "churn_prob")
 
 
@@ -518,12 +533,12 @@ _LIFE_COLS = ["lift_premium", "lift_standard", "lift_basic", "lift_minimal", "ba
 
 @register("lift_rates", O.with_life("SELECT * FROM life"))
 def q_lift_rates(spark, d):
-    return X.lift_rates(cleaned(spark, d))
+    return X.lift_rates(clean_table(spark, d))
 
 
 @register("implied_lifetime", O.with_life("SELECT base_churn, implied_lifetime FROM life"))
 def q_implied_lifetime(spark, d):
-    return X.lift_rates(cleaned(spark, d)).select("base_churn", "implied_lifetime")
+    return X.lift_rates(clean_table(spark, d)).select("base_churn", "implied_lifetime")
 
 
 @register("clv_variants", O.with_life(""",
@@ -534,7 +549,7 @@ cl AS (SELECT customerID,
   FROM clean, life)
 SELECT * FROM cl""".replace("\n,\ncl AS", ", cl AS", 1).replace(",\ncl AS", ", cl AS", 1)))
 def q_clv_variants(spark, d):
-    c = cleaned(spark, d)
+    c = clean_table(spark, d)
     life = X.lift_rates(c).select("implied_lifetime")
     return (X.clv_variants(c.crossJoin(F.broadcast(life)), lifetime=F.col("implied_lifetime"))
             .select("customerID", "clv_lookup", "clv_simulator", "clv_roi"))
@@ -558,7 +573,7 @@ SELECT customerID, churn_prob, clv,
        WHEN churn_prob >= 0.35 THEN 50 ELSE 10 END AS action_cost
 FROM a""".replace("\n,\na AS", ", a AS", 1).replace(",\na AS", ", a AS", 1)))
 def q_retention_action(spark, d):
-    s = X.with_heuristic_score(cleaned(spark, d))
+    s = X.with_heuristic_score(clean_table(spark, d))
     return X.retention_actions(s).select("customerID", "churn_prob", "clv", "action", "action_cost")
 
 
@@ -595,17 +610,17 @@ _STRAT = _strategy_sql()
 
 @register("strategy_comparison", _STRAT + "SELECT * FROM cmp")
 def q_strategy_comparison(spark, d):
-    return X.strategy_comparison(X.with_heuristic_score(cleaned(spark, d)))
+    return X.strategy_comparison(X.with_heuristic_score(clean_table(spark, d)))
 
 
 @register("campaign_roi", _STRAT + "SELECT * EXCLUDE (pos) FROM cmp WHERE strategy = 'Premium'")
 def q_campaign_roi(spark, d):
-    return X.campaign_roi(X.with_heuristic_score(cleaned(spark, d)), "Premium")
+    return X.campaign_roi(X.with_heuristic_score(clean_table(spark, d)), "Premium")
 
 
 @register("top_clv_saved", _STRAT + "SELECT saved_n, clv_saved FROM cmp WHERE strategy = 'Premium'")
 def q_top_clv_saved(spark, d):
-    return X.top_clv_saved(X.with_heuristic_score(cleaned(spark, d)), "Premium")
+    return X.top_clv_saved(X.with_heuristic_score(clean_table(spark, d)), "Premium")
 
 
 @register("roi_waterfall", _STRAT + """
@@ -615,7 +630,7 @@ UNION ALL SELECT 3, 'Net', net, roi_pct FROM cmp WHERE strategy = 'Premium'
 """.replace("roi_pct FROM", "CASE WHEN roi_pct > 100 THEN 'strong' WHEN roi_pct > 0 THEN 'positive' "
             "ELSE 'negative' END AS roi_band FROM"))
 def q_roi_waterfall(spark, d):
-    return X.roi_waterfall(X.with_heuristic_score(cleaned(spark, d)), "Premium")
+    return X.roi_waterfall(X.with_heuristic_score(clean_table(spark, d)), "Premium")
 
 
 @register("contract_lift", O.with_clean("""
@@ -623,7 +638,7 @@ def q_roi_waterfall(spark, d):
 SELECT r.Contract, r.churn_rate, b.churn_rate - r.churn_rate AS lift_vs_baseline
 FROM r, (SELECT churn_rate FROM r WHERE Contract = 'Month-to-month') b""".replace("\n, r AS", ", r AS", 1)))
 def q_contract_lift(spark, d):
-    return X.contract_lift(cleaned(spark, d))
+    return X.contract_lift(clean_table(spark, d))
 
 
 @register("clv_distribution", O.with_life(""", sc AS (SELECT MonthlyCharges,
@@ -633,13 +648,14 @@ atr AS (SELECT MonthlyCharges * implied_lifetime * CAST(0.25 AS DOUBLE) * CAST(8
 SELECT count(*) AS n_at_risk, round(avg(CLV), 2) AS clv_mean, round(quantile_cont(CLV, 0.75), 2) AS clv_p75
 FROM atr"""))
 def q_clv_distribution(spark, d):
-    return X.clv_distribution(X.with_heuristic_score(cleaned(spark, d)))
+    return X.clv_distribution(X.with_heuristic_score(clean_table(spark, d)))
 
 
 # ------------------------------------------------------------------ what-if, risk factors
 
 def _profiles(spark, d):
-    return FE.add_charges_per_month(FE.add_engagement(cleaned(spark, d)))
+    """Clean columns plus engagement_score and charges_per_month (the simulator's profile)."""
+    return base_features(spark, d).drop("tenure_group")
 
 
 def _factor_sql() -> str:
@@ -773,7 +789,7 @@ ct AS (SELECT r.query, min(s.customerID) AS customerID FROM rest r JOIN clean s
 SELECT query, customerID, 'exact' AS match_type FROM ex
 UNION ALL SELECT query, customerID, 'contains' AS match_type FROM ct"""))
 def q_lookup_customer(spark, d):
-    return C.lookup_customer(cleaned(spark, d), lookup_queries(spark, d))
+    return C.lookup_customer(clean_table(spark, d), lookup_queries(spark, d))
 
 
 _PROFILE_COLS = ["gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "Contract",
@@ -785,12 +801,12 @@ _PROFILE_COLS = ["gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "
     + (f"printf('%.2f', {c})" if c in ("MonthlyCharges", "TotalCharges") else f"CAST({c} AS VARCHAR)")
     + " AS Value FROM clean" for i, c in enumerate(_PROFILE_COLS))))
 def q_customer_profile_long(spark, d):
-    return C.customer_profile_long(cleaned(spark, d), _PROFILE_COLS)
+    return C.customer_profile_long(clean_table(spark, d), _PROFILE_COLS)
 
 
 @register("sample_ids")
 def q_sample_ids(spark, d):
-    return C.sample_ids(cleaned(spark, d), 6, 42)
+    return C.sample_ids(clean_table(spark, d), 6, 42)
 
 
 def _long_onehot(df: DataFrame, levels: dict, drop_first: bool, id_col: str = "customerID"):
@@ -813,13 +829,13 @@ def _onehot_sql(drop_first: bool, src: str = "clean") -> str:
 
 @register("one_hot_all", O.with_clean(_onehot_sql(False)))
 def q_one_hot_all(spark, d):
-    c = cleaned(spark, d)
+    c = clean_table(spark, d)
     return _long_onehot(c, FE.categorical_levels(c, _CATS), False)
 
 
 @register("one_hot_drop_first", O.with_clean(_onehot_sql(True)))
 def q_one_hot_drop_first(spark, d):
-    c = cleaned(spark, d)
+    c = clean_table(spark, d)
     return _long_onehot(c, FE.categorical_levels(c, _CATS), True)
 
 
@@ -827,7 +843,7 @@ def q_one_hot_drop_first(spark, d):
                                         + _onehot_sql(True, "raw_t")))
 def q_encode_frozen(spark, d):
     """levels frozen on the clean table, applied to the raw (untrimmed) rows."""
-    c = cleaned(spark, d)
+    c = clean_table(spark, d)
     levels = FE.categorical_levels(c, _CATS)
     return _long_onehot(raw(spark, d), levels, True)
 
@@ -840,5 +856,5 @@ _STD_COLS = ["tenure", "MonthlyCharges", "TotalCharges"]
     + ", ".join(f"round(({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END, 8) AS {c}"
                 for c in _STD_COLS) + " FROM clean, m"))
 def q_standardize(spark, d):
-    s = FE.standardize(cleaned(spark, d), _STD_COLS)
+    s = FE.standardize(clean_table(spark, d), _STD_COLS)
     return s.select("customerID", *[F.round(F.col(c), 8).alias(c) for c in _STD_COLS])
