@@ -4,7 +4,8 @@ The reference builds its processed feature table once and every page reads it.
 Here the clean and feature tables are written as Parquet to the shared folder
 the session names in ``spark.checkpoint.dir`` (never a machine-local path on a
 cluster), under a name that fingerprints the source files (path, size,
-modification time), so a changed input is never served stale.  Readers get a
+modification time) and the building code, so a changed input or a changed
+operator is never served stale.  Readers get a
 plain Parquet scan: column pruning and predicate pushdown apply, and no joins,
 dedup or ranks are recomputed per query.  A table counts as present only when
 its ``_SUCCESS`` marker exists, so a failed write is rebuilt.
@@ -31,8 +32,25 @@ def _root(spark: SparkSession) -> str:
     return base.rstrip("/") + "/retentio-processed"
 
 
+_CODE_MODULES = ["sources/subscribers.py", "sources/tables.py", "operators/clean.py",
+                 "operators/features.py", "operators/rank.py", "functions/expr.py",
+                 "sources/processed.py"]
+
+
+def code_version() -> str:
+    """Hash of the code that builds processed tables: a code change forces a rebuild."""
+    pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for m in _CODE_MODULES:
+        with open(os.path.join(pkg, m), "rb") as f:
+            h.update(f.read())
+    return h.hexdigest()[:12]
+
+
 def fingerprint(sf_dir: str, tables: list[str]) -> str:
+    """Source files (path, size, mtime) plus the building code's version."""
     h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+    h.update(code_version().encode())
     for t in tables:
         p = os.path.join(sf_dir, f"{t}.parquet")
         try:

@@ -158,3 +158,20 @@ def test_campaign_roi_guards(spark):
     k = math.floor(5 * prem.lift)
     clv = sorted([(100.0 + i) * 12 * 0.25 * 83 for i in range(5)], reverse=True)
     assert prem.saved_n == k and prem.clv_saved == round(sum(clv[:k]), 2)
+
+
+def test_null_group_dropped_and_grouping_sets_one_shuffle(spark, raw_df_factory):
+    from retentio.operators import rates as R
+    rows = [raw_row("A", tenure=0, Churn="Yes"), raw_row("B", tenure=5, Churn="No"),
+            raw_row("C", tenure=80, Churn="Yes"), raw_row("D", tenure=30, Contract="Two year")]
+    feat = FE.add_engagement(FE.add_tenure_group(C.clean_subscribers(raw_df_factory(rows))))
+    by = {r.tenure_group: r.customers for r in R.churn_rate_by(feat, "tenure_group").collect()}
+    assert None not in by and sum(by.values()) == 2
+    flat = spark.createDataFrame(
+        [(r.Contract, r.tenure_group, r.Churn) for r in feat.collect()],
+        "Contract string, tenure_group string, Churn int")
+    gs = R.churn_rate_grouping_sets(flat, ["Contract", "tenure_group"])
+    plan = gs._jdf.queryExecution().executedPlan().toString()  # before execution: one plan
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {(r.dimension, r.level): r.customers for r in gs.collect()}
+    assert got[("Contract", "Month-to-month")] == 3 and ("tenure_group", None) not in got
