@@ -124,8 +124,8 @@ def class_density(df: DataFrame, value: str, by: str = "Churn", bins: int = 30)
             .select(by, "bin", "count", (F.col("count") / F.col("_tot")).alias("share")))
 
 
-def box_stats(df: DataFrame, value: str, by: str = "Churn") -> DataFrame:
-    """Quartiles, IQR fences, whiskers and outlier count per class."""
+def box_stats(df: DataFrame, value: str, by: str = "Churn", digits: int = 4) -> DataFrame:
+    """Quartiles, IQR fences, whiskers and outlier count per class (values at ``digits`` dp)."""
     q = exact_quantiles(df.filter(F.col(by).isNotNull()), value, [0.25, 0.5, 0.75], by=by)
     q = q.select(by, F.col("q0").alias("q1"), F.col("q1").alias("median"),
                  F.col("q2").alias("q3"), "n")
@@ -138,7 +138,9 @@ def box_stats(df: DataFrame, value: str, by: str = "Churn") -> DataFrame:
          .groupBy(by).agg(F.min(F.when(inside, x)).alias("whisker_low"),
                           F.max(F.when(inside, x)).alias("whisker_high"),
                           F.count_if(~inside).alias("outliers")))
-    return q.join(w, by)
+    out = q.join(w, by)
+    vals = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence", "whisker_low", "whisker_high"]
+    return out.select(by, "n", "outliers", *[F.round(F.col(c), digits).alias(c) for c in vals])
 
 
 def encoded_numeric(df: DataFrame, target: str = "Churn",

@@ -24,11 +24,29 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _bigint_count_if(sql: str) -> str:
+    """DuckDB's count_if returns HUGEINT; Spark's returns BIGINT: cast every call."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            if depth == 0:
+                break
+            k += 1
+        out.append(sql[i:j] + "CAST(" + sql[j:k + 1] + " AS BIGINT)")
+        i = k + 1
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: Query) -> Query:
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = _bigint_count_if(sql)
         return fn
     return deco
 
@@ -387,13 +405,16 @@ def q_class_density(spark, d):
 , q AS (SELECT Churn, quantile_cont(MonthlyCharges, 0.25) AS q1, quantile_cont(MonthlyCharges, 0.5) AS median,
               quantile_cont(MonthlyCharges, 0.75) AS q3, count(MonthlyCharges) AS n
        FROM clean WHERE Churn IS NOT NULL AND MonthlyCharges IS NOT NULL GROUP BY Churn),
-f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
-SELECT f.Churn, f.q1, f.median, f.q3, f.n, f.iqr, f.lower_fence, f.upper_fence,
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q),
+bx AS (SELECT f.Churn, f.q1, f.median, f.q3, f.n, f.iqr, f.lower_fence, f.upper_fence,
   min(CASE WHEN c.MonthlyCharges >= lower_fence AND c.MonthlyCharges <= upper_fence THEN c.MonthlyCharges END) AS whisker_low,
   max(CASE WHEN c.MonthlyCharges >= lower_fence AND c.MonthlyCharges <= upper_fence THEN c.MonthlyCharges END) AS whisker_high,
   count_if(NOT (c.MonthlyCharges >= lower_fence AND c.MonthlyCharges <= upper_fence)) AS outliers
 FROM f JOIN clean c ON c.Churn = f.Churn
-GROUP BY ALL""".replace("\n, q AS", ", q AS", 1)))
+GROUP BY ALL)
+SELECT Churn, n, outliers, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
+  round(iqr, 4) AS iqr, round(lower_fence, 4) AS lower_fence, round(upper_fence, 4) AS upper_fence,
+  round(whisker_low, 4) AS whisker_low, round(whisker_high, 4) AS whisker_high FROM bx""".replace("\n, q AS", ", q AS", 1)))
 def q_box_stats(spark, d):
     return P.box_stats(clean_table(spark, d), "MonthlyCharges", "Churn")
 
@@ -417,11 +438,11 @@ def q_target_correlation(spark, d):
 
 @register("top_correlations", O.with_clean(_corr_sql() + """
 SELECT * FROM (
-  SELECT 'positive' AS direction, row_number() OVER (ORDER BY correlation DESC, feature) AS rank, feature, correlation
+  SELECT 'positive' AS direction, CAST(row_number() OVER (ORDER BY correlation DESC, feature) AS INTEGER) AS rank, feature, correlation
   FROM cr WHERE correlation IS NOT NULL) WHERE rank <= 5
 UNION ALL
 SELECT * FROM (
-  SELECT 'negative' AS direction, row_number() OVER (ORDER BY correlation ASC, feature) AS rank, feature, correlation
+  SELECT 'negative' AS direction, CAST(row_number() OVER (ORDER BY correlation ASC, feature) AS INTEGER) AS rank, feature, correlation
   FROM cr WHERE correlation IS NOT NULL) WHERE rank <= 5"""))
 def q_top_correlations(spark, d):
     return P.top_correlations(clean_table(spark, d), 5)

@@ -29,13 +29,16 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.9g}")
+        return repr(v) if STRICT else float(f"{v:.9g}")
     if hasattr(v, "item"):
         return _norm(v.item())
     return v
