@@ -14,7 +14,7 @@ from retentio.functions.expr import (SERVICE_COLUMNS, charges_per_month, engagem
                                      quintile_from_edges, quintile_from_rank, segment_label,
                                      tenure_group)
 from retentio.operators.clean import string_columns
-from retentio.operators.rank import exact_rank
+from retentio.operators.rank import exact_rank, materialize_if_derived
 
 _QUINTILES = [0.2, 0.4, 0.6, 0.8]
 
@@ -39,6 +39,7 @@ def add_rfm_proxies(df: DataFrame, tenure: str = "tenure") -> DataFrame:
     """recency = max(tenure) - tenure, frequency = engagement, monetary = TotalCharges."""
     if "engagement_score" not in df.columns:
         df = add_engagement(df)
+    df = materialize_if_derived(df)
     mx = df.agg(F.max(tenure).alias("_max_tenure"))
     return (df.crossJoin(F.broadcast(mx))
             .withColumn("recency", (F.col("_max_tenure") - F.col(tenure)).cast("int"))
@@ -60,6 +61,7 @@ def recency_edges(df: DataFrame, col: str = "recency") -> DataFrame:
 
 def add_r_score(df: DataFrame, col: str = "recency") -> DataFrame:
     """``qcut(recency, 5, labels=[5..1])`` via broadcast edges."""
+    df = materialize_if_derived(df)
     edges = recency_edges(df, col)
     e = [F.col(f"_e{i}") for i in range(5)]
     return (df.crossJoin(F.broadcast(edges))
@@ -86,8 +88,8 @@ def add_rfm_scores(df: DataFrame, id_col: str = "customerID",
 
 
 def all_features(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """F1 -> F2 -> F3 -> F4 -> W1-W3 -> F5."""
-    out = add_tenure_group(df)
+    """F1 -> F2 -> F3 -> F4 -> W1-W3 -> F5 (a derived input is materialised once)."""
+    out = add_tenure_group(materialize_if_derived(df))
     out = add_engagement(out)
     out = add_charges_per_month(out)
     out = add_rfm_proxies(out)

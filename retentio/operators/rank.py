@@ -28,6 +28,21 @@ from retentio.session import ensure_checkpoint_dir
 _LOW33 = (1 << 33) - 1
 
 
+def materialize_if_derived(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` once if its plan has joins or aggregates, else return it.
+
+    Operators that combine a global statistic with every row (max tenure,
+    quantile edges, moments) reference their input twice; over a scan that
+    is two pruned reads, but over a derived plan (the subscriber view's
+    joins and aggregates) each reference would recompute the whole lineage.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(k in plan for k in ("Join ", "Aggregate ", "Window ", "Sort ", "Expand ")):
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    return df
+
+
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)

@@ -69,8 +69,10 @@ def clean_table(spark: SparkSession, d: str, refresh: bool = False) -> DataFrame
 
 
 def features_table(spark: SparkSession, d: str, refresh: bool = False) -> DataFrame:
-    """The processed feature table (S2), the input of every downstream query."""
-    return processed(spark, d, "features", lambda: featured(spark, d), refresh=refresh)
+    """The processed feature table (S2), built from the processed clean table."""
+    return processed(spark, d, "features",
+                     lambda: FE.all_features(clean_table(spark, d, refresh=refresh)),
+                     refresh=refresh)
 
 
 def base_features(spark: SparkSession, d: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from retentio.session import ensure_checkpoint_dir
 from retentio.sources.io import table_available
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()  # re-entrant: a build may read another processed table
 
 
 def _root(spark: SparkSession) -> str:
