@@ -217,4 +217,4 @@ def clv_distribution(scored: DataFrame, prob: str = "churn_prob", thresh: float
 __all__ = ["PROFILES", "STRATEGIES", "half_even_ratio", "with_heuristic_score", "risk_tiers",
            "clv_variants", "retention_actions", "lift_rates", "strategy_comparison",
            "campaign_roi", "roi_waterfall", "top_clv_saved", "contract_lift", "clv_distribution",
-           "clv_simulator"]
+           "clv_simulator", "clv_roi"]

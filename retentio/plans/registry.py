@@ -881,3 +881,21 @@ _STD_COLS = ["tenure", "MonthlyCharges", "TotalCharges"]
 def q_standardize(spark, d):
     s = FE.standardize(clean_table(spark, d), _STD_COLS)
     return s.select("customerID", *[F.round(F.col(c), 8).alias(c) for c in _STD_COLS])
+
+
+@register("clv_histogram", O.with_life(""", sc AS (SELECT MonthlyCharges,
+      (1.0 - tenure / max(tenure) OVER ()) * CAST(0.6 AS DOUBLE) AS churn_prob FROM clean),
+atr AS (SELECT MonthlyCharges * implied_lifetime * CAST(0.25 AS DOUBLE) * CAST(83.0 AS DOUBLE) AS CLV
+        FROM sc, life WHERE churn_prob >= 0.5),
+rng AS (SELECT min(CLV) AS lo, max(CLV) AS hi FROM atr WHERE CLV IS NOT NULL),
+hb AS (SELECT lo, hi, CAST(coalesce(least(CAST(floor((CLV - lo) / (hi - lo) * 40) AS BIGINT) + 1, 40), 1)
+              AS BIGINT) AS bin FROM atr, rng WHERE CLV IS NOT NULL)
+SELECT bin, count(*) AS count, first(lo + (bin - 1) * ((hi - lo) / 40)) AS bin_lo,
+       first(lo + bin * ((hi - lo) / 40)) AS bin_hi FROM hb GROUP BY bin"""))
+def q_clv_histogram(spark, d):
+    """A14 on the ROI page: 40 equal-width bins of at-risk CLV."""
+    scored = X.with_heuristic_score(clean_table(spark, d))
+    life = X.lift_rates(scored).select("implied_lifetime")
+    at = (scored.filter(F.col("churn_prob") >= 0.5).crossJoin(F.broadcast(life))
+          .select(X.clv_roi(lifetime=F.col("implied_lifetime")).alias("CLV")))
+    return P.histogram(at, "CLV", 40)
