@@ -150,7 +150,9 @@ def size_partitions(df: DataFrame, rows_per_partition: int = 500_000) -> DataFra
     cores = max(df.sparkSession.sparkContext.defaultParallelism, 1)
     n = df.count()
     parts = int(min(max(-(-n // rows_per_partition), 1), cores))
-    return df.coalesce(parts).persist()
+    out = df.coalesce(parts).persist()
+    out.count()  # fill the cache once, before concurrent fits read it
+    return out
 
 
 def train_model(train: DataFrame, name: str, label: str = "Churn", spec: FeatureSpec | None = None,

@@ -70,8 +70,7 @@ def clean_table(spark: SparkSession, d: str, refresh: bool = False) -> DataFrame
 
 def features_table(spark: SparkSession, d: str, refresh: bool = False) -> DataFrame:
     """The processed feature table (S2), built from the processed clean table."""
-    return processed(spark, d, "features",
-                     lambda: FE.all_features(clean_table(spark, d, refresh=refresh)),
+    return processed(spark, d, "features", lambda: FE.all_features(clean_table(spark, d)),
                      refresh=refresh)
 
 
