@@ -13,6 +13,26 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 
+NOTES = """
+How to read it (scale notes, 100 TB / 1000 executors):
+
+- Downstream queries scan the processed Parquet tables, e.g. `churn_rate_by_contract`: one
+  partial-aggregated `hash` exchange plus a `range` exchange for the small sorted result, with
+  the `IsNotNull` filter pushed to the scan.
+- `single` exchanges only ever feed global aggregates (one row per task is shuffled) or the
+  per-partition offset tables of the exact rank (one row per partition);
+  `tests/test_scale_guard.py` enforces this for every SQL-checked query.
+- `bcast` sides are one-row aggregates, level tables, fixed scenario/strategy/threshold tables,
+  the 25-nation dimension and offset tables. On these tiny fixtures `customer` is broadcast too,
+  but nothing forces it: Catalyst's size check and AQE pick sort-merge once it grows past the
+  threshold.
+- `ckpt` > 0 marks queries whose exact rank or materialised input was checkpointed to
+  `spark.checkpoint.dir` before the final plan; their sorts and shuffles ran eagerly in those
+  checkpoint jobs, so they do not appear in the counted plan.
+- `python` is 0 everywhere: there are no Python UDFs; all expressions stay in whole-stage codegen.
+"""
+
+
 def summarize(plan: str) -> dict:
     return {
         "hash": len(re.findall(r"Exchange hashpartitioning", plan)),
@@ -40,7 +60,7 @@ def main(argv):
              "broadcast for small sides here; at scale the same plans switch to sort-merge by "
              "size). Counts are exchanges in the plan before execution; `ckpt` = scans of "
              "checkpointed data (exact ranks, processed tables read as Parquet are `FileScan`).",
-             "", "| query | check | hash | range | single | bcast | SMJ | BHJ | BNLJ | ckpt | python | pushed filters |",
+             NOTES, "", "| query | check | hash | range | single | bcast | SMJ | BHJ | BNLJ | ckpt | python | pushed filters |",
              "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |"]
     for n in qs:
         try:
