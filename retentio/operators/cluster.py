@@ -82,6 +82,17 @@ def kmeans_clusters(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42)
         vec.unpersist()
 
 
+def inertia(model: KMeansModel, vec: DataFrame) -> float:
+    """Sum of squared distances to the assigned centres (a Spark aggregate; k x d centres inline)."""
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+    pred = model.transform(vec)
+    x = vector_to_array(F.col("xs"))
+    c = F.element_at(centres, F.col("cluster_id") + 1)
+    sq = F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+                     lambda acc, v: acc + v)
+    return float(pred.agg(F.sum(sq)).first()[0])
+
+
 def elbow_table(spark, vec: DataFrame, models: dict[int, KMeansModel],
                 with_silhouette: bool = True) -> DataFrame:
     """C2 + C3 from fitted models: (k, inertia, silhouette).
@@ -95,7 +106,8 @@ def elbow_table(spark, vec: DataFrame, models: dict[int, KMeansModel],
     for k in sorted(models):
         m = models[k]
         sil = ev.evaluate(m.transform(vec)) if with_silhouette else None
-        rows.append((k, float(m.summary.trainingCost), None if sil is None else float(sil)))
+        cost = float(m.summary.trainingCost) if m.hasSummary else inertia(m, vec)
+        rows.append((k, cost, None if sil is None else float(sil)))
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 

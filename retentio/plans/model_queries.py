@@ -7,8 +7,14 @@ the trained set do not refit it.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+import re
 import threading
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, functions as F
 
 from retentio.operators import cluster as CL
@@ -17,15 +23,31 @@ from retentio.operators import models as MD
 from retentio.operators import roi as X
 from retentio.operators import whatif as WI
 from retentio.plans.registry import _profiles, clean_table, features_table, register
+from retentio.sources.io import table_available
+from retentio.sources.processed import _root, fingerprint
 
 _CACHE: dict = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 
 
 def _key(spark, d):
     return (spark.sparkContext.applicationId, d)
 
 
+def _model_dir(spark, d, kind: str) -> str:
+    """Shared-storage folder for fitted models, keyed by data and training code."""
+    h = hashlib.sha1(fingerprint(d, ["customer", "orders", "nation", "region"]).encode())
+    pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for m in ("operators/models.py", "operators/cluster.py"):
+        with open(os.path.join(pkg, m), "rb") as f:
+            h.update(f.read())
+    return f"{_root(spark)}/{kind}-{h.hexdigest()[:16]}"
+
+
+def _slug(name: str) -> str:
+    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
+
+
 def split_table(spark, d) -> DataFrame:
     """Feature table with the seeded stratified split (checkpointed once per session)."""
     k = ("split",) + _key(spark, d)
@@ -35,17 +57,38 @@ def split_table(spark, d) -> DataFrame:
         return _CACHE[k]
 
 
-def fitted(spark, d):
-    """(models, spec) trained on the split; cached per session and data directory."""
+def fitted(spark, d, refresh: bool = False):
+    """(models, spec) trained on the split.
+
+    Trained once per data and code version: the fitted pipelines are saved to
+    the shared checkpoint folder and loaded by later sessions (the reference
+    trains once and its app loads the stored models); within a session they are
+    also kept in memory.
+    """
     k = ("models",) + _key(spark, d)
     with _LOCK:
-        if k in _CACHE:
+        if k in _CACHE and not refresh:
             return _CACHE[k]
-    sp = split_table(spark, d)
-    res = MD.train_all(sp)
-    with _LOCK:
-        _CACHE[k] = res
-    return res
+        root = _model_dir(spark, d, "models")
+        names = list(MD.MODEL_PARAMS)
+        done = f"{root}/spec"
+        if not refresh and table_available(spark, done + "/_SUCCESS"):
+            spec_d = json.loads(spark.read.json(done).first()["spec"])
+            spec = MD.FeatureSpec(spec_d["categorical"], spec_d["numeric"], spec_d["features"])
+            models = {n: PipelineModel.load(f"{root}/{_slug(n)}") for n in names}
+        else:
+            models, spec = MD.train_all(split_table(spark, d))
+            for n, m in models.items():
+                MD.save_model(m, f"{root}/{_slug(n)}")
+            payload = json.dumps({"categorical": spec.categorical, "numeric": spec.numeric,
+                                  "features": spec.features})
+            # written last: its _SUCCESS marks a complete model set
+            spark.createDataFrame([(payload,)], "spec string").coalesce(1).write.mode(
+                "overwrite").json(done)
+        for m in models.values():
+            m._retentio_features = spec.features  # noqa: SLF001
+        _CACHE[k] = (models, spec)
+        return _CACHE[k]
 
 
 def _test(spark, d):
@@ -207,7 +250,7 @@ def q_shap_sampled(spark, d):
     return EX.shap_sampled(rf, high, spec.features, m=8)
 
 
-def kmeans_fits(spark, d):
+def kmeans_fits(spark, d, refresh: bool = False):
     """(vectors, {k: best model}) for k = 2..8, n_init = 10; fitted once per session.
 
     The reference fits the same grid for the elbow and silhouette charts and
@@ -215,13 +258,19 @@ def kmeans_fits(spark, d):
     """
     k = ("kmeans",) + _key(spark, d)
     with _LOCK:
-        if k in _CACHE:
+        if k in _CACHE and not refresh:
             return _CACHE[k]
-    vec = CL.prepared_vectors(features_table(spark, d))
-    res = (vec, CL.kmeans_grid(vec, range(2, 9), n_init=10, seed=42))
-    with _LOCK:
-        _CACHE[k] = res
-    return res
+        root = _model_dir(spark, d, "kmeans")
+        ks = range(2, 9)
+        vec = CL.prepared_vectors(features_table(spark, d))
+        if not refresh and all(table_available(spark, f"{root}/k{kk}/metadata/_SUCCESS") for kk in ks):
+            models = {kk: KMeansModel.load(f"{root}/k{kk}") for kk in ks}
+        else:
+            models = CL.kmeans_grid(vec, ks, n_init=10, seed=42)
+            for kk, m in models.items():
+                m.write().overwrite().save(f"{root}/k{kk}")
+        _CACHE[k] = (vec, models)
+        return _CACHE[k]
 
 
 def _clustered(spark, d, k_val=4):
