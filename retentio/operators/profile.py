@@ -105,9 +105,9 @@ def histogram(df: DataFrame, value: str, bins: int = 30, by: str | None = None)
     rng = df.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
     x = F.col(value).cast("double")
     width = F.col("_hi") - F.col("_lo")
-    b = F.least(F.floor(F.try_divide(x - F.col("_lo"), width) * bins).cast("long") + 1,
-                F.lit(bins).cast("long"))
-    b = F.coalesce(b, F.lit(1).cast("long"))
+    b = F.when(F.col("_hi") > F.col("_lo"),
+               F.least(F.floor((x - F.col("_lo")) / width * bins).cast("long") + 1,
+                       F.lit(bins).cast("long"))).otherwise(F.lit(1).cast("long"))
     keys = ([by] if by else []) + ["bin"]
     binned = (df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(rng))
               .withColumn("bin", b))

@@ -382,8 +382,8 @@ _HIST_CTE = """,
 rng AS (SELECT CAST(min(tenure) AS DOUBLE) AS lo, CAST(max(tenure) AS DOUBLE) AS hi
         FROM clean WHERE tenure IS NOT NULL),
 hb AS (SELECT Churn, lo, hi,
-         CAST(coalesce(least(CAST(floor((CAST(tenure AS DOUBLE) - lo) / (hi - lo) * 30) AS BIGINT) + 1, 30), 1)
-              AS BIGINT) AS bin
+         CAST(CASE WHEN hi > lo THEN least(CAST(floor((CAST(tenure AS DOUBLE) - lo) / (hi - lo) * 30) AS BIGINT) + 1, 30)
+                   ELSE 1 END AS BIGINT) AS bin
        FROM clean, rng WHERE tenure IS NOT NULL),
 hist AS (SELECT Churn, bin, count(*) AS count, first(lo + (bin - 1) * ((hi - lo) / 30)) AS bin_lo,
                 first(lo + bin * ((hi - lo) / 30)) AS bin_hi
@@ -887,8 +887,8 @@ def q_standardize(spark, d):
 atr AS (SELECT MonthlyCharges * implied_lifetime * CAST(0.25 AS DOUBLE) * CAST(83.0 AS DOUBLE) AS CLV
         FROM sc, life WHERE churn_prob >= 0.5),
 rng AS (SELECT min(CLV) AS lo, max(CLV) AS hi FROM atr WHERE CLV IS NOT NULL),
-hb AS (SELECT lo, hi, CAST(coalesce(least(CAST(floor((CLV - lo) / (hi - lo) * 40) AS BIGINT) + 1, 40), 1)
-              AS BIGINT) AS bin FROM atr, rng WHERE CLV IS NOT NULL)
+hb AS (SELECT lo, hi, CAST(CASE WHEN hi > lo THEN least(CAST(floor((CLV - lo) / (hi - lo) * 40) AS BIGINT) + 1, 40)
+              ELSE 1 END AS BIGINT) AS bin FROM atr, rng WHERE CLV IS NOT NULL)
 SELECT bin, count(*) AS count, first(lo + (bin - 1) * ((hi - lo) / 40)) AS bin_lo,
        first(lo + bin * ((hi - lo) / 40)) AS bin_hi FROM hb GROUP BY bin"""))
 def q_clv_histogram(spark, d):
