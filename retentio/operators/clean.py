@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from retentio.functions.expr import coerce_numeric
+from retentio.operators.scalars import scalar_struct
 
 # Columns that are not model features (ids, target, RFM internals).
 DROP_COLS = ["customerID", "Churn", "tenure_group", "RFM_Segment", "recency",
@@ -128,8 +129,8 @@ def lookup_customer(subs: DataFrame, queries: DataFrame, q_col: str = "query",
     2. otherwise case-insensitive *contains*; the first match (smallest id) wins.
        Literal strings (no regex metacharacters) are matched with an equi-join
        on the id's substrings of the query's length, which scales like a hash
-       join; true regex patterns go to a theta join (broadcast only below a
-       checked count, otherwise a plain nested-loop join).
+       join; true regex patterns are tested per id from one scalar array
+       (below a checked count, otherwise a plain nested-loop join).
 
     Returns (query, customerID, match_type) for queries with a match.
     """
@@ -142,21 +143,35 @@ def lookup_customer(subs: DataFrame, queries: DataFrame, q_col: str = "query",
     rest = q.join(exact.select("query"), "query", "left_anti")
     is_regex = F.col("_q").rlike(_REGEX_META)
     literal = rest.filter(~is_regex).withColumn("_len", F.length("_q"))
-    # distinct query lengths are bounded by the id length: a tiny broadcast table
-    lens = literal.select("_len").distinct()
-    subs_ids = (ids.join(F.broadcast(lens), F.col("_len") <= F.length("_lid"))
+    # the distinct query lengths: a bounded int array bound as a scalar subquery,
+    # exploded per id (only lengths that fit the id), so no theta join
+    lens = scalar_struct(literal.agg(F.sort_array(F.collect_set("_len")).alias("lens")))["lens"]
+    subs_ids = (ids.withColumn("_lens", lens)
+                .select("_id", "_lid", F.explode(F.filter(
+                    "_lens", lambda n: n <= F.length("_lid"))).alias("_len"))
                 .select("_id", "_len",
                         F.explode(F.sequence(F.lit(1), F.length("_lid") - F.col("_len") + 1))
                         .alias("_start"), "_lid")
                 .select("_id", "_len", F.substring(F.col("_lid"), F.col("_start"), F.col("_len"))
-                        .alias("_sub")))
+                        .alias("_sub"))
+                # the first id per substring, aggregated map-side first: a substring
+                # shared by a large share of ids becomes one row before the join
+                .groupBy("_len", "_sub").agg(F.min("_id").alias("_id")))
     lit_hits = (literal.join(subs_ids, (literal._len == subs_ids._len)
                              & (literal._q == subs_ids._sub))
                 .groupBy("query").agg(F.min("_id").alias(id_col)))
     pats = rest.filter(is_regex).withColumn("_pat", F.concat(F.lit("(?i)"), F.trim("query")))
-    n_pats = pats.count() if regex_broadcast_limit else 0
-    right = F.broadcast(pats) if n_pats <= regex_broadcast_limit else pats
-    rx_hits = (ids.join(right, F.regexp_like(F.col("_id"), F.col("_pat")))
-               .groupBy("query").agg(F.min("_id").alias(id_col)))
+    n_pats = pats.count()
+    if n_pats <= regex_broadcast_limit:
+        # checked count: the patterns ride along as one scalar array; each id
+        # keeps only the patterns it matches
+        arr = scalar_struct(pats.agg(F.collect_list(F.struct("query", "_pat")).alias("p")))["p"]
+        rx_hits = (ids.withColumn("_pats", arr)
+                   .select("_id", F.explode(F.filter(
+                       "_pats", lambda p: F.regexp_like(F.col("_id"), p["_pat"]))).alias("_m"))
+                   .groupBy(F.col("_m.query").alias("query")).agg(F.min("_id").alias(id_col)))
+    else:
+        rx_hits = (ids.join(pats, F.regexp_like(F.col("_id"), F.col("_pat")))
+                   .groupBy("query").agg(F.min("_id").alias(id_col)))
     contains = lit_hits.unionByName(rx_hits).withColumn("match_type", F.lit("contains"))
     return exact.unionByName(contains)

@@ -1,7 +1,7 @@
 """Feature engineering (F1-F11) and RFM scoring.
 
 Global statistics (max tenure, recency quintile edges) are one-row aggregates
-cross-joined by broadcast (size 1 by construction).  Rank-based quintiles use
+attached as scalar subqueries (``operators.scalars``; no join).  Rank-based quintiles use
 the exact distributed rank in ``retentio.operators.rank``; ties are broken by
 ``customerID`` ascending.
 """
@@ -15,6 +15,7 @@ from retentio.functions.expr import (SERVICE_COLUMNS, charges_per_month, engagem
                                      tenure_group)
 from retentio.operators.clean import string_columns
 from retentio.operators.rank import exact_rank, materialize_if_derived
+from retentio.operators.scalars import with_scalars
 
 _QUINTILES = [0.2, 0.4, 0.6, 0.8]
 
@@ -41,7 +42,7 @@ def add_rfm_proxies(df: DataFrame, tenure: str = "tenure") -> DataFrame:
         df = add_engagement(df)
     df = materialize_if_derived(df)
     mx = df.agg(F.max(tenure).alias("_max_tenure"))
-    return (df.crossJoin(F.broadcast(mx))
+    return (with_scalars(df, mx)
             .withColumn("recency", (F.col("_max_tenure") - F.col(tenure)).cast("int"))
             .withColumn("frequency", F.col("engagement_score"))
             .withColumn("monetary", F.col("TotalCharges"))
@@ -64,7 +65,7 @@ def add_r_score(df: DataFrame, col: str = "recency") -> DataFrame:
     df = materialize_if_derived(df)
     edges = recency_edges(df, col)
     e = [F.col(f"_e{i}") for i in range(5)]
-    return (df.crossJoin(F.broadcast(edges))
+    return (with_scalars(df, edges)
             .withColumn("R_Score", quintile_from_edges(col, e, reverse=True).cast("int"))
             .drop(*[f"_e{i}" for i in range(5)]))
 
@@ -153,11 +154,11 @@ def one_hot_drop_first(df: DataFrame, exclude: tuple[str, ...] = ("customerID",)
 def standardize(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """(x - mean) / population sd (sd 0 -> 1), as sklearn StandardScaler.
 
-    The per-column moments are one aggregate row, cross-joined by broadcast.
+    The per-column moments are one aggregate row, attached as a scalar subquery.
     """
     stats = df.agg(*[F.avg(c).alias(f"_m_{i}") for i, c in enumerate(cols)],
                    *[F.stddev_pop(c).alias(f"_s_{i}") for i, c in enumerate(cols)])
-    out = df.crossJoin(F.broadcast(stats))
+    out = with_scalars(df, stats)
     for i, c in enumerate(cols):
         sd = F.when(F.col(f"_s_{i}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{i}"))
         out = out.withColumn(c + suffix, (F.col(c) - F.col(f"_m_{i}")) / sd)

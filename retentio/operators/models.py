@@ -29,6 +29,7 @@ from retentio.operators import metrics as M
 from retentio.operators.clean import DROP_COLS, string_columns
 from retentio.operators.features import categorical_levels
 from retentio.operators.rank import exact_rank
+from retentio.operators.scalars import with_scalars
 
 # Reference model settings (sklearn names in comments).
 MODEL_PARAMS = {
@@ -69,7 +70,7 @@ def class_weights(df: DataFrame, label: str = "Churn") -> DataFrame:
     """M2: balanced weights n / (2 * n_class) per class (a two-row table)."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
     tot = counts.agg(F.sum("n_class").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    return (counts.crossJoin(F.broadcast(tot))
+    return (with_scalars(counts, tot)
             .select(label, "n_class", (F.col("_n") / (F.col("_k") * F.col("n_class"))).alias("weight")))
 
 
@@ -77,7 +78,7 @@ def pos_weight_column(df: DataFrame, label: str = "Churn") -> DataFrame:
     """XGBoost-style weight: positives get int(neg / pos), negatives 1."""
     c = df.agg(F.count_if(F.col(label) == 0).alias("_neg"), F.count_if(F.col(label) == 1).alias("_pos"))
     spw = F.when(F.col("_pos") > 0, F.floor(F.col("_neg") / F.col("_pos"))).otherwise(F.lit(1))
-    return (df.crossJoin(F.broadcast(c))
+    return (with_scalars(df, c)
             .withColumn("weight", F.when(F.col(label) == 1, spw.cast("double")).otherwise(F.lit(1.0)))
             .drop("_neg", "_pos"))
 
@@ -199,7 +200,7 @@ def evaluate(scored: DataFrame, model_name: str, label: str = "Churn",
     s = scored.select(F.col(label).alias("label"), F.col(prob).alias("score"))
     curves = M.curve_summary(s).select("auc", "avg_precision")
     rep = M.classification_report(s, 0.5).select("accuracy", "precision", "recall", "f1")
-    row = curves.crossJoin(rep)
+    row = with_scalars(curves, rep)
     return row.select(F.lit(model_name).alias("model"),
                       F.round("auc", 4).alias("auc_roc"), F.round("avg_precision", 4).alias("avg_precision"),
                       F.round("accuracy", 4).alias("accuracy"), F.round("precision", 4).alias("precision_churn"),

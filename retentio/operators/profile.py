@@ -12,6 +12,7 @@ from pyspark.sql.types import NumericType
 from retentio.operators.clean import string_columns
 from retentio.operators.features import categorical_levels
 from retentio.operators.rank import exact_quantiles
+from retentio.operators.scalars import with_scalars
 
 
 def _unpivot_one_row(one: DataFrame, cols: list[str], value_name: str) -> DataFrame:
@@ -109,7 +110,7 @@ def histogram(df: DataFrame, value: str, bins: int = 30, by: str | None = None)
                F.least(F.floor((x - F.col("_lo")) / width * bins).cast("long") + 1,
                        F.lit(bins).cast("long"))).otherwise(F.lit(1).cast("long"))
     keys = ([by] if by else []) + ["bin"]
-    binned = (df.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(rng))
+    binned = (with_scalars(df.filter(F.col(value).isNotNull()), rng)
               .withColumn("bin", b))
     return (binned.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"),

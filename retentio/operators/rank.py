@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from retentio.session import ensure_checkpoint_dir
+from retentio.operators.scalars import with_scalars
 
 _LOW33 = (1 << 33) - 1
 
@@ -152,7 +153,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: str | Non
                .withColumn(f"_lo{i}", F.floor(h).cast("long") + 1)
                .withColumn(f"_hi{i}", F.ceil(h).cast("long") + 1))
     wanted = F.lit(False)
-    j = ranked.join(F.broadcast(pos), "_g").withColumn("_wr", F.col("_r") - F.col("_goff"))
+    # one row per group: broadcast on the group key; a single global group is a
+    # one-row table, attached as a scalar subquery (a join on a constant key
+    # would plan as a nested loop)
+    j = (ranked.join(F.broadcast(pos), "_g") if by else with_scalars(ranked, pos.drop("_g"))
+         ).withColumn("_wr", F.col("_r") - F.col("_goff"))
     for i in range(len(probs)):
         wanted = wanted | (F.col("_wr") == F.col(f"_lo{i}")) | (F.col("_wr") == F.col(f"_hi{i}"))
     picked = j.filter(wanted)

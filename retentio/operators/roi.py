@@ -1,6 +1,6 @@
 """Risk scoring, CLV and retention-campaign economics.
 
-Group rates become one-row aggregates cross-joined by broadcast.  The top-k
+Group rates become one-row aggregates attached as scalar subqueries.  The top-k
 CLV sum ranks the at-risk rows once with the distributed exact rank and
 evaluates every strategy's cut-off as a conditional sum in the same pass.
 Rounding of lifts and lifetimes is Python's half-to-even, done in exact
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from retentio.functions.expr import (clv_lookup, clv_roi, clv_simulator, heuristic_score,
                                      retention_action, risk_tier)
 from retentio.operators.rank import exact_quantiles, exact_rank
+from retentio.operators.scalars import with_scalars
 
 # Per-profile money thresholds.  The telecom profile uses the
 # reference's values; the orders profile (charges ~550x larger) uses cut-offs
@@ -46,7 +47,7 @@ def half_even_ratio(a: Column, b: Column) -> Column:
 def with_heuristic_score(df: DataFrame, tenure: str = "tenure", out: str = "churn_prob") -> DataFrame:
     """(1 - tenure / max(tenure)) * 0.6 (max is a broadcast one-row aggregate)."""
     mx = df.agg(F.max(tenure).alias("_max_tenure"))
-    return (df.crossJoin(F.broadcast(mx))
+    return (with_scalars(df, mx)
             .withColumn(out, heuristic_score(tenure, "_max_tenure")).drop("_max_tenure"))
 
 
@@ -115,8 +116,8 @@ def lift_rates(df: DataFrame, target: str = "Churn", contract: str = "Contract")
 def _at_risk_ranked(scored: DataFrame, life: DataFrame, prob: str, thresh: float,
                     margin: float, rate: float, id_col: str) -> DataFrame:
     """At-risk rows with CLV (ROI formula) ranked by CLV desc (ties: id asc)."""
-    at = (scored.filter(F.col(prob) >= F.lit(float(thresh)))
-          .crossJoin(F.broadcast(life.select("implied_lifetime")))
+    at = (with_scalars(scored.filter(F.col(prob) >= F.lit(float(thresh))),
+                       life.select("implied_lifetime"))
           .select(F.col(id_col), clv_roi(lifetime=F.col("implied_lifetime"), margin=margin,
                                          rate=rate).alias("CLV")))
     return exact_rank(at, [F.col("CLV").desc(), F.col(id_col).asc()], rank_col="clv_rank",
@@ -138,13 +139,13 @@ def strategy_comparison(scored: DataFrame, prob: str = "churn_prob", thresh: flo
         life = life.withColumn("implied_lifetime", F.lit(int(lifetime)).cast("long"))
     ranked = _at_risk_ranked(scored, life, prob, thresh, margin, rate, id_col)
     aggs = [F.count(F.lit(1)).alias("n"), F.sum("CLV").alias("clv_at_risk")]
-    cut = ranked.crossJoin(F.broadcast(life))
+    cut = with_scalars(ranked, life)
     for name, lift_col, _ in strategies:
         k = F.floor(F.col("n_at_risk") * F.col(lift_col)).cast("long")
         aggs.append(F.sum(F.when(F.col("clv_rank") <= k, F.col("CLV"))).alias(f"sv_{name}"))
     summary = cut.agg(*aggs)
     total = scored.agg(F.count(F.lit(1)).alias("customers"))
-    base = summary.crossJoin(total).crossJoin(F.broadcast(life))
+    base = with_scalars(with_scalars(summary, total), life)
     rows = []
     for i, (name, lift_col, cost) in enumerate(strategies):
         n_col = F.coalesce(F.col("n"), F.lit(0)).cast("long")
@@ -195,7 +196,7 @@ def contract_lift(df: DataFrame, target: str = "Churn", contract: str = "Contrac
     rates = (df.filter(F.col(contract).isNotNull()).groupBy(contract)
              .agg(F.avg(target).alias("churn_rate")))
     base = rates.filter(F.col(contract) == baseline).select(F.col("churn_rate").alias("_b"))
-    return (rates.crossJoin(F.broadcast(base))
+    return (with_scalars(rates, base)
             .select(contract, "churn_rate", (F.col("_b") - F.col("churn_rate")).alias("lift_vs_baseline")))
 
 
@@ -206,12 +207,12 @@ def clv_distribution(scored: DataFrame, prob: str = "churn_prob", thresh: float
     life = lift_rates(scored, target)
     if lifetime is not None:
         life = life.withColumn("implied_lifetime", F.lit(int(lifetime)).cast("long"))
-    at = (scored.filter(F.col(prob) >= F.lit(float(thresh)))
-          .crossJoin(F.broadcast(life.select("implied_lifetime")))
+    at = (with_scalars(scored.filter(F.col(prob) >= F.lit(float(thresh))),
+                       life.select("implied_lifetime"))
           .select(clv_roi(lifetime=F.col("implied_lifetime"), margin=margin, rate=rate).alias("CLV")))
     mean = at.agg(F.count(F.lit(1)).alias("n_at_risk"), F.round(F.avg("CLV"), 2).alias("clv_mean"))
     p75 = exact_quantiles(at, "CLV", [0.75]).select(F.round(F.col("q0"), 2).alias("clv_p75"))
-    return mean.crossJoin(p75)
+    return with_scalars(mean, p75)
 
 
 __all__ = ["PROFILES", "STRATEGIES", "half_even_ratio", "with_heuristic_score", "risk_tiers",

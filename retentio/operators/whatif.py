@@ -2,8 +2,9 @@
 
 The reference evaluates one hand-entered profile; here every row of a
 profiles table is evaluated.  Group rates are small aggregated tables joined by
-broadcast on the level (J1); scenarios are a 6-row table cross-joined by
-broadcast with an applicability predicate (J3).
+broadcast on the level (J1); scenarios are a fixed 6-element array exploded
+per profile and filtered by an applicability predicate (J3); global statistics
+are scalar subqueries.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from retentio.functions.expr import SERVICE_COLUMNS, charges_per_month, engagement_score
 from retentio.operators.rates import cohort_rates
+from retentio.operators.scalars import with_scalars
 
 # Fallback rates used when a statistic is missing.
 FALLBACKS = {"mtm_churn": 0.43, "one_year_churn": 0.11, "two_year_churn": 0.03,
@@ -57,12 +59,11 @@ def risk_factors(profiles: DataFrame, population: DataFrame, target: str = "Chur
     net_mm = net.agg(F.max("int_rate").alias("max_int"))
     has_contract = population.agg(
         (F.count(F.when(F.col("Contract").isNotNull(), 1)) > 0).alias("has_contract"))
-    small = stats.crossJoin(pay_mm).crossJoin(net_mm).crossJoin(has_contract)
+    small = with_scalars(with_scalars(with_scalars(stats, pay_mm), net_mm), has_contract)
     for k, v in FALLBACKS.items():
         small = small.withColumn(k, F.coalesce(F.col(k), F.lit(v)))
-    j = (profiles.join(F.broadcast(pay), "PaymentMethod", "left")
-         .join(F.broadcast(net), "InternetService", "left")
-         .crossJoin(F.broadcast(small)))
+    j = with_scalars(profiles.join(F.broadcast(pay), "PaymentMethod", "left")
+                     .join(F.broadcast(net), "InternetService", "left"), small)
     c = F.col
     eng = c("engagement_score")
     facts = [
@@ -94,7 +95,7 @@ def risk_factors(profiles: DataFrame, population: DataFrame, target: str = "Chur
     if importance_top is not None:
         hit = importance_top.agg(F.max(F.lower("feature").contains("monthly")
                                        | F.lower("feature").contains("charges")).alias("_chg"))
-        j = j.crossJoin(F.broadcast(hit))
+        j = with_scalars(j, hit)
         facts.append(_factor(7, c("_chg") & (c("MonthlyCharges") > F.lit(float(charges_high))),
                              F.lit("High Monthly Charges"), "neg", None))
     facts.append(_factor(8, c("SeniorCitizen") == 1, F.lit("Senior Citizen"), "neg", None,
@@ -123,8 +124,8 @@ def whatif_scenarios(profiles: DataFrame, population: DataFrame,
     engagement_score and charges_per_month from the overridden columns (the
     reference keeps the old values).
     """
-    spark = profiles.sparkSession
-    sc = spark.createDataFrame(SCENARIOS, "scenario_id int, scenario string")
+    sc = F.array(*[F.struct(F.lit(i).alias("scenario_id"), F.lit(n).alias("scenario"))
+                   for i, n in SCENARIOS])
     best = best_payment(population, target)
     c = F.col
     sid = c("scenario_id")
@@ -134,7 +135,7 @@ def whatif_scenarios(profiles: DataFrame, population: DataFrame,
                | ((sid == 3) & c("best_pay").isNotNull() & (c("best_pay") != c("PaymentMethod")))
                | ((sid == 4) & (c("tenure") < 60)))
     based = scorer(profiles).withColumnRenamed(prob, "_base")
-    x = based.crossJoin(F.broadcast(sc)).crossJoin(F.broadcast(best)).filter(applies)
+    x = with_scalars(based, best).select("*", F.inline(sc)).filter(applies)
     over = {
         "Contract": F.when(sid == 1, F.lit("Two year")).otherwise(c("Contract")),
         "TechSupport": F.when(sid.isin(2, 5), F.lit("Yes")).otherwise(c("TechSupport")),

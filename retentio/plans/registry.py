@@ -327,6 +327,7 @@ from retentio.operators import profile as P  # noqa: E402
 from retentio.operators import metrics as M  # noqa: E402
 from retentio.operators import roi as X  # noqa: E402
 from retentio.operators import whatif as WI  # noqa: E402
+from retentio.operators.scalars import with_scalars
 
 _RAW_ORDER = ["customerID", "gender", "SeniorCitizen", "Partner", "Dependents", "tenure",
               "PhoneService", "MultipleLines", "InternetService", "OnlineSecurity",
@@ -573,7 +574,7 @@ SELECT * FROM cl""".replace("\n,\ncl AS", ", cl AS", 1).replace(",\ncl AS", ", c
 def q_clv_variants(spark, d):
     c = clean_table(spark, d)
     life = X.lift_rates(c).select("implied_lifetime")
-    return (X.clv_variants(c.crossJoin(F.broadcast(life)), lifetime=F.col("implied_lifetime"))
+    return (X.clv_variants(with_scalars(c, life), lifetime=F.col("implied_lifetime"))
             .select("customerID", "clv_lookup", "clv_simulator", "clv_roi"))
 
 
@@ -736,7 +737,7 @@ def heuristic_scorer(population: DataFrame, prob: str = "churn_prob"):
 
     def score(rows: DataFrame) -> DataFrame:
         from retentio.functions.expr import heuristic_score
-        return (rows.crossJoin(F.broadcast(mx))
+        return (with_scalars(rows, mx)
                 .withColumn(prob, heuristic_score("tenure", "_mx")).drop("_mx"))
     return score
 
@@ -895,6 +896,6 @@ def q_clv_histogram(spark, d):
     """A14 on the ROI page: 40 equal-width bins of at-risk CLV."""
     scored = X.with_heuristic_score(clean_table(spark, d))
     life = X.lift_rates(scored).select("implied_lifetime")
-    at = (scored.filter(F.col("churn_prob") >= 0.5).crossJoin(F.broadcast(life))
+    at = (with_scalars(scored.filter(F.col("churn_prob") >= 0.5), life)
           .select(X.clv_roi(lifetime=F.col("implied_lifetime")).alias("CLV")))
     return P.histogram(at, "CLV", 40)

@@ -6,7 +6,7 @@ schema.  Plan shape at scale:
 * ``orders`` is pruned to six columns and aggregated per ``o_custkey``
   (partial aggregation map-side, one shuffle on the customer key);
 * ``as_of`` is a global max over one pruned column of ``orders`` (partial max
-  per task, no row shuffle), a one-row result cross-joined by broadcast;
+  per task, no row shuffle), a one-row result attached as a scalar subquery;
 * ``customer`` joins the aggregate on the customer key, so only the customer
   side is exchanged; ``nation`` x ``region`` is a fixed 25-row dimension and is
   broadcast.
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from retentio.sources.tables import read_table
+from retentio.operators.scalars import with_scalars
 
 # Raw column order of the subscriber table.
 RAW_COLUMNS = [
@@ -60,9 +61,8 @@ def subscribers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
            .join(read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"]),
                  F.col("n_regionkey") == F.col("r_regionkey"))
            .select("n_nationkey", "r_name"))
-    b = (cust.join(prof, cust.c_custkey == prof.o_custkey)
-         .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
-         .crossJoin(F.broadcast(as_of))
+    b = (with_scalars(cust.join(prof, cust.c_custkey == prof.o_custkey)
+         .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey")), as_of)
          .withColumn("tenure", (F.datediff("l", "f") / F.lit(30)).cast("int")))
     k = F.col("c_custkey")
     yes_no = lambda cond: F.when(cond, "Yes").otherwise("No")

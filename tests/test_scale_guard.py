@@ -51,6 +51,14 @@ def test_no_single_partition_over_rows(spark, name):
     assert _violations(_plan(df)) == []
 
 
+@pytest.mark.parametrize("name", _names())
+def test_no_cross_or_nested_loop_join(spark, name):
+    """Global statistics are scalar subqueries and lookups equi-joins: no row pairs."""
+    import __spark_entry__ as E
+    plan = _plan(E.queries()[name](spark, SF))
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
 def test_guard_catches_unpartitioned_window(spark):
     from pyspark.sql import Window, functions as F
     df = spark.range(100).withColumn("r", F.row_number().over(Window.orderBy("id")))
