@@ -165,20 +165,21 @@ def target_correlation(df: DataFrame, target: str = "Churn",
                        exclude: tuple[str, ...] = ("customerID",), digits: int = 6) -> DataFrame:
     """Pearson correlation of each encoded column with the target, one pass.
 
+    Long form: each row emits (feature, x) pairs and one grouped aggregate per
+    feature computes the moments.  The partial aggregate leaves one row per
+    feature per task, and the generated code stays small enough for
+    whole-stage codegen (one wide aggregate with a corr and two standard
+    deviations per feature falls back to interpreted execution).
     Zero-variance columns give NULL.  Output (feature, correlation).
     """
     enc, names = encoded_numeric(df, target, exclude)
-    enc = enc.filter(F.col(target).isNotNull())
-    aggs = []
-    for i, nm in enumerate(names):
-        c = F.col(f"`{nm}`")
-        aggs.append(F.when((F.stddev_pop(c) > 0) & (F.stddev_pop(target) > 0),
-                           F.corr(c, F.col(target))).alias(f"c{i}"))
-    one = enc.agg(*aggs)
-    pairs = F.array(*[F.struct(F.lit(nm).alias("feature"),
-                               F.round(F.col(f"c{i}"), digits).alias("correlation"))
-                      for i, nm in enumerate(names)])
-    return one.select(F.inline(pairs))
+    pairs = F.array(*[F.struct(F.lit(nm).alias("feature"), F.col(f"`{nm}`").alias("_x"))
+                      for nm in names])
+    y = F.col("_y")
+    long = (enc.filter(F.col(target).isNotNull())
+            .select(F.col(target).alias("_y"), F.inline(pairs)))
+    c = F.when((F.stddev_pop("_x") > 0) & (F.stddev_pop(y) > 0), F.corr("_x", y))
+    return long.groupBy("feature").agg(F.round(c, digits).alias("correlation"))
 
 
 def top_correlations(df: DataFrame, k: int = 5, target: str = "Churn") -> DataFrame:
