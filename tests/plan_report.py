@@ -22,8 +22,11 @@ How to read it (scale notes, 100 TB / 1000 executors):
 - `single` exchanges only ever feed global aggregates (one row per task is shuffled) or the
   per-partition offset tables of the exact rank (one row per partition);
   `tests/test_scale_guard.py` enforces this for every SQL-checked query.
-- `bcast` sides are one-row aggregates, level tables, fixed scenario/strategy/threshold tables,
-  the 25-nation dimension and offset tables. On these tiny fixtures `customer` is broadcast too,
+- One-row global statistics are scalar subqueries (`operators/scalars.py`), not joins, so they
+  do not appear as `bcast` sides; `BNLJ` is 0 for every SQL-checked query (guarded by
+  `tests/test_scale_guard.py`).
+- `bcast` sides are level tables, fixed strategy/threshold tables, the 25-nation dimension and
+  offset tables. On these tiny fixtures `customer` is broadcast too,
   but nothing forces it: Catalyst's size check and AQE pick sort-merge once it grows past the
   threshold.
 - `ckpt` > 0 marks queries whose exact rank or materialised input was checkpointed to
