@@ -1,10 +1,11 @@
 """Toxicity by maximum-scoring segments (operator 1).
 
-Learning. From labelled rows only: per word, the log-odds between toxic and
-clean documents under an informative Dirichlet prior (the prior of a word is its
+Learning. From labelled rows only: per word and word beginning (4 to 8 letters, so that
+unseen endings of a toxic stem count too), the log-odds between toxic and clean documents under an informative Dirichlet prior (the prior of a word is its
 share of all labelled documents, ``prior_docs`` strong), less ``deviations`` standard
-deviations, so that a word with little evidence scores nothing. Words whose lower
-bound is positive form the lexicon; every other word scores ``-drift``.
+deviations, so that a word with little evidence scores nothing. Those whose lower
+bound exceeds ``least`` form the lexicon; a word scores the best of its entries, or ``-drift``
+if it has none.
 
 Scoring. The linear-time all-maximal-segments scan (Ruzzo and Tompa) over the word
 scores of the whole text gives every maximal toxic passage. Scores of passages are
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Lengths of the word beginnings that are scored like words.
+STEMS = range(4, 9)
+#: Word scores that a worker keeps at hand, at most.
+KEPT_WORDS = 200_000
 #: Labelled rows that the model is fitted on, at most; those with the smallest hash of the id.
 MAX_LABELLED = 40_000
 #: Words in the lexicon, at most; those of the highest score.
@@ -46,6 +51,16 @@ class ToxicityModel:
     slope: float
     bias: float
     max_e: float = 1.0
+    seen: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
+
+    def score_of(self, word: str) -> float:
+        """The best entry for a word or one of its beginnings; 0 if there is none."""
+        found = self.seen.get(word)
+        if found is None:
+            if len(self.seen) >= KEPT_WORDS:
+                self.seen.clear()
+            found = self.seen[word] = max(self.scores.get(f, 0.0) for f in features_of(word))
+        return found
 
     @property
     def fitted(self) -> bool:
@@ -57,6 +72,11 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-(self.slope * np.asarray(evidence, dtype=float) + self.bias)))
 
 
+def features_of(word: str) -> list[str]:
+    """A word and its beginnings, the latter marked by a star."""
+    return [word, *(f"{word[:k]}*" for k in STEMS if k < len(word))]
+
+
 def maximal_segments(positions, scores, drift: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring runs (start, end exclusive, score) of a sequence.
 
@@ -84,10 +104,9 @@ def maximal_segments(positions, scores, drift: float) -> list[tuple[int, int, fl
 def find_passages(text: str | None, model: ToxicityModel) -> tuple[list[tuple[int, int, float]], int]:
     """Maximal passages (word positions, score) of a whole text, and its number of words."""
     words = WORD.findall(text.lower()) if text else []
-    if model.scores.keys().isdisjoint(words):
+    if not model.scores:
         return [], len(words)
-    lookup = model.scores.get
-    hits = [(i, s) for i, w in enumerate(words) if (s := lookup(w)) is not None]
+    hits = [(i, s) for i, w in enumerate(words) if (s := model.score_of(w))]
     return maximal_segments([i for i, _ in hits], [s for _, s in hits], model.drift), len(words)
 
 
@@ -108,8 +127,8 @@ def _count_words(batches):
             if not label:
                 n_words += len(words)
             counts = toxic if label else clean
-            for word in set(words):
-                counts[word] = counts.get(word, 0) + 1
+            for feature in {f for w in set(words) for f in features_of(w)}:
+                counts[feature] = counts.get(feature, 0) + 1
         rows = [(w, toxic.get(w, 0), clean.get(w, 0)) for w in toxic.keys() | clean.keys()]
         rows.append((None, 0, n_words))
         yield pd.DataFrame(rows, columns=["word", "toxic", "clean"])
@@ -129,8 +148,8 @@ def solve_lambda(scores: np.ndarray, shares: np.ndarray, drift: float) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", max_labelled: int = MAX_LABELLED, prior_docs: float = 100.0,
-        deviations: float = 2.0, drift: float = 0.25, max_e: float = 1.0) -> ToxicityModel:
+        label_col: str = "toxic", max_labelled: int = MAX_LABELLED, prior_docs: float = 50.0,
+        deviations: float = 2.0, least: float = 1.0, drift: float = 0.25, max_e: float = 1.0) -> ToxicityModel:
     """Learn a model from the labelled rows of ``docs``.
 
     ``labels`` (id, 0/1 label) must already be restricted to the rows to learn from;
@@ -156,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = F.log(a / (n_toxic + prior_docs - a)) - F.log(b / (n_clean + prior_docs - b))
     bound = odds - deviations * F.sqrt(1 / a + 1 / b)
     lexicon = counts.select("word", "clean", F.when(F.col("word").isNotNull(), bound).alias("score"))
-    best = (lexicon.filter(F.col("word").isNull() | (F.col("score") > drift))
+    best = (lexicon.filter(F.col("word").isNull() | (F.col("score") > least))
             .orderBy(F.col("score").desc_nulls_first(), "word").limit(MAX_LEXICON + 1).collect())
     words = [r for r in best if r["word"] is not None]
     if not words:
