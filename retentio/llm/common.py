@@ -12,6 +12,7 @@ Conventions that hold for every operator here:
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -25,6 +26,18 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch sent to a Python worker; texts may be long, so batches stay small.
 BATCH_ROWS = 1000
 _SHIPPED: set[str] = set()
+PLAIN_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+PLAIN_WORD_TEXT = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Runs of letters, digits and characters beyond ASCII, A-Z in lower case, as UTF-8."""
+    return PLAIN_WORD.findall(text.encode("utf-8").lower()) if text else []
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Where the words of ``plain_words`` stand, in code points."""
+    return [m.span() for m in PLAIN_WORD_TEXT.finditer(text)]
 
 
 def prepare(spark: SparkSession) -> SparkSession:

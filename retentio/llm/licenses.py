@@ -17,7 +17,6 @@ Nulls and empty texts have no words: zero counts, null places, empty labels, sco
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+from retentio.llm.common import plain_words
 
 # The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -55,11 +54,6 @@ TEMPLATES = (
 )
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z only) words of a text, as bytes."""
-    return WORD.findall(text.encode("utf-8", "replace").lower()) if text else []
-
-
 @dataclass
 class Index:
     postings: dict[bytes, list[tuple[int, int]]]  # rare word -> (template, position in it)
@@ -132,7 +126,7 @@ def document_counts(docs: DataFrame, text_col: str = "text", templates=None, phr
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 n += 1
-                for word in vocabulary.intersection(words_of(text)):
+                for word in vocabulary.intersection(plain_words(text)):
                     total[word] = total.get(word, 0) + 1
         yield pa.RecordBatch.from_pandas(pd.DataFrame({
             "word": [w.decode() for w in total] + [""], "n": [*total.values(), n]}), preserve_index=False)
@@ -154,7 +148,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                words = words_of(text)
+                words = plain_words(text)
                 places, labels = scan(words, index, least)
                 rows.append((len(words), len(places), places[0][0] if places else None,
                              places[-1][0] if places else None, ",".join(sorted({x for _, x in places})),

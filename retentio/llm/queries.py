@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import langid, licenses, toxicity
+from retentio.llm import decontaminate, langid, licenses, secrets, sharding, toxicity
 from retentio.llm.common import fold, read
 
 
@@ -16,17 +16,59 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 40 shards of near equal bytes."""
+    return sharding.shard(read(spark, sf_dir, "documents"), 40)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learns from the rows outside fold 0."""
     docs = read(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs.filter(fold(F.col("doc_id")) != 0)))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = read(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.fit(docs))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every document."""
     return licenses.detect(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op7_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sharding, op5_decontamination, op7_language_id, op9_secret_scan, op10_license_scan)}
+
+#: Windows by enumeration: an item's runs of 10 words (or all its words, if fewer) against a document's runs.
+OP5_SQL = r"""
+WITH folded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS run
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM win),
+keyed AS (SELECT row_number() OVER () AS r, doc_id, w FROM folded),
+runs AS (
+  SELECT r, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') AS run
+  FROM (SELECT r, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM keyed, sizes)),
+hits AS (SELECT runs.r, runs.i, runs.k, win.item FROM runs JOIN win ON runs.k = win.k AND runs.run = win.run),
+words AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item) AS n, array_to_string(list_sort(list(DISTINCT item)), ',') AS names FROM hits GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(found.n, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+  coalesce(words.n, 0) > 0 AS contaminated
+FROM keyed LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}
