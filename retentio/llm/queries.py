@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import decontaminate, langid, licenses, secrets, sharding, toxicity
+from retentio.llm import (decontaminate, langid, licenses, order_minhash, packing, secrets, sharding,
+                          toxicity)
 from retentio.llm.common import fold, read
 
 
@@ -21,6 +22,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), 40)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token pieces in sequences of at most 2048 ids."""
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -32,6 +38,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs.filter(fold(F.col("doc_id")) != 0)))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order-sensitive fingerprints of every document and of its half-edited text."""
+    return order_minhash.half_edited(read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     docs = read(spark, sf_dir, "documents")
@@ -43,7 +54,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detect(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sharding, op5_decontamination, op7_language_id, op9_secret_scan, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_packing, op5_decontamination, op7_language_id,
+                                  op8_fingerprints, op9_secret_scan, op10_license_scan)}
 
 #: Windows by enumeration: an item's runs of 10 words (or all its words, if fewer) against a document's runs.
 OP5_SQL = r"""
