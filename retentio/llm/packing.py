@@ -222,6 +222,24 @@ def _bins_of(column: pd.Series) -> Bins:
     return list(groups.values())
 
 
+def _evolver(capacity: int, epoch: int):
+    def evolved(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rid", kind="stable", ignore_index=True)
+        sizes = pdf["length"].tolist()
+        elites = [_bins_of(pdf[c]) for c in ("own", "migrant") if pdf[c].iloc[0] >= 0]
+        seed = int(pdf["block"].iloc[0]) * 1_000_003 + int(pdf["island"].iloc[0]) * 101 + epoch
+        bins = evolve(sizes, capacity, seed, elites)
+        bin_of, fill = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+        for b, members in enumerate(bins):
+            bin_of[members] = b
+            fill[members] = sum(sizes[i] for i in members)
+        return pd.DataFrame({"rid": pdf["rid"], "length": pdf["length"], "block": pdf["block"],
+                             "island": pdf["island"], "own": bin_of, "filled": fill, "n_bins": len(bins),
+                             "fit": fitness(sizes, bins, capacity)})
+
+    return evolved
+
+
 def _round(scratch: Scratch, items: DataFrame, n_items: int, label: str, capacity: int, block_items: int,
            islands: int, epochs: int) -> DataFrame:
     """Pack (rid, length) rows; returns (rid, length, block, bin, filled)."""
@@ -231,22 +249,8 @@ def _round(scratch: Scratch, items: DataFrame, n_items: int, label: str, capacit
         F.explode(F.array(*(F.lit(i) for i in range(islands)))).alias("island"),
         F.lit(-1).cast("long").alias("own"), F.lit(-1).cast("long").alias("migrant"))
     for epoch in range(epochs):
-        def evolved(pdf: pd.DataFrame, epoch=epoch) -> pd.DataFrame:
-            pdf = pdf.sort_values("rid", kind="stable", ignore_index=True)
-            sizes = pdf["length"].tolist()
-            elites = [_bins_of(pdf[c]) for c in ("own", "migrant") if pdf[c].iloc[0] >= 0]
-            seed = int(pdf["block"].iloc[0]) * 1_000_003 + int(pdf["island"].iloc[0]) * 101 + epoch
-            bins = evolve(sizes, capacity, seed, elites)
-            bin_of, fill = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            for b, members in enumerate(bins):
-                bin_of[members] = b
-                fill[members] = sum(sizes[i] for i in members)
-            return pd.DataFrame({"rid": pdf["rid"], "length": pdf["length"], "block": pdf["block"],
-                                 "island": pdf["island"], "own": bin_of, "filled": fill, "n_bins": len(bins),
-                                 "fit": fitness(sizes, bins, capacity)})
-
         best = scratch.store(state.groupBy("block", "island").applyInPandas(
-            evolved, "rid long, length long, block long, island int, own long, filled long, n_bins long, fit double"),
+            _evolver(capacity, epoch), "rid long, length long, block long, island int, own long, filled long, n_bins long, fit double"),
             f"{label}-{epoch}")
         if epoch:
             scratch.drop(f"{label}-{epoch - 1}")
