@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import (decontaminate, langid, licenses, order_minhash, packing, secrets, sharding,
-                          toxicity)
+from retentio.llm import (decontaminate, jaccard_join, langid, licenses, order_minhash, packing, secrets,
+                          sharding, toxicity)
 from retentio.llm.common import fold, read
 
 
@@ -32,6 +32,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked at a Jaccard similarity of 0.8 of their 5-word shingles."""
+    return jaccard_join.similar(read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learns from the rows outside fold 0."""
     docs = read(spark, sf_dir, "documents")
@@ -54,7 +59,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detect(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_packing, op5_decontamination, op7_language_id,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_packing, op5_decontamination, op6_jaccard_join, op7_language_id,
                                   op8_fingerprints, op9_secret_scan, op10_license_scan)}
 
 #: Windows by enumeration: an item's runs of 10 words (or all its words, if fewer) against a document's runs.
@@ -83,4 +88,28 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS B
 FROM keyed LEFT JOIN words USING (r) LEFT JOIN found USING (r)
 """
 
-ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}
+#: All pairs that share a shingle, and reachability by recursion.
+OP6_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, i, i + least(len(w), 5) - 1), ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM keyed WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+sets AS (SELECT r, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM shingles GROUP BY r),
+reps AS (SELECT h, min(r) AS rep FROM sets GROUP BY h),
+own AS (SELECT shingles.r, s FROM shingles JOIN reps ON shingles.r = reps.rep),
+shared AS (SELECT a.r AS u, b.r AS v, count(*) AS n FROM own a JOIN own b ON a.s = b.s AND a.r < b.r GROUP BY 1, 2),
+links AS (SELECT u, v FROM shared JOIN sizes x ON x.r = u JOIN sizes y ON y.r = v
+  WHERE 100 * shared.n >= 80 * (x.n + y.n - shared.n)),
+edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach(u, v) AS (SELECT rep, rep FROM reps UNION SELECT reach.u, edges.v FROM reach JOIN edges ON reach.v = edges.u),
+member AS (SELECT sets.r, reps.rep FROM sets JOIN reps USING (h)),
+least_id AS (SELECT reach.u, min(doc_id) AS component_id FROM reach JOIN member ON member.rep = reach.v
+  JOIN keyed ON keyed.r = member.r GROUP BY reach.u)
+SELECT doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM keyed LEFT JOIN sizes USING (r) LEFT JOIN member USING (r) LEFT JOIN least_id ON least_id.u = member.rep
+"""
+
+ORACLES: dict[str, str] = {"op6_jaccard_join": OP6_SQL, "op5_decontamination": OP5_SQL}
