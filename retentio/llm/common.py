@@ -16,6 +16,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Another number of rows in an Arrow batch, for tables of few large or many small rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5

@@ -26,7 +26,6 @@ A null text has no words: size 0, its own component. Null ids count as the large
 from __future__ import annotations
 
 import math
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import BATCH_ROWS, Scratch
+from retentio.llm.common import Scratch, arrow_batches
 from retentio.llm.components import connected_components
 
 #: Frequent shingles that are sent to all tasks for the order of prefixes, at most.
@@ -99,17 +98,6 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-@contextmanager
-def _batches(spark, rows: int):
-    """Larger Arrow batches for tables of small rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def _sets_pass(docs: DataFrame, width: int) -> DataFrame:
     """Per document its set's id and size; besides, counts of shingles that a chunk of texts repeats."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -331,7 +319,7 @@ def _verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, n_pairs: int,
     spark = docs.sparkSession
     bits = min(30, max(20, (32 * n_pairs).bit_length()))
     involved = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-    with _batches(spark, 100_000):
+    with arrow_batches(spark, 100_000):
         sent = spark.sparkContext.broadcast(_bitmap(involved, bits))
     members = scratch.store(_members(docs, sent, bits, width).dropDuplicates(["sid"]), f"{label}-sets")
     # A pivot has many pairs: they are spread, and its set is sent to each part that has one.
@@ -373,7 +361,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     lists = scratch.store(lists, "lists")
     # Pivots of the parts of divided lists meet in a list of pivots.
     heads = lists.filter("part >= 0 and sid = pivot").withColumn("part", F.lit(-1))
-    with _batches(spark, 100_000):
+    with arrow_batches(spark, 100_000):
         joint = scratch.store(_lists(heads.select("key", "part", "sid", "n", "most", "rare"), percent), "joint")
     stars = lists.unionByName(joint).filter("paired")
     pairs = scratch.store(stars.select(*_pairs(F.col("pivot"), F.col("sid"))).distinct(), "pairs")

@@ -17,6 +17,7 @@ Only (piece, length, bin) rows are shuffled. Null texts are empty: one piece, th
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -28,8 +29,11 @@ from pyspark.sql import functions as F
 
 from retentio.llm.common import Scratch
 
-#: Distinct words whose ids a worker keeps, at most.
-KEPT_WORDS = 200_000
+#: Distinct words, and distinct parts of words, whose ids a worker keeps, at most.
+KEPT_WORDS, KEPT_PARTS = 400_000, 700_000
+#: Words of these characters only (no apostrophe, nothing that composes) split into parts that are encoded alone.
+SIMPLE = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
 
 def tokenizer_path() -> str:
@@ -37,37 +41,78 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Kept:
+    """Id sequences by name, end to end in one array."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.size = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.place), len(names)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + m > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.ids[self.used:self.used + len(ids)] = ids
+        self.size[n:n + m] = sizes
+        self.start[n:n + m] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.place.update(zip(names, range(n, n + m)))
+
+    def joined(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at the places, end to end, and where each begins (n + 1)."""
+        size = self.size[places]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(self.start[places] - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
 class WordEncoder:
     """Ids of texts, with the ids of recent words kept.
 
     The tokenizer drops white space and treats what stands between white space
-    independently, so a text's ids are those of its words end to end.
+    independently, so a text's ids are those of its words end to end; in the same way a
+    word of plain letters, digits and signs is its runs of each, in lower case.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.used = 0
-        self.start: list[int] = []
-        self.size: list[int] = []
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at:at + 4096]
-            for word, code in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                ids = code.ids
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used:self.used + len(ids)] = ids
-                self.place[word] = len(self.start)
-                self.start.append(self.used)
-                self.size.append(len(ids))
-                self.used += len(ids)
+        closing = sorted(i for name, i in self.tokenizer.get_vocab().items() if name.endswith("</w>"))
+        self.closes = np.zeros(max([0, *closing]) + 2, bool)
+        self.closes[closing] = True
+        self.words, self.parts = Kept(), Kept()
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [code.ids for code in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, names: list[str]) -> None:
+        for at in range(0, len(names), 512):
+            some = names[at:at + 512]
+            ids = np.array(self._encoded([" ".join(some)])[0], np.uint32)
+            last = np.flatnonzero(self.closes[np.minimum(ids, len(self.closes) - 1)])
+            if len(last) == len(some) and last[-1] == len(ids) - 1:
+                self.parts.add(some, ids, np.diff(last, prepend=-1))
+            else:
+                each = self._encoded(some)
+                self.parts.add(some, np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each]))
+
+    def _learn(self, names: list[str]) -> None:
+        simple = [w for w in names if SIMPLE.fullmatch(w) and "<|" not in w]
+        split = [PART.findall(w.lower()) for w in simple]
+        fresh = list(dict.fromkeys(p for parts in split for p in parts if p not in self.parts.place))
+        self._learn_parts(fresh)
+        place = self.parts.place
+        ids, ends = self.parts.joined(np.array([place[p] for parts in split for p in parts], np.int64))
+        at = np.concatenate([[0], np.cumsum([len(parts) for parts in split], dtype=np.int64)])
+        self.words.add(simple, ids, np.diff(ends[at]))
+        known = set(simple)
+        other = [w for w in names if w not in known]
+        each = self._encoded(other)
+        self.words.add(other, np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and n + 1 offsets."""
@@ -76,18 +121,27 @@ class WordEncoder:
         coded = words.flatten().dictionary_encode()
         offsets = offsets - offsets[0]
         names = coded.dictionary.to_pylist()
-        if len(self.place) + len(names) > KEPT_WORDS:
-            self._clear()
-        self._learn([w for w in names if w not in self.place])
-        place = np.array([self.place[w] for w in names], np.int64)
-        if not len(place):
+        if not names:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        size = np.array(self.size, np.int64)[place][code]
-        begin = np.array(self.start, np.int64)[place][code]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])
-        return self.ids[at], ends[offsets]
+        if len(self.parts.place) > KEPT_PARTS:
+            self.parts = Kept()
+        if len(self.words.place) + len(names) > KEPT_WORDS:
+            self.words = Kept()
+        kept = self.words.place
+        self._learn([w for w in names if w not in kept])
+        place = np.array([kept[w] for w in names], np.int64)
+        ids, ends = self.words.joined(place[coded.indices.to_numpy(zero_copy_only=False)])
+        return ids, ends[offsets]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder, which later tasks find again."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, limit: int, end_id: int) -> DataFrame:
@@ -95,7 +149,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, limit: int, e
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches):
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             ids, offsets = encoder.encode(batch.column("text"))
             docs_at, rows = [], []

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import (decontaminate, jaccard_join, langid, licenses, order_minhash, packing, secrets,
+from retentio.llm import (decontaminate, jaccard_join, langid, language_model, licenses, order_minhash, packing, secrets,
                           sharding, toxicity)
-from retentio.llm.common import fold, read
+from retentio.llm.common import Scratch, fold, read
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document; learns from the rows outside fold 1."""
+    docs = read(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "lm")
+    held_out = fold(F.col("doc_id")) == 1
+    model = language_model.fit(docs, ~held_out, scratch)
+    return language_model.score(docs, model, scratch, held_out)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 40 shards of near equal bytes."""
     return sharding.shard(read(spark, sf_dir, "documents"), 40)
@@ -59,7 +68,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detect(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sharding, op4_packing, op5_decontamination, op6_jaccard_join, op7_language_id,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_model, op3_sharding, op4_packing, op5_decontamination, op6_jaccard_join, op7_language_id,
                                   op8_fingerprints, op9_secret_scan, op10_license_scan)}
 
 #: Windows by enumeration: an item's runs of 10 words (or all its words, if fewer) against a document's runs.
