@@ -15,9 +15,10 @@ The boundary has the least estimated cost, from the histogram of set sizes.
 Only connectivity is asked for, so a list is not expanded into all pairs. Each list first
 compares its members with one pivot, its most typical set (the one with the fewest rare
 shingles); verified links are joined into components; then only lists that still hold
-members of different components are compared further: once more with pivots, and last every
-pair of different components, within the size and position limits. No link between different
-components is lost. Lists of frequent keys are divided among tasks, and the parts'
+members of different components are compared further: every pair of different components
+within the size and position limits. Candidates whose sketches (counts by bucket, an upper
+bound of the overlap) rule a link out are dropped. No link between different components is
+lost. Lists of frequent keys are divided among tasks, and the parts'
 pivots are compared among each other. Candidates are verified on whole sets.
 
 A null text has no words: size 0, its own component. Null ids count as the largest id.
@@ -43,6 +44,8 @@ MAX_COMMON = 1 << 18
 CHUNK, LEAST_COUNT = 2_000_000, 3
 #: Members of a list that one task scans; longer lists are divided.
 LIST_PART = 2048
+#: Buckets of a set's sketch.
+SKETCH = 256
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -290,8 +293,14 @@ def _slot(sid: np.ndarray, bits: int) -> np.ndarray:
     return (_mix(sid.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles fall into each of ``SKETCH`` buckets; empty if one holds too many to write."""
+    counts = np.bincount((own >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
 def _members(docs: DataFrame, bitmap_sent, bits: int, width: int) -> DataFrame:
-    """(sid, shingles) of the sets that the bitmap holds; once from each task."""
+    """(sid, n, sketch, shingles) of the sets that the bitmap holds; once from each task."""
     def found(batches):
         marks = bitmap_sent.value
         seen: set[int] = set()
@@ -303,36 +312,49 @@ def _members(docs: DataFrame, bitmap_sent, bits: int, width: int) -> DataFrame:
                     slot = int(_slot(np.array([sid]), bits)[0])
                     if sid not in seen and marks[slot >> 3] & (128 >> (slot & 7)):
                         seen.add(sid)
-                        rows[sid] = own.view(np.int64)
+                        rows[sid] = own
             if rows:
-                sizes = np.concatenate([[0], np.cumsum([len(v) for v in rows.values()])]).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum([len(v) for v in rows.values()])]).astype(np.int32)
+                flat = np.concatenate(list(rows.values())).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(rows), pa.int64()), pa.ListArray.from_arrays(sizes, np.concatenate(list(rows.values())))],
-                    names=["sid", "shingles"])
+                    [pa.array(list(rows), pa.int64()), pa.array(np.diff(ends), pa.int32()),
+                     pa.array([sketch(v) for v in rows.values()], pa.binary()), pa.ListArray.from_arrays(ends, flat)],
+                    names=["sid", "n", "sketch", "shingles"])
 
-    return docs.select("text").mapInArrow(found, "sid long, shingles array<long>")
+    return docs.select("text").mapInArrow(found, "sid long, n int, sketch binary, shingles array<long>")
 
 
-def _verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, n_pairs: int, percent: int, width: int,
-              label: str, spread: int = 16) -> DataFrame:
+def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sketches allow the overlap that a link needs."""
+    def allowed(batches):
+        for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            open_ = np.array([not (x and y) for x, y in zip(a, b)], bool)
+            if len(open_) and not open_.all():
+                one, two = (np.frombuffer(b"".join(x for x, o in zip(c, open_) if not o), np.uint8).reshape(-1, SKETCH)
+                            for c in (a, b))
+                most = np.minimum(one, two).sum(axis=1, dtype=np.int64)
+                sizes = (batch.column(c).to_numpy()[~open_].astype(np.int64) for c in ("m", "n"))
+                open_[~open_] = most >= least_overlap(*sizes, percent)
+            yield batch.select(["u", "v"]).filter(pa.array(open_))
+
+    left = members.select(F.col("sid").alias("u"), F.col("n").alias("m"), F.col("sketch").alias("a"))
+    right = members.select(F.col("sid").alias("v"), "n", F.col("sketch").alias("b"))
+    return pairs.join(right, "v").join(left, "u").mapInArrow(allowed, "u long, v long")
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, members: DataFrame, percent: int, label: str, spread: int = 16) -> DataFrame:
     """The pairs (u, v) whose whole sets reach the threshold."""
-    spark = docs.sparkSession
-    bits = min(30, max(20, (32 * n_pairs).bit_length()))
-    involved = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-    with arrow_batches(spark, 100_000):
-        sent = spark.sparkContext.broadcast(_bitmap(involved, bits))
-    members = scratch.store(_members(docs, sent, bits, width).dropDuplicates(["sid"]), f"{label}-sets")
+    pairs = scratch.store(_possible(pairs, members, percent), f"{label}-possible")
     # A pivot has many pairs: they are spread, and its set is sent to each part that has one.
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(spread)))
     left = (dealt.select("u", "part").distinct()
             .join(members.select(F.col("sid").alias("u"), F.col("shingles").alias("a")), "u"))
     right = dealt.join(members.select(F.col("sid").alias("v"), F.col("shingles").alias("b")), "v")
-    both = right.join(left, ["u", "part"])
     shared = F.size(F.array_intersect("a", "b"))
-    links = both.filter(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
-    links = scratch.store(links, f"{label}-links")
-    scratch.drop(f"{label}-sets")
-    return links
+    links = right.join(left, ["u", "part"]).filter(
+        100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    return scratch.store(links, f"{label}-links")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
@@ -365,26 +387,34 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         joint = scratch.store(_lists(heads.select("key", "part", "sid", "n", "most", "rare"), percent), "joint")
     stars = lists.unionByName(joint).filter("paired")
     pairs = scratch.store(stars.select(*_pairs(F.col("pivot"), F.col("sid"))).distinct(), "pairs")
-    n_pairs = pairs.count()
-    links = _verified(scratch, docs, pairs, n_pairs, percent, width, "first") if n_pairs else pairs
+    involved = lists.select("sid").distinct()
+    bits = min(30, max(20, (16 * involved.count()).bit_length()))
+    with arrow_batches(spark, 100_000):
+        marks = spark.sparkContext.broadcast(_bitmap(involved, bits))
+    members = scratch.store(_members(docs, marks, bits, width).dropDuplicates(["sid"]), "members")
+    links = _verified(scratch, pairs, members, percent, "first")
     labels = connected_components(scratch, links, "linked")
 
-    # Lists whose members are in different components so far.
+    # Lists whose members are in different components so far; lists of the same members are one.
     tagged = (lists.select("key", "sid", "n", "most").distinct()
               .join(labels.withColumnRenamed("node", "sid"), "sid", "left")
               .withColumn("component", F.coalesce("component", "sid")))
-    open_ = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
-    mixed = scratch.store(tagged.join(open_.select("key"), "key", "left_semi"), "mixed")
+    open_ = (tagged.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("sid")).alias("members")).filter("low != high"))
+    mixed = (tagged.join(open_.select("key", F.xxhash64("size", "members").alias("list")), "key")
+             .groupBy("list", "sid").agg(F.max("most").alias("most"), F.first("n").alias("n"),
+                                         F.first("component").alias("component")))
+    mixed = scratch.store(mixed, "mixed")
     one, two = mixed.alias("one"), mixed.alias("two")
     limit = F.ceil(percent * (F.col("one.n") + F.col("two.n")) / (100.0 + percent) - 1e-9)
-    rest = (one.join(two, F.col("one.key") == F.col("two.key"))
+    rest = (one.join(two, F.col("one.list") == F.col("two.list"))
             .filter((F.col("one.sid") < F.col("two.sid")) & (F.col("one.component") != F.col("two.component"))
                     & (F.least("one.most", "two.most") >= limit))
             .select(F.col("one.sid").alias("u"), F.col("two.sid").alias("v")).distinct())
-    rest = scratch.store(rest.join(pairs, ["u", "v"], "left_anti"), "rest")
-    n_rest = rest.count()
-    if n_rest:
-        more = _verified(scratch, docs, rest, n_rest, percent, width, "second")
+    more = _verified(scratch, rest.join(pairs, ["u", "v"], "left_anti"), members, percent, "second")
+    scratch.drop("members", "mixed")
+    if not more.isEmpty():
         labels = connected_components(scratch, links.unionByName(more), "closed")
     classed = (rows.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
                .withColumn("class", F.coalesce("component", "sid")))
