@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from retentio.llm.common import Scratch
 
-#: Distinct words, and distinct parts of words, whose ids a worker keeps, at most.
-KEPT_WORDS, KEPT_PARTS = 400_000, 700_000
+#: Distinct words, and distinct parts of words, whose ids a worker keeps; beyond, it starts anew.
+KEPT_WORDS, KEPT_PARTS = 600_000, 600_000
 #: Words of these characters only (no apostrophe, nothing that composes) split into parts that are encoded alone.
 SIMPLE = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
@@ -125,7 +125,7 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         if len(self.parts.place) > KEPT_PARTS:
             self.parts = Kept()
-        if len(self.words.place) + len(names) > KEPT_WORDS:
+        if len(self.words.place) > KEPT_WORDS:
             self.words = Kept()
         kept = self.words.place
         self._learn([w for w in names if w not in kept])

@@ -251,3 +251,13 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                        (fold(F.col(id_col)) == 0).alias("held_out"))
     return slim.mapInArrow(scored, f"doc_id {kind}, {SCHEMA}")
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose probability stays below ``threshold``."""
+    def kept(batches):
+        for batch in batches:
+            evidence = [evidence_of(*find_passages(t, model), model)[0] for t in batch.column(text_col).to_pylist()]
+            yield batch.filter(pa.array(model.probability(evidence) < threshold, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
