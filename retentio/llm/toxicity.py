@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
               .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     prior = (F.col("toxic") + F.col("clean")) / n_all * prior_docs
     a, b = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(a / (n_toxic + prior_docs - a)) - F.log(b / (n_clean + prior_docs - b))
+    odds = F.log(a / F.greatest(n_toxic + prior_docs + 1 - a, F.lit(1.0))) - F.log(
+        b / F.greatest(n_clean + prior_docs + 1 - b, F.lit(1.0)))
     bound = odds - deviations * F.sqrt(1 / a + 1 / b)
     lexicon = counts.select("word", "clean", F.when(F.col("word").isNotNull(), bound).alias("score"))
     best = (lexicon.filter(F.col("word").isNull() | (F.col("score") > least))
