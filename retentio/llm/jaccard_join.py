@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -346,6 +347,19 @@ def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 def _verified(scratch: Scratch, pairs: DataFrame, members: DataFrame, percent: int, label: str, spread: int = 16) -> DataFrame:
     """The pairs (u, v) whose whole sets reach the threshold."""
     pairs = scratch.store(_possible(pairs, members, percent), f"{label}-possible")
+    # Only sets of the pairs that are left are sent: those that a bitmap of them holds.
+    spark = members.sparkSession
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    bits = min(30, max(20, (16 * wanted.count()).bit_length()))
+    with arrow_batches(spark, 100_000):
+        marks = spark.sparkContext.broadcast(_bitmap(wanted, bits))
+
+    @F.pandas_udf("boolean")
+    def held(sid: pd.Series) -> pd.Series:
+        slot = _slot(sid.to_numpy(np.int64), bits)
+        return pd.Series(marks.value[slot >> 3] & (128 >> (slot & 7)) > 0)
+
+    members = members.filter(held("sid"))
     # A pivot has many pairs: they are spread, and its set is sent to each part that has one.
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(spread)))
     left = (dealt.select("u", "part").distinct()
@@ -396,7 +410,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     labels = connected_components(scratch, links, "linked")
 
     # Lists whose members are in different components so far; lists of the same members are one.
-    tagged = (lists.select("key", "sid", "n", "most").distinct()
+    tagged = (lists.select("key", "sid", "n", "most")
               .join(labels.withColumnRenamed("node", "sid"), "sid", "left")
               .withColumn("component", F.coalesce("component", "sid")))
     open_ = (tagged.groupBy("key").agg(
