@@ -14,12 +14,13 @@ The boundary has the least estimated cost, from the histogram of set sizes.
 
 Only connectivity is asked for, so a list is not expanded into all pairs. Each list first
 compares its members with one pivot, its most typical set (the one with the fewest rare
-shingles); verified links are joined into components; then only lists that still hold
-members of different components are compared further: every pair of different components
-within the size and position limits. Candidates whose sketches (counts by bucket, an upper
-bound of the overlap) rule a link out are dropped. No link between different components is
-lost. Lists of frequent keys are divided among tasks, and the parts'
-pivots are compared among each other. Candidates are verified on whole sets.
+shingles); candidates whose sketches (counts by bucket, an upper bound of the overlap) rule
+a link out are dropped, the others joined into components; then only lists that still
+hold members of different components are compared further: every pair of different
+components within the size and position limits. Where verification splits a component,
+its parts are compared in the same way. No link between different components is lost. Lists of frequent keys are divided among tasks, and the parts'
+pivots are compared among each other. Candidates are verified on whole sets, which only
+documents in candidate pairs send (a bitmap of fixed size tells which).
 
 A null text has no words: size 0, its own component. Null ids count as the largest id.
 """
@@ -102,9 +103,16 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles fall into each of ``SKETCH`` buckets; empty if one holds too many to write."""
+    counts = np.bincount((own >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
 def _sets_pass(docs: DataFrame, width: int) -> DataFrame:
-    """Per document its set's id and size; besides, counts of shingles that a chunk of texts repeats."""
+    """Per document its set's id, size and sketch; besides, counts of shingles that a chunk of texts repeats."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "tkey", "sid", "n", "is_count", "sketch"]
 
     def passed(batches):
         held: list[np.ndarray] = []
@@ -117,7 +125,7 @@ def _sets_pass(docs: DataFrame, width: int) -> DataFrame:
             m = int(keep.sum())
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(m, id_type), pa.nulls(m, key_type), pa.array(values[keep].view(np.int64)),
-                 pa.array(n[keep].astype(np.int32)), pa.array(np.ones(m, bool))], names=["doc_id", "tkey", "sid", "n", "is_count"])
+                 pa.array(n[keep].astype(np.int32)), pa.array(np.ones(m, bool)), pa.nulls(m, pa.binary())], names=names)
 
         types = None
         for batch in batches:
@@ -131,8 +139,8 @@ def _sets_pass(docs: DataFrame, width: int) -> DataFrame:
                     size += len(own)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("tkey"), pa.array(ids, pa.int64()),
-                 pa.array([len(s) for s in sets], pa.int32()), pa.array(np.zeros(len(ids), bool))],
-                names=["doc_id", "tkey", "sid", "n", "is_count"])
+                 pa.array([len(s) for s in sets], pa.int32()), pa.array(np.zeros(len(ids), bool)),
+                 pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names=names)
             if size >= CHUNK:
                 yield counts(*types)
                 held, size, seen = [], 0, set()
@@ -140,7 +148,7 @@ def _sets_pass(docs: DataFrame, width: int) -> DataFrame:
             yield counts(*types)
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")).mapInArrow(
-        passed, f"doc_id {kind}, tkey long, sid long, n int, is_count boolean")
+        passed, f"doc_id {kind}, tkey long, sid long, n int, is_count boolean, sketch binary")
 
 
 def choose_boundary(sizes: dict[int, int], percent: int, list_cost: float = 4.0) -> int:
@@ -294,14 +302,8 @@ def _slot(sid: np.ndarray, bits: int) -> np.ndarray:
     return (_mix(sid.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def sketch(own: np.ndarray) -> bytes:
-    """How many shingles fall into each of ``SKETCH`` buckets; empty if one holds too many to write."""
-    counts = np.bincount((own >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH)
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
-
-
 def _members(docs: DataFrame, bitmap_sent, bits: int, width: int) -> DataFrame:
-    """(sid, n, sketch, shingles) of the sets that the bitmap holds; once from each task."""
+    """(sid, shingles) of the sets that the bitmap holds; once from each task."""
     def found(batches):
         marks = bitmap_sent.value
         seen: set[int] = set()
@@ -318,14 +320,30 @@ def _members(docs: DataFrame, bitmap_sent, bits: int, width: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(v) for v in rows.values()])]).astype(np.int32)
                 flat = np.concatenate(list(rows.values())).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(rows), pa.int64()), pa.array(np.diff(ends), pa.int32()),
-                     pa.array([sketch(v) for v in rows.values()], pa.binary()), pa.ListArray.from_arrays(ends, flat)],
-                    names=["sid", "n", "sketch", "shingles"])
+                    [pa.array(list(rows), pa.int64()), pa.ListArray.from_arrays(ends, flat)], names=["sid", "shingles"])
+
+    return docs.select("text").mapInArrow(found, "sid long, shingles array<long>")
+
+
+def _marks(spark, pairs: DataFrame):
+    """A bitmap of the sets in ``pairs`` (sent to the tasks), and its size as a power of two."""
+    sids = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    bits = min(30, max(20, (16 * sids.count()).bit_length()))
+    with arrow_batches(spark, 100_000):
+        return spark.sparkContext.broadcast(_bitmap(sids, bits)), bits
 
-    return docs.select("text").mapInArrow(found, "sid long, n int, sketch binary, shingles array<long>")
 
+def _holding(table: DataFrame, marks, bits: int) -> DataFrame:
+    """The rows of ``table`` whose ``sid`` the bitmap holds, before anything is shuffled."""
+    @F.pandas_udf("boolean")
+    def held(sid: pd.Series) -> pd.Series:
+        slot = _slot(sid.to_numpy(np.int64), bits)
+        return pd.Series(marks.value[slot >> 3] & (128 >> (slot & 7)) > 0)
 
-def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    return table.filter(held("sid"))
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sketches allow the overlap that a link needs."""
     def allowed(batches):
         for batch in batches:
@@ -339,27 +357,14 @@ def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 open_[~open_] = most >= least_overlap(*sizes, percent)
             yield batch.select(["u", "v"]).filter(pa.array(open_))
 
-    left = members.select(F.col("sid").alias("u"), F.col("n").alias("m"), F.col("sketch").alias("a"))
-    right = members.select(F.col("sid").alias("v"), "n", F.col("sketch").alias("b"))
+    near = _holding(sketches, *_marks(pairs.sparkSession, pairs)).dropDuplicates(["sid"])
+    left = near.select(F.col("sid").alias("u"), F.col("n").alias("m"), F.col("sketch").alias("a"))
+    right = near.select(F.col("sid").alias("v"), "n", F.col("sketch").alias("b"))
     return pairs.join(right, "v").join(left, "u").mapInArrow(allowed, "u long, v long")
 
 
 def _verified(scratch: Scratch, pairs: DataFrame, members: DataFrame, percent: int, label: str, spread: int = 16) -> DataFrame:
     """The pairs (u, v) whose whole sets reach the threshold."""
-    pairs = scratch.store(_possible(pairs, members, percent), f"{label}-possible")
-    # Only sets of the pairs that are left are sent: those that a bitmap of them holds.
-    spark = members.sparkSession
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
-    bits = min(30, max(20, (16 * wanted.count()).bit_length()))
-    with arrow_batches(spark, 100_000):
-        marks = spark.sparkContext.broadcast(_bitmap(wanted, bits))
-
-    @F.pandas_udf("boolean")
-    def held(sid: pd.Series) -> pd.Series:
-        slot = _slot(sid.to_numpy(np.int64), bits)
-        return pd.Series(marks.value[slot >> 3] & (128 >> (slot & 7)) > 0)
-
-    members = members.filter(held("sid"))
     # A pivot has many pairs: they are spread, and its set is sent to each part that has one.
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(spread)))
     left = (dealt.select("u", "part").distinct()
@@ -371,6 +376,29 @@ def _verified(scratch: Scratch, pairs: DataFrame, members: DataFrame, percent: i
     return scratch.store(links, f"{label}-links")
 
 
+def _crossing(scratch: Scratch, lists: DataFrame, labels: DataFrame, percent: int, label: str) -> DataFrame:
+    """Pairs of a list that are in different components, within the size and position limits.
+
+    Lists of the same members are one; lists within one component are left out before any pair is made.
+    """
+    tagged = (lists.select("key", "sid", "n", "most")
+              .join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+              .withColumn("component", F.coalesce("component", "sid")))
+    open_ = (tagged.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("sid")).alias("members")).filter("low != high"))
+    mixed = (tagged.join(open_.select("key", F.xxhash64("size", "members").alias("list")), "key")
+             .groupBy("list", "sid").agg(F.max("most").alias("most"), F.first("n").alias("n"),
+                                         F.first("component").alias("component")))
+    mixed = scratch.store(mixed, f"{label}-mixed")
+    one, two = mixed.alias("one"), mixed.alias("two")
+    limit = F.ceil(percent * (F.col("one.n") + F.col("two.n")) / (100.0 + percent) - 1e-9)
+    return (one.join(two, F.col("one.list") == F.col("two.list"))
+            .filter((F.col("one.sid") < F.col("two.sid")) & (F.col("one.component") != F.col("two.component"))
+                    & (F.least("one.most", "two.most") >= limit))
+            .select(F.col("one.sid").alias("u"), F.col("two.sid").alias("v")).distinct())
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
             ) -> tuple[DataFrame, Scratch]:
     """(doc_id, tkey, n, component) for every row: hash of the text, set size, smallest id of its class.
@@ -382,7 +410,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     both = scratch.store(_sets_pass(docs, width), "sets")
-    rows = both.filter(~F.col("is_count")).drop("is_count")
+    rows = both.filter(~F.col("is_count"))
     # Bounded by MAX_COMMON; only the order of prefixes depends on it, not the result.
     common = (both.filter("is_count").groupBy("sid").agg(F.sum("n").alias("n")).filter(F.col("n") > LEAST_COUNT)
               .orderBy(F.desc("n"), "sid").limit(MAX_COMMON).toPandas())
@@ -400,36 +428,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     with arrow_batches(spark, 100_000):
         joint = scratch.store(_lists(heads.select("key", "part", "sid", "n", "most", "rare"), percent), "joint")
     stars = lists.unionByName(joint).filter("paired")
+    # First the pivots' pairs; the components they would make, if all that the sketches allow
+    # were links, leave few pairs to compare besides.
+    sketches = rows.filter("sid is not null").select("sid", "n", "sketch")
     pairs = scratch.store(stars.select(*_pairs(F.col("pivot"), F.col("sid"))).distinct(), "pairs")
-    involved = lists.select("sid").distinct()
-    bits = min(30, max(20, (16 * involved.count()).bit_length()))
-    with arrow_batches(spark, 100_000):
-        marks = spark.sparkContext.broadcast(_bitmap(involved, bits))
-    members = scratch.store(_members(docs, marks, bits, width).dropDuplicates(["sid"]), "members")
-    links = _verified(scratch, pairs, members, percent, "first")
+    near = scratch.store(_possible(pairs, sketches, percent), "near")
+    tentative = connected_components(scratch, near, "tentative")
+    across = scratch.store(_crossing(scratch, lists, tentative, percent, "across").join(pairs, ["u", "v"], "left_anti"), "across")
+    candidates = scratch.store(near.unionByName(_possible(across, sketches, percent)), "candidates")
+    marks = _marks(spark, candidates)
+    members = scratch.store(_members(docs, *marks, width).dropDuplicates(["sid"]), "members")
+    links = _verified(scratch, candidates, members, percent, "first")
     labels = connected_components(scratch, links, "linked")
-
-    # Lists whose members are in different components so far; lists of the same members are one.
-    tagged = (lists.select("key", "sid", "n", "most")
-              .join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-              .withColumn("component", F.coalesce("component", "sid")))
-    open_ = (tagged.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"),
-        F.bit_xor(F.xxhash64("sid")).alias("members")).filter("low != high"))
-    mixed = (tagged.join(open_.select("key", F.xxhash64("size", "members").alias("list")), "key")
-             .groupBy("list", "sid").agg(F.max("most").alias("most"), F.first("n").alias("n"),
-                                         F.first("component").alias("component")))
-    mixed = scratch.store(mixed, "mixed")
-    one, two = mixed.alias("one"), mixed.alias("two")
-    limit = F.ceil(percent * (F.col("one.n") + F.col("two.n")) / (100.0 + percent) - 1e-9)
-    rest = (one.join(two, F.col("one.list") == F.col("two.list"))
-            .filter((F.col("one.sid") < F.col("two.sid")) & (F.col("one.component") != F.col("two.component"))
-                    & (F.least("one.most", "two.most") >= limit))
-            .select(F.col("one.sid").alias("u"), F.col("two.sid").alias("v")).distinct())
-    more = _verified(scratch, rest.join(pairs, ["u", "v"], "left_anti"), members, percent, "second")
-    scratch.drop("members", "mixed")
+    # Where a pair was no link after all, its component may have fallen apart: compare the parts.
+    # All their sets are at hand, as each belongs to a candidate pair.
+    apart = _crossing(scratch, _holding(lists, *marks), labels, percent, "apart")
+    apart = apart.join(pairs.unionByName(across), ["u", "v"], "left_anti")
+    apart = scratch.store(_possible(apart, sketches, percent), "apart")
+    more = _verified(scratch, apart, members, percent, "second")
     if not more.isEmpty():
         labels = connected_components(scratch, links.unionByName(more), "closed")
+    scratch.drop("members", "lists", "across-mixed", "apart-mixed", "candidates")
     classed = (rows.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
                .withColumn("class", F.coalesce("component", "sid")))
     # The smallest id of each class; rows without a set are classes of their own.
