@@ -13,7 +13,7 @@ __all__ = [
     "SERVICE_COLUMNS", "TENURE_LABELS", "SEGMENT_LABELS", "coerce_numeric",
     "tenure_group", "engagement_score", "charges_per_month", "segment_label",
     "risk_tier", "retention_action", "clv_lookup", "clv_simulator", "clv_roi",
-    "heuristic_score", "pct_1dp", "round_half_even", "quintile_from_rank",
+    "heuristic_score", "pct_1dp", "half_even_quotient", "quintile_from_rank",
     "quintile_from_edges",
 ]
 
@@ -142,14 +142,22 @@ def heuristic_score(tenure="tenure", max_tenure="max_tenure", weight: float = 0.
 
 
 def pct_1dp(num, den) -> Column:
-    """100 * num / den rounded half-up to 1 dp, in exact integer arithmetic.
+    """100 * num / den rounded to 1 dp with ties to even, in exact integer arithmetic.
 
-    Computing ``floor((2000*num + den) / (2*den)) / 10`` avoids engine-specific
-    rounding of binary doubles; num and den are non-negative counts.
+    That is pandas' ``(rate * 100).round(1)`` without engine-specific rounding of
+    binary doubles; num and den are non-negative counts.
     """
     n, d = _c(num).cast("long"), _c(den).cast("long")
-    q = F.when(d > 0, _int_div(F.lit(2000) * n + d, F.lit(2) * d))
-    return q.cast("double") / F.lit(10.0)
+    return half_even_quotient(F.lit(1000) * n, d) / F.lit(10.0)
+
+
+def half_even_quotient(num, den) -> Column:
+    """round(num / den) with ties to even, for whole non-negative num; NULL unless den > 0."""
+    n, d = _c(num).cast("long"), _c(den).cast("long")
+    q = F.when(d > 0, _int_div(n, d))
+    twice = (n - q * d) * 2
+    up = (twice > d) | ((twice == d) & (F.pmod(q, F.lit(2)) == 1))
+    return q + up.cast("long")
 
 
 def _int_div(a: Column, b: Column) -> Column:
@@ -158,11 +166,6 @@ def _int_div(a: Column, b: Column) -> Column:
     return ((a - F.pmod(a, b)) / b).cast("long")
 
 
-def round_half_even(c, scale: int = 2) -> Column:
-    """Python/pandas ``round``: banker's rounding (Spark ``bround``)."""
-    return F.bround(_c(c), scale)
-
-
 def quintile_from_rank(rn="rn", n="n_total") -> Column:
     """``qcut(rank, 5)`` label 1..5 as exact integer arithmetic.
 

@@ -89,7 +89,7 @@ def sample_ids(df: DataFrame, k: int = 6, seed: int = 42, id_col: str = "custome
     limit is the feature).  ``orderBy(...).limit(k)`` plans as TakeOrderedAndProject,
     a per-partition top-k, not a full sort."""
     return (df.select(id_col)
-            .orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col))
+            .orderBy(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed)))), F.col(id_col))
             .limit(k))
 
 
@@ -121,16 +121,19 @@ def customer_profile_long(df: DataFrame, columns: list[str] | None = None,
     return (df.select(F.col(id_col), F.inline(pairs)))
 
 
+#: Regex patterns that are tested together.
+REGEX_BLOCK = 256
+
+
 def lookup_customer(subs: DataFrame, queries: DataFrame, q_col: str = "query",
-                    id_col: str = "customerID", regex_broadcast_limit: int = 10_000) -> DataFrame:
+                    id_col: str = "customerID") -> DataFrame:
     """Resolve search strings to customers.
 
     1. case-insensitive equality (equi-join);
     2. otherwise case-insensitive *contains*; the first match (smallest id) wins.
        Literal strings (no regex metacharacters) are matched with an equi-join
        on the id's substrings of the query's length, which scales like a hash
-       join; true regex patterns are tested per id from one scalar array
-       (below a checked count, otherwise a plain nested-loop join).
+       join; regex patterns are tested against all ids in blocks of patterns.
 
     Returns (query, customerID, match_type) for queries with a match.
     """
@@ -161,17 +164,15 @@ def lookup_customer(subs: DataFrame, queries: DataFrame, q_col: str = "query",
                              & (literal._q == subs_ids._sub))
                 .groupBy("query").agg(F.min("_id").alias(id_col)))
     pats = rest.filter(is_regex).withColumn("_pat", F.concat(F.lit("(?i)"), F.trim("query")))
-    n_pats = pats.count()
-    if n_pats <= regex_broadcast_limit:
-        # checked count: the patterns ride along as one scalar array; each id
-        # keeps only the patterns it matches
-        arr = scalar_struct(pats.agg(F.collect_list(F.struct("query", "_pat")).alias("p")))["p"]
-        rx_hits = (ids.withColumn("_pats", arr)
-                   .select("_id", F.explode(F.filter(
-                       "_pats", lambda p: F.regexp_like(F.col("_id"), p["_pat"]))).alias("_m"))
-                   .groupBy(F.col("_m.query").alias("query")).agg(F.min("_id").alias(id_col)))
-    else:
-        rx_hits = (ids.join(pats, F.regexp_like(F.col("_id"), F.col("_pat")))
-                   .groupBy("query").agg(F.min("_id").alias(id_col)))
+    # Patterns are dealt into blocks of about REGEX_BLOCK; every id meets every block once
+    # (an equi-join on the block) and keeps the patterns it matches. The same at every size.
+    n_blocks = scalar_struct(pats.agg(F.greatest(F.ceil(F.count("query") / F.lit(REGEX_BLOCK)), F.lit(1)).alias("n")))["n"]
+    blocks = (pats.withColumn("_block", F.pmod(F.xxhash64("query"), n_blocks))
+              .groupBy("_block").agg(F.collect_list(F.struct("query", "_pat")).alias("_pats")))
+    rx_hits = (ids.select("_id", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("_block"))
+               .join(blocks, "_block")
+               .select("_id", F.explode(F.filter(
+                   "_pats", lambda p: F.regexp_like(F.col("_id"), p["_pat"]))).alias("_m"))
+               .groupBy(F.col("_m.query").alias("query")).agg(F.min("_id").alias(id_col)))
     contains = lit_hits.unionByName(rx_hits).withColumn("match_type", F.lit("contains"))
     return exact.unionByName(contains)

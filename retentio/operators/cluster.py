@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from retentio.functions.expr import pct_1dp
+from retentio.functions.expr import half_even_quotient
+from retentio.operators.features import standardize
 
 # Clustering features, in order.
 CLUSTER_FEATURES = ["tenure", "MonthlyCharges", "TotalCharges", "engagement_score",
@@ -22,13 +23,12 @@ CLUSTER_FEATURES = ["tenure", "MonthlyCharges", "TotalCharges", "engagement_scor
 
 
 def cluster_vectors(df: DataFrame, features: list[str] | None = None) -> DataFrame:
-    """Standardised feature vector ``xs`` (population sd via the scaler) per row."""
+    """Standardised feature vector ``xs`` (population sd) per row."""
     feats = [c for c in (features or CLUSTER_FEATURES) if c in df.columns]
     filled = df.fillna(0, subset=feats)
-    asm = VectorAssembler(inputCols=feats, outputCol="_x")
-    x = asm.transform(filled)
-    scaler = StandardScaler(inputCol="_x", outputCol="xs", withMean=True, withStd=True).fit(x)
-    return scaler.transform(x).drop("_x")
+    scaled = standardize(filled, feats, suffix="_scaled")
+    names = [f"{c}_scaled" for c in feats]
+    return VectorAssembler(inputCols=names, outputCol="xs").transform(scaled).drop(*names)
 
 
 def _fit(vec: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
@@ -62,7 +62,7 @@ def best_kmeans(vec: DataFrame, k: int, n_init: int = 10, seed: int = 42,
 
 
 def prepared_vectors(df: DataFrame) -> DataFrame:
-    """Standardised vectors, partitions sized by row count, persisted for the repeated fits."""
+    """Standardised vectors, partitions balanced by bytes, persisted for the repeated fits."""
     from retentio.operators.models import size_partitions
     return size_partitions(cluster_vectors(df))
 
@@ -134,6 +134,8 @@ def cluster_profile(clustered: DataFrame, target: str = "Churn", id_col: str = "
     """Count, churn %, mean tenure and monthly charge per cluster."""
     t = F.col(target)
     return clustered.groupBy("Cluster").agg(
-        F.count(id_col).alias("Count"), pct_1dp(F.sum(t), F.count(t)).alias("Churn_Rate_pct"),
+        F.count(id_col).alias("Count"),
+        # the rate is rounded to two places before it becomes a percentage
+        half_even_quotient(F.lit(100) * F.sum(t), F.count(t)).cast("double").alias("Churn_Rate_pct"),
         F.round(F.avg("tenure"), 2).alias("Avg_Tenure"),
         F.round(F.avg("MonthlyCharges"), 2).alias("Avg_Monthly"))

@@ -9,14 +9,14 @@
   i.e. 0 in scaled space) to the customer's value one at a time; the change in
   the class-1 probability is that feature's contribution; averaged over
   permutations.  Rows: customers x m x (features + 1), scored in one
-  ``transform``; every window is partitioned by customer.
+  ``transform`` and summed by (customer, feature); no window.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def _scaled(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -30,6 +30,12 @@ def _scaled(model: PipelineModel, df: DataFrame) -> DataFrame:
 def shap_linear(model: PipelineModel, df: DataFrame, features: list[str],
                 id_col: str = "customerID") -> DataFrame:
     """X5 (linear): (id, feature, value, shap) for every customer and feature."""
+    return shap_linear_arrays(model, df, features, id_col).select(id_col, F.inline("attr"))
+
+
+def shap_linear_arrays(model: PipelineModel, df: DataFrame, features: list[str],
+                       id_col: str = "customerID") -> DataFrame:
+    """X5 (linear): one row per customer with an array of (feature, value, shap)."""
     clf = model.stages[-1]
     coef = clf.coefficients.toArray().tolist()
     xs = _scaled(model, df).select(id_col, vector_to_array("scaled").alias("_xs"),
@@ -38,8 +44,8 @@ def shap_linear(model: PipelineModel, df: DataFrame, features: list[str],
     names = F.array(*[F.lit(f) for f in features])
     z = F.arrays_zip(names.alias("feature"), F.col("_x").alias("value"), F.col("_xs").alias("xs"),
                      coefs.alias("coef"))
-    return (xs.select(id_col, F.inline(z))
-            .select(id_col, "feature", "value", (F.col("coef") * F.col("xs")).alias("shap")))
+    return xs.select(id_col, F.transform(z, lambda s: F.struct(
+        s["feature"].alias("feature"), s["value"].alias("value"), (s["coef"] * s["xs"]).alias("shap"))).alias("attr"))
 
 
 def shap_sampled(model: PipelineModel, df: DataFrame, features: list[str], m: int = 8,
@@ -64,35 +70,58 @@ def shap_sampled(model: PipelineModel, df: DataFrame, features: list[str], m: in
                 idx, lambda i: F.when(F.col("_rank")[i] < F.col("_j"), F.col("_xs")[i])
                 .otherwise(F.lit(0.0))))
             .withColumn("scaled", array_to_vector("_masked")))
-    pred = clf.transform(rows.select(id_col, "_m", "_j", "_perm", "_x", "scaled"))
-    prob = vector_to_array("probability")[1]
-    w = Window.partitionBy(id_col, "_m").orderBy("_j")
-    steps = (pred.select(id_col, "_m", "_j", "_perm", "_x", prob.alias("_f"))
-             .withColumn("_delta", F.col("_f") - F.lag("_f").over(w))
-             .filter(F.col("_j") > 0)
-             .withColumn("_fi", F.col("_perm")[F.col("_j") - 1]))
+    pred = clf.transform(rows.select(id_col, "_j", "_perm", "_x", "scaled"))
+    f = vector_to_array("probability")[1]
+    # Row j has the first j features switched on: it closes the step of feature perm[j - 1]
+    # and opens that of perm[j]. Summed by feature in the tasks, nothing needs an order.
+    part = lambda at, sign: F.struct(
+        F.get("_perm", at).alias("i"), F.get("_x", F.get("_perm", at).cast("int")).alias("value"), (sign * F.col("_f")).alias("d"))
+    steps = (pred.select(id_col, "_j", "_perm", "_x", f.alias("_f"))
+             .select(id_col, F.explode(F.filter(F.array(part(F.col("_j") - 1, 1.0), part(F.col("_j"), -1.0)),
+                                                lambda s: s["i"].isNotNull())).alias("_s")))
     names = F.array(*[F.lit(f) for f in features])
-    return (steps.groupBy(id_col, "_fi").agg(F.avg("_delta").alias("shap"), F.first("_x").alias("_x"))
-            .select(id_col, names[F.col("_fi")].alias("feature"),
-                    F.col("_x")[F.col("_fi")].alias("value"), "shap"))
+    return (steps.groupBy(id_col, F.col("_s.i").alias("_fi"))
+            .agg((F.sum("_s.d") / m).alias("shap"), F.max("_s.value").alias("value"))
+            .select(id_col, names[F.col("_fi")].alias("feature"), "value", "shap"))
+
+
+def as_arrays(attr: DataFrame, id_col: str = "customerID") -> DataFrame:
+    """Long attributions as one row per customer with an array of (feature, value, shap)."""
+    return attr.groupBy(id_col).agg(F.collect_list(F.struct("feature", "value", "shap")).alias("attr"))
+
+
+def _by(keys):
+    """Comparator of attributions: ``keys`` gives the values to compare, smaller first."""
+    def compare(a, b):
+        out = F.lit(0)
+        for x, y in reversed(list(zip(keys(a), keys(b)))):
+            out = F.when(x < y, -1).when(x > y, 1).otherwise(out)
+        return out
+    return compare
+
+
+def _largest(attr: DataFrame, k: int, id_col: str) -> DataFrame:
+    rows = attr if "attr" in attr.columns else as_arrays(attr, id_col)
+    strongest = F.array_sort("attr", _by(lambda s: (-F.abs(s["shap"]), s["feature"])))
+    return rows.select(id_col, F.array_sort(F.slice(strongest, 1, k), _by(lambda s: (s["shap"], s["feature"]))).alias("attr"))
 
 
 def top_attributions(attr: DataFrame, k: int = 12, id_col: str = "customerID") -> DataFrame:
-    """Per customer the k largest |shap|, re-ordered by signed value (pos 1 = most negative)."""
-    w_abs = Window.partitionBy(id_col).orderBy(F.abs("shap").desc(), F.col("feature"))
-    top = attr.withColumn("_r", F.row_number().over(w_abs)).filter(F.col("_r") <= k)
-    w_sig = Window.partitionBy(id_col).orderBy(F.col("shap").asc(), F.col("feature"))
-    return top.withColumn("pos", F.row_number().over(w_sig)).drop("_r")
+    """Per customer the k largest |shap|, re-ordered by signed value (pos 1 = most negative).
+
+    ``attr`` has one row per customer with an array (no shuffle), or is long.
+    """
+    return _largest(attr, k, id_col).select(id_col, F.posexplode("attr").alias("_p", "_s")).select(
+        id_col, "_s.feature", "_s.value", "_s.shap", (F.col("_p") + 1).alias("pos"))
 
 
 def attribution_reasons(attr: DataFrame, k: int = 12, up: int = 3, down: int = 2,
                         id_col: str = "customerID") -> DataFrame:
     """Among the top-k attributions, the 3 strongest risk drivers and 2 strongest reducers."""
-    top = top_attributions(attr, k, id_col)
-    w_up = Window.partitionBy(id_col).orderBy(F.col("shap").desc(), F.col("feature"))
-    w_dn = Window.partitionBy(id_col).orderBy(F.col("shap").asc(), F.col("feature"))
-    ups = (top.filter(F.col("shap") > 0).withColumn("rank", F.row_number().over(w_up))
-           .filter(F.col("rank") <= up).withColumn("direction", F.lit("increases risk")))
-    dns = (top.filter(F.col("shap") < 0).withColumn("rank", F.row_number().over(w_dn))
-           .filter(F.col("rank") <= down).withColumn("direction", F.lit("reduces risk")))
-    return ups.unionByName(dns).select(id_col, "direction", "rank", "feature", "value", "shap")
+    top = _largest(attr, k, id_col)
+    ups = F.slice(F.array_sort(F.filter("attr", lambda s: s["shap"] > 0), _by(lambda s: (-s["shap"], s["feature"]))), 1, up)
+    dns = F.slice(F.filter("attr", lambda s: s["shap"] < 0), 1, down)
+    named = lambda arr, text: F.transform(arr, lambda s, i: F.struct(
+        F.lit(text).alias("direction"), (i + 1).alias("rank"), s["feature"].alias("feature"),
+        s["value"].alias("value"), s["shap"].alias("shap")))
+    return top.select(id_col, F.inline(F.concat(named(ups, "increases risk"), named(dns, "reduces risk"))))

@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from retentio.functions.expr import (SERVICE_COLUMNS, charges_per_month, engagement_score,
-                                     quintile_from_edges, quintile_from_rank, segment_label,
+                                     quintile_from_edges, segment_label,
                                      tenure_group)
 from retentio.operators.clean import string_columns
-from retentio.operators.rank import exact_rank, materialize_if_derived
+from retentio.operators.rank import exact_rank
 from retentio.operators.scalars import with_scalars
 
 _QUINTILES = [0.2, 0.4, 0.6, 0.8]
@@ -40,7 +40,6 @@ def add_rfm_proxies(df: DataFrame, tenure: str = "tenure") -> DataFrame:
     """recency = max(tenure) - tenure, frequency = engagement, monetary = TotalCharges."""
     if "engagement_score" not in df.columns:
         df = add_engagement(df)
-    df = materialize_if_derived(df)
     mx = df.agg(F.max(tenure).alias("_max_tenure"))
     return (with_scalars(df, mx)
             .withColumn("recency", (F.col("_max_tenure") - F.col(tenure)).cast("int"))
@@ -62,7 +61,6 @@ def recency_edges(df: DataFrame, col: str = "recency") -> DataFrame:
 
 def add_r_score(df: DataFrame, col: str = "recency") -> DataFrame:
     """``qcut(recency, 5, labels=[5..1])`` via broadcast edges."""
-    df = materialize_if_derived(df)
     edges = recency_edges(df, col)
     e = [F.col(f"_e{i}") for i in range(5)]
     return (with_scalars(df, edges)
@@ -72,10 +70,21 @@ def add_r_score(df: DataFrame, col: str = "recency") -> DataFrame:
 
 def add_rank_quintile(df: DataFrame, value: str, out: str, id_col: str = "customerID",
                       num_partitions: int | None = None) -> DataFrame:
-    """``qcut(value.rank(method='first'), 5)`` -> 1..5, exact at any scale."""
-    ranked = exact_rank(df, [F.col(value).asc_nulls_first(), F.col(id_col).asc_nulls_first()],
+    """``qcut(value.rank(method='first'), 5)`` -> 1..5, exact at any scale.
+
+    Only (value, id) is ranked; the four rows that close the lower quintiles are attached
+    as one scalar, and a row's label is one more than the cuts that stand before it.
+    """
+    ranked = exact_rank(df.select(F.col(value).alias("v"), F.col(id_col).alias("i")),
+                        [F.col("v").asc_nulls_first(), F.col("i").asc_nulls_first()],
                         rank_col="_rn", total_col="_n", num_partitions=num_partitions)
-    return ranked.withColumn(out, quintile_from_rank("_rn", "_n")).drop("_rn", "_n")
+    # label k ends at rank 1 + floor(k (n - 1) / 5)
+    ends = [1 + (F.lit(k) * (F.col("_n") - 1) - F.pmod(F.lit(k) * (F.col("_n") - 1), F.lit(5))) / 5 for k in range(1, 5)]
+    cuts = ranked.agg(*[F.max(F.when(F.col("_rn") == e, F.struct("v", "i"))).alias(f"_cut{k}")
+                        for k, e in enumerate(ends)])
+    own = F.struct(F.col(value).alias("v"), F.col(id_col).alias("i"))
+    label = sum((F.when(own > F.col(f"_cut{k}"), 1).otherwise(0) for k in range(4)), F.lit(1))
+    return with_scalars(df, cuts).withColumn(out, label.cast("int")).drop(*[f"_cut{k}" for k in range(4)])
 
 
 def add_rfm_scores(df: DataFrame, id_col: str = "customerID",
@@ -89,8 +98,8 @@ def add_rfm_scores(df: DataFrame, id_col: str = "customerID",
 
 
 def all_features(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """F1 -> F2 -> F3 -> F4 -> W1-W3 -> F5 (a derived input is materialised once)."""
-    out = add_tenure_group(materialize_if_derived(df))
+    """F1 -> F2 -> F3 -> F4 -> W1-W3 -> F5."""
+    out = add_tenure_group(df)
     out = add_engagement(out)
     out = add_charges_per_month(out)
     out = add_rfm_proxies(out)
@@ -99,18 +108,14 @@ def all_features(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- encoding
 
-def categorical_levels(df: DataFrame, cols: list[str], max_levels: int = 1000) -> dict[str, list]:
+def categorical_levels(df: DataFrame, cols: list[str]) -> dict[str, list]:
     """Distinct levels per column (sorted, NULL excluded) in one aggregation pass.
 
-    Only the level lists reach the driver; a column with more than
-    ``max_levels`` distinct values is rejected (an id is not a category).
+    The caller names the categorical columns (``categorical_columns`` leaves ids out);
+    one output column per level is what the encoding means, so levels are not limited.
     """
     if not cols:
         return {}
-    approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    too_many = [c for c in cols if approx[c] > max_levels * 1.1]
-    if too_many:
-        raise ValueError(f"columns with too many levels for one-hot encoding: {too_many}")
     row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first()
     return {c: list(row[c]) for c in cols}
 

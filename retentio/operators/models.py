@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from retentio.operators import metrics as M
 from retentio.operators.clean import DROP_COLS, string_columns
 from retentio.operators.features import categorical_levels
-from retentio.operators.rank import exact_rank
+from retentio.operators.rank import exact_rank, input_bytes
 from retentio.operators.scalars import with_scalars
 
 # Reference model settings (sklearn names in comments).
@@ -48,22 +48,26 @@ def stratified_split(df: DataFrame, label: str = "Churn", test_fraction: float =
                      seed: int = 42, id_col: str = "customerID") -> DataFrame:
     """M1: exact per-class 80/20 split, seeded.
 
-    Within each class, rows are ordered by ``xxhash64(id, seed)`` (ties by id)
-    with the distributed rank; the first ``round(test_fraction * n_class)`` rows
-    of each class are the test split.  Rows with a NULL label are dropped.
+    Within each class, rows are ordered by ``md5(id || seed)`` (ties by id); the first
+    ``round(test_fraction * n_class)`` rows of each class are the test split.  Only
+    (class, hash, id) is ranked; the last test row of each class is the cut its rows are
+    compared with.  Rows with a NULL label are dropped.
     """
-    lab = df.filter(F.col(label).isNotNull()).withColumn(
-        "_h", F.xxhash64(F.col(id_col), F.lit(seed)))
-    counts = lab.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    w = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    key = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
+    lab = df.filter(F.col(label).isNotNull())
+    slim = lab.select(F.col(label).alias("_l"), key.alias("h"), F.col(id_col).alias("i"))
+    counts = slim.groupBy("_l").agg(F.count(F.lit(1)).alias("_nc"))
+    w = Window.orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)
     # one row per class: a two-row table
-    offs = counts.select(label, "_nc", F.coalesce(F.sum("_nc").over(w), F.lit(0)).alias("_off"))
-    ranked = exact_rank(lab, [F.col(label), F.col("_h"), F.col(id_col)], rank_col="_r",
-                        total_col=None)
+    offs = counts.select("_l", "_nc", F.coalesce(F.sum("_nc").over(w), F.lit(0)).alias("_off"))
+    ranked = exact_rank(slim, [F.col("_l"), F.col("h"), F.col("i")], rank_col="_r", total_col=None)
     k = F.round(F.col("_nc") * F.lit(float(test_fraction))).cast("long")
-    return (ranked.join(F.broadcast(offs), label)
-            .withColumn("split", F.when(F.col("_r") - F.col("_off") <= k, "test").otherwise("train"))
-            .drop("_h", "_r", "_nc", "_off"))
+    cuts = (ranked.join(offs, "_l").filter(F.col("_r") - F.col("_off") == k)
+            .select(F.col("_l"), F.struct("h", "i").alias("_cut")))
+    own = F.struct(key.alias("h"), F.col(id_col).alias("i"))
+    return (lab.join(cuts, lab[label] == cuts["_l"], "left")
+            .withColumn("split", F.when(own <= F.col("_cut"), "test").otherwise("train"))
+            .drop("_l", "_cut"))
 
 
 def class_weights(df: DataFrame, label: str = "Churn") -> DataFrame:
@@ -141,17 +145,18 @@ def _classifier(name: str, label: str, params: dict | None = None):
     raise ValueError(f"unknown model {name}")
 
 
-def size_partitions(df: DataFrame, rows_per_partition: int = 500_000) -> DataFrame:
-    """Persisted copy with partitions sized by row count (at most one per core).
+#: Estimated input bytes of a partition of a training table.
+TRAIN_PARTITION_BYTES = 32 << 20
 
-    Iterative learners (boosting rounds, k-means steps) run several small
-    jobs per iteration; on small inputs extra partitions only add task
-    overhead, on large inputs the count gives one partition per ~500k rows.
+
+def size_partitions(df: DataFrame) -> DataFrame:
+    """Persisted copy, its partitions in proportion to the bytes that ``df`` reads.
+
+    Iterative learners (boosting rounds, k-means steps) run several small jobs per
+    iteration, so partitions should be no smaller than needed. The repartition is an
+    exchange: the work before it keeps its own parallelism.
     """
-    cores = max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    n = df.count()
-    parts = int(min(max(-(-n // rows_per_partition), 1), cores))
-    out = df.coalesce(parts).persist()
+    out = df.repartition(1 + input_bytes(df) // TRAIN_PARTITION_BYTES).persist()
     out.count()  # fill the cache once, before concurrent fits read it
     return out
 

@@ -27,28 +27,23 @@ from retentio.session import ensure_checkpoint_dir
 from retentio.operators.scalars import with_scalars
 
 _LOW33 = (1 << 33) - 1
-
-
-def materialize_if_derived(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` once if its plan has joins or aggregates, else return it.
-
-    Operators that combine a global statistic with every row (max tenure,
-    quantile edges, moments) reference their input twice; over a scan that
-    is two pruned reads, but over a derived plan (the subscriber view's
-    joins and aggregates) each reference would recompute the whole lineage.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(k in plan for k in ("Join ", "Aggregate ", "Window ", "Sort ", "Expand ")):
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    return df
+#: Estimated input bytes of a range partition.
+RANK_PARTITION_BYTES = 128 << 20
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
         return int(num_partitions)
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # An explicit range partitioning is not resized by adaptive execution: follow the input's bytes.
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // RANK_PARTITION_BYTES, 1)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Estimated bytes of the tables that ``df`` reads; sources that Spark cannot size count as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(s for s in sizes if s < 1 << 60)
 
 
 def _sorted_layout(df: DataFrame, order: list[Column], num_partitions: int | None) -> DataFrame:
@@ -132,19 +127,18 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: str | Non
                     num_partitions: int | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas/numpy ``linear``) per group.
 
-    Spark's ``percentile`` merges every distinct value of a group into one
-    task; here the order statistics come from the distributed rank instead, so
-    no task holds more than one range partition.  Output: one row per group
-    with ``q0..q{k-1}`` (and ``n``).  NULL values are ignored.
+    Rows are first counted by (group, value), which Spark combines in the tasks, so a
+    value held by most rows is one row from then on; the order statistics are read off
+    running totals of the counts.  Output: one row per group with ``q0..q{k-1}`` (and
+    ``n``).  NULL values are ignored.
     """
     g = F.col(by) if by else F.lit(0)
-    slim = df.select(g.alias("_g"), F.col(value).cast("double").alias("_x")).filter(
-        F.col("_x").isNotNull())
-    counts = slim.groupBy("_g").agg(F.count(F.lit(1)).alias("_ng"))
+    tally = (df.select(g.alias("_g"), F.col(value).cast("double").alias("_x"))
+             .filter(F.col("_x").isNotNull()).groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_c")))
+    counts = tally.groupBy("_g").agg(F.sum("_c").alias("_ng"))
     w = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     goff = counts.select("_g", "_ng", F.coalesce(F.sum("_ng").over(w), F.lit(0)).alias("_goff"))
-    ranked = exact_rank(slim, [F.col("_g"), F.col("_x")], rank_col="_r", total_col=None,
-                        num_partitions=num_partitions)
+    ranked = running_totals(tally, [F.col("_g"), F.col("_x")], {"c": "_c"}, num_partitions=num_partitions)
     # positions (1-based, within group) needed for each probability
     pos = goff
     for i, p in enumerate(probs):
@@ -152,19 +146,19 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: str | Non
         pos = (pos.withColumn(f"_h{i}", h)
                .withColumn(f"_lo{i}", F.floor(h).cast("long") + 1)
                .withColumn(f"_hi{i}", F.ceil(h).cast("long") + 1))
+    # one row per group; a single global group is a one-row table, attached as a scalar
+    # subquery (a join on a constant key would plan as a nested loop)
+    j = ranked.join(pos, "_g") if by else with_scalars(ranked, pos.drop("_g"))
+    last = F.col("cum_c") - F.col("_goff")  # place in the group of the value's last row
+    holds = lambda at: (F.col(at) <= last) & (F.col(at) > last - F.col("_c"))
     wanted = F.lit(False)
-    # one row per group: broadcast on the group key; a single global group is a
-    # one-row table, attached as a scalar subquery (a join on a constant key
-    # would plan as a nested loop)
-    j = (ranked.join(F.broadcast(pos), "_g") if by else with_scalars(ranked, pos.drop("_g"))
-         ).withColumn("_wr", F.col("_r") - F.col("_goff"))
     for i in range(len(probs)):
-        wanted = wanted | (F.col("_wr") == F.col(f"_lo{i}")) | (F.col("_wr") == F.col(f"_hi{i}"))
+        wanted = wanted | holds(f"_lo{i}") | holds(f"_hi{i}")
     picked = j.filter(wanted)
     aggs = []
     for i in range(len(probs)):
-        lo = F.max(F.when(F.col("_wr") == F.col(f"_lo{i}"), F.col("_x")))
-        hi = F.max(F.when(F.col("_wr") == F.col(f"_hi{i}"), F.col("_x")))
+        lo = F.max(F.when(holds(f"_lo{i}"), F.col("_x")))
+        hi = F.max(F.when(holds(f"_hi{i}"), F.col("_x")))
         frac = F.first(F.col(f"_h{i}")) - F.floor(F.first(F.col(f"_h{i}")))
         aggs.append((lo + frac * (hi - lo)).alias(f"q{i}"))
     out = picked.groupBy("_g").agg(F.first("_ng").alias("n"), *aggs)

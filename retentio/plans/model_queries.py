@@ -23,7 +23,7 @@ from retentio.operators import models as MD
 from retentio.operators import roi as X
 from retentio.operators import whatif as WI
 from retentio.plans.registry import _profiles, clean_table, features_table, register
-from retentio.sources.io import table_available
+from retentio.sources.io import delete_table, table_available
 from retentio.sources.processed import _root, fingerprint
 
 _CACHE: dict = {}
@@ -31,12 +31,13 @@ _LOCK = threading.RLock()
 
 
 def _key(spark, d):
-    return (spark.sparkContext.applicationId, d)
+    """Session, data and code: what is kept in memory is dropped with a change of either."""
+    return (spark.sparkContext.applicationId, d, _model_dir(spark, d, "key"))
 
 
 def _model_dir(spark, d, kind: str) -> str:
     """Shared-storage folder for fitted models, keyed by data and training code."""
-    h = hashlib.sha1(fingerprint(d, ["customer", "orders", "nation", "region"]).encode())
+    h = hashlib.sha1(fingerprint(spark, d, ["customer", "orders", "nation", "region"]).encode())
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for m in ("operators/models.py", "operators/cluster.py"):
         with open(os.path.join(pkg, m), "rb") as f:
@@ -49,11 +50,15 @@ def _slug(name: str) -> str:
 
 
 def split_table(spark, d) -> DataFrame:
-    """Feature table with the seeded stratified split (checkpointed once per session)."""
+    """Feature table with the seeded stratified split (stored once per data and code version)."""
     k = ("split",) + _key(spark, d)
     with _LOCK:
         if k not in _CACHE:
-            _CACHE[k] = MD.stratified_split(features_table(spark, d)).checkpoint(eager=True)
+            # The split is stored, so later sessions score the same test rows
+            path = _model_dir(spark, d, "split")
+            if not table_available(spark, path + "/_SUCCESS"):
+                MD.stratified_split(features_table(spark, d)).write.mode("overwrite").parquet(path)
+            _CACHE[k] = spark.read.parquet(path)
         return _CACHE[k]
 
 
@@ -69,6 +74,9 @@ def fitted(spark, d, refresh: bool = False):
     with _LOCK:
         if k in _CACHE and not refresh:
             return _CACHE[k]
+        if refresh:
+            _CACHE.pop(("comparison",) + _key(spark, d), None)
+            delete_table(spark, _model_dir(spark, d, "comparison"))
         root = _model_dir(spark, d, "models")
         names = list(MD.MODEL_PARAMS)
         done = f"{root}/spec"
@@ -95,7 +103,10 @@ def _test(spark, d):
     return split_table(spark, d).filter(F.col("split") == "test").drop("split")
 
 
-@register("stratified_split")
+@register("stratified_split", """WITH """ + __import__("retentio.plans.oracle", fromlist=["x"]).CLEAN_CTE + """
+SELECT customerID, Churn, CASE WHEN row_number() OVER (PARTITION BY Churn ORDER BY md5(customerID || '42'), customerID)
+    <= round(count(*) OVER (PARTITION BY Churn) * 0.2) THEN 'test' ELSE 'train' END AS split
+FROM clean WHERE Churn IS NOT NULL""")
 def q_stratified_split(spark, d):
     return split_table(spark, d).select("customerID", "Churn", "split")
 
@@ -135,13 +146,16 @@ def q_soft_vote(spark, d):
 
 
 def _comparison(spark, d):
-    """M15 table (<= 6 rows), evaluated once per session and data directory."""
+    """M15 table (<= 6 rows), evaluated and stored once per data and code version."""
     k = ("comparison",) + _key(spark, d)
     with _LOCK:
         if k in _CACHE:
             return _CACHE[k]
-    models, _ = fitted(spark, d)
-    cmp = MD.model_comparison(models, split_table(spark, d)).checkpoint(eager=True)
+    path = _model_dir(spark, d, "comparison")
+    if not table_available(spark, path + "/_SUCCESS"):
+        models, _ = fitted(spark, d)
+        MD.model_comparison(models, split_table(spark, d)).coalesce(1).write.mode("overwrite").parquet(path)
+    cmp = spark.read.parquet(path)
     with _LOCK:
         _CACHE[k] = cmp
     return cmp
@@ -230,24 +244,22 @@ def q_shap_linear(spark, d):
 @register("top_attributions")
 def q_top_attributions(spark, d):
     models, spec = fitted(spark, d)
-    attr = EX.shap_linear(models["Logistic Regression"], features_table(spark, d), spec.features)
+    attr = EX.shap_linear_arrays(models["Logistic Regression"], features_table(spark, d), spec.features)
     return EX.top_attributions(attr, 12)
 
 
 @register("attribution_reasons")
 def q_attribution_reasons(spark, d):
     models, spec = fitted(spark, d)
-    attr = EX.shap_linear(models["Logistic Regression"], features_table(spark, d), spec.features)
+    attr = EX.shap_linear_arrays(models["Logistic Regression"], features_table(spark, d), spec.features)
     return EX.attribution_reasons(attr)
 
 
 @register("shap_sampled")
 def q_shap_sampled(spark, d):
-    """Sampled Shapley values of the forest for every HIGH-risk customer (prob >= .65)."""
+    """Sampled Shapley values of the forest for every customer."""
     models, spec = fitted(spark, d)
-    rf = models["Random Forest"]
-    high = MD.score(rf, features_table(spark, d)).filter(F.col("churn_prob") >= 0.65).drop("churn_prob")
-    return EX.shap_sampled(rf, high, spec.features, m=8)
+    return EX.shap_sampled(models["Random Forest"], features_table(spark, d), spec.features, m=8)
 
 
 def kmeans_fits(spark, d, refresh: bool = False):

@@ -131,9 +131,8 @@ feat AS (
 
 
 def pct1(num: str, den: str) -> str:
-    """Half-up 1-dp percentage in exact integer arithmetic (mirrors functions.pct_1dp)."""
-    return (f"CAST((2000 * CAST({num} AS BIGINT) + CAST({den} AS BIGINT)) "
-            f"// (2 * CAST({den} AS BIGINT)) AS DOUBLE) / 10.0")
+    """Percentage to 1 dp, ties to even (DuckDB's own rounding)."""
+    return f"round_even(100.0 * CAST({num} AS DOUBLE) / {den}, 1)"
 
 
 def with_raw(body: str) -> str:

@@ -593,11 +593,21 @@ SELECT customerID, churn_prob, clv,
   CASE WHEN churn_prob >= 0.65 AND clv >= {_PROF['clv_high']} THEN 500
        WHEN churn_prob >= 0.65 THEN 200
        WHEN churn_prob >= 0.35 AND clv >= {_PROF['clv_mid']} THEN 300
-       WHEN churn_prob >= 0.35 THEN 50 ELSE 10 END AS action_cost
+       WHEN churn_prob >= 0.35 THEN 50 ELSE 10 END AS action_cost,
+  CASE WHEN churn_prob >= 0.65 AND clv >= {_PROF['clv_high']} THEN 'Immediate personal outreach. High-value at critical risk.'
+       WHEN churn_prob >= 0.65 THEN 'Send personalised discount via email/SMS within 24h.'
+       WHEN churn_prob >= 0.35 AND clv >= {_PROF['clv_mid']} THEN 'Reward tenure with a free service upgrade for 3 months.'
+       WHEN churn_prob >= 0.35 THEN 'Email + push notification nurture sequence.'
+       ELSE 'Continue standard experience. Review in 3 months.' END AS reason,
+  CASE WHEN churn_prob >= 0.65 AND clv >= {_PROF['clv_high']} THEN 40
+       WHEN churn_prob >= 0.65 THEN 30
+       WHEN churn_prob >= 0.35 AND clv >= {_PROF['clv_mid']} THEN 20
+       WHEN churn_prob >= 0.35 THEN 15 ELSE 5 END AS action_lift_pct
 FROM a""".replace("\n,\na AS", ", a AS", 1).replace(",\na AS", ", a AS", 1)))
 def q_retention_action(spark, d):
     s = X.with_heuristic_score(clean_table(spark, d))
-    return X.retention_actions(s).select("customerID", "churn_prob", "clv", "action", "action_cost")
+    return X.retention_actions(s).select("customerID", "churn_prob", "clv", "action", "action_cost",
+                                           "reason", "action_lift_pct")
 
 
 def _strategy_sql() -> str:
@@ -827,7 +837,7 @@ def q_customer_profile_long(spark, d):
     return C.customer_profile_long(clean_table(spark, d), _PROFILE_COLS)
 
 
-@register("sample_ids")
+@register("sample_ids", O.with_clean("SELECT customerID FROM clean ORDER BY md5(customerID || '42'), customerID LIMIT 6"))
 def q_sample_ids(spark, d):
     return C.sample_ids(clean_table(spark, d), 6, 42)
 

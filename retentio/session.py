@@ -32,7 +32,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests) make one.
 
     On a cluster the directory must be shared storage, so the session's
-    setting always wins; the temporary fallback exists for local runs only.
+    setting always wins; without one, any master but a local one is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="retentio-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

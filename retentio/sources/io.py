@@ -84,3 +84,9 @@ def load_or_build(spark: SparkSession, processed_path: str,
         save_table(df, processed_path)
         return load_table(spark, processed_path)
     return df
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a stored table, on whatever file system it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -3,9 +3,9 @@
 The reference builds its processed feature table once and every page reads it.
 Here the clean and feature tables are written as Parquet to the shared folder
 the session names in ``spark.checkpoint.dir`` (never a machine-local path on a
-cluster), under a name that fingerprints the source files (path, size,
-modification time) and the building code, so a changed input or a changed
-operator is never served stale.  Readers get a
+cluster), under a name that fingerprints the source files (path, length,
+modification time, as Hadoop lists them) and the package's code, so a changed input
+or operator is not served stale.  Readers get a
 plain Parquet scan: column pruning and predicate pushdown apply, and no joins,
 dedup or ranks are recomputed per query.  A table counts as present only when
 its ``_SUCCESS`` marker exists, so a failed write is rebuilt.
@@ -32,32 +32,36 @@ def _root(spark: SparkSession) -> str:
     return base.rstrip("/") + "/retentio-processed"
 
 
-_CODE_MODULES = ["sources/subscribers.py", "sources/tables.py", "operators/clean.py",
-                 "operators/features.py", "operators/rank.py", "functions/expr.py",
-                 "sources/processed.py"]
-
-
 def code_version() -> str:
-    """Hash of the code that builds processed tables: a code change forces a rebuild."""
+    """Hash of the package's operators, functions and sources: a change there forces a rebuild."""
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     h = hashlib.sha1()
-    for m in _CODE_MODULES:
-        with open(os.path.join(pkg, m), "rb") as f:
-            h.update(f.read())
+    for folder in ("functions", "operators", "sources"):
+        for name in sorted(os.listdir(os.path.join(pkg, folder))):
+            if name.endswith(".py"):
+                with open(os.path.join(pkg, folder, name), "rb") as f:
+                    h.update(name.encode() + f.read())
     return h.hexdigest()[:12]
 
 
-def fingerprint(sf_dir: str, tables: list[str]) -> str:
-    """Source files (path, size, mtime) plus the building code's version."""
-    h = hashlib.sha1(os.path.abspath(sf_dir).encode())
+def fingerprint(spark: SparkSession, sf_dir: str, tables: list[str]) -> str:
+    """Source files (path, length, modification time; listed by Hadoop) plus the code's version.
+
+    Works for every file system that Spark reads; a missing table counts as empty.
+    """
+    h = hashlib.sha1(sf_dir.rstrip("/").encode())
     h.update(code_version().encode())
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for t in tables:
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{t}:{st.st_size}:{st.st_mtime_ns}".encode())
-        except OSError:
-            h.update(f"{t}:?".encode())
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        fs = path.getFileSystem(conf)
+        found = []
+        if fs.exists(path):
+            files = fs.listFiles(path, True)
+            while files.hasNext():
+                st = files.next()
+                found.append(f"{st.getPath().toString()}:{st.getLen()}:{st.getModificationTime()}")
+        h.update(f"{t}:{sorted(found)}".encode())
     return h.hexdigest()[:16]
 
 
@@ -65,7 +69,7 @@ def processed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], D
               tables: tuple[str, ...] = ("customer", "orders", "nation", "region"),
               refresh: bool = False) -> DataFrame:
     """Scan of the processed table ``name``; built (or rebuilt with ``refresh``) when needed."""
-    path = f"{_root(spark)}/{name}-{fingerprint(sf_dir, list(tables))}"
+    path = f"{_root(spark)}/{name}-{fingerprint(spark, sf_dir, list(tables))}"
     with _LOCK:
         if refresh or not table_available(spark, path + "/_SUCCESS"):
             build().write.mode("overwrite").parquet(path)

@@ -56,13 +56,13 @@ def _brute(ids, queries):
     return out
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_lookup_matches_brute_force(spark, limit):
+@pytest.mark.parametrize("block", [256, 1])
+def test_lookup_matches_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr("retentio.operators.clean.REGEX_BLOCK", block)
     subs = spark.createDataFrame([(i,) for i in IDS], "customerID string")
     qs = spark.createDataFrame([(q,) for q in QUERIES], "query string")
-    res = lookup_customer(subs, qs, regex_broadcast_limit=limit)
+    res = lookup_customer(subs, qs)
     got = {r.query: (r.customerID, r.match_type) for r in res.collect()}
     assert got == _brute(IDS, QUERIES)
-    if limit:
-        plan = _plan(res)
-        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    plan = _plan(res)
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
