@@ -240,26 +240,30 @@ def test_ngrams_stay_inside_their_text():
     assert counts == [4, 3, 2]  # only runs that hold a letter: a b c d; ab, c1, ' d'; 'c1 ', '1 d'
 
 
-def test_code_is_complete():
-    counts = np.zeros(256, np.int64)
-    counts[[97, 98, 32]] = [50, 3, 20]
-    code = mixing.build_code(counts)
-    assert math.isclose(sum(2.0 ** -s for s in code.size), 1.0)
-    # Every symbol's path is its own, and choices at a node lead apart.
-    paths = {tuple(code.path[a:a + n].tolist()) for a, n in zip(code.start, code.size)}
-    assert len(paths) == 256
+def test_codes_are_complete():
+    raw, offsets = common.text_buffer(pa.array(["abba cab", "", "a b"]))
+    pairs, triples = mixing.symbol_counts(raw, offsets)
+    assert pairs.sum() == triples[1].sum() == 8 + 0 + 3 + 3 and pairs[0, ord("a")] == 2 and pairs[0, mixing.END] == 1
+    code = mixing.build_code(pairs, np.concatenate([triples, [[ord("a") << 16 | ord("b") << 8 | 99], [500]]], axis=1))
+    assert code.which[ord("a") << 8 | ord("b")] == len(code.size) // 256 - 1
+    for before in (0, ord("a"), ord("z"), ord("a") << 8 | ord("b"), ord("c") << 8 | ord("b")):
+        own = slice(code.which[before] * 256, code.which[before] * 256 + 256)
+        assert math.isclose(sum(2.0 ** -s for s in code.size[own].tolist()), 1.0)
+        paths = {tuple(code.path[a:a + n].tolist()) for a, n in zip(code.start[own], code.size[own])}
+        assert len(paths) == 256  # every symbol's path is its own
 
 
 def test_texts_are_scored_alone():
     rng = np.random.default_rng(0)
-    code = mixing.build_code(np.ones(256, np.int64))
     tables = [np.zeros(2 << b, np.uint32) for b in mixing.SLOT_BITS]
     texts = ["the cat sat on the mat. " * 30, "", "x", "the dog sat on the cat. " * 40]
     raw, offsets = common.text_buffer(pa.array(texts))
+    pairs, triples = mixing.symbol_counts(raw, offsets)
+    code = mixing.build_code(pairs, triples)
     mixing.count(code, raw, offsets, tables)
     # Each choice is counted once in each table.
-    symbols = [*raw.tolist(), *[mixing.END] * len(texts)]
-    assert all(t.sum() == code.size[mixing._LOWER[symbols]].sum() for t in tables)
+    choices = sum(code.size[code.which[k >> 8] * 256 + (k & 255)] * n for k, n in triples.T.astype(np.int64).tolist())
+    assert all(t.sum() == choices for t in tables)
     mixer = mixing.fit_mixer(code, tables, raw, offsets)
     maps = mixing.stretched(tables)
     together = mixing.score(code, mixer, maps, raw, offsets)
