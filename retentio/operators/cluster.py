@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from retentio.functions.expr import half_even_quotient
+from retentio.operators.clean import decode_target
 from retentio.operators.features import standardize
 
 # Clustering features, in order.
@@ -122,12 +123,24 @@ def kmeans_elbow(df: DataFrame, ks: range = range(2, 9), n_init: int = 10, seed:
         vec.unpersist()
 
 
-def pca_2d(df: DataFrame, id_col: str = "customerID") -> DataFrame:
-    """C4: first two principal components of the standardised features (sign arbitrary)."""
+def pca_2d(df: DataFrame, id_col: str = "customerID", clusters: KMeansModel | None = None,
+           target: str = "Churn") -> DataFrame:
+    """C4: first two principal components of the standardised features (sign arbitrary).
+
+    With the fitted ``clusters`` each point also has its cluster, and with a ``target``
+    column its Churned/Retained label: the table of the scatter chart.
+    """
     vec = cluster_vectors(df)
     model = PCA(k=2, inputCol="xs", outputCol="_pc").fit(vec)
-    pc = vector_to_array(F.col("_pc"))
-    return model.transform(vec).select(id_col, pc[0].alias("PC1"), pc[1].alias("PC2"))
+    points = model.transform(vec)
+    keep = [F.col(id_col), vector_to_array("_pc")[0].alias("PC1"), vector_to_array("_pc")[1].alias("PC2")]
+    if clusters is not None:
+        points = clusters.transform(points)
+        keep.append(F.col("cluster_id").cast("string").alias("Cluster"))
+    if target in df.columns:
+        points = decode_target(points, target)
+        keep.append(F.col("ChurnLabel"))
+    return points.select(*keep)
 
 
 def cluster_profile(clustered: DataFrame, target: str = "Churn", id_col: str = "customerID") -> DataFrame:

@@ -23,6 +23,25 @@ FALLBACKS = {"mtm_churn": 0.43, "one_year_churn": 0.11, "two_year_churn": 0.03,
              "yes_support_churn": 0.15, "high_eng_churn": 0.18, "low_eng_churn": 0.45}
 
 
+# What a factor says; {r} is its churn rate, {v} the rate it is compared with.
+DESCRIPTIONS = {
+    "mtm": "Churn rate in your data: {r} vs {v} for two-year contracts",
+    "two_year": "Lowest churn in your dataset: {r} churn rate",
+    "one_year": "Moderate churn in your dataset: {r} churn rate",
+    "early": "Early-tenure customers churn at {r} in your data vs {v} for 36+ months",
+    "mature": "Long-tenure customers churn at only {r} in your data",
+    "no_support": "Without support: {r} churn vs {v} with support (your data)",
+    "support": "Reduces churn from {v} → {r} in your dataset",
+    "pay_max": "Highest-churn payment method in your data: {r} churn rate",
+    "pay_min": "Lowest-churn payment method in your data: {r} churn rate",
+    "high_eng": "5+ services: {r} churn in your data vs {v} for low-engagement",
+    "low_eng": "≤2 services: {r} churn in your data — add services to retain",
+    "net": "Highest-churn internet type in your data: {r} churn rate",
+    "charges": "MonthlyCharges is feature #{r} by importance in your trained model",
+    "senior": "Senior customers show higher churn rates in the Telco dataset",
+}
+
+
 def level_rates(df: DataFrame, dim: str, target: str = "Churn", prefix: str = "") -> DataFrame:
     """Churn rate per level of ``dim`` (a table bounded by the level count)."""
     return (df.filter(F.col(dim).isNotNull()).groupBy(dim)
@@ -35,10 +54,22 @@ def best_payment(df: DataFrame, target: str = "Churn", dim: str = "PaymentMethod
     return r.agg(F.min_by(F.col(dim), F.struct(F.col("rate"), F.col(dim))).alias("best_pay"))
 
 
-def _factor(pos: int, cond: Column, label: Column, kind: str, rate: Column | None,
-            from_data: bool = True) -> Column:
+def _said(name: str, rate: Column, versus: Column) -> Column:
+    """A description with its rates filled in, in percent to one place."""
+    percent = lambda x: F.concat(F.round(x * 100, 1).cast("string"), F.lit("%"))
+    text = F.lit(DESCRIPTIONS[name])
+    shown = rate.cast("string") if name == "charges" else percent(rate)
+    text = F.replace(text, F.lit("{r}"), shown) if "{r}" in DESCRIPTIONS[name] else text
+    return F.replace(text, F.lit("{v}"), percent(versus)) if "{v}" in DESCRIPTIONS[name] else text
+
+
+def _factor(pos: int, cond: Column, label: Column, kind: str, rate: Column | None, desc: str,
+            versus: Column | None = None, from_data: bool = True) -> Column:
+    none = F.lit(None).cast("double")
+    own, other = none if rate is None else rate, none if versus is None else versus
     st = F.struct(F.lit(pos).alias("pos"), label.alias("factor"), F.lit(kind).alias("kind"),
-                  (rate if rate is not None else F.lit(None)).cast("double").alias("rate"),
+                  (none if desc == "charges" else own).cast("double").alias("rate"),
+                  other.cast("double").alias("versus"), _said(desc, own, other).alias("desc"),
                   F.lit(from_data).alias("from_data"))
     return F.when(cond, st)
 
@@ -48,9 +79,10 @@ def risk_factors(profiles: DataFrame, population: DataFrame, target: str = "Chur
                  id_col: str = "customerID") -> DataFrame:
     """Rule-based risk factors per profile, rates taken from ``population``.
 
-    Output (id, pos, factor, kind, rate, from_data), one row per firing rule.
+    Output (id, pos, factor, kind, rate, versus, desc, from_data), one row per firing rule;
+    ``versus`` is the rate that the description compares with.
     The high-charges rule needs model importances (``importance_top``: the
-    top-5 feature names); without them it is not evaluated.
+    top-5 features with their rank); without them it is not evaluated.
     """
     stats = cohort_rates(population, target)
     pay = level_rates(population, "PaymentMethod", target, "pay_")
@@ -68,37 +100,43 @@ def risk_factors(profiles: DataFrame, population: DataFrame, target: str = "Chur
     eng = c("engagement_score")
     facts = [
         _factor(1, (c("Contract") == "Month-to-month") & c("has_contract"),
-                F.lit("Month-to-Month Contract"), "neg", c("mtm_churn")),
-        _factor(1, c("Contract") == "Two year", F.lit("Two-Year Contract"), "pos",
+                F.lit("Month-to-Month Contract"), "neg", c("mtm_churn"), "mtm",
                 c("two_year_churn")),
+        _factor(1, c("Contract") == "Two year", F.lit("Two-Year Contract"), "pos",
+                c("two_year_churn"), "two_year"),
         _factor(1, c("Contract") == "One year", F.lit("One-Year Contract"), "neu",
-                c("one_year_churn")),
-        _factor(2, c("tenure") <= 12, F.lit("New Customer (<=12 months)"), "neg", c("early_churn")),
+                c("one_year_churn"), "one_year"),
+        _factor(2, c("tenure") <= 12, F.lit("New Customer (<=12 months)"), "neg", c("early_churn"),
+                "early", c("mature_churn")),
         _factor(2, c("tenure") >= 36, F.lit("Long-Tenure Customer (36+ months)"), "pos",
-                c("mature_churn")),
+                c("mature_churn"), "mature"),
         _factor(3, (c("TechSupport") == "No") & (c("InternetService") != "No"),
-                F.lit("No Tech Support"), "neg", c("no_support_churn")),
-        _factor(3, c("TechSupport") == "Yes", F.lit("Tech Support Active"), "pos",
+                F.lit("No Tech Support"), "neg", c("no_support_churn"), "no_support",
                 c("yes_support_churn")),
+        _factor(3, c("TechSupport") == "Yes", F.lit("Tech Support Active"), "pos",
+                c("yes_support_churn"), "support", c("no_support_churn")),
         _factor(4, c("pay_rate").isNotNull() & (c("pay_rate") >= c("max_pay") * F.lit(0.9)),
-                c("PaymentMethod"), "neg", c("pay_rate")),
+                c("PaymentMethod"), "neg", c("pay_rate"), "pay_max"),
         _factor(4, c("pay_rate").isNotNull() & ~(c("pay_rate") >= c("max_pay") * F.lit(0.9))
                 & (c("pay_rate") <= c("min_pay") * F.lit(1.2)), c("PaymentMethod"), "pos",
-                c("pay_rate")),
+                c("pay_rate"), "pay_min"),
         _factor(5, eng >= 5, F.format_string("High Engagement (%d/8 services)", eng), "pos",
-                c("high_eng_churn")),
+                c("high_eng_churn"), "high_eng", c("low_eng_churn")),
         _factor(5, eng <= 2, F.format_string("Low Engagement (%d/8 services)", eng), "neg",
-                c("low_eng_churn")),
+                c("low_eng_churn"), "low_eng"),
         _factor(6, c("int_rate").isNotNull() & (c("int_rate") >= c("max_int") * F.lit(0.9)),
-                F.concat(c("InternetService"), F.lit(" Internet")), "neg", c("int_rate")),
+                F.concat(c("InternetService"), F.lit(" Internet")), "neg", c("int_rate"), "net"),
     ]
     if importance_top is not None:
         hit = importance_top.agg(F.max(F.lower("feature").contains("monthly")
-                                       | F.lower("feature").contains("charges")).alias("_chg"))
+                                       | F.lower("feature").contains("charges")).alias("_chg"),
+                                 F.min(F.when(F.lower("feature").contains("monthly") | F.lower("feature").contains("charges"),
+                                              F.col("rank"))).alias("_rank"))
         j = with_scalars(j, hit)
         facts.append(_factor(7, c("_chg") & (c("MonthlyCharges") > F.lit(float(charges_high))),
-                             F.lit("High Monthly Charges"), "neg", None))
-    facts.append(_factor(8, c("SeniorCitizen") == 1, F.lit("Senior Citizen"), "neg", None,
+                             F.format_string("High Monthly Charges (%.0f)", c("MonthlyCharges")), "neg",
+                             c("_rank"), "charges"))
+    facts.append(_factor(8, c("SeniorCitizen") == 1, F.lit("Senior Citizen"), "neg", None, "senior",
                          from_data=False))
     arr = F.filter(F.array(*facts), lambda x: x.isNotNull())
     return j.select(F.col(id_col), F.inline(arr))

@@ -309,7 +309,8 @@ def q_kmeans_silhouette(spark, d):
 
 @register("pca_2d")
 def q_pca_2d(spark, d):
-    return CL.pca_2d(features_table(spark, d))
+    _, models = kmeans_fits(spark, d)
+    return CL.pca_2d(features_table(spark, d), clusters=models[4])
 
 
 @register("cluster_profile")

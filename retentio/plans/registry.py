@@ -719,10 +719,24 @@ def _factor_sql() -> str:
          "int_rate IS NOT NULL AND int_rate >= max_int * 0.9"),
         (8, "'Senior Citizen'", "neg", "NULL", "SeniorCitizen = 1"),
     ]
+    said = ["mtm", "two_year", "one_year", "early", "mature", "no_support", "support", "pay_max", "pay_min",
+            "high_eng", "low_eng", "net", "senior"]
+    versus = {"mtm": "two_year_churn", "early": "mature_churn", "no_support": "yes_support_churn",
+              "support": "no_support_churn", "high_eng": "low_eng_churn"}
+
+    def percent(x: str) -> str:
+        return f"CAST(round(CAST({x} AS DOUBLE) * 100, 1) AS VARCHAR) || '%'"
+
+    def desc(name: str, rate: str) -> str:
+        text = f"'{WI.DESCRIPTIONS[name]}'"
+        text = f"replace({text}, '{{r}}', {percent(rate)})" if "{r}" in text else text
+        return f"replace({text}, '{{v}}', {percent(versus[name])})" if "{v}" in text else text
+
     sel = "\nUNION ALL\n".join(
         f"SELECT customerID, {p} AS pos, {lab} AS factor, '{k}' AS kind, CAST({rate} AS DOUBLE) AS rate, "
+        f"CAST({versus.get(name, 'NULL')} AS DOUBLE) AS versus, {desc(name, rate)} AS \"desc\", "
         f"{'false' if p == 8 else 'true'} AS from_data FROM j WHERE {cond}"
-        for p, lab, k, rate, cond in rules)
+        for (p, lab, k, rate, cond), name in zip(rules, said))
     return O.with_feat(f""", st AS (SELECT {st},
   count(CASE WHEN Contract IS NOT NULL THEN 1 END) > 0 AS has_contract FROM f1),
 pay AS (SELECT PaymentMethod, avg(Churn) AS pay_rate FROM f1 WHERE PaymentMethod IS NOT NULL GROUP BY 1),
