@@ -63,6 +63,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What a Python worker keeps for ``owner`` from task to task; what it kept for others is let go."""
+    others = [name for name in _KEPT if name != owner]
+    for name in others:
+        del _KEPT[name]
+    if others:
+        pa.default_memory_pool().release_unused()
+    return _KEPT.setdefault(owner, {})
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int):
     """Another number of rows in an Arrow batch, for tables of few large or many small rows."""

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import Scratch, arrow_batches
+from retentio.llm.common import Scratch, arrow_batches, kept
 from retentio.llm.components import connected_components
 
 #: Frequent shingles that are sent to all tasks for the order of prefixes, at most.
@@ -115,6 +115,7 @@ def _sets_pass(docs: DataFrame, width: int) -> DataFrame:
     names = ["doc_id", "tkey", "sid", "n", "is_count", "sketch"]
 
     def passed(batches):
+        kept("jaccard")
         held: list[np.ndarray] = []
         seen: set[int] = set()
         size = 0
@@ -231,7 +232,7 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _lists(postings: DataFrame, percent: int) -> DataFrame:
+def _lists(postings: DataFrame, percent: int, n_parts: int) -> DataFrame:
     """Of every key with several sets: its members, and its part's pivot (a pair where the limits allow one)."""
     names = ["key", "part", "sid", "n", "most", "rare", "pivot", "paired"]
 
@@ -262,7 +263,7 @@ def _lists(postings: DataFrame, percent: int) -> DataFrame:
             [pa.array(c) for c in (key, part, sid, n, most, rare, sid[at], paired)], names=names)
 
     kinds = "key long, part int, sid long, n int, most int, rare int, pivot long, paired boolean"
-    return postings.repartition("key", "part").mapInArrow(listed, kinds)
+    return postings.repartition(n_parts, "key", "part").mapInArrow(listed, kinds)
 
 
 def _pairs(a, b) -> tuple:
@@ -421,12 +422,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     sizes = {r["n"]: r["c"] for r in rows.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("c")).collect()}
     boundary = choose_boundary({n: c for n, c in sizes.items() if n}, percent)
 
-    lists = _lists(_postings(docs, sent, percent, boundary, width), percent)
+    # A document's postings take about as many bytes as its text: as many partitions as the input has.
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    lists = _lists(_postings(docs, sent, percent, boundary, width), percent, n_parts)
     lists = scratch.store(lists, "lists")
     # Pivots of the parts of divided lists meet in a list of pivots.
     heads = lists.filter("part >= 0 and sid = pivot").withColumn("part", F.lit(-1))
     with arrow_batches(spark, 100_000):
-        joint = scratch.store(_lists(heads.select("key", "part", "sid", "n", "most", "rare"), percent), "joint")
+        joint = scratch.store(_lists(heads.select("key", "part", "sid", "n", "most", "rare"), percent, n_parts), "joint")
     stars = lists.unionByName(joint).filter("paired")
     # First the pivots' pairs; the components they would make, if all that the sketches allow
     # were links, leave few pairs to compare besides.

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import Scratch
+from retentio.llm.common import Scratch, kept
 
 #: Distinct words, and distinct parts of words, whose ids a worker keeps; beyond, it starts anew.
 KEPT_WORDS, KEPT_PARTS = 600_000, 600_000
@@ -134,14 +134,12 @@ class WordEncoder:
         return ids, ends[offsets]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder_of(path: str) -> WordEncoder:
     """The worker's encoder, which later tasks find again."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    encoders = kept("packing")
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+    return encoders[path]
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, limit: int, end_id: int) -> DataFrame:

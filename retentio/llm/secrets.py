@@ -41,6 +41,8 @@ OUT, BEGIN, INSIDE = 0, 1, 2
 #: Texts that training windows are taken from, and windows of each sort, at most.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 20_000, 2_000
 WINDOW = 24
+#: Texts whose tokens are held at a time.
+AT_ONCE = 200
 SHAPES, HASHES, FILES = 1024, 4096, 32
 SIZES = (SHAPES, SHAPES, SHAPES, SHAPES, HASHES, HASHES, HASHES, HASHES, FILES)
 
@@ -266,7 +268,7 @@ def _windows(docs: DataFrame):
     chosen = chosen.select("text", F.xxhash64("text").alias("order"))
 
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             points, offsets = code_points(batch.column("text"))
             tokens = tokenize(points, offsets)
             order = batch.column("order").to_pylist()
@@ -324,6 +326,9 @@ def chain_spans(tokens: Tokens, tags: np.ndarray, doc: int, origin: int) -> list
 
 def all_spans(text_column, chain: Chain) -> list[tuple[list, list[tuple[int, int, int]]]]:
     """Per document of a batch: base spans, and all spans (kind, start, end) by start, then kind."""
+    if len(text_column) > AT_ONCE:
+        return [found for at in range(0, len(text_column), AT_ONCE)
+                for found in all_spans(text_column.slice(at, AT_ONCE), chain)]
     points, offsets = code_points(text_column)
     tokens = tokenize(points, offsets)
     tags = chain.decode(tokens.features, tokens.first)

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retentio.llm.common import fold, kept
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are scored like words.
 STEMS = range(4, 9)
@@ -118,6 +120,7 @@ def evidence_of(passages, n_words: int, model: ToxicityModel) -> tuple[float, in
 
 
 def _count_words(batches):
+    kept("toxicity")
     for pdf in batches:
         toxic: dict[str, int] = {}
         clean: dict[str, int] = {}
@@ -228,11 +231,10 @@ SCHEMA = ("held_out boolean, score double, predicted int, evidence double, n_pas
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text",
           threshold: float = 0.5) -> DataFrame:
     """One row per document: probability, decision and the strongest passage (word positions)."""
-    from retentio.llm.common import fold
-
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scored(batches):
+        kept("toxicity")
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
@@ -256,9 +258,10 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose probability stays below ``threshold``."""
-    def kept(batches):
+    def clean(batches):
+        kept("toxicity")
         for batch in batches:
             evidence = [evidence_of(*find_passages(t, model), model)[0] for t in batch.column(text_col).to_pylist()]
             yield batch.filter(pa.array(model.probability(evidence) < threshold, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(clean, docs.schema)
