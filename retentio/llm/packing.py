@@ -101,17 +101,26 @@ class WordEncoder:
                 self.parts.add(some, np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each]))
 
     def _learn(self, names: list[str]) -> None:
-        simple = [w for w in names if SIMPLE.fullmatch(w) and "<|" not in w]
-        split = [PART.findall(w.lower()) for w in simple]
-        fresh = list(dict.fromkeys(p for parts in split for p in parts if p not in self.parts.place))
-        self._learn_parts(fresh)
+        parts: list[str] = []
+        simple, counts, other = [], [], []
+        for word in names:
+            if word.isascii() and word.isalpha():
+                parts.append(word.lower())
+                counts.append(1)
+            elif (word.isascii() and word.isprintable() and "'" not in word or SIMPLE.fullmatch(word)) and "<|" not in word:
+                own = PART.findall(word.lower())
+                parts += own
+                counts.append(len(own))
+            else:
+                other.append(word)
+                continue
+            simple.append(word)
         place = self.parts.place
-        ids, ends = self.parts.joined(np.array([place[p] for parts in split for p in parts], np.int64))
-        at = np.concatenate([[0], np.cumsum([len(parts) for parts in split], dtype=np.int64)])
+        self._learn_parts([p for p in dict.fromkeys(parts) if p not in place])
+        ids, ends = self.parts.joined(np.fromiter(map(place.__getitem__, parts), np.int64, len(parts)))
+        at = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         self.words.add(simple, ids, np.diff(ends[at]))
-        known = set(simple)
-        other = [w for w in names if w not in known]
-        each = self._encoded(other)
+        each = self._encoded(other) if other else []
         self.words.add(other, np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +138,7 @@ class WordEncoder:
             self.words = Kept()
         kept = self.words.place
         self._learn([w for w in names if w not in kept])
-        place = np.array([kept[w] for w in names], np.int64)
+        place = np.fromiter(map(kept.__getitem__, names), np.int64, len(names))
         ids, ends = self.words.joined(place[coded.indices.to_numpy(zero_copy_only=False)])
         return ids, ends[offsets]
 
