@@ -43,7 +43,7 @@ from retentio.llm.components import connected_components
 #: Frequent shingles that are sent to all tasks for the order of prefixes, at most.
 MAX_COMMON = 1 << 18
 #: Shingles after which a task passes on its counts, and the least count that it passes on.
-CHUNK, LEAST_COUNT = 2_000_000, 3
+CHUNK, LEAST_COUNT = 4_000_000, 2
 #: Members of a list that one task scans; longer lists are divided.
 LIST_PART = 2048
 #: Buckets of a set's sketch.
