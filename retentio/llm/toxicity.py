@@ -2,7 +2,8 @@
 
 Learning. From labelled rows only: per word and word beginning (4 to 8 letters, so that
 unseen endings of a toxic stem count too), the log-odds between toxic and clean documents under an informative Dirichlet prior (the prior of a word is its
-share of all labelled documents, ``prior_docs`` strong), less ``deviations`` standard
+share of all labelled documents, ``prior_docs`` strong, but never less than a floor that does not
+depend on the table's size), less ``deviations`` standard
 deviations, so that a word with little evidence scores nothing. Those whose lower
 bound exceeds ``least`` form the lexicon; a word scores the best of its entries, or ``-drift``
 if it has none.
@@ -28,7 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retentio.llm.common import fold, kept
@@ -137,6 +138,21 @@ def _count_words(batches):
         yield pd.DataFrame(rows, columns=["word", "toxic", "clean"])
 
 
+def lower_bound(toxic: Column, clean: Column, n_toxic: int, n_clean: int, prior_docs: float = 50.0,
+                deviations: float = 2.0) -> Column:
+    """Lower bound of a word's log-odds, from the toxic and clean documents that hold it; null without toxic ones.
+
+    The bound rises as the clean side b falls, as long as ``b * b / a + b >= deviations ** 2 / 4``; b
+    stays at that at least, so that a word does not lose by having no clean document.
+    """
+    prior = (toxic + clean) / (n_toxic + n_clean) * prior_docs
+    a = toxic + F.greatest(prior, F.lit(0.5))
+    b = F.greatest(clean + prior, F.lit(max(0.5, deviations ** 2 / 4)))
+    odds = F.log(a / F.greatest(n_toxic + prior_docs + 1 - a, F.lit(1.0))) - F.log(
+        b / F.greatest(n_clean + prior_docs + 1 - b, F.lit(1.0)))
+    return F.when(toxic > 0, odds - deviations * F.sqrt(1 / a + 1 / b))
+
+
 def solve_lambda(scores: np.ndarray, shares: np.ndarray, drift: float) -> float:
     """The positive root of sum p(s) exp(lambda s) = 1 for a drifting-down score."""
     rest = 1.0 - shares.sum()
@@ -169,15 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(totals) < 2:
         return none
     n_toxic, n_clean = totals[True], totals[False]
-    n_all = n_toxic + n_clean
 
     counts = (train.mapInPandas(_count_words, "word string, toxic long, clean long")
               .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    prior = (F.col("toxic") + F.col("clean")) / n_all * prior_docs
-    a, b = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(a / F.greatest(n_toxic + prior_docs + 1 - a, F.lit(1.0))) - F.log(
-        b / F.greatest(n_clean + prior_docs + 1 - b, F.lit(1.0)))
-    bound = odds - deviations * F.sqrt(1 / a + 1 / b)
+    bound = lower_bound(F.col("toxic"), F.col("clean"), n_toxic, n_clean, prior_docs, deviations)
     lexicon = counts.select("word", "clean", F.when(F.col("word").isNotNull(), bound).alias("score"))
     best = (lexicon.filter(F.col("word").isNull() | (F.col("score") > least))
             .orderBy(F.col("score").desc_nulls_first(), "word").limit(MAX_LEXICON + 1).collect())

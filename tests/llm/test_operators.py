@@ -83,6 +83,23 @@ def test_toxicity(spark, nothing):
     assert toxicity.score(nothing, model).count() == 0
 
 
+def test_toxicity_words_without_clean_documents(spark):
+    # A word in 1 % of the toxic documents and in no clean one is learnt whatever the number of labelled rows.
+    sizes = [4_000, 12_000, 40_000, 400_000]
+    for n in sizes:
+        n_toxic = n * 11 // 100
+        counts = spark.createDataFrame([(n_toxic // 100, c) for c in range(40)], "toxic long, clean long")
+        bounds = [r[0] for r in counts.coalesce(1).select(
+            toxicity.lower_bound(F.col("toxic"), F.col("clean"), n_toxic, n - n_toxic)).collect()]
+        assert bounds[0] > 1.0 and bounds == sorted(bounds, reverse=True)
+    never = spark.range(1).select(toxicity.lower_bound(F.lit(0), F.lit(1), 4, 399_996))
+    assert never.first()[0] is None
+    n = 12_000
+    rows = [(i, ("rareslur " if i % 900 == 0 else "vileword " if i % 9 == 0 else "") + "calm river stone", None) for i in range(n)]
+    marks = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(n)], "doc_id long, toxic int")
+    assert toxicity.fit(frame(spark, rows), marks).score_of("rareslur") > 0
+
+
 def test_language(docs, nothing):
     model = langid.fit(docs.filter(fold(F.col("doc_id")) != 0))
     assert model.languages == ["de", "en"]
