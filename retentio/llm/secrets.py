@@ -6,7 +6,8 @@ has categorical features: its own shape (length, case, share of digits, hexadeci
 not), the shapes of its neighbours, hashed identities of itself and the three tokens
 before, and features of the whole file. The chain tags tokens as outside, begin or inside;
 weights and transitions are learnt here by maximum likelihood (forward-backward, full
-batches) from windows of a bounded sample of the texts, tagged by the base patterns.
+batches) from windows tagged by the base patterns: of all windows around base spans and of all
+distinct texts' windows at a hashed place, those of the smallest hash, a bounded number of each.
 
 Decoding is Viterbi over whole texts. A token whose ``outside`` score leads by more than any
 transition can repay is outside on the best path whatever its neighbours are; the chains
@@ -19,6 +20,7 @@ them, under the kind ``crf``. Null and empty texts have no spans.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from dataclasses import dataclass
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import code_points
+from retentio.llm.common import Scratch, code_points
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -38,8 +40,8 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 KINDS = ("assign", "access", "hex", "crf")
 
 OUT, BEGIN, INSIDE = 0, 1, 2
-#: Texts that training windows are taken from, and windows of each sort, at most.
-SAMPLE_TEXTS, SAMPLE_WINDOWS = 20_000, 2_000
+#: Training windows of each sort, at most.
+SAMPLE_WINDOWS = 2_000
 WINDOW = 24
 #: Texts whose tokens are held at a time.
 AT_ONCE = 200
@@ -260,38 +262,114 @@ def train(features: np.ndarray, tags: np.ndarray, mask: np.ndarray, rounds: int
     return chain
 
 
-def _windows(docs: DataFrame):
-    """Training windows: around each sampled text's first base span, and at a hashed place of it."""
-    count = docs.count()
-    near = F.pmod(F.xxhash64(F.col("text"), F.lit(5)), F.lit(1 << 20))
-    chosen = docs.filter(F.col("text").isNotNull() & (near < int((1 << 20) * min(1.0, SAMPLE_TEXTS / max(count, 1)))))
-    chosen = chosen.select("text", F.xxhash64("text").alias("order"))
+def _span_orders(order: int, n: int) -> np.ndarray:
+    """Hashes of a text's base spans, by which their windows are drawn."""
+    mixed = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(order & (1 << 64) - 1)
+    for by, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(by))) * np.uint64(factor)
+    return (mixed ^ (mixed >> np.uint64(31))).view(np.int64)
+
+
+class _Least:
+    """The ``most`` smallest distinct (order, text, nth) of those added."""
+
+    def __init__(self, most: int):
+        self.most, self.heap, self.held = most, [], set()
+
+    def add(self, order: int, text: int, nth: int) -> None:
+        row = (-order, text, nth)
+        if row in self.held or (len(self.heap) >= self.most and row <= self.heap[0]):
+            return
+        self.held.add(row)
+        if len(self.heap) < self.most:
+            heapq.heappush(self.heap, row)
+        else:
+            self.held.discard(heapq.heappushpop(self.heap, row))
+
+    def full_at(self) -> int | None:
+        """The largest order held, once no larger one can enter."""
+        return -self.heap[0][0] if len(self.heap) >= self.most else None
+
+
+def _candidates(batches):
+    """Of each sort, a task's windows of the smallest hash: (sort, order, hash of the text, which base span)."""
+    found = [_Least(SAMPLE_WINDOWS), _Least(SAMPLE_WINDOWS)]
+    for batch in batches:
+        for text, order in zip(batch.column("text").to_pylist(), batch.column("order").to_pylist()):
+            found[0].add(order, order, -1)
+            spans = base_spans(text)
+            if spans:
+                keys = _span_orders(order, len(spans))
+                limit = found[1].full_at()
+                for nth in np.flatnonzero(keys <= limit) if limit is not None else range(len(keys)):
+                    found[1].add(int(keys[nth]), order, int(nth))
+    rows = [(sort, -least, text, nth) for sort in (0, 1) for least, text, nth in found[sort].heap]
+    columns = list(zip(*rows)) if rows else [()] * 4
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int32()))],
+                                     names=["sort", "order", "text", "nth"])
+
+
+def _window_cutter(sent):
+    """Cut the chosen windows; a text that occurs again in the task is passed over."""
+    schema = pa.schema([("sort", pa.int32()), ("order", pa.int64()), ("tags", pa.list_(pa.int32())),
+                        ("features", pa.list_(pa.int32()))])
 
     def cut(batches):
-        for batch in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
-            points, offsets = code_points(batch.column("text"))
-            tokens = tokenize(points, offsets)
-            order = batch.column("order").to_pylist()
-            rows = []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                a, b = int(tokens.first[i]), int(tokens.first[i + 1])
-                if a == b:
-                    continue
-                tags = gold_tags(tokens, i, base_spans(text), int(offsets[i]))
-                marked = np.flatnonzero(tags == BEGIN)
-                spots = [(0, order[i] % (b - a))] + ([(1, int(marked[0]))] if len(marked) else [])
-                for sort, spot in spots:
-                    start = max(0, min(spot - (order[i] >> 20) % (WINDOW - 4), b - a - WINDOW))
-                    part = tokens.features[:, a + start:a + min(start + WINDOW, b - a)]
-                    rows.append({"sort": sort, "order": order[i], "tags": tags[start:start + WINDOW].tolist(),
-                                 "features": part.ravel().tolist()})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
-                ("sort", pa.int32()), ("order", pa.int64()), ("tags", pa.list_(pa.int32())),
-                ("features", pa.list_(pa.int32()))]))
-
-    found = chosen.mapInArrow(cut, "sort int, order long, tags array<int>, features array<int>")
-    rows = [r for sort in (0, 1) for r in
-            found.filter(F.col("sort") == sort).orderBy("order", "tags").limit(SAMPLE_WINDOWS).collect()]
+        chosen, done = sent.value, set()
+        for batch in batches:
+            fresh = []
+            for i, order in enumerate(batch.column("order").to_pylist()):
+                if order in chosen and order not in done:
+                    done.add(order)
+                    fresh.append(i)
+            for at in range(0, len(fresh), AT_ONCE):
+                some = batch.take(pa.array(fresh[at:at + AT_ONCE], pa.int64()))
+                points, offsets = code_points(some.column("text"))
+                tokens = tokenize(points, offsets)
+                rows = []
+                for i, (text, order) in enumerate(zip(some.column("text").to_pylist(), some.column("order").to_pylist())):
+                    a, b = int(tokens.first[i]), int(tokens.first[i + 1])
+                    if a == b:
+                        continue
+                    spans = base_spans(text)
+                    tags = gold_tags(tokens, i, spans, int(offsets[i]))
+                    for sort, key, nth in chosen[order]:
+                        # The token that a span's value begins in, or a hashed one.
+                        spot = (int(np.searchsorted(tokens.end[a:b], int(offsets[i]) + spans[nth][3], "right"))
+                                if sort else key % (b - a))
+                        start = max(0, min(spot - (key >> 20) % (WINDOW - 4), b - a - WINDOW))
+                        part = tokens.features[:, a + start:a + min(start + WINDOW, b - a)]
+                        rows.append({"sort": sort, "order": key, "tags": tags[start:start + WINDOW].tolist(),
+                                     "features": part.ravel().tolist()})
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return cut
+
+
+def _windows(docs: DataFrame):
+    """Training windows: around base spans of any text, and at a hashed place of distinct texts.
+
+    All texts are looked at. First only hashes are passed on, the smallest ``SAMPLE_WINDOWS`` of each
+    sort from a task; then the windows of the smallest of all are cut. Equal texts count once.
+    """
+    spark = docs.sparkSession
+    texts = (docs.filter(F.col("text").rlike(r"[^\x00-\x20\x7F]"))
+             .select("text", F.xxhash64("text").alias("order")))
+    scratch = Scratch(spark, "secrets")
+    found = scratch.store(texts.mapInArrow(_candidates, "sort int, order long, text long, nth int"), "candidates")
+    chosen: dict[int, list[tuple[int, int, int]]] = {}
+    for sort in (0, 1):
+        for r in found.filter(F.col("sort") == sort).distinct().orderBy("order", "text", "nth").limit(SAMPLE_WINDOWS).collect():
+            chosen.setdefault(r["text"], []).append((sort, r["order"], r["nth"]))
+    scratch.drop("candidates")
+    rows = []
+    if chosen:
+        # At most two lists of SAMPLE_WINDOWS hashes.
+        sent = spark.sparkContext.broadcast(chosen)
+        keys = spark.createDataFrame([(k,) for k in chosen], "order long")
+        cut = (texts.join(F.broadcast(keys), "order", "left_semi").select("text", "order")
+               .mapInArrow(_window_cutter(sent), "sort int, order long, tags array<int>, features array<int>"))
+        rows = cut.dropDuplicates(["sort", "order"]).orderBy("sort", "order").collect()
     features = np.zeros((len(SIZES), len(rows), WINDOW), np.int64)
     tags = np.zeros((len(rows), WINDOW), np.int8)
     mask = np.zeros((len(rows), WINDOW), bool)
@@ -303,7 +381,7 @@ def _windows(docs: DataFrame):
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Chain:
-    """Learn the chain from a bounded sample of ``docs``."""
+    """Learn the chain from a bounded number of windows, drawn from all texts of ``docs``."""
     return train(*_windows(docs.select(F.col(text_col).alias("text"))))
 
 

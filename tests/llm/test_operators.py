@@ -149,6 +149,20 @@ def test_secrets(spark, nothing):
     assert secrets.scan(nothing, secrets.fit(nothing)).count() == 0
 
 
+def test_secret_windows_come_from_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SAMPLE_WINDOWS", 40)
+    key = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    rows = [(i, f"plain words of text number {i} without any key", None) for i in range(30_000)]
+    rows += [(40_000 + i, f"first = {key(2 * i)} " + "and more " * 30 + f"then = {key(2 * i + 1)}", None) for i in range(10)]
+    rows += [(50_000 + i, f"the copied file says {key('copy')} here", None) for i in range(3_000)]
+    rows += [(60_000, None, None), (60_001, " \n", None)]
+    features, tags, mask = secrets._windows(frame(spark, rows).select("text"))
+    secret = (tags == secrets.BEGIN).any(axis=1)
+    # Both spans of each of the ten rare texts, and the copied text once; the others are distinct texts.
+    assert secret.sum() == 21 and len(tags) == 61 and mask[:, 0].all()
+    assert len({features[:, i].tobytes() for i in range(61)}) == 61
+
+
 def test_sharding(spark, docs, nothing):
     chance = random.Random(4)
     rows = [(i, "copy of one text" if i % 3 == 0 else "t" * chance.randrange(0, 900), None) for i in range(3000)]
