@@ -28,7 +28,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(scratch: Scratch, edges: DataFrame, label: str, most_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of ``edges`` (u, v); the component is its smallest node."""
+    """(node, component) for every node of ``edges`` (u, v); the component is its smallest node.
+
+    Fails if the edges still change after ``most_rounds`` rounds.
+    """
     state = scratch.store(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                           .filter("u != v").distinct(), f"{label}-0")
     before = None
@@ -39,6 +42,8 @@ def connected_components(scratch: Scratch, edges: DataFrame, label: str, most_ro
         if now == before or now[0] == 0:
             break
         before = now
+    else:
+        raise RuntimeError(f"the components of {label} have not settled after {most_rounds} rounds")
     # Now every edge is (node, smallest node of its component).
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

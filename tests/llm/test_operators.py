@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from retentio.llm import (decontaminate, jaccard_join, langid, language_model, licenses, order_minhash, packing, secrets,
-                          sharding, toxicity)
+from retentio.llm import (components, decontaminate, jaccard_join, langid, language_model, licenses, order_minhash,
+                          packing, secrets, sharding, toxicity)
 from retentio.llm.common import Scratch, fold, prepare
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, score double, shard string, key string, "
@@ -275,6 +275,14 @@ def brute_classes(rows, width=5):
     return Counter(out)
 
 
+def test_unsettled_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(50)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components.connected_components(Scratch(spark, "test-chain"), chain, "short", most_rounds=2)
+    got = components.connected_components(Scratch(spark, "test-chain"), chain, "whole").collect()
+    assert {(r["node"], r["component"]) for r in got} == {(i, 0) for i in range(51)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard(spark, nothing, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LIST_PART", 4)  # divides lists of frequent keys
