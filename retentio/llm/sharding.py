@@ -3,7 +3,7 @@
 Records are ordered by a hash of their text, so equal texts are neighbours, then by id.
 Samples of the keys, each drawn with a chance in proportion to the record's size, give
 quantile boundaries of many more ranges than shards; records are partitioned into these
-ranges, and ranges that come out overfull are divided again by samples of their own. A
+ranges, and ranges that come out overfull are divided by samples of their own until none is. A
 text so frequent that it fills several ranges is divided among them by id. Within a range,
 running sums give each record its exact place in the bytes of the whole table (offsets
 of the ranges come from one small aggregation), and shard i takes the records whose
@@ -42,10 +42,10 @@ def _records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.monotonically_increasing_id().alias("row"))
 
 
-def _sample(records: DataFrame, wanted: int, total: int) -> list[tuple[int, int, int]]:
-    """About ``wanted`` keys, each with a chance in proportion to its size; large records may come twice."""
-    chance = F.col("size") * F.lit(wanted / max(total, 1))
-    uniform = F.pmod(F.xxhash64("key", "tie", "row", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def _sample(records: DataFrame, wanted: int, total: int, by_size: bool = True, salt: int = 17) -> list[tuple[int, int, int]]:
+    """About ``wanted`` keys, each with a chance in proportion to its size (or all alike); large records may come twice."""
+    chance = (F.col("size") if by_size else F.lit(1)) * F.lit(wanted / max(total, 1))
+    uniform = F.pmod(F.xxhash64("key", "tie", "row", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = (records.select("key", "tie", "row", F.floor(chance + uniform).cast("int").alias("times"))
              .filter("times > 0").collect())
     return sorted((r["key"], r["tie"], r["row"]) for r in drawn for _ in range(r["times"]))
@@ -92,7 +92,8 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     total = records.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     n_ranges = n_shards * ranges_per_shard
     cuts = boundaries(_sample(records, n_ranges * samples_per_range, total), n_ranges)
-    for again in range(4):
+    again, by_size = 0, True
+    while True:
         placed = _with_range(records, cuts)
         # At most one row for each range, whatever the size of the table.
         sums = {r["range_id"]: (r["bytes"], r["n"]) for r in placed.groupBy("range_id").agg(
@@ -101,9 +102,11 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
         if not full:
             break
         inside = placed.filter(F.col("range_id").isin(full))
-        part = sum(sums[k][0] for k in full)
-        extra = _sample(inside, 8 * samples_per_range * len(full) * 2 ** again, part)
-        cuts = sorted({*cuts, *boundaries(extra, 8 * len(full))})
+        part = sum(sums[k][0 if by_size else 1] for k in full)
+        extra = _sample(inside, 8 * samples_per_range * len(full) * 2 ** min(again, 3), part, by_size, 17 + again)
+        finer = sorted({*cuts, *boundaries(extra, 8 * len(full))})
+        # Without a new cut a large record has drawn them all; then all records have the same chance.
+        cuts, again, by_size = finer, again + 1, finer != cuts
     starts, at_byte, at_row = {}, 0, 0
     for k in sorted(sums):
         starts[k] = (at_byte, at_row)

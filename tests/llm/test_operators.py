@@ -183,6 +183,22 @@ def test_sharding(spark, docs, nothing):
     assert sharding.shard(docs, 40).count() == len(corpus())
 
 
+def test_sharding_leaves_no_range_overfull(spark, monkeypatch):
+    # One record holds nearly all bytes and draws every sample by size; the range that it begins has many others.
+    found, placed = [], sharding._with_range
+
+    def watched(records, cuts):
+        ranges = placed(records, cuts)
+        found.append(ranges.groupBy("range_id").agg(F.count("*"), F.sum("size")).collect())
+        return ranges
+
+    monkeypatch.setattr(sharding, "_with_range", watched)
+    rows = [(i, f"t{i}", None) for i in range(3000)] + [(5000, "z" * 20_000_000, None)]
+    got = sharding.shard(frame(spark, rows), 2, ranges_per_shard=4)
+    assert got.count() == len(rows)
+    assert all(n <= 96 or size <= 3 * 20_000_000 / 8 for _, n, size in found[-1])
+
+
 def test_packing(docs, nothing):
     encoder = packing.WordEncoder(packing.tokenizer_path())
     got = packing.pack(docs, limit=64, block_items=40).toPandas()
