@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import (decontaminate, jaccard_join, langid, language_model, licenses, order_minhash, packing, secrets,
-                          sharding, toxicity)
+from retentio.llm import (decontaminate, jaccard_join, langid, language_model, licenses, merkle, order_minhash, packing, secrets,
+                          sharding, toxicity, warc_store)
 from retentio.llm.common import Scratch, fold, read
 
 
@@ -68,8 +68,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detect(read(spark, sf_dir, "documents"))
 
 
+def op12_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records in a content-addressed archive, read back from it."""
+    return warc_store.report(warc_store.write(read(spark, sf_dir, "pages"), Scratch(spark, "warc")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents; half of them are presented without their line ends."""
+    even = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0
+    claims = {"text": F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    manifest = merkle.build(read(spark, sf_dir, "documents"), Scratch(spark, "merkle"), claims=claims)
+    return merkle.verify(manifest).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_model, op3_sharding, op4_packing, op5_decontamination, op6_jaccard_join, op7_language_id,
-                                  op8_fingerprints, op9_secret_scan, op10_license_scan)}
+                                  op8_fingerprints, op9_secret_scan, op10_license_scan, op12_warc_store, op13_merkle_manifest)}
 
 #: Windows by enumeration: an item's runs of 10 words (or all its words, if fewer) against a document's runs.
 OP5_SQL = r"""
