@@ -91,7 +91,9 @@ def _siblings(name: str, level: int) -> Column:
 
 def _grow(scratch: Scratch, nodes: DataFrame, label: str) -> tuple[list[DataFrame], list[DataFrame]]:
     """Trees over ``nodes`` (tree, idx, h, height): segments (tree, level, idx, left, right, height) and tops (tree, h)."""
-    segments, tops = [], [nodes.filter("height = 0").select("tree", "h")]
+    # Trees of one leaf have no segment.
+    none = nodes.sparkSession.createDataFrame([], "tree long, level int, idx long, left binary, right binary, height int")
+    segments, tops = [none], [nodes.filter("height = 0").select("tree", "h")]
     highest = nodes.agg(F.max("height")).first()[0] or 0
     current = nodes.filter("height > 0")
     for level in range(0, highest, STEP):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retentio.llm import (decontaminate, jaccard_join, langid, language_model, licenses, merkle, order_minhash, packing, secrets,
-                          sharding, toxicity, warc_store)
+from retentio.llm import (conversation_trie, decontaminate, jaccard_join, langid, language_model, licenses, merkle, order_minhash, packing, secrets,
+                          sharding, store_sql, toxicity, warc_store)
 from retentio.llm.common import Scratch, fold, read
 
 
@@ -68,6 +68,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.detect(read(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of the conversations, each rebuilt on the head of the first of its hundred."""
+    head = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % 6
+    return conversation_trie.trie(read(spark, sf_dir, "conversations"), Scratch(spark, "trie"), lambda c: c - c % 100, head)
+
+
 def op12_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC records in a content-addressed archive, read back from it."""
     return warc_store.report(warc_store.write(read(spark, sf_dir, "pages"), Scratch(spark, "warc")))
@@ -82,7 +88,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_model, op3_sharding, op4_packing, op5_decontamination, op6_jaccard_join, op7_language_id,
-                                  op8_fingerprints, op9_secret_scan, op10_license_scan, op12_warc_store, op13_merkle_manifest)}
+                                  op8_fingerprints, op9_secret_scan, op10_license_scan, op11_conversation_trie, op12_warc_store, op13_merkle_manifest)}
 
 #: Windows by enumeration: an item's runs of 10 words (or all its words, if fewer) against a document's runs.
 OP5_SQL = r"""
@@ -134,4 +140,4 @@ SELECT doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, coalesce(comp
 FROM keyed LEFT JOIN sizes USING (r) LEFT JOIN member USING (r) LEFT JOIN least_id ON least_id.u = member.rep
 """
 
-ORACLES: dict[str, str] = {"op6_jaccard_join": OP6_SQL, "op5_decontamination": OP5_SQL}
+ORACLES: dict[str, str] = {"op6_jaccard_join": OP6_SQL, "op5_decontamination": OP5_SQL, **store_sql.ORACLES}
