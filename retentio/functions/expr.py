@@ -89,7 +89,7 @@ def risk_tier(prob="churn_prob", high: float = 0.65, medium: float = 0.35,
             .when(ge(p, F.lit(medium)), "MEDIUM RISK").otherwise("LOW RISK"))
 
 
-# Next-best-action rules (action, reason, cost INR, lift %).
+# Next-best-action rules (action, reason, cost INR, lift %); the emoji in front of an action are left out.
 _ACTIONS = [
     ("Personal Manager + 20% Discount",
      "Immediate personal outreach. High-value at critical risk.", 500, 40),
@@ -97,7 +97,7 @@ _ACTIONS = [
     ("Loyalty Rewards + Upgrade Offer",
      "Reward tenure with a free service upgrade for 3 months.", 300, 20),
     ("Automated Re-engagement", "Email + push notification nurture sequence.", 50, 15),
-    ("Monitor - Low Risk", "Continue standard experience. Review in 3 months.", 10, 5),
+    ("Monitor — Low Risk", "Continue standard experience. Review in 3 months.", 10, 5),
 ]
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from retentio.functions.expr import coerce_numeric
+from retentio.operators.regex_index import search, with_trigrams
 from retentio.operators.scalars import scalar_struct
 
 # Columns that are not model features (ids, target, RFM internals).
@@ -121,7 +123,7 @@ def customer_profile_long(df: DataFrame, columns: list[str] | None = None,
     return (df.select(F.col(id_col), F.inline(pairs)))
 
 
-#: Regex patterns that are tested together.
+#: Regex patterns without a literal run that are tested together.
 REGEX_BLOCK = 256
 
 
@@ -133,7 +135,9 @@ def lookup_customer(subs: DataFrame, queries: DataFrame, q_col: str = "query",
     2. otherwise case-insensitive *contains*; the first match (smallest id) wins.
        Literal strings (no regex metacharacters) are matched with an equi-join
        on the id's substrings of the query's length, which scales like a hash
-       join; regex patterns are tested against all ids in blocks of patterns.
+       join; regex patterns find their ids through trigram postings
+       (``regex_index``). Only patterns without a literal run of three characters
+       are tested against all ids, in blocks of patterns.
 
     Returns (query, customerID, match_type) for queries with a match.
     """
@@ -163,7 +167,10 @@ def lookup_customer(subs: DataFrame, queries: DataFrame, q_col: str = "query",
     lit_hits = (literal.join(subs_ids, (literal._len == subs_ids._len)
                              & (literal._q == subs_ids._sub))
                 .groupBy("query").agg(F.min("_id").alias(id_col)))
-    pats = rest.filter(is_regex).withColumn("_pat", F.concat(F.lit("(?i)"), F.trim("query")))
+    regexes = with_trigrams(rest.filter(is_regex).withColumn("_pat", F.concat(F.lit("(?i)"), F.trim("query"))))
+    regexes = regexes.persist(StorageLevel.MEMORY_AND_DISK)
+    indexed = regexes.filter(F.size("_tris") > 0)
+    pats = regexes.filter(F.size("_tris") == 0).drop("_tris")
     # Patterns are dealt into blocks of about REGEX_BLOCK; every id meets every block once
     # (an equi-join on the block) and keeps the patterns it matches. The same at every size.
     n_blocks = scalar_struct(pats.agg(F.greatest(F.ceil(F.count("query") / F.lit(REGEX_BLOCK)), F.lit(1)).alias("n")))["n"]
@@ -174,5 +181,7 @@ def lookup_customer(subs: DataFrame, queries: DataFrame, q_col: str = "query",
                .select("_id", F.explode(F.filter(
                    "_pats", lambda p: F.regexp_like(F.col("_id"), p["_pat"]))).alias("_m"))
                .groupBy(F.col("_m.query").alias("query")).agg(F.min("_id").alias(id_col)))
+    if not indexed.isEmpty():
+        rx_hits = rx_hits.unionByName(search(ids, indexed, id_col))
     contains = lit_hits.unionByName(rx_hits).withColumn("match_type", F.lit("contains"))
     return exact.unionByName(contains)

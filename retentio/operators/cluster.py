@@ -1,14 +1,17 @@
 """Behavioural clustering and projection (C1-C4, A7) on Spark ML.
 
 Six numeric features are NULL-filled, assembled and standardised once; the
-vector column is persisted for the repeated K-Means fits (restarts, elbow) and
-released afterwards.  K-Means uses ``k-means||`` initialisation, the lowest
-``trainingCost`` of ``n_init`` seeded restarts is kept.
+vector column is persisted for the K-Means iterations and released afterwards.
+All restarts of all k run together: one scan of the rows updates the centres of
+every model that is still moving.  Of the ``n_init`` seeded starts the one with
+the lowest inertia is kept.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,6 +20,10 @@ from pyspark.sql import DataFrame, functions as F
 from retentio.functions.expr import half_even_quotient
 from retentio.operators.clean import decode_target
 from retentio.operators.features import standardize
+from retentio.session import ship_code
+
+#: Rows that the starting centres are drawn from.
+START_ROWS = 10_000
 
 # Clustering features, in order.
 CLUSTER_FEATURES = ["tenure", "MonthlyCharges", "TotalCharges", "engagement_score",
@@ -32,33 +39,118 @@ def cluster_vectors(df: DataFrame, features: list[str] | None = None) -> DataFra
     return VectorAssembler(inputCols=names, outputCol="xs").transform(scaled).drop(*names)
 
 
-def _fit(vec: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
-    return KMeans(k=k, seed=seed, featuresCol="xs", predictionCol="cluster_id",
-                  initMode="k-means||", maxIter=max_iter).fit(vec)
-
-
-def kmeans_grid(vec: DataFrame, ks, n_init: int = 10, seed: int = 42, max_iter: int = 300,
-                max_workers: int = 8) -> dict[int, KMeansModel]:
-    """For every k the lowest-cost of ``n_init`` seeded k-means|| restarts.
-
-    The restarts are independent Spark jobs and run concurrently (the
-    reference's ``n_init`` loop); ties in cost keep the earliest seed.
+def plus_plus(sample: np.ndarray, k: int, chance: np.random.Generator) -> np.ndarray:
+    """k starting centres: each drawn in proportion to the squared distance from those before."""
+    centres = [sample[chance.integers(len(sample))]]
+    nearest = ((sample - centres[0]) ** 2).sum(1)
+    for _ in range(1, k):
+        total = nearest.sum()
+        at = chance.choice(len(sample), p=nearest / total) if total > 0 else chance.integers(len(sample))
+        centres.append(sample[at])
+        nearest = np.minimum(nearest, ((sample - centres[-1]) ** 2).sum(1))
+    return np.array(centres)
+
+
+def _scan(points: DataFrame, models: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """One pass for all models: rows and coordinate sums of every cluster, and the squared distances."""
+    p = models[0].shape[1]
+    every = np.concatenate(models)
+    starts = np.concatenate([[0], np.cumsum([len(m) for m in models])])
+    names = ["m", "c", "n", "cost", *[f"s{j}" for j in range(p)]]
+
+    def assign(batches):
+        count, cost, sums = np.zeros(len(every)), np.zeros(len(every)), np.zeros((len(every), p))
+        for batch in batches:
+            x = np.asarray(batch.column("x").flatten(), float).reshape(-1, p)
+            apart = (x * x).sum(1)[:, None] - 2 * x @ every.T + (every * every).sum(1)
+            for lo, hi in zip(starts[:-1], starts[1:]):
+                nearest = apart[:, lo:hi].argmin(1)
+                count[lo:hi] += np.bincount(nearest, minlength=hi - lo)
+                cost[lo:hi] += np.bincount(nearest, ((x - every[lo:hi][nearest]) ** 2).sum(1), hi - lo)
+                for j in range(p):
+                    sums[lo:hi, j] += np.bincount(nearest, x[:, j], hi - lo)
+        number = np.repeat(np.arange(len(models)), np.diff(starts))
+        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.arange(len(every)) - starts[number]), pa.array(count), pa.array(cost),
+                                          *[pa.array(sums[:, j]) for j in range(p)]], names=names)
+
+    # One row per task and cluster; as many rows as clusters come back.
+    parts = points.mapInArrow(assign, "m long, c long, " + ", ".join(f"{c} double" for c in names[2:]))
+    out = [(np.zeros(len(m)), np.zeros((len(m), p)), 0.0) for m in models]
+    for r in parts.groupBy("m", "c").agg(*[F.sum(c).alias(c) for c in names[2:]]).collect():
+        count, sums, cost = out[r["m"]]
+        count[r["c"]], sums[r["c"]] = r["n"], [r[f"s{j}"] for j in range(p)]
+        out[r["m"]] = count, sums, cost + r["cost"]
+    return out
+
+
+def lloyd_grid(points: DataFrame, starts: dict, max_iter: int = 300, tol: float = 1e-4) -> dict:
+    """Lloyd iterations of all models together: {key: (centres, inertia)} from {key: starting centres}.
+
+    ``points`` has an array ``x``. Every scan moves the centres of all models that have not settled
+    (no centre moved more than ``tol``); a cluster without rows keeps its centre.
+    """
+    centres = {k: np.array(c, float) for k, c in starts.items()}
+    moving = list(centres)
+    for _ in range(max_iter):
+        if not moving:
+            break
+        still = []
+        for key, (count, sums, _) in zip(moving, _scan(points, [centres[k] for k in moving])):
+            new = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres[key])
+            if ((new - centres[key]) ** 2).sum(1).max() > tol * tol:
+                still.append(key)
+            centres[key] = new
+        moving = still
+    keys = list(centres)
+    return {k: (centres[k], cost) for k, (_, _, cost) in zip(keys, _scan(points, [centres[k] for k in keys]))} if keys else {}
+
+
+def _as_model(spark, centres: np.ndarray) -> KMeansModel:
+    """A Spark ML model with these centres, which scores and stores like a fitted one."""
+    jvm = spark.sparkContext._jvm
+    vectors = jvm.java.util.ArrayList()
+    for c in centres:
+        vectors.add(jvm.org.apache.spark.mllib.linalg.Vectors.dense(_to_java_array(spark, c)))
+    parent = jvm.org.apache.spark.mllib.clustering.KMeansModel(vectors)
+    uid = jvm.org.apache.spark.ml.util.Identifiable.randomUID("kmeans")
+    java = jvm.org.apache.spark.ml.clustering.KMeansModel(uid, parent)
+    java.set("featuresCol", "xs")
+    java.set("predictionCol", "cluster_id")
+    java.set("k", len(centres))
+    return KMeansModel(java)
+
+
+def _to_java_array(spark, values):
+    gateway = spark.sparkContext._gateway
+    out = gateway.new_array(gateway.jvm.double, len(values))
+    for i, v in enumerate(values):
+        out[i] = float(v)
+    return out
+
+
+def kmeans_grid(vec: DataFrame, ks, n_init: int = 10, seed: int = 42, max_iter: int = 300) -> dict[int, KMeansModel]:
+    """For every k the lowest-cost of ``n_init`` seeded k-means++ starts.
+
+    The starts are drawn from ``START_ROWS`` rows, those of the smallest hash; the iterations of
+    all models then share each scan of all rows. Ties in cost keep the earliest seed.
     """
-    from concurrent.futures import ThreadPoolExecutor
-    jobs = [(k, i) for k in ks for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=max_workers) as pool:
-        futs = {(k, i): pool.submit(_fit, vec, k, seed + i, max_iter) for k, i in jobs}
-        fitted = {key: f.result() for key, f in futs.items()}
-    best: dict[int, KMeansModel] = {}
+    ship_code(vec.sparkSession)
+    points = vec.select(vector_to_array("xs").alias("x"))
+    sample = np.array([r["x"] for r in points.orderBy(F.xxhash64("x"), "x").limit(START_ROWS).collect()])
+    if not len(sample):
+        raise ValueError("no rows to cluster")
+    fits = lloyd_grid(points, {(k, i): plus_plus(sample, k, np.random.default_rng([seed + i, k])) for k in ks for i in range(n_init)}, max_iter)
+    best = {}
     for k in ks:
-        cands = [fitted[(k, i)] for i in range(n_init)]
-        best[k] = min(cands, key=lambda m: m.summary.trainingCost)
+        centres, cost = min((fits[k, i] for i in range(n_init)), key=lambda f: f[1])
+        best[k] = _as_model(vec.sparkSession, centres)
+        best[k].inertia_ = cost
     return best
 
 
 def best_kmeans(vec: DataFrame, k: int, n_init: int = 10, seed: int = 42,
                 max_iter: int = 300) -> KMeansModel:
-    """The lowest-cost model among ``n_init`` seeded k-means|| restarts."""
+    """The lowest-cost model among ``n_init`` seeded starts."""
     return kmeans_grid(vec, [k], n_init, seed, max_iter)[k]
 
 
@@ -107,7 +199,7 @@ def elbow_table(spark, vec: DataFrame, models: dict[int, KMeansModel],
     for k in sorted(models):
         m = models[k]
         sil = ev.evaluate(m.transform(vec)) if with_silhouette else None
-        cost = float(m.summary.trainingCost) if m.hasSummary else inertia(m, vec)
+        cost = m.inertia_ if hasattr(m, "inertia_") else inertia(m, vec)
         rows.append((k, cost, None if sil is None else float(sil)))
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 

@@ -4,7 +4,7 @@
   space the model was trained in; the training mean of a scaled feature is 0,
   so it is ``coef_j * xs_j`` and the attributions sum to ``logit - mean logit``
   (the reference's linear explainer used the row itself as background, Q8).
-* Tree models: Shapley sampling.  For each customer and each of ``m`` seeded
+* Any model: Shapley sampling (trees have exact values, see ``tree_shap``).  For each customer and each of ``m`` seeded
   permutations the features are switched from the background (training mean,
   i.e. 0 in scaled space) to the customer's value one at a time; the change in
   the class-1 probability is that feature's contribution; averaged over
@@ -19,6 +19,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 
+#: Scored rows of a task of the sampling explainer.
+SCORED_ROWS_PER_TASK = 250_000
+
+
 def _scaled(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Rows through the encoding, assembler and scaler stages (not the classifier)."""
     cur = df
@@ -55,6 +59,8 @@ def shap_sampled(model: PipelineModel, df: DataFrame, features: list[str], m: in
     clf = model.stages[-1]
     base = _scaled(model, df).select(id_col, vector_to_array("scaled").alias("_xs"),
                                      vector_to_array("features").alias("_x"))
+    # A row becomes m * (p + 1) scored ones: tasks are cut by those, not by the bytes read.
+    base = base.repartition(max(1, -(-base.count() * m * (p + 1) // SCORED_ROWS_PER_TASK)))
     idx = F.sequence(F.lit(0), F.lit(p - 1))
     perm = F.transform(
         F.array_sort(F.transform(idx, lambda i: F.struct(

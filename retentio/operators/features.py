@@ -1,21 +1,20 @@
 """Feature engineering (F1-F11) and RFM scoring.
 
-Global statistics (max tenure, recency quintile edges) are one-row aggregates
-attached as scalar subqueries (``operators.scalars``; no join).  Rank-based quintiles use
-the exact distributed rank in ``retentio.operators.rank``; ties are broken by
-``customerID`` ascending.
+Global statistics of the proxies and moments are one-row aggregates attached as scalar
+subqueries (``operators.scalars``; no join).  Quintiles need a few order statistics, which
+``operators.selection`` finds without a sort; ties are broken by ``customerID`` ascending.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from retentio.functions.expr import (SERVICE_COLUMNS, charges_per_month, engagement_score,
                                      quintile_from_edges, segment_label,
                                      tenure_group)
 from retentio.operators.clean import string_columns
-from retentio.operators.rank import exact_rank
 from retentio.operators.scalars import with_scalars
+from retentio.operators.selection import interpolate, order_statistics, quantile_ranks
 
 _QUINTILES = [0.2, 0.4, 0.6, 0.8]
 
@@ -48,62 +47,88 @@ def add_rfm_proxies(df: DataFrame, tenure: str = "tenure") -> DataFrame:
             .drop("_max_tenure"))
 
 
-def recency_edges(df: DataFrame, col: str = "recency") -> DataFrame:
-    """Exact linear-interpolated 0/20/40/60/80 % quantiles as one row (e0..e4).
+def _edges(n: int, at) -> list[float | None]:
+    """Smallest value and 20/40/60/80 % quantiles (linear) from order statistics."""
+    return interpolate(n, at, [0.0, *_QUINTILES])
 
-    ``percentile`` keeps a value->count map per partition; recency is an integer
-    month count, so the maps hold at most a few hundred entries.
-    """
-    q = F.percentile(F.col(col), F.array(*[F.lit(p) for p in _QUINTILES]))
-    return df.agg(F.min(col).cast("double").alias("_e0"), q.alias("_q")).select(
-        "_e0", *[F.col("_q")[i].alias(f"_e{i + 1}") for i in range(4)])
+
+def _label_ends(n: int) -> list[int]:
+    """Ranks that close the lower four of five classes of ``qcut(rank, 5)``: class k ends at 1 + k (n - 1) div 5."""
+    return [1 + k * (n - 1) // 5 for k in range(1, 5)] if n else []
+
+
+def _r_score(col: str, edges: list[float | None]) -> Column:
+    return quintile_from_edges(col, [F.lit(e).cast("double") for e in edges], reverse=True).cast("int")
+
+
+def _rank_label(df: DataFrame, value: str, id_col: str, cuts: list[tuple]) -> Column:
+    """One more than the cuts that stand before the row in the order (value, id), nulls first."""
+    own = F.struct(F.col(value).alias("v"), F.col(id_col).alias("i"))
+    kinds = df.schema[value].dataType, df.schema[id_col].dataType
+    label = F.lit(1)
+    for v, i in cuts:
+        label = label + F.when(own > F.struct(F.lit(v).cast(kinds[0]).alias("v"), F.lit(i).cast(kinds[1]).alias("i")), 1).otherwise(0)
+    return label.cast("int")
 
 
 def add_r_score(df: DataFrame, col: str = "recency") -> DataFrame:
-    """``qcut(recency, 5, labels=[5..1])`` via broadcast edges."""
-    edges = recency_edges(df, col)
-    e = [F.col(f"_e{i}") for i in range(5)]
-    return (with_scalars(df, edges)
-            .withColumn("R_Score", quintile_from_edges(col, e, reverse=True).cast("int"))
-            .drop(*[f"_e{i}" for i in range(5)]))
+    """``qcut(recency, 5, labels=[5..1])``; the edges are exact order statistics of any numeric column."""
+    found = order_statistics(df, {"r": [F.col(col).cast("double")]}, {"r": lambda n: quantile_ranks(n, [0.0, *_QUINTILES])},
+                             where={"r": F.col(col).isNotNull()})
+    return df.withColumn("R_Score", _r_score(col, _edges(found.counts["r"], lambda r: found.keys["r"][r][0])))
 
 
 def add_rank_quintile(df: DataFrame, value: str, out: str, id_col: str = "customerID",
                       num_partitions: int | None = None) -> DataFrame:
     """``qcut(value.rank(method='first'), 5)`` -> 1..5, exact at any scale.
 
-    Only (value, id) is ranked; the four rows that close the lower quintiles are attached
-    as one scalar, and a row's label is one more than the cuts that stand before it.
+    The rows that close the lower quintiles are selected, not ranked; a row's label is one
+    more than the cuts that stand before it.
     """
-    ranked = exact_rank(df.select(F.col(value).alias("v"), F.col(id_col).alias("i")),
-                        [F.col("v").asc_nulls_first(), F.col("i").asc_nulls_first()],
-                        rank_col="_rn", total_col="_n", num_partitions=num_partitions)
-    # label k ends at rank 1 + floor(k (n - 1) / 5)
-    ends = [1 + (F.lit(k) * (F.col("_n") - 1) - F.pmod(F.lit(k) * (F.col("_n") - 1), F.lit(5))) / 5 for k in range(1, 5)]
-    cuts = ranked.agg(*[F.max(F.when(F.col("_rn") == e, F.struct("v", "i"))).alias(f"_cut{k}")
-                        for k, e in enumerate(ends)])
-    own = F.struct(F.col(value).alias("v"), F.col(id_col).alias("i"))
-    label = sum((F.when(own > F.col(f"_cut{k}"), 1).otherwise(0) for k in range(4)), F.lit(1))
-    return with_scalars(df, cuts).withColumn(out, label.cast("int")).drop(*[f"_cut{k}" for k in range(4)])
+    found = order_statistics(df, {"v": [F.col(value), F.col(id_col)]}, {"v": _label_ends}, partitions=num_partitions)
+    return df.withColumn(out, _rank_label(df, value, id_col, [found.keys["v"][r] for r in _label_ends(found.counts["v"])]))
+
+
+def _with_scores(df: DataFrame, edges: list[float | None], cuts: dict[str, list[tuple]], id_col: str) -> DataFrame:
+    return (df.withColumn("R_Score", _r_score("recency", edges))
+            .withColumn("F_Score", _rank_label(df, "frequency", id_col, cuts["frequency"]))
+            .withColumn("M_Score", _rank_label(df, "monetary", id_col, cuts["monetary"]))
+            .withColumn("RFM_Score", F.col("R_Score") + F.col("F_Score") + F.col("M_Score"))
+            .withColumn("RFM_Segment", segment_label("RFM_Score")))
 
 
 def add_rfm_scores(df: DataFrame, id_col: str = "customerID",
                    num_partitions: int | None = None) -> DataFrame:
-    """W1-W3 + F5: R/F/M scores, their sum and the segment label."""
-    out = add_r_score(df)
-    out = add_rank_quintile(out, "frequency", "F_Score", id_col, num_partitions)
-    out = add_rank_quintile(out, "monetary", "M_Score", id_col, num_partitions)
-    return (out.withColumn("RFM_Score", F.col("R_Score") + F.col("F_Score") + F.col("M_Score"))
-            .withColumn("RFM_Segment", segment_label("RFM_Score")))
+    """W1-W3 + F5: R/F/M scores, their sum and the segment label; all cuts come from the same passes."""
+    found = order_statistics(
+        df, {"recency": [F.col("recency").cast("double")], **{c: [F.col(c), F.col(id_col)] for c in ("frequency", "monetary")}},
+        {"recency": lambda n: quantile_ranks(n, [0.0, *_QUINTILES]), "frequency": _label_ends, "monetary": _label_ends},
+        where={"recency": F.col("recency").isNotNull()}, partitions=num_partitions)
+    edges = _edges(found.counts["recency"], lambda r: found.keys["recency"][r][0])
+    cuts = {c: [found.keys[c][r] for r in _label_ends(found.counts[c])] for c in ("frequency", "monetary")}
+    return _with_scores(df, edges, cuts, id_col)
+
 
+def all_features(df: DataFrame, num_partitions: int | None = None, id_col: str = "customerID") -> DataFrame:
+    """F1 -> F2 -> F3 -> F4 -> W1-W3 -> F5.
 
-def all_features(df: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """F1 -> F2 -> F3 -> F4 -> W1-W3 -> F5."""
-    out = add_tenure_group(df)
-    out = add_engagement(out)
-    out = add_charges_per_month(out)
-    out = add_rfm_proxies(out)
-    return add_rfm_scores(out, num_partitions=num_partitions)
+    ``df`` is read once for the maximum and all cuts (a slim projection is kept), and once for the rows.
+    """
+    out = add_charges_per_month(add_engagement(add_tenure_group(df)))
+    # Recency is the largest tenure minus tenure: its quantiles are tenure's, read from the other end.
+    mirrored = lambda n: [n + 1 - r for r in quantile_ranks(n, [0.0, *_QUINTILES])]
+    names = {"frequency": "engagement_score", "monetary": "TotalCharges"}
+    found = order_statistics(
+        out, {"tenure": [F.col("tenure")], **{k: [F.col(c), F.col(id_col)] for k, c in names.items()}},
+        {"tenure": lambda n: [n, *mirrored(n)], "frequency": _label_ends, "monetary": _label_ends},
+        where={"tenure": F.col("tenure").isNotNull()}, partitions=num_partitions)
+    n, tenure = found.counts["tenure"], found.keys["tenure"]
+    longest = tenure[n][0] if n else None
+    proxies = (out.withColumn("recency", (F.lit(longest).cast(df.schema["tenure"].dataType) - F.col("tenure")).cast("int"))
+               .withColumn("frequency", F.col("engagement_score")).withColumn("monetary", F.col("TotalCharges")))
+    edges = _edges(n, lambda r: float(longest - tenure[n + 1 - r][0]))
+    cuts = {k: [found.keys[k][r] for r in _label_ends(found.counts[k])] for k in names}
+    return _with_scores(proxies, edges, cuts, id_col)
 
 
 # ---------------------------------------------------------------- encoding

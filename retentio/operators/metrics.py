@@ -74,18 +74,6 @@ def avg_precision(scored: DataFrame, label: str = "label", score: str = "score",
     return cum.agg(F.round(F.sum(term), digits).alias("avg_precision"))
 
 
-def curve_summary(scored: DataFrame, label: str = "label", score: str = "score",
-                  digits: int = 10) -> DataFrame:
-    """AUC and average precision from one cumulated table (one sort for both)."""
-    cum = _cumulated(scored, label, score)
-    num = F.sum(F.col("neg").cast("decimal(38,0)") * (2 * F.col("cum_tp") - F.col("pos")))
-    den = 2 * F.max("all_tp").cast("decimal(38,0)") * F.max("all_fp").cast("decimal(38,0)")
-    term = _safe_div(F.col("pos"), F.col("all_tp")) * _safe_div(
-        F.col("cum_tp"), F.col("cum_tp") + F.col("cum_fp"))
-    return cum.agg(F.when(den > 0, num.cast("double") / den.cast("double")).alias("auc"),
-                   F.round(F.sum(term), digits).alias("avg_precision"))
-
-
 def _counts_at(scored: DataFrame, t: float, label: str, score: str) -> list[Column]:
     y, p = F.col(label), F.col(score) >= F.lit(float(t))
     return [F.count_if((y == 1) & p).alias("tp"), F.count_if((y == 0) & p).alias("fp"),

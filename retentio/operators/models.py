@@ -6,7 +6,7 @@ A fitted model is a ``PipelineModel``:
    (alphabetical first level dropped, unseen/NULL levels -> all zeros, as
    ``get_dummies(drop_first=True).reindex(fill_value=0)``);
 2. ``VectorAssembler`` over the frozen feature list;
-3. ``StandardScaler`` (mean and sd of the training split);
+3. ``StandardScaler`` and a factor (mean and population sd of the training split);
 4. the classifier, trained with a per-row class weight column.
 
 Scoring is ``PipelineModel.transform`` on the whole table; the class-1
@@ -16,20 +16,24 @@ metrics never collect rows; the driver receives coefficients and level lists.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier,
-                                       LogisticRegression, RandomForestClassifier)
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
+                                       RandomForestClassifier)
+from pyspark.ml.feature import ElementwiseProduct, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window, functions as F
 
-from retentio.operators import metrics as M
+from retentio.operators import boosting as B
+from retentio.operators import model_metrics as MM
 from retentio.operators.clean import DROP_COLS, string_columns
 from retentio.operators.features import categorical_levels
-from retentio.operators.rank import exact_rank, input_bytes
+from retentio.operators.rank import input_bytes
 from retentio.operators.scalars import with_scalars
+from retentio.operators.selection import order_statistics
 
 # Reference model settings (sklearn names in comments).
 MODEL_PARAMS = {
@@ -39,6 +43,13 @@ MODEL_PARAMS = {
     "XGBoost": {"n_estimators": 300, "learning_rate": 0.05, "max_depth": 6},
     "LightGBM": {"n_estimators": 300, "learning_rate": 0.05, "max_depth": 6},
 }
+# What the two boosting libraries use where the reference sets nothing.
+BOOSTER_DEFAULTS = {
+    "XGBoost": {"growth": "level", "l2": 1.0, "min_hessian": 1.0, "min_rows": 1, "max_bins": 255, "from_average": False,
+                "importance": "gain"},
+    "LightGBM": {"growth": "leaf", "num_leaves": 31, "l2": 0.0, "min_hessian": 1e-3, "min_rows": 20, "max_bins": 255, "from_average": True,
+                 "importance": "split"},
+}
 VOTING_MEMBERS = ["Random Forest", "LightGBM", "XGBoost"]
 
 
@@ -49,25 +60,30 @@ def stratified_split(df: DataFrame, label: str = "Churn", test_fraction: float =
     """M1: exact per-class 80/20 split, seeded.
 
     Within each class, rows are ordered by ``md5(id || seed)`` (ties by id); the first
-    ``round(test_fraction * n_class)`` rows of each class are the test split.  Only
-    (class, hash, id) is ranked; the last test row of each class is the cut its rows are
-    compared with.  Rows with a NULL label are dropped.
+    ``round(test_fraction * n_class)`` rows of each class are the test split.  The last test
+    row of each class is selected (no sort), and the class's rows are compared with it.
+    Rows with a NULL label are dropped.
     """
     key = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed))))
     lab = df.filter(F.col(label).isNotNull())
-    slim = lab.select(F.col(label).alias("_l"), key.alias("h"), F.col(id_col).alias("i"))
-    counts = slim.groupBy("_l").agg(F.count(F.lit(1)).alias("_nc"))
-    w = Window.orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per class: a two-row table
-    offs = counts.select("_l", "_nc", F.coalesce(F.sum("_nc").over(w), F.lit(0)).alias("_off"))
-    ranked = exact_rank(slim, [F.col("_l"), F.col("h"), F.col("i")], rank_col="_r", total_col=None)
-    k = F.round(F.col("_nc") * F.lit(float(test_fraction))).cast("long")
-    cuts = (ranked.join(offs, "_l").filter(F.col("_r") - F.col("_off") == k)
-            .select(F.col("_l"), F.struct("h", "i").alias("_cut")))
+    # One row per class; a class's test rows end at the rank after the rows of the classes before it.
+    counts = sorted((r[0], r[1]) for r in lab.groupBy(label).count().collect())
+    ends, before = {}, 0
+    for c, n in counts:
+        ends[c] = before + math.floor(n * test_fraction + 0.5)
+        before += n
+    order = [F.col(label), key, F.col(id_col)]
+    found = order_statistics(lab, {"all": order}, {"all": lambda _: list(ends.values())})
+    kind = df.schema[id_col].dataType
     own = F.struct(key.alias("h"), F.col(id_col).alias("i"))
-    return (lab.join(cuts, lab[label] == cuts["_l"], "left")
-            .withColumn("split", F.when(own <= F.col("_cut"), "test").otherwise("train"))
-            .drop("_l", "_cut"))
+    split, begin = F.lit("train"), 0
+    for c, n in counts:
+        if ends[c] > begin:
+            _, h, i = found.keys["all"][ends[c]]
+            is_test = (F.col(label) == F.lit(c)) & (own <= F.struct(F.lit(h).alias("h"), F.lit(i).cast(kind).alias("i")))
+            split = F.when(is_test, "test").otherwise(split)
+        begin += n
+    return lab.withColumn("split", split)
 
 
 def class_weights(df: DataFrame, label: str = "Churn") -> DataFrame:
@@ -78,13 +94,15 @@ def class_weights(df: DataFrame, label: str = "Churn") -> DataFrame:
             .select(label, "n_class", (F.col("_n") / (F.col("_k") * F.col("n_class"))).alias("weight")))
 
 
-def pos_weight_column(df: DataFrame, label: str = "Churn") -> DataFrame:
-    """XGBoost-style weight: positives get int(neg / pos), negatives 1."""
-    c = df.agg(F.count_if(F.col(label) == 0).alias("_neg"), F.count_if(F.col(label) == 1).alias("_pos"))
-    spw = F.when(F.col("_pos") > 0, F.floor(F.col("_neg") / F.col("_pos"))).otherwise(F.lit(1))
-    return (with_scalars(df, c)
-            .withColumn("weight", F.when(F.col(label) == 1, spw.cast("double")).otherwise(F.lit(1.0)))
-            .drop("_neg", "_pos"))
+def positive_weight(df: DataFrame, label: str = "Churn") -> float:
+    """XGBoost-style weight of a positive row: int(neg / pos) over all rows of ``df``, 1 without positives."""
+    neg, pos = df.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
+    return float(neg // pos) if pos else 1.0
+
+
+def pos_weight_column(df: DataFrame, weight: float, label: str = "Churn") -> DataFrame:
+    """Positives get ``weight``, negatives 1."""
+    return df.withColumn("weight", F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
 
 
 def with_balanced_weight(df: DataFrame, label: str = "Churn") -> DataFrame:
@@ -139,9 +157,6 @@ def _classifier(name: str, label: str, params: dict | None = None):
         return RandomForestClassifier(numTrees=p["n_estimators"], maxDepth=p["max_depth"],
                                       minInstancesPerNode=max(1, p["min_samples_split"] // 2),
                                       seed=42, **common)
-    if name in ("XGBoost", "LightGBM"):
-        return GBTClassifier(maxIter=p["n_estimators"], stepSize=p["learning_rate"],
-                             maxDepth=p["max_depth"], seed=42, **common)
     raise ValueError(f"unknown model {name}")
 
 
@@ -161,25 +176,61 @@ def size_partitions(df: DataFrame) -> DataFrame:
     return out
 
 
+def _encoder(weighted: DataFrame, spec: FeatureSpec) -> PipelineModel:
+    """Frozen one-hot encoding, assembler and scaler (training mean and population sd)."""
+    enc = SQLTransformer(statement=spec.sql())
+    asm = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(spec.features))],
+                          outputCol="features", handleInvalid="keep")
+    staged = asm.transform(enc.transform(weighted))
+    scaler = StandardScaler(inputCol="features", outputCol="scaled_sample", withMean=True, withStd=True).fit(staged)
+    # Spark divides by the sample sd; this makes it the population sd.
+    n = staged.count()
+    ratio = math.sqrt(n / (n - 1)) if n > 1 else 1.0
+    population = ElementwiseProduct(scalingVec=Vectors.dense([ratio] * len(spec.features)), inputCol="scaled_sample", outputCol="scaled")
+    return PipelineModel([enc, asm, scaler, population])
+
+
 def train_model(train: DataFrame, name: str, label: str = "Churn", spec: FeatureSpec | None = None,
-                params: dict | None = None) -> PipelineModel:
-    """Fit one reference model as a PipelineModel on ``train`` (weights added here)."""
+                params: dict | None = None, pos_weight: float | None = None) -> PipelineModel:
+    """Fit one reference model as a PipelineModel on ``train`` (weights added here).
+
+    ``pos_weight`` is XGBoost's weight of a positive row, by default that of ``train``.
+    """
     spec = spec or feature_spec(train, label)
-    weighted = pos_weight_column(train, label) if name == "XGBoost" else with_balanced_weight(train, label)
+    if name in BOOSTER_DEFAULTS:
+        return train_boosters(train, [name], label, spec, {name: params or {}}, pos_weight)[name]
+    weighted = with_balanced_weight(train, label)
     clf = _classifier(name, label, params)
     if isinstance(clf, LogisticRegression):
         c_val = (params or {}).get("C", MODEL_PARAMS[name]["C"])
         sum_w = weighted.agg(F.sum("weight")).first()[0]
         clf.setRegParam(1.0 / (c_val * sum_w))
-    enc = SQLTransformer(statement=spec.sql())
-    asm = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(spec.features))],
-                          outputCol="features", handleInvalid="keep")
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    model = Pipeline(stages=[enc, asm, scaler, clf]).fit(weighted)
+    encoder = _encoder(weighted, spec)
+    model = PipelineModel([*encoder.stages, clf.fit(encoder.transform(weighted))])
     model._retentio_features = spec.features  # noqa: SLF001 (kept for importances)
     return model
 
 
+def booster_params(name: str, params: dict | None = None) -> B.BoosterParams:
+    p = {**MODEL_PARAMS[name], **BOOSTER_DEFAULTS[name], **(params or {})}
+    return B.BoosterParams(rounds=p.pop("n_estimators"), **p)
+
+
+def train_boosters(train: DataFrame, names: list[str], label: str = "Churn", spec: FeatureSpec | None = None,
+                   params: dict | None = None, pos_weight: float | None = None) -> dict[str, PipelineModel]:
+    """M6: the boosters as PipelineModels; they share every pass over the rows."""
+    spec = spec or feature_spec(train, label)
+    balanced = with_balanced_weight(train, label).withColumnRenamed("weight", "_w_LightGBM")
+    heavier = positive_weight(train, label) if pos_weight is None else pos_weight
+    weighted = pos_weight_column(balanced, heavier, label).withColumnRenamed("weight", "_w_XGBoost")
+    encoder = _encoder(weighted, spec)
+    fitted = B.fit(encoder.transform(weighted), {n: (booster_params(n, (params or {}).get(n)), f"_w_{n}") for n in names}, label=label)
+    out = {n: PipelineModel([*encoder.stages, fitted[n]]) for n in names}
+    for m in out.values():
+        m._retentio_features = spec.features  # noqa: SLF001
+    return out
+
+
 def score(model: PipelineModel, df: DataFrame, out: str = "churn_prob") -> DataFrame:
     """M8: score a whole table; keeps the input columns and adds ``out``."""
     pred = model.transform(df)
@@ -202,14 +253,7 @@ def soft_vote(models: dict[str, PipelineModel], df: DataFrame, id_col: str = "cu
 def evaluate(scored: DataFrame, model_name: str, label: str = "Churn",
              prob: str = "churn_prob") -> DataFrame:
     """M12 + M9/M10 summary row: AUC, AP, accuracy, class-1 P/R/F1 (4 dp)."""
-    s = scored.select(F.col(label).alias("label"), F.col(prob).alias("score"))
-    curves = M.curve_summary(s).select("auc", "avg_precision")
-    rep = M.classification_report(s, 0.5).select("accuracy", "precision", "recall", "f1")
-    row = with_scalars(curves, rep)
-    return row.select(F.lit(model_name).alias("model"),
-                      F.round("auc", 4).alias("auc_roc"), F.round("avg_precision", 4).alias("avg_precision"),
-                      F.round("accuracy", 4).alias("accuracy"), F.round("precision", 4).alias("precision_churn"),
-                      F.round("recall", 4).alias("recall_churn"), F.round("f1", 4).alias("f1_churn"))
+    return MM.comparison(MM.cumulated(MM.long_scores(scored, {model_name: F.col(prob)}, label)))
 
 
 def train_all(split_df: DataFrame, label: str = "Churn", names: list[str] | None = None,
@@ -218,27 +262,35 @@ def train_all(split_df: DataFrame, label: str = "Churn", names: list[str] | None
     train = size_partitions(split_df.filter(F.col("split") == "train").drop("split"))
     spec = feature_spec(train, label)
     names = names or list(MODEL_PARAMS)
-    # independent fits run as concurrent Spark jobs (the reference's n_jobs=-1)
+    boosters = [n for n in names if n in BOOSTER_DEFAULTS]
+    # the positive weight counts all rows, not only the training split
+    heavier = positive_weight(split_df, label) if boosters else None
+    # independent fits run as concurrent Spark jobs (the reference's n_jobs=-1); boosters share theirs
     from concurrent.futures import ThreadPoolExecutor
     with ThreadPoolExecutor(max_workers=len(names)) as pool:
         futs = {n: pool.submit(train_model, train, n, label, spec, (params or {}).get(n))
-                for n in names}
+                for n in names if n not in boosters}
+        if boosters:
+            together = pool.submit(train_boosters, train, boosters, label, spec, params, heavier)
         models = {n: f.result() for n, f in futs.items()}
+        if boosters:
+            models |= together.result()
     train.unpersist()
-    return models, spec
+    return {n: models[n] for n in names}, spec
 
 
 def model_comparison(models: dict[str, PipelineModel], split_df: DataFrame,
                      label: str = "Churn", with_voting: bool = True) -> DataFrame:
     """One metrics row per model on the test split (voting added when >= 2 members)."""
+    return MM.comparison(MM.cumulated(test_scores(models, split_df, label, with_voting)))
+
+
+def test_scores(models: dict[str, PipelineModel], split_df: DataFrame, label: str = "Churn", with_voting: bool = True,
+                id_col: str = "customerID") -> DataFrame:
+    """(id, label, model, score) of the test split; every model scores it once, and the vote averages its members' scores."""
     test = split_df.filter(F.col("split") == "test").drop("split")
-    rows = [evaluate(score(m, test), n, label) for n, m in models.items()]
-    if with_voting and sum(m in models for m in VOTING_MEMBERS) >= 2:
-        rows.append(evaluate(soft_vote(models, test), "Voting Ensemble", label))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    scorers = {n: (lambda df, out, m=m: score(m, df, out)) for n, m in models.items()}
+    return MM.score_all(test, scorers, ("Voting Ensemble", VOTING_MEMBERS) if with_voting else None, label, (id_col,))
 
 
 def best_model(comparison: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Profiling and distribution statistics.
 
 All per-column statistics are computed in one aggregation pass and then
-unpivoted; exact quantiles of continuous columns use the distributed rank.
+unpivoted; exact quantiles of continuous columns are selected (``operators.selection``).
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from pyspark.sql.types import NumericType
 
 from retentio.operators.clean import string_columns
 from retentio.operators.features import categorical_levels
-from retentio.operators.rank import exact_quantiles
 from retentio.operators.scalars import with_scalars
+from retentio.operators.selection import exact_quantiles, exact_quantiles_of
 
 
 def _unpivot_one_row(one: DataFrame, cols: list[str], value_name: str) -> DataFrame:
@@ -79,7 +79,7 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, digits: int =
     """Count, mean, sample sd, min, 25/50/75 % (linear), max per numeric column.
 
     The columns are unpivoted to (column, value) so moments are one grouped
-    aggregate and all quartiles come from one distributed sort.
+    aggregate; the quartiles of all columns are selected together, without a sort.
     """
     cols = cols or numeric_columns(df)
     pairs = F.array(*[F.struct(F.lit(i + 1).alias("pos"), F.lit(c).alias("column"),
@@ -89,8 +89,8 @@ def describe_numeric(df: DataFrame, cols: list[str] | None = None, digits: int =
     mom = long.groupBy("pos", "column").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"), F.max("v").alias("max"))
-    q = exact_quantiles(long, "v", [0.25, 0.5, 0.75], by="column").select(
-        "column", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    quartiles = exact_quantiles_of(df, cols, [0.25, 0.5, 0.75])
+    q = df.sparkSession.createDataFrame([(c, *quartiles[c]) for c in cols], "column string, p25 double, p50 double, p75 double")
     return mom.join(q, "column", "left").select(
         "pos", "column", "count",
         *[F.round(F.col(k), digits).alias(k) for k in

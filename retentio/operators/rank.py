@@ -24,7 +24,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from retentio.session import ensure_checkpoint_dir
-from retentio.operators.scalars import with_scalars
 
 _LOW33 = (1 << 33) - 1
 #: Estimated input bytes of a range partition.
@@ -121,45 +120,3 @@ def running_totals(df: DataFrame, order: list[Column | str], values: dict[str, C
     if with_rank:
         extra.append((F.col("_off_cnt") + F.col("_pos") + 1).alias(with_rank))
     return j.select(*cols, *extra)
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: str | None = None,
-                    num_partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles (pandas/numpy ``linear``) per group.
-
-    Rows are first counted by (group, value), which Spark combines in the tasks, so a
-    value held by most rows is one row from then on; the order statistics are read off
-    running totals of the counts.  Output: one row per group with ``q0..q{k-1}`` (and
-    ``n``).  NULL values are ignored.
-    """
-    g = F.col(by) if by else F.lit(0)
-    tally = (df.select(g.alias("_g"), F.col(value).cast("double").alias("_x"))
-             .filter(F.col("_x").isNotNull()).groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_c")))
-    counts = tally.groupBy("_g").agg(F.sum("_c").alias("_ng"))
-    w = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    goff = counts.select("_g", "_ng", F.coalesce(F.sum("_ng").over(w), F.lit(0)).alias("_goff"))
-    ranked = running_totals(tally, [F.col("_g"), F.col("_x")], {"c": "_c"}, num_partitions=num_partitions)
-    # positions (1-based, within group) needed for each probability
-    pos = goff
-    for i, p in enumerate(probs):
-        h = (F.col("_ng") - 1).cast("double") * F.lit(float(p))
-        pos = (pos.withColumn(f"_h{i}", h)
-               .withColumn(f"_lo{i}", F.floor(h).cast("long") + 1)
-               .withColumn(f"_hi{i}", F.ceil(h).cast("long") + 1))
-    # one row per group; a single global group is a one-row table, attached as a scalar
-    # subquery (a join on a constant key would plan as a nested loop)
-    j = ranked.join(pos, "_g") if by else with_scalars(ranked, pos.drop("_g"))
-    last = F.col("cum_c") - F.col("_goff")  # place in the group of the value's last row
-    holds = lambda at: (F.col(at) <= last) & (F.col(at) > last - F.col("_c"))
-    wanted = F.lit(False)
-    for i in range(len(probs)):
-        wanted = wanted | holds(f"_lo{i}") | holds(f"_hi{i}")
-    picked = j.filter(wanted)
-    aggs = []
-    for i in range(len(probs)):
-        lo = F.max(F.when(holds(f"_lo{i}"), F.col("_x")))
-        hi = F.max(F.when(holds(f"_hi{i}"), F.col("_x")))
-        frac = F.first(F.col(f"_h{i}")) - F.floor(F.first(F.col(f"_h{i}")))
-        aggs.append((lo + frac * (hi - lo)).alias(f"q{i}"))
-    out = picked.groupBy("_g").agg(F.first("_ng").alias("n"), *aggs)
-    return out.withColumnRenamed("_g", by) if by else out.drop("_g")

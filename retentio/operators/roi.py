@@ -1,20 +1,22 @@
 """Risk scoring, CLV and retention-campaign economics.
 
-Group rates become one-row aggregates attached as scalar subqueries.  The top-k
-CLV sum ranks the at-risk rows once with the distributed exact rank and
-evaluates every strategy's cut-off as a conditional sum in the same pass.
+Group rates, lifetime and row count are one aggregate row, evaluated once and put into the
+plan as literals.  The top-k CLV sums need the value at each strategy's cut-off, which is
+selected without a sort; every strategy's sum is then a conditional sum in one pass.
 Rounding of lifts and lifetimes is Python's half-to-even, done in exact
 integer arithmetic on the underlying counts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from retentio.functions.expr import (clv_lookup, clv_roi, clv_simulator, heuristic_score,
                                      retention_action, risk_tier)
-from retentio.operators.rank import exact_quantiles, exact_rank
 from retentio.operators.scalars import with_scalars
+from retentio.operators.selection import exact_quantiles_of, order_statistics
 
 # Per-profile money thresholds.  The telecom profile uses the
 # reference's values; the orders profile (charges ~550x larger) uses cut-offs
@@ -79,11 +81,14 @@ def retention_actions(scored: DataFrame, prob: str = "churn_prob", profile: str
 
 def lift_rates(df: DataFrame, target: str = "Churn", contract: str = "Contract") -> DataFrame:
     """X11 + X12: data-derived lifts, base churn and implied lifetime (one row)."""
+    return campaign_statistics(df, target, contract).drop("customers")
+
+
+def campaign_statistics(df: DataFrame, target: str = "Churn", contract: str = "Contract") -> DataFrame:
+    """``lift_rates`` and the number of rows, from one aggregate."""
     if target not in df.columns:
-        return df.sparkSession.createDataFrame(
-            [(*_NO_TARGET_LIFTS.values(), 4)],
-            "lift_premium double, lift_standard double, lift_basic double, lift_minimal double, "
-            "base_churn double, implied_lifetime long")
+        fixed = [F.lit(v).alias(k) for k, v in _NO_TARGET_LIFTS.items()]
+        return df.agg(F.count(F.lit(1)).alias("customers")).select(*fixed, F.lit(4).cast("long").alias("implied_lifetime"), "customers")
     t, c = F.col(target), F.col(contract)
 
     def sc(level):
@@ -97,7 +102,7 @@ def lift_rates(df: DataFrame, target: str = "Churn", contract: str = "Contract")
     (s1, c1), (s2, c2), (s3, c3) = (sc(lv) for lv in _FALLBACK_RATES)
     one = df.agg(s1.alias("s1"), c1.alias("c1"), s2.alias("s2"), c2.alias("c2"),
                  s3.alias("s3"), c3.alias("c3"), F.sum(t).cast("long").alias("s"),
-                 F.count(t).alias("c"))
+                 F.count(t).alias("c"), F.count(F.lit(1)).alias("customers"))
     d = lambda x: F.col(x).cast("decimal(38,0)")
     k_prem = half_even_ratio(100 * (d("s1") * d("c3") - d("s3") * d("c1")), d("c1") * d("c3"))
     k_std = half_even_ratio(100 * (d("s1") * d("c2") - d("s2") * d("c1")), d("c1") * d("c2"))
@@ -108,59 +113,55 @@ def lift_rates(df: DataFrame, target: str = "Churn", contract: str = "Contract")
         (half_even_ratio(k_std, F.lit(4)) / 100.0).alias("lift_minimal"),
         F.when(F.col("c") > 0, F.col("s") / F.col("c")).alias("base_churn"),
         F.when(F.col("s") > 0, half_even_ratio(F.col("c"), F.col("s")))
-        .otherwise(F.lit(24)).cast("long").alias("implied_lifetime"),
+        .otherwise(F.lit(24)).cast("long").alias("implied_lifetime"), "customers",
     )
     return out
 
 
-def _at_risk_ranked(scored: DataFrame, life: DataFrame, prob: str, thresh: float,
-                    margin: float, rate: float, id_col: str) -> DataFrame:
-    """At-risk rows with CLV (ROI formula) ranked by CLV desc (ties: id asc)."""
-    at = (with_scalars(scored.filter(F.col(prob) >= F.lit(float(thresh))),
-                       life.select("implied_lifetime"))
-          .select(F.col(id_col), clv_roi(lifetime=F.col("implied_lifetime"), margin=margin,
-                                         rate=rate).alias("CLV")))
-    return exact_rank(at, [F.col("CLV").desc(), F.col(id_col).asc()], rank_col="clv_rank",
-                      total_col="n_at_risk")
+def _at_risk_clv(scored: DataFrame, lifetime: int, prob: str, thresh: float, margin: float, rate: float) -> DataFrame:
+    """CLV (ROI formula) of the at-risk rows."""
+    clv = clv_roi(lifetime=F.lit(int(lifetime)).cast("long"), margin=margin, rate=rate)
+    return scored.filter(F.col(prob) >= F.lit(float(thresh))).select(clv.alias("CLV"))
 
 
 def strategy_comparison(scored: DataFrame, prob: str = "churn_prob", thresh: float = 0.5,
                         margin: float = 0.25, rate: float = 83.0, target: str = "Churn",
                         id_col: str = "customerID", strategies=None,
                         lifetime: int | None = None) -> DataFrame:
-    """X13 + X14 + T2: every strategy's campaign economics from one ranked pass.
+    """X13 + X14 + T2: every strategy's campaign economics.
 
     saved_n = floor(n * lift); revenue saved = CLV sum of the saved_n highest-CLV
     at-risk customers (tie-independent); ROI % = net / cost * 100 (0 if no cost).
     """
     strategies = strategies or STRATEGIES
-    life = lift_rates(scored, target)
-    if lifetime is not None:
-        life = life.withColumn("implied_lifetime", F.lit(int(lifetime)).cast("long"))
-    ranked = _at_risk_ranked(scored, life, prob, thresh, margin, rate, id_col)
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum("CLV").alias("clv_at_risk")]
-    cut = with_scalars(ranked, life)
-    for name, lift_col, _ in strategies:
-        k = F.floor(F.col("n_at_risk") * F.col(lift_col)).cast("long")
-        aggs.append(F.sum(F.when(F.col("clv_rank") <= k, F.col("CLV"))).alias(f"sv_{name}"))
-    summary = cut.agg(*aggs)
-    total = scored.agg(F.count(F.lit(1)).alias("customers"))
-    base = with_scalars(with_scalars(summary, total), life)
+    # One row, read on the driver: lifts, lifetime and the number of customers.
+    facts = campaign_statistics(scored, target).first()
+    at = _at_risk_clv(scored, facts["implied_lifetime"] if lifetime is None else lifetime, prob, thresh, margin, rate)
+    # A lift can be unknown (null) where a rate is; then nothing is saved.
+    saved = lambda n: [math.floor(n * facts[lift]) if facts[lift] is not None else 0 for _, lift, _ in strategies]
+    found = order_statistics(at, {"clv": [F.col("CLV")]}, {"clv": lambda n: [n + 1 - k for k in saved(n) if k > 0]})
+    n = found.counts["clv"]
+    aggs = [F.sum("CLV").alias("clv_at_risk")]
+    for (name, _, _), k in zip(strategies, saved(n)):
+        cut = found.keys["clv"][n + 1 - min(k, n)][0] if min(k, n) > 0 else None
+        above = F.col("CLV") > F.lit(cut).cast("double")
+        # Rows equal to the cut fill up the places that larger values leave.
+        aggs.append((F.coalesce(F.sum(F.when(above, F.col("CLV"))), F.lit(0.0))
+                     + (F.lit(min(k, n)) - F.count_if(above)) * F.lit(cut).cast("double")).alias(f"sv_{name}"))
+    base = at.agg(*aggs)
     rows = []
-    for i, (name, lift_col, cost) in enumerate(strategies):
-        n_col = F.coalesce(F.col("n"), F.lit(0)).cast("long")
-        saved_n = F.floor(n_col * F.col(lift_col)).cast("long")
-        sv = F.when(saved_n > 0, F.coalesce(F.col(f"sv_{name}"), F.lit(0.0))).otherwise(F.lit(0.0))
-        cc = (n_col * F.lit(cost)).cast("long")
+    for i, ((name, lift_col, cost), k) in enumerate(zip(strategies, saved(n))):
+        sv = F.coalesce(F.col(f"sv_{name}"), F.lit(0.0)) if k > 0 else F.lit(0.0)
+        cc = F.lit(n * cost).cast("long")
         net = sv - cc
         roi = F.when(cc > 0, net / cc * 100).otherwise(F.lit(0.0))
         rows.append(F.struct(
             F.lit(i + 1).alias("pos"), F.lit(name).alias("strategy"),
-            F.col(lift_col).alias("lift"), F.lit(cost).alias("cost_per_customer"),
-            n_col.alias("n_at_risk"),
-            F.when(F.col("customers") > 0, n_col / F.col("customers")).alias("share_of_base"),
+            F.lit(facts[lift_col]).cast("double").alias("lift"), F.lit(cost).alias("cost_per_customer"),
+            F.lit(n).cast("long").alias("n_at_risk"),
+            F.lit(n / facts["customers"] if facts["customers"] else None).cast("double").alias("share_of_base"),
             F.round(F.coalesce(F.col("clv_at_risk"), F.lit(0.0)), 2).alias("clv_at_risk"),
-            cc.alias("campaign_cost"), saved_n.alias("saved_n"),
+            cc.alias("campaign_cost"), F.lit(k if facts[lift_col] is not None else None).cast("long").alias("saved_n"),
             F.round(sv, 2).alias("clv_saved"), F.round(net, 2).alias("net"),
             F.round(roi, 4).alias("roi_pct")))
     return base.select(F.inline(F.array(*rows)))
@@ -204,15 +205,12 @@ def clv_distribution(scored: DataFrame, prob: str = "churn_prob", thresh: float
                      margin: float = 0.25, rate: float = 83.0, target: str = "Churn",
                      lifetime: int | None = None) -> DataFrame:
     """Count, mean and linear 75th percentile of at-risk CLV."""
-    life = lift_rates(scored, target)
-    if lifetime is not None:
-        life = life.withColumn("implied_lifetime", F.lit(int(lifetime)).cast("long"))
-    at = (with_scalars(scored.filter(F.col(prob) >= F.lit(float(thresh))),
-                       life.select("implied_lifetime"))
-          .select(clv_roi(lifetime=F.col("implied_lifetime"), margin=margin, rate=rate).alias("CLV")))
-    mean = at.agg(F.count(F.lit(1)).alias("n_at_risk"), F.round(F.avg("CLV"), 2).alias("clv_mean"))
-    p75 = exact_quantiles(at, "CLV", [0.75]).select(F.round(F.col("q0"), 2).alias("clv_p75"))
-    return with_scalars(mean, p75)
+    if lifetime is None:
+        lifetime = campaign_statistics(scored, target).first()["implied_lifetime"]
+    at = _at_risk_clv(scored, lifetime, prob, thresh, margin, rate)
+    p75 = exact_quantiles_of(at, ["CLV"], [0.75])["CLV"][0]
+    return at.agg(F.count(F.lit(1)).alias("n_at_risk"), F.round(F.avg("CLV"), 2).alias("clv_mean")).withColumn(
+        "clv_p75", F.round(F.lit(p75).cast("double"), 2))
 
 
 __all__ = ["PROFILES", "STRATEGIES", "half_even_ratio", "with_heuristic_score", "risk_tiers",

@@ -23,7 +23,7 @@ FALLBACKS = {"mtm_churn": 0.43, "one_year_churn": 0.11, "two_year_churn": 0.03,
              "yes_support_churn": 0.15, "high_eng_churn": 0.18, "low_eng_churn": 0.45}
 
 
-# What a factor says; {r} is its churn rate, {v} the rate it is compared with.
+# Fixed values, as are the factors' names below (emoji left out): what a factor says; {r} is its churn rate, {v} the rate it is compared with.
 DESCRIPTIONS = {
     "mtm": "Churn rate in your data: {r} vs {v} for two-year contracts",
     "two_year": "Lowest churn in your dataset: {r} churn rate",
@@ -55,8 +55,8 @@ def best_payment(df: DataFrame, target: str = "Churn", dim: str = "PaymentMethod
 
 
 def _said(name: str, rate: Column, versus: Column) -> Column:
-    """A description with its rates filled in, in percent to one place."""
-    percent = lambda x: F.concat(F.round(x * 100, 1).cast("string"), F.lit("%"))
+    """A description with its rates filled in, in percent to one place (the exact value, ties to even)."""
+    percent = lambda x: F.concat(F.format_number(x * 100, 1), F.lit("%"))
     text = F.lit(DESCRIPTIONS[name])
     shown = rate.cast("string") if name == "charges" else percent(rate)
     text = F.replace(text, F.lit("{r}"), shown) if "{r}" in DESCRIPTIONS[name] else text
@@ -106,7 +106,7 @@ def risk_factors(profiles: DataFrame, population: DataFrame, target: str = "Chur
                 c("two_year_churn"), "two_year"),
         _factor(1, c("Contract") == "One year", F.lit("One-Year Contract"), "neu",
                 c("one_year_churn"), "one_year"),
-        _factor(2, c("tenure") <= 12, F.lit("New Customer (<=12 months)"), "neg", c("early_churn"),
+        _factor(2, c("tenure") <= 12, F.lit("New Customer (≤12 months)"), "neg", c("early_churn"),
                 "early", c("mature_churn")),
         _factor(2, c("tenure") >= 36, F.lit("Long-Tenure Customer (36+ months)"), "pos",
                 c("mature_churn"), "mature"),

@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from retentio.operators import cluster as CL
 from retentio.operators import explain as EX
+from retentio.operators import model_metrics as MM
 from retentio.operators import models as MD
 from retentio.operators import roi as X
+from retentio.operators import tree_shap as TS
 from retentio.operators import whatif as WI
 from retentio.plans.registry import _profiles, clean_table, features_table, register
 from retentio.sources.io import delete_table, table_available
@@ -39,7 +41,7 @@ def _model_dir(spark, d, kind: str) -> str:
     """Shared-storage folder for fitted models, keyed by data and training code."""
     h = hashlib.sha1(fingerprint(spark, d, ["customer", "orders", "nation", "region"]).encode())
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    for m in ("operators/models.py", "operators/cluster.py"):
+    for m in ("operators/models.py", "operators/cluster.py", "operators/selection.py", "operators/tree_shap.py", "operators/boosting.py", "operators/model_metrics.py"):
         with open(os.path.join(pkg, m), "rb") as f:
             h.update(f.read())
     return f"{_root(spark)}/{kind}-{h.hexdigest()[:16]}"
@@ -75,8 +77,9 @@ def fitted(spark, d, refresh: bool = False):
         if k in _CACHE and not refresh:
             return _CACHE[k]
         if refresh:
-            _CACHE.pop(("comparison",) + _key(spark, d), None)
-            delete_table(spark, _model_dir(spark, d, "comparison"))
+            _CACHE.pop(("best",) + _key(spark, d), None)
+            for kind in ("comparison", "scores", "attributions-random_forest", "attributions-xgboost"):
+                delete_table(spark, _model_dir(spark, d, kind))
         root = _model_dir(spark, d, "models")
         names = list(MD.MODEL_PARAMS)
         done = f"{root}/spec"
@@ -119,24 +122,49 @@ def q_class_weights(spark, d):
     return MD.class_weights(clean_table(spark, d))
 
 
-def _eval_one(name):
-    def q(spark, d):
+def test_scores(spark, d) -> DataFrame:
+    """(customerID, label, model, score) of the test rows under every model, scored and stored once per data and code version."""
+    path = _model_dir(spark, d, "scores")
+    if not table_available(spark, path + "/_SUCCESS"):
         models, _ = fitted(spark, d)
-        return MD.evaluate(MD.score(models[name], _test(spark, d)), name)
+        MD.test_scores(models, split_table(spark, d)).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _report_of(*names):
+    def q(spark, d):
+        return MM.comparison(MM.cumulated(test_scores(spark, d).filter(F.col("model").isin(*names))))
     return q
 
 
-register("train_logistic")(_eval_one("Logistic Regression"))
-register("train_tree")(_eval_one("Decision Tree"))
-register("train_forest")(_eval_one("Random Forest"))
+register("train_logistic")(_report_of("Logistic Regression"))
+register("train_tree")(_report_of("Decision Tree"))
+register("train_forest")(_report_of("Random Forest"))
+register("train_gbt")(_report_of("XGBoost", "LightGBM"))
 
 
-@register("train_gbt")
-def q_train_gbt(spark, d):
-    models, _ = fitted(spark, d)
-    t = _test(spark, d)
-    return (MD.evaluate(MD.score(models["XGBoost"], t), "XGBoost")
-            .unionByName(MD.evaluate(MD.score(models["LightGBM"], t), "LightGBM")))
+@register("model_roc_curves")
+def q_model_roc_curves(spark, d):
+    """M9 of every fitted model on the test rows."""
+    return MM.roc_curves(MM.cumulated(test_scores(spark, d)))
+
+
+@register("model_pr_curves")
+def q_model_pr_curves(spark, d):
+    """M10 of every fitted model."""
+    return MM.pr_curves(MM.cumulated(test_scores(spark, d)))
+
+
+@register("model_confusion")
+def q_model_confusion(spark, d):
+    """M11 of every fitted model."""
+    return MM.confusion_matrices(test_scores(spark, d))
+
+
+@register("model_threshold_sweep")
+def q_model_threshold_sweep(spark, d):
+    """M14 of every fitted model."""
+    return MM.threshold_sweeps(test_scores(spark, d))
 
 
 @register("soft_vote")
@@ -146,19 +174,16 @@ def q_soft_vote(spark, d):
 
 
 def _comparison(spark, d):
-    """M15 table (<= 6 rows), evaluated and stored once per data and code version."""
-    k = ("comparison",) + _key(spark, d)
-    with _LOCK:
-        if k in _CACHE:
-            return _CACHE[k]
+    """M15 table (<= 6 rows), from the scored test rows."""
+    return MM.comparison(MM.cumulated(test_scores(spark, d)))
+
+
+def _stored_comparison(spark, d):
+    """The comparison as stored once per data and code version; the best model's name comes from it."""
     path = _model_dir(spark, d, "comparison")
     if not table_available(spark, path + "/_SUCCESS"):
-        models, _ = fitted(spark, d)
-        MD.model_comparison(models, split_table(spark, d)).coalesce(1).write.mode("overwrite").parquet(path)
-    cmp = spark.read.parquet(path)
-    with _LOCK:
-        _CACHE[k] = cmp
-    return cmp
+        _comparison(spark, d).coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 register("model_comparison")(_comparison)
@@ -180,7 +205,7 @@ def _best_name(spark, d) -> str:
     with _LOCK:
         if k in _CACHE:
             return _CACHE[k]
-    name = MD.best_model(_comparison(spark, d)).first()["best_model"]
+    name = MD.best_model(_stored_comparison(spark, d)).first()["best_model"]
     with _LOCK:
         _CACHE[k] = name
     return name
@@ -255,6 +280,39 @@ def q_attribution_reasons(spark, d):
     return EX.attribution_reasons(attr)
 
 
+def _tree_arrays(spark, d, name: str = "Random Forest") -> DataFrame:
+    """Exact attributions of one tree model for every customer, stored once per data and code version."""
+    models, spec = fitted(spark, d)
+    path = _model_dir(spark, d, f"attributions-{_slug(name)}")
+    if not table_available(spark, path + "/_SUCCESS"):
+        TS.shap_tree_arrays(models[name], features_table(spark, d), spec.features).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@register("shap_tree")
+def q_shap_tree(spark, d):
+    """Exact attributions of the forest for every customer and feature."""
+    return _tree_arrays(spark, d).select("customerID", F.inline("attr"))
+
+
+@register("shap_tree_boosted")
+def q_shap_tree_boosted(spark, d):
+    """Exact log-odds attributions of a booster for every customer and feature."""
+    return _tree_arrays(spark, d, "XGBoost").select("customerID", F.inline("attr"))
+
+
+@register("top_attributions_tree")
+def q_top_attributions_tree(spark, d):
+    """T3 for the forest."""
+    return EX.top_attributions(_tree_arrays(spark, d), 12)
+
+
+@register("attribution_reasons_tree")
+def q_attribution_reasons_tree(spark, d):
+    """X6 for the forest."""
+    return EX.attribution_reasons(_tree_arrays(spark, d))
+
+
 @register("shap_sampled")
 def q_shap_sampled(spark, d):
     """Sampled Shapley values of the forest for every customer."""

@@ -325,6 +325,7 @@ def q_best_level(spark, d):
 
 from retentio.operators import profile as P  # noqa: E402
 from retentio.operators import metrics as M  # noqa: E402
+from retentio.operators import model_metrics as MM  # noqa: E402
 from retentio.operators import roi as X  # noqa: E402
 from retentio.operators import whatif as WI  # noqa: E402
 from retentio.operators.scalars import with_scalars
@@ -548,6 +549,80 @@ def q_threshold_sweep(spark, d):
     return M.threshold_sweep(scored_heuristic(spark, d))
 
 
+#: Six fixed scores of a row, each as SQL and as a Spark expression: curves of several models without a fitted one.
+FROZEN_SCORES = {
+    "tenure": ("score", lambda: F.col("score")),
+    "constant": ("CAST(0.5 AS DOUBLE)", lambda: F.lit(0.5)),
+    "charges": ("CAST(MonthlyCharges AS DOUBLE) / CAST(1000000 AS DOUBLE)", lambda: F.col("MonthlyCharges").cast("double") / F.lit(1000000.0)),
+    "reverse": ("CAST(tenure AS DOUBLE) / CAST(1000 AS DOUBLE)", lambda: F.col("tenure").cast("double") / F.lit(1000.0)),
+    "coarse": ("floor(score * CAST(5 AS DOUBLE)) / CAST(5 AS DOUBLE)", lambda: F.floor(F.col("score") * F.lit(5.0)) / F.lit(5.0)),
+    "partial": ("CASE WHEN tenure > 6 THEN score END", lambda: F.when(F.col("tenure") > 6, F.col("score"))),
+}
+_FROZEN_CTE = ", scores AS (" + " UNION ALL ".join(
+    f"SELECT customerID, label, '{n}' AS model, {sql} AS score FROM scored" for n, (sql, _) in FROZEN_SCORES.items()) + """),
+sm AS (SELECT model, score AS threshold, count_if(label = 1) AS pos, count_if(label = 0) AS neg
+  FROM scores WHERE label IS NOT NULL AND score IS NOT NULL GROUP BY 1, 2),
+cum AS (SELECT *, CAST(sum(pos) OVER w AS BIGINT) AS cum_tp, CAST(sum(neg) OVER w AS BIGINT) AS cum_fp,
+  CAST(sum(pos) OVER (PARTITION BY model) AS BIGINT) AS all_tp, CAST(sum(neg) OVER (PARTITION BY model) AS BIGINT) AS all_fp
+  FROM sm WINDOW w AS (PARTITION BY model ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING))
+"""
+
+
+def frozen_scores(spark, d) -> DataFrame:
+    return MM.long_scores(scored_heuristic(spark, d), {n: made() for n, (_, made) in FROZEN_SCORES.items()}, "label", ("customerID",))
+
+
+@register("frozen_roc_curves", O.with_scored(_FROZEN_CTE + f"""
+SELECT DISTINCT model, CAST('Infinity' AS DOUBLE) AS threshold, CAST(0 AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp,
+  CAST(0.0 AS DOUBLE) AS tpr, CAST(0.0 AS DOUBLE) AS fpr FROM cum
+UNION ALL
+SELECT model, threshold, cum_tp, cum_fp, {O.sdiv('cum_tp', 'all_tp')}, {O.sdiv('cum_fp', 'all_fp')} FROM cum"""))
+def q_frozen_roc_curves(spark, d):
+    """M9 of six scores at once, from one sort."""
+    return MM.roc_curves(MM.cumulated(frozen_scores(spark, d)))
+
+
+@register("frozen_pr_curves", O.with_scored(_FROZEN_CTE + f"""
+SELECT model, threshold, {O.sdiv('cum_tp', 'cum_tp + cum_fp')} AS precision, {O.sdiv('cum_tp', 'all_tp')} AS recall FROM cum
+UNION ALL SELECT DISTINCT model, CAST('Infinity' AS DOUBLE), 1.0, 0.0 FROM cum"""))
+def q_frozen_pr_curves(spark, d):
+    """M10 of six scores at once."""
+    return MM.pr_curves(MM.cumulated(frozen_scores(spark, d)))
+
+
+@register("frozen_summaries", O.with_scored(_FROZEN_CTE + f""", one AS (
+SELECT model, CASE WHEN max(all_tp) * max(all_fp) > 0 THEN CAST(sum(CAST(neg AS HUGEINT) * (2 * cum_tp - pos)) AS DOUBLE)
+    / CAST(2 * max(all_tp) * max(all_fp) AS DOUBLE) END AS auc,
+  round(sum({O.sdiv('pos', 'all_tp')} * {O.sdiv('cum_tp', 'cum_tp + cum_fp')}), 10) AS avg_precision,
+  CAST(coalesce(sum(CASE WHEN threshold >= 0.5 THEN pos END), 0) AS BIGINT) AS tp,
+  CAST(coalesce(sum(CASE WHEN threshold >= 0.5 THEN neg END), 0) AS BIGINT) AS fp, max(all_tp) AS p, max(all_fp) AS n
+FROM cum GROUP BY model), cnt AS (SELECT *, p - tp AS fn, n - fp AS tn FROM one)
+SELECT model, auc, avg_precision, tp, fp, fn, tn, {O.sdiv('tp + tn', 'tp + fp + fn + tn')} AS accuracy, {_report()} FROM cnt"""))
+def q_frozen_summaries(spark, d):
+    """M9, M10, M12 and M15 of six scores at once."""
+    return MM.summaries(MM.cumulated(frozen_scores(spark, d)))
+
+
+@register("frozen_threshold_sweeps", O.with_scored(_FROZEN_CTE + """, ts AS (SELECT i / 100 AS t FROM range(10, 91, 5) r(i)),
+cnt AS (SELECT model, t, count_if(label = 1 AND score >= t) AS tp, count_if(label = 0 AND score >= t) AS fp,
+  count_if(label = 1 AND NOT score >= t) AS fn, count_if(label = 0 AND NOT score >= t) AS tn
+  FROM ts, scores WHERE label IS NOT NULL GROUP BY model, t)
+SELECT model, t AS threshold, """ + _report() + """, tp + fp AS flagged, tp + fp + fn + tn AS total FROM cnt"""))
+def q_frozen_threshold_sweeps(spark, d):
+    """M14 of six scores in one pass."""
+    return MM.threshold_sweeps(frozen_scores(spark, d))
+
+
+@register("frozen_confusion", O.with_scored(_FROZEN_CTE + """, cnt AS (SELECT model, count_if(label = 1 AND score >= 0.5) AS tp,
+  count_if(label = 0 AND score >= 0.5) AS fp, count_if(label = 1 AND NOT score >= 0.5) AS fn, count_if(label = 0 AND NOT score >= 0.5) AS tn
+  FROM scores WHERE label IS NOT NULL GROUP BY model)
+SELECT model, 1 AS actual, 1 AS predicted, tp AS count FROM cnt UNION ALL SELECT model, 0, 1, fp FROM cnt
+UNION ALL SELECT model, 1, 0, fn FROM cnt UNION ALL SELECT model, 0, 0, tn FROM cnt"""))
+def q_frozen_confusion(spark, d):
+    """M11 of six scores in one pass."""
+    return MM.confusion_matrices(frozen_scores(spark, d))
+
+
 # ------------------------------------------------------------------ 2.10 ROI, CLV, actions
 
 _LIFE_COLS = ["lift_premium", "lift_standard", "lift_basic", "lift_minimal", "base_churn",
@@ -589,7 +664,7 @@ SELECT customerID, churn_prob, clv,
        WHEN churn_prob >= 0.65 THEN 'Targeted 15% Discount'
        WHEN churn_prob >= 0.35 AND clv >= {_PROF['clv_mid']} THEN 'Loyalty Rewards + Upgrade Offer'
        WHEN churn_prob >= 0.35 THEN 'Automated Re-engagement'
-       ELSE 'Monitor - Low Risk' END AS action,
+       ELSE 'Monitor — Low Risk' END AS action,
   CASE WHEN churn_prob >= 0.65 AND clv >= {_PROF['clv_high']} THEN 500
        WHEN churn_prob >= 0.65 THEN 200
        WHEN churn_prob >= 0.35 AND clv >= {_PROF['clv_mid']} THEN 300
@@ -704,7 +779,7 @@ def _factor_sql() -> str:
         (1, "'Month-to-Month Contract'", "neg", "mtm_churn", "Contract = 'Month-to-month' AND has_contract"),
         (1, "'Two-Year Contract'", "pos", "two_year_churn", "Contract = 'Two year'"),
         (1, "'One-Year Contract'", "neu", "one_year_churn", "Contract = 'One year'"),
-        (2, "'New Customer (<=12 months)'", "neg", "early_churn", "tenure <= 12"),
+        (2, "'New Customer (≤12 months)'", "neg", "early_churn", "tenure <= 12"),
         (2, "'Long-Tenure Customer (36+ months)'", "pos", "mature_churn", "tenure >= 36"),
         (3, "'No Tech Support'", "neg", "no_support_churn", "TechSupport = 'No' AND InternetService <> 'No'"),
         (3, "'Tech Support Active'", "pos", "yes_support_churn", "TechSupport = 'Yes'"),
@@ -725,7 +800,7 @@ def _factor_sql() -> str:
               "support": "no_support_churn", "high_eng": "low_eng_churn"}
 
     def percent(x: str) -> str:
-        return f"CAST(round(CAST({x} AS DOUBLE) * 100, 1) AS VARCHAR) || '%'"
+        return f"printf('%.1f%%', CAST({x} AS DOUBLE) * 100)"
 
     def desc(name: str, rate: str) -> str:
         text = f"'{WI.DESCRIPTIONS[name]}'"
@@ -839,6 +914,23 @@ def q_lookup_customer(spark, d):
     return C.lookup_customer(clean_table(spark, d), lookup_queries(spark, d))
 
 
+_REGEX_Q = """q AS (SELECT DISTINCT lpad(CAST(n_nationkey AS VARCHAR), 3, '0') || '[13579]$' AS query FROM nation
+UNION SELECT '^c.*[0-9]' || CAST(r_regionkey AS VARCHAR) || '.$' FROM region)"""
+
+
+@register("lookup_customer_regex", O.with_clean(f""", {_REGEX_Q}
+SELECT query, min(customerID) AS customerID, 'contains' AS match_type
+FROM q JOIN clean ON regexp_matches(customerID, query, 'i') GROUP BY query"""))
+def q_lookup_customer_regex(spark, d):
+    """P9/J2 with one pattern for each nation (found by its trigram) and region (no literal run)."""
+    from retentio.sources.tables import read_table
+    nations = read_table(spark, d, "nation", ["n_nationkey"]).select(
+        F.concat(F.lpad(F.col("n_nationkey").cast("string"), 3, "0"), F.lit("[13579]$")).alias("query"))
+    regions = read_table(spark, d, "region", ["r_regionkey"]).select(
+        F.concat(F.lit("^c.*[0-9]"), F.col("r_regionkey").cast("string"), F.lit(".$")).alias("query"))
+    return C.lookup_customer(clean_table(spark, d), nations.unionByName(regions))
+
+
 _PROFILE_COLS = ["gender", "SeniorCitizen", "Partner", "Dependents", "tenure", "Contract",
                  "InternetService", "MonthlyCharges", "TotalCharges", "PaymentMethod"]
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def get_session(master: str = "local[8]", shuffle_partitions: int = 8,
                 app_name: str = "retentio") -> SparkSession:
@@ -46,3 +50,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="retentio-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
+
+
+def ship_code(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers of all executors (once per application)."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="retentio-code-"), "retentio-code.zip")
+        with zipfile.ZipFile(target, "w") as archive:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+        sc.addPyFile(target)
+        _SHIPPED.add(sc.applicationId)
+    return spark

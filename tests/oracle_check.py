@@ -49,15 +49,17 @@ def _key(row):
 
 
 def compare(sdf, con, sql):
-    spdf = sdf.toPandas()
-    ddf = con.execute(sql).fetchdf()
-    s_cols, d_cols = sorted(spdf.columns), sorted(ddf.columns)
+    # Rows as both engines give them: a frame would turn integers with nulls into floats.
+    ran = con.execute(sql)
+    d_names, d_rows = [c[0] for c in ran.description], ran.fetchall()
+    s_rows = [tuple(r) for r in sdf.collect()]
+    s_cols, d_cols = sorted(sdf.columns), sorted(d_names)
     if s_cols != d_cols:
         return False, f"columns differ: spark={s_cols} duck={d_cols}"
-    if len(spdf) != len(ddf):
-        return False, f"rows differ: spark={len(spdf)} duck={len(ddf)}"
-    srows = sorted((tuple(_norm(r[c]) for c in s_cols) for _, r in spdf.iterrows()), key=_key)
-    drows = sorted((tuple(_norm(r[c]) for c in s_cols) for _, r in ddf.iterrows()), key=_key)
+    if len(s_rows) != len(d_rows):
+        return False, f"rows differ: spark={len(s_rows)} duck={len(d_rows)}"
+    srows, drows = (sorted((tuple(_norm(r[names.index(c)]) for c in s_cols) for r in rows), key=_key)
+                    for names, rows in ((sdf.columns, s_rows), (d_names, d_rows)))
     bad = 0
     first = None
     for a, b in zip(srows, drows):
@@ -66,7 +68,7 @@ def compare(sdf, con, sql):
             first = first or (a, b)
     if bad:
         return False, f"{bad} rows differ; first: spark={first[0]} duck={first[1]}"
-    return True, f"{len(spdf)} rows"
+    return True, f"{len(s_rows)} rows"
 
 
 def main(argv):

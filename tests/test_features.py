@@ -106,7 +106,7 @@ def test_risk_tiers_and_actions(spark):
     assert strict == ["LOW RISK", "LOW RISK", "MEDIUM RISK", "MEDIUM RISK"]
     from retentio.functions.expr import retention_action
     acts = [r[0] for r in df.select(retention_action("churn_prob", "CLV").action).collect()]
-    assert acts == ["Monitor - Low Risk", "Loyalty Rewards + Upgrade Offer",
+    assert acts == ["Monitor — Low Risk", "Loyalty Rewards + Upgrade Offer",
                     "Loyalty Rewards + Upgrade Offer", "Personal Manager + 20% Discount"]
     low_clv = spark.createDataFrame([(0.5, 10.0), (0.7, 10.0)], "churn_prob double, CLV double")
     acts = [r[0] for r in low_clv.select(retention_action("churn_prob", "CLV").action).collect()]

@@ -55,4 +55,5 @@ def test_kmeans_profile_and_pca(spark):
     prof = CL.cluster_profile(cl).toPandas()
     assert prof.Count.sum() == feats.count() and len(prof) == 3
     pc = CL.pca_2d(feats)
-    assert pc.columns == ["customerID", "PC1", "PC2"]
+    assert pc.columns == ["customerID", "PC1", "PC2", "ChurnLabel"]
+    assert CL.pca_2d(feats.drop("Churn")).columns == ["customerID", "PC1", "PC2"]

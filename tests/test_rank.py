@@ -5,7 +5,8 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from retentio.operators.rank import exact_quantiles, exact_rank, running_totals
+from retentio.operators.rank import exact_rank, running_totals
+from retentio.operators.selection import exact_quantiles
 
 
 @pytest.mark.parametrize("parts", [1, 3, 8])

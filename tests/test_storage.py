@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from retentio.functions.expr import half_even_quotient, pct_1dp
 from retentio.operators.explain import as_arrays, attribution_reasons, top_attributions
-from retentio.operators.rank import exact_quantiles, input_bytes
+from retentio.operators.rank import input_bytes
+from retentio.operators.selection import exact_quantiles
 from retentio.session import ensure_checkpoint_dir
 from retentio.sources.processed import fingerprint, processed
 
