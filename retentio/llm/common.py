@@ -11,11 +11,11 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import os
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-import zipfile
 from contextlib import contextmanager
 
 import numpy as np
@@ -24,9 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from retentio.session import ship_code
+
 #: Rows in an Arrow batch sent to a Python worker; texts may be long, so batches stay small.
 BATCH_ROWS = 1000
-_SHIPPED: set[str] = set()
 PLAIN_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PLAIN_WORD_TEXT = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -43,18 +44,7 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable on the executors and keep Arrow batches small."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        target = os.path.join(tempfile.mkdtemp(prefix="retentio-code-"), "retentio-code.zip")
-        with zipfile.ZipFile(target, "w") as archive:
-            for folder, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        path = os.path.join(folder, name)
-                        archive.write(path, os.path.relpath(path, os.path.dirname(root)))
-        sc.addPyFile(target)
-        _SHIPPED.add(sc.applicationId)
+    ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
@@ -66,13 +56,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _KEPT: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """Return what was freed to the system: the next operator's worker starts small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own counsel
+
+
 def kept(owner: str) -> dict:
     """What a Python worker keeps for ``owner`` from task to task; what it kept for others is let go."""
     others = [name for name in _KEPT if name != owner]
     for name in others:
         del _KEPT[name]
     if others:
-        pa.default_memory_pool().release_unused()
+        give_back()
     return _KEPT.setdefault(owner, {})
 
 

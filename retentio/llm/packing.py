@@ -29,8 +29,12 @@ from pyspark.sql import functions as F
 
 from retentio.llm.common import Scratch, kept
 
-#: Distinct words, and distinct parts of words, whose ids a worker keeps; beyond, it starts anew.
-KEPT_WORDS, KEPT_PARTS = 600_000, 600_000
+#: Bytes of words, and of parts of words, whose ids a worker keeps; beyond, it starts anew.
+KEPT_BYTES = 80 << 20, 40 << 20
+#: Bytes of text that are encoded together: what a batch of long texts adds stays small.
+SLICE_BYTES = 2 << 20
+#: What a kept name costs besides its own characters and ids: string, dictionary entry, places.
+NAME_BYTES = 190
 #: Words of these characters only (no apostrophe, nothing that composes) split into parts that are encoded alone.
 SIMPLE = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 PART = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
@@ -50,6 +54,7 @@ class Kept:
         self.start = np.zeros(1 << 14, np.int64)
         self.size = np.zeros(1 << 14, np.int64)
         self.used = 0
+        self.held = 0
 
     def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.place), len(names)
@@ -61,6 +66,7 @@ class Kept:
         self.size[n:n + m] = sizes
         self.start[n:n + m] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
+        self.held += sum(map(len, names)) + NAME_BYTES * m + 4 * len(ids)
         self.place.update(zip(names, range(n, n + m)))
 
     def joined(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,9 +138,9 @@ class WordEncoder:
         names = coded.dictionary.to_pylist()
         if not names:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        if len(self.parts.place) > KEPT_PARTS:
+        if self.parts.held > KEPT_BYTES[1]:
             self.parts = Kept()
-        if len(self.words.place) > KEPT_WORDS:
+        if self.words.held > KEPT_BYTES[0]:
             self.words = Kept()
         kept = self.words.place
         self._learn([w for w in names if w not in kept])
@@ -142,6 +148,18 @@ class WordEncoder:
         ids, ends = self.words.joined(place[coded.indices.to_numpy(zero_copy_only=False)])
         return ids, ends[offsets]
 
+    def encode_slices(self, texts: pa.Array):
+        """``encode`` over slices of about SLICE_BYTES: (first row, ids, offsets). A longer text is a slice of its own."""
+        sizes = pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > start and held + size > SLICE_BYTES:
+                yield start, *self.encode(texts.slice(start, i - start))
+                start, held = i, 0
+            held += size
+        if len(texts) > start:
+            yield start, *self.encode(texts.slice(start))
+
 
 def encoder_of(path: str) -> WordEncoder:
     """The worker's encoder, which later tasks find again."""
@@ -158,19 +176,19 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, limit: int, e
     def cut(batches):
         encoder = encoder_of(path)
         for batch in batches:
-            ids, offsets = encoder.encode(batch.column("text"))
-            docs_at, rows = [], []
-            for i in range(len(offsets) - 1):
-                own = np.append(ids[offsets[i]:offsets[i + 1]], np.uint32(end_id)).astype("<u4")
-                for n, start in enumerate(range(0, len(own), limit)):
-                    part = own[start:start + limit]
-                    docs_at.append(i)
-                    rows.append((n, start, len(part), zlib.crc32(part.tobytes())))
-            columns = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(docs_at, pa.int64())),
-                 *(pa.array(c, k) for c, k in zip(columns, [pa.int32()] + [pa.int64()] * 3))],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for first, ids, offsets in encoder.encode_slices(batch.column("text")):
+                docs_at, rows = [], []
+                for i in range(len(offsets) - 1):
+                    own = np.append(ids[offsets[i]:offsets[i + 1]], np.uint32(end_id)).astype("<u4")
+                    for n, start in enumerate(range(0, len(own), limit)):
+                        part = own[start:start + limit]
+                        docs_at.append(first + i)
+                        rows.append((n, start, len(part), zlib.crc32(part.tobytes())))
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(docs_at, pa.int64())),
+                     *(pa.array(c, k) for c, k in zip(columns, [pa.int32()] + [pa.int64()] * 3))],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
