@@ -10,8 +10,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from retentio.llm import conversation_trie, hot_join, merkle, queries, warc_store
+from retentio.llm import conversation_trie, merkle, queries, warc_store
 from retentio.llm.common import Scratch, prepare
+from retentio.operators import hot_join
 
 
 def sha(*parts):
