@@ -24,7 +24,8 @@ from retentio.operators import models as MD
 from retentio.operators import roi as X
 from retentio.operators import tree_shap as TS
 from retentio.operators import whatif as WI
-from retentio.plans.registry import _profiles, clean_table, features_table, register
+from retentio.plans import oracle as O
+from retentio.plans.registry import _FROZEN_REPORT, _profiles, clean_table, features_table, frozen_scores, register
 from retentio.sources.io import delete_table, table_available
 from retentio.sources.processed import _root, fingerprint
 
@@ -199,6 +200,30 @@ def q_metric_leaders(spark, d):
     return MD.metric_leaders(_comparison(spark, d))
 
 
+def _frozen_comparison(spark, d):
+    return MM.comparison(MM.cumulated(frozen_scores(spark, d)))
+
+
+@register("frozen_comparison", O.with_scored(_FROZEN_REPORT + "SELECT * FROM comparison"))
+def q_frozen_comparison(spark, d):
+    """M15 of six fixed scores."""
+    return _frozen_comparison(spark, d)
+
+
+@register("frozen_best_model", O.with_scored(_FROZEN_REPORT + """
+SELECT model AS best_model, auc_roc FROM comparison ORDER BY auc_roc DESC, model LIMIT 1"""))
+def q_frozen_best_model(spark, d):
+    """T6 of six fixed scores."""
+    return MD.best_model(_frozen_comparison(spark, d))
+
+
+@register("frozen_metric_leaders", O.with_scored(_FROZEN_REPORT + "SELECT *, " + ", ".join(
+    f"{m} = max({m}) OVER () AS {m}_is_best" for m in ("auc_roc", "avg_precision", "accuracy", "f1_churn")) + " FROM comparison"))
+def q_frozen_metric_leaders(spark, d):
+    """T7 of six fixed scores."""
+    return MD.metric_leaders(_frozen_comparison(spark, d))
+
+
 def _best_name(spark, d) -> str:
     # a bounded result (<= 6 rows) read on the driver to pick the model object
     k = ("best",) + _key(spark, d)

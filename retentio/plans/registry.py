@@ -590,14 +590,20 @@ def q_frozen_pr_curves(spark, d):
     return MM.pr_curves(MM.cumulated(frozen_scores(spark, d)))
 
 
-@register("frozen_summaries", O.with_scored(_FROZEN_CTE + f""", one AS (
+_FROZEN_REPORT = _FROZEN_CTE + f""", one AS (
 SELECT model, CASE WHEN max(all_tp) * max(all_fp) > 0 THEN CAST(sum(CAST(neg AS HUGEINT) * (2 * cum_tp - pos)) AS DOUBLE)
     / CAST(2 * max(all_tp) * max(all_fp) AS DOUBLE) END AS auc,
   round(sum({O.sdiv('pos', 'all_tp')} * {O.sdiv('cum_tp', 'cum_tp + cum_fp')}), 10) AS avg_precision,
   CAST(coalesce(sum(CASE WHEN threshold >= 0.5 THEN pos END), 0) AS BIGINT) AS tp,
   CAST(coalesce(sum(CASE WHEN threshold >= 0.5 THEN neg END), 0) AS BIGINT) AS fp, max(all_tp) AS p, max(all_fp) AS n
-FROM cum GROUP BY model), cnt AS (SELECT *, p - tp AS fn, n - fp AS tn FROM one)
-SELECT model, auc, avg_precision, tp, fp, fn, tn, {O.sdiv('tp + tn', 'tp + fp + fn + tn')} AS accuracy, {_report()} FROM cnt"""))
+FROM cum GROUP BY model), cnt AS (SELECT *, p - tp AS fn, n - fp AS tn FROM one),
+report AS (SELECT model, auc, avg_precision, tp, fp, fn, tn, {O.sdiv('tp + tn', 'tp + fp + fn + tn')} AS accuracy, {_report()} FROM cnt),
+comparison AS (SELECT model, round(auc, 4) AS auc_roc, round(avg_precision, 4) AS avg_precision, round(accuracy, 4) AS accuracy,
+  round(precision, 4) AS precision_churn, round(recall, 4) AS recall_churn, round(f1, 4) AS f1_churn FROM report)
+"""
+
+
+@register("frozen_summaries", O.with_scored(_FROZEN_REPORT + "SELECT * FROM report"))
 def q_frozen_summaries(spark, d):
     """M9, M10, M12 and M15 of six scores at once."""
     return MM.summaries(MM.cumulated(frozen_scores(spark, d)))
