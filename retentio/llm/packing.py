@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from retentio.llm.common import Scratch, kept
 
 #: Bytes of words, and of parts of words, whose ids a worker keeps; beyond, it starts anew.
-KEPT_BYTES = 80 << 20, 40 << 20
+KEPT_BYTES = 130 << 20, 130 << 20
 #: Bytes of text that are encoded together: what a batch of long texts adds stays small.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 16 << 20
 #: What a kept name costs besides its own characters and ids: string, dictionary entry, places.
 NAME_BYTES = 190
 #: Words of these characters only (no apostrophe, nothing that composes) split into parts that are encoded alone.
