@@ -5,7 +5,8 @@ unseen endings of a toxic stem count too), the log-odds between toxic and clean
 share of all labelled documents, ``prior_docs`` strong, but never less than a floor that does not
 depend on the table's size), less ``deviations`` standard
 deviations, so that a word with little evidence scores nothing. Those whose lower
-bound exceeds ``least`` form the lexicon; a word scores the best of its entries, or ``-drift``
+bound exceeds ``least`` form the lexicon, whole: it grows with the labelled rows read, which
+``max_labelled`` bounds, and not with the table. A word scores the best of its entries, or ``-drift``
 if it has none.
 
 Scoring. The linear-time all-maximal-segments scan (Ruzzo and Tompa) over the word
@@ -16,8 +17,9 @@ and a passage of score S in a text of n words has E-value ``K n exp(-lambda S)``
 document's evidence is the sum of ``-ln E`` over passages with E below ``max_e``; a
 logistic curve fitted on the labelled rows turns it into a probability.
 
-Nulls and empty texts have no passage and get the curve's value at no evidence.
-Without labelled rows of both kinds nothing can be learnt: all scores are 0.
+Nulls and empty texts have no passage and get the curve's value at no evidence. Very long
+texts are scanned whole, in time linear in their words. Repeated rows come out as often as they
+stand; of passages of equal score the first is named. Without labelled rows of both kinds nothing can be learnt: all scores are 0.
 """
 
 from __future__ import annotations
@@ -41,8 +43,6 @@ STEMS = range(4, 9)
 KEPT_WORDS = 200_000
 #: Labelled rows that the model is fitted on, at most; those with the smallest hash of the id.
 MAX_LABELLED = 40_000
-#: Words in the lexicon, at most; those of the highest score.
-MAX_LEXICON = 20_000
 
 
 @dataclass
@@ -84,24 +84,25 @@ def maximal_segments(positions, scores, drift: float) -> list[tuple[int, int, fl
     """All maximal-scoring runs (start, end exclusive, score) of a sequence.
 
     ``positions`` are the places of positive scores in rising order; each other
-    place scores ``-drift``. Each positive place is pushed and popped once at most.
+    place scores ``-drift``. Each run keeps the nearest earlier run of a lower total before, so that a
+    search skips what an earlier search has passed: the scan is linear in the positive places.
     """
-    runs: list[list[float]] = []  # start, end, total before, total after
+    runs: list[list] = []  # start, end, total before, total after, nearest earlier run of a lower total before
     total, at = 0.0, 0
     for position, score in zip(positions, scores):
         total -= drift * (position - at)
         left, total, at = total, total + score, position + 1
-        run = [position, at, left, total]
+        start, j = position, len(runs) - 1
         while True:
-            j = len(runs) - 1
-            while j >= 0 and runs[j][2] >= run[2]:
-                j -= 1
-            if j < 0 or runs[j][3] >= run[3]:
-                runs.append(run)
+            while j >= 0 and runs[j][2] >= left:
+                j = runs[j][4]
+            if j < 0 or runs[j][3] >= total:
+                runs.append([start, at, left, total, j])
                 break
-            run = [runs[j][0], run[1], runs[j][2], run[3]]
+            start, _, left, _, before = runs[j]
             del runs[j:]
-    return [(int(s), int(e), after - before) for s, e, before, after in runs]
+            j = before
+    return [(int(s), int(e), after - before) for s, e, before, after, _ in runs]
 
 
 def find_passages(text: str | None, model: ToxicityModel) -> tuple[list[tuple[int, int, float]], int]:
@@ -191,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bound = lower_bound(F.col("toxic"), F.col("clean"), n_toxic, n_clean, prior_docs, deviations)
     lexicon = counts.select("word", "clean", F.when(F.col("word").isNotNull(), bound).alias("score"))
     best = (lexicon.filter(F.col("word").isNull() | (F.col("score") > least))
-            .orderBy(F.col("score").desc_nulls_first(), "word").limit(MAX_LEXICON + 1).collect())
+            .orderBy(F.col("score").desc_nulls_first(), "word").collect())
     words = [r for r in best if r["word"] is not None]
     if not words:
         return none

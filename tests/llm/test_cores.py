@@ -54,6 +54,43 @@ def test_maximal_segments(seed):
     assert all(math.isclose(x[2], y[2]) for x, y in zip(got, want))
 
 
+class Counted(float):
+    """A float that counts how often it is compared."""
+    comparisons = 0
+
+    def __ge__(self, other):
+        Counted.comparisons += 1
+        return float(self) >= float(other)
+
+    def __add__(self, other):
+        return Counted(float(self) + float(other))
+
+    def __sub__(self, other):
+        return Counted(float(self) - float(other))
+
+    __radd__ = __add__
+
+
+@pytest.mark.parametrize("gap, score", [(12, 2.0), (3, 2.0), (8, 2.0)])
+def test_maximal_segments_are_found_in_linear_time(gap, score):
+    cost = {}
+    for n in (2_000, 4_000, 8_000):
+        Counted.comparisons = 0
+        found = toxicity.maximal_segments(range(0, gap * n, gap), [Counted(score)] * n, 0.25)
+        assert len(found) == (n if gap == 12 else 1)
+        cost[n] = Counted.comparisons
+    assert 0 < cost[4_000] <= 2.1 * cost[2_000] and cost[8_000] <= 2.1 * cost[4_000] and cost[8_000] <= 8 * 8_000
+
+
+def test_maximal_segments_of_mixed_scores_in_linear_time():
+    chance = random.Random(7)
+    scores = [chance.choice([0.3, 1.0, 2.6, 5.0]) for _ in range(20_000)]
+    places = sorted(chance.sample(range(200_000), 20_000))
+    Counted.comparisons = 0
+    toxicity.maximal_segments(places, [Counted(s) for s in scores], 0.25)
+    assert 0 < Counted.comparisons <= 8 * 20_000
+
+
 def test_lambda_solves_its_equation():
     scores, shares = np.array([2.0, 4.0]), np.array([0.01, 0.002])
     lam = toxicity.solve_lambda(scores, shares, 0.25)
