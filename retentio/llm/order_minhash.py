@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 K, PICK, ENTRIES = 6, 2, 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -105,7 +106,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return slim.mapInArrow(made, f"doc_id {kind}, fingerprint string")
 
 
-def _splitters(keyed: DataFrame, n_ranges: int) -> list[tuple[int, int]]:
+def _splitters(keyed: DataFrame, n_ranges: int) -> list[tuple[int | str, int]]:
     """Keys of real rows, falling, that cut the bytes into about ``n_ranges`` parts; the first is the largest key."""
     total = keyed.agg(F.sum("size").alias("n"), F.max(F.struct("key", "tie")).alias("top")).first()
     if total["top"] is None:
@@ -125,16 +126,18 @@ def _splitters(keyed: DataFrame, n_ranges: int) -> list[tuple[int, int]]:
 def half_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness.
 
-    Documents stand in falling id (null ids last, then by a hash of the text); the
+    Documents stand in falling id (integers by value, ids of any other type by their text; null ids
+    last; equal ids by a hash of the text); the
     edited text's last half is the beginning of the next document, the first following the last.
     Rows are range-partitioned in that order at the keys of sampled rows; the row at a
     key also goes, marked, to the range before, whose last document it follows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(
-        F.col(id_col).alias("doc_id"), text.alias("text"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key"),
-        F.xxhash64(text).alias("tie"))
+    whole = isinstance(docs.schema[id_col].dataType, IntegralType)
+    # A mark before the text of an id lets a null stand below the empty text.
+    key = (F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")) if whole
+           else F.coalesce(F.concat(F.lit("#"), F.col(id_col).cast("string")), F.lit("")))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), key.alias("key"), F.xxhash64(text).alias("tie"))
     sizes = keyed.select("key", "tie", (F.octet_length("text") + 16).alias("size"))
     spark = docs.sparkSession
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keyed.rdd.getNumPartitions())
@@ -144,8 +147,9 @@ def half_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def ranges(key: pd.Series, tie: pd.Series) -> pd.Series:
         # The range of a row; for a row that opens a range, also the range before, as -1 - range.
         opens = {c: i for i, c in enumerate(cuts)}
-        rising = np.array([c[0] for c in reversed(cuts)], np.int64)
-        above = len(cuts) - np.searchsorted(rising, key.to_numpy(np.int64), "right")
+        kind = np.int64 if whole else object
+        rising = np.array([c[0] for c in reversed(cuts)], kind)
+        above = len(cuts) - np.searchsorted(rising, key.to_numpy(kind), "right")
         out = []
         for at, k, t in zip(above.tolist(), key.tolist(), tie.tolist()):
             while at < len(cuts) and cuts[at] >= (k, t):

@@ -8,11 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from retentio.llm import (components, decontaminate, jaccard_join, langid, language_model, licenses, order_minhash,
-                          packing, secrets, sharding, toxicity)
+from retentio.llm import (common, components, decontaminate, jaccard_join, langid, language_model, licenses,
+                          order_minhash, packing, secrets, sharding, toxicity)
 from retentio.llm.common import Scratch, fold, prepare
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, score double, shard string, key string, "
@@ -242,6 +243,32 @@ def test_fingerprints(spark, docs, nothing):
     assert plain.select("fingerprint").distinct().count() == 1
 
 
+def test_fingerprints_of_ids_that_are_no_numbers(spark):
+    """Ids of another type stand by their text; a null id stands last, after the empty one."""
+    texts = {"b2": "the second of the letters", "a10": "ten comes before nine here", "a9": "nine", "": "no name at all", None: "nothing"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string").repartition(3)
+    got = {r["doc_id"]: r for r in order_minhash.half_edited(docs).collect()}
+    order = ["b2", "a9", "a10", "", None]
+    for k, name in enumerate(order):
+        text, other = texts[name], texts[order[(k + 1) % len(order)]]
+        half = len(text) // 2
+        edited = text[:len(text) - half] + other[:half]
+        own, changed, following = map(order_minhash.signature, (text, edited, other))
+        assert got[name]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[name]["near_edited"] == float((own == changed).mean())
+        assert got[name]["near_next"] == float((own == following).mean())
+    whole = spark.createDataFrame([(5, "five is a number"), (None, "none"), (40, "forty")], "doc_id int, text string")
+    assert {r["doc_id"]: r["edited_sha256"] for r in order_minhash.half_edited(whole).collect()}[40] == hashlib.sha256(b"forfi").hexdigest()
+
+
+def test_batches_are_cut_by_bytes(spark):
+    """A worker gets long texts a few at a time, whatever the number of rows in a batch."""
+    common.prepare(spark)
+    texts = spark.range(0, 60, 1, 1).select(F.expr("repeat('word ', 200000)").alias("text"))
+    sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+    assert max(r["n"] for r in sizes.collect()) <= common.BATCH_BYTES + 1_100_000
+
+
 def test_decontamination(spark, nothing):
     items = spark.createDataFrame([(7, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"), (8, "Short One"),
                                    (9, None), (None, ""), (8, "other tail")], "item_id long, text string")
