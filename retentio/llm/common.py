@@ -17,6 +17,7 @@ import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,9 @@ from pyspark.sql import functions as F
 
 from retentio.session import ship_code
 
-#: Rows in an Arrow batch sent to a Python worker; texts may be long, so batches stay small.
+#: Rows and bytes in an Arrow batch sent to a Python worker, at most; a longer text is a batch of its own.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 PLAIN_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PLAIN_WORD_TEXT = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -46,6 +48,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable on the executors and keep Arrow batches small."""
     ship_code(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -53,26 +56,41 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A block of this size goes back to the system as soon as it is freed (glibc else raises the limit to 32 MB).
+MAPPED_BYTES = 1 << 20
+_M_MMAP_THRESHOLD = -3
 _KEPT: dict[str, dict] = {}
 
 
-def give_back() -> None:
-    """Return what was freed to the system: the next operator's worker starts small."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
+@lru_cache(None)
+def _allocator():
+    """The C library's allocator, told once for a worker to map large blocks; none for another C library."""
     try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(_M_MMAP_THRESHOLD, MAPPED_BYTES)
+        return libc
     except (OSError, AttributeError):
-        pass  # another C library keeps its own counsel
+        return None
+
+
+def give_back() -> None:
+    """Return what was freed to the system, so that the next task starts small."""
+    pa.default_memory_pool().release_unused()
+    if (libc := _allocator()) is not None:
+        libc.malloc_trim(0)
 
 
 def kept(owner: str) -> dict:
-    """What a Python worker keeps for ``owner`` from task to task; what it kept for others is let go."""
+    """What a Python worker keeps for ``owner`` from task to task; what it kept for others is let go.
+
+    Called at the start of a task; memory that earlier tasks freed goes back to the system.
+    """
     others = [name for name in _KEPT if name != owner]
     for name in others:
         del _KEPT[name]
     if others:
-        give_back()
+        gc.collect()
+    give_back()
     return _KEPT.setdefault(owner, {})
 
 

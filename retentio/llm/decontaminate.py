@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import Scratch, plain_words, word_spans
+from retentio.llm.common import Scratch, kept, plain_words, word_spans
 
 
 class SuffixAutomaton:
@@ -169,8 +169,12 @@ def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-         item_text_col: str = "text", window: int = 10, block_words: int = 200_000) -> DataFrame:
-    """``docs`` with a column ``_leak``: word count, hit spans (flat start, end pairs), items, longest match."""
+         item_text_col: str = "text", window: int = 10, block_words: int = 200_000, finish=None) -> DataFrame:
+    """``docs`` with a column ``_leak``: word count, hit spans (flat start, end pairs), items, longest match.
+
+    ``finish``, if given, turns each batch of the last pass into rows of ``docs``' columns; it runs in the
+    worker that scans, so that a task never needs a second one.
+    """
     spark = docs.sparkSession
     kind = "struct<n_words: bigint, n_hit: bigint, spans: array<int>, items: array<string>, longest: int>"
     empty = "named_struct('n_words', 0L, 'n_hit', 0L, 'spans', array(), 'items', array(), 'longest', 0)"
@@ -181,18 +185,24 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     while True:
         following = next(blocks, None)
         sent = spark.sparkContext.broadcast((block, window))
-        out = out.mapInArrow(_scanner(sent, text_col), out.schema)
+        scan = _scanner(sent, f"{scratch.root}/{step}", text_col)
         if following is None:
-            return out
+            return out.mapInArrow(_finished(scan, finish), docs.schema) if finish else out.mapInArrow(scan, out.schema)
+        out = out.mapInArrow(scan, out.schema)
         out = scratch.store(out, f"pass{step}")
         if step:
             scratch.drop(f"pass{step - 1}")
         block, step = following, step + 1
 
 
-def _scanner(sent, text_col: str):
+def _scanner(sent, name: str, text_col: str):
+    """Scans for the block of items ``sent``, whose ``name`` no other block has."""
     def scanned(batches):
-        automaton = SuffixAutomaton(*sent.value)
+        mine = kept("decontaminate")
+        if mine.get("block") != name:  # built once for a worker, not for each task
+            mine.clear()
+            mine.update(block=name, automaton=SuffixAutomaton(*sent.value))
+        automaton = mine["automaton"]
         for batch in batches:
             at = batch.schema.get_field_index("_leak")
             rows = []
@@ -209,6 +219,14 @@ def _scanner(sent, text_col: str):
     return scanned
 
 
+def _finished(scan, finish):
+    def both(batches):
+        for batch in scan(batches):
+            yield finish(batch)
+
+    return both
+
+
 def merge_spans(spans) -> list[list[int]]:
     """Union of spans, rising; those that touch become one."""
     out: list[list[int]] = []
@@ -244,28 +262,28 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     and the gap becomes a line break. ``length_col``, if given, is set to the
     new text's code points in the rows that change. Untouched rows stay as they are.
     """
-    found = find(docs, benchmark, text_col, item_col, item_text_col, window, block_words)
-    kept = found.filter(F.col("_leak.n_hit") <= F.col("_leak.n_words") * max_coverage)
     text_at, cols = docs.columns.index(text_col), docs.columns
 
-    def cut(batches):
-        for batch in batches:
-            spans = batch.column("_leak").to_pylist()
-            if any(s["spans"] for s in spans):
-                texts = batch.column(text_col).to_pylist()
-                lengths = batch.column(length_col).to_pylist() if length_col else None
-                for i, s in enumerate(spans):
-                    if s["spans"]:
-                        texts[i] = remove_spans(texts[i], list(zip(s["spans"][::2], s["spans"][1::2])))
-                        if lengths:
-                            lengths[i] = len(texts[i])
-                batch = batch.set_column(text_at, batch.schema.field(text_at), pa.array(texts, batch.schema.field(text_at).type))
-                if lengths:
-                    at = batch.schema.get_field_index(length_col)
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(lengths, batch.schema.field(at).type))
-            yield batch.select(cols)
-
-    return kept.mapInArrow(cut, docs.schema)
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        leaks = batch.column("_leak").to_pylist()
+        stays = [s["n_hit"] <= s["n_words"] * max_coverage for s in leaks]
+        if not all(stays):
+            batch, leaks = batch.filter(pa.array(stays, pa.bool_())), [s for s, stay in zip(leaks, stays) if stay]
+        if any(s["spans"] for s in leaks):
+            texts = batch.column(text_at).to_pylist()
+            lengths = batch.column(length_col).to_pylist() if length_col else None
+            for i, s in enumerate(leaks):
+                if s["spans"]:
+                    texts[i] = remove_spans(texts[i], list(zip(s["spans"][::2], s["spans"][1::2])))
+                    if lengths:
+                        lengths[i] = len(texts[i])
+            batch = batch.set_column(text_at, batch.schema.field(text_at), pa.array(texts, batch.schema.field(text_at).type))
+            if lengths:
+                at = batch.schema.get_field_index(length_col)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(lengths, batch.schema.field(at).type))
+        return batch.select(cols)
+
+    return find(docs, benchmark, text_col, item_col, item_text_col, window, block_words, finish=cut)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

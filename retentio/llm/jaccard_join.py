@@ -204,6 +204,7 @@ def _postings(docs: DataFrame, common_sent, percent: int, boundary: int, width:
     names = ["key", "part", "sid", "n", "most", "rare"]
 
     def posted(batches):
+        kept("jaccard")
         common, counts = common_sent.value
         seen: set[int] = set()
         for batch in batches:
@@ -237,6 +238,7 @@ def _lists(postings: DataFrame, percent: int, n_parts: int) -> DataFrame:
     names = ["key", "part", "sid", "n", "most", "rare", "pivot", "paired"]
 
     def listed(batches):
+        kept("jaccard")
         held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
         if not held:
             return
@@ -275,6 +277,7 @@ def _bitmap(sids: DataFrame, bits: int):
     page = 15
 
     def marked(batches):
+        kept("jaccard")
         pages: dict[int, np.ndarray] = {}
         for batch in batches:
             slot = _slot(batch.column("sid").to_numpy(), bits)
@@ -306,6 +309,7 @@ def _slot(sid: np.ndarray, bits: int) -> np.ndarray:
 def _members(docs: DataFrame, bitmap_sent, bits: int, width: int) -> DataFrame:
     """(sid, shingles) of the sets that the bitmap holds; once from each task."""
     def found(batches):
+        kept("jaccard")
         marks = bitmap_sent.value
         seen: set[int] = set()
         for batch in batches:
@@ -347,6 +351,7 @@ def _holding(table: DataFrame, marks, bits: int) -> DataFrame:
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose sketches allow the overlap that a link needs."""
     def allowed(batches):
+        kept("jaccard")
         for batch in batches:
             a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
             open_ = np.array([not (x and y) for x, y in zip(a, b)], bool)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retentio.llm.common import Scratch, code_points
+from retentio.llm.common import Scratch, code_points, kept
 
 # The base patterns, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -293,6 +293,7 @@ class _Least:
 
 def _candidates(batches):
     """Of each sort, a task's windows of the smallest hash: (sort, order, hash of the text, which base span)."""
+    kept("secrets")
     found = [_Least(SAMPLE_WINDOWS), _Least(SAMPLE_WINDOWS)]
     for batch in batches:
         for text, order in zip(batch.column("text").to_pylist(), batch.column("order").to_pylist()):
@@ -315,6 +316,7 @@ def _window_cutter(sent):
                         ("features", pa.list_(pa.int32()))])
 
     def cut(batches):
+        kept("secrets")
         chosen, done = sent.value, set()
         for batch in batches:
             fresh = []
@@ -433,6 +435,7 @@ def scan(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(chain)
 
     def scanned(batches):
+        kept("secrets")
         for batch in batches:
             rows = []
             for base, spans in all_spans(batch.column("text"), sent.value):
@@ -455,6 +458,7 @@ def redact(docs: DataFrame, chain: Chain, text_col: str = "text", length_col: st
     sent = docs.sparkSession.sparkContext.broadcast(chain)
 
     def redacted(batches):
+        kept("secrets")
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at).to_pylist()

@@ -205,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = ToxicityModel({r["word"]: float(r["score"]) for r in words}, drift, lam, k, 1.0, 0.0, max_e)
 
     def levels(batches):
+        kept("toxicity")
         for pdf in batches:
             found = [round(evidence_of(*find_passages(t, model), model)[0], 1) for t in pdf["text"]]
             part = pd.DataFrame({"level": found, "label": pdf["label"], "n": 1})
