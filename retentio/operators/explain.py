@@ -18,6 +18,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from retentio.operators.features import standardize
 
 #: Scored rows of a task of the sampling explainer.
 SCORED_ROWS_PER_TASK = 250_000
@@ -52,6 +53,17 @@ def shap_linear_arrays(model: PipelineModel, df: DataFrame, features: list[str],
         s["feature"].alias("feature"), s["value"].alias("value"), (s["coef"] * s["xs"]).alias("shap"))).alias("attr"))
 
 
+def shap_weights_arrays(df: DataFrame, weights: dict[str, float], id_col: str = "customerID", digits: int = 8) -> DataFrame:
+    """X5 of a linear score given by its weights on standardised (population sd) columns of ``df``.
+
+    The background is the table's own mean; a column of one value attributes 0, a NULL one NULL.
+    """
+    scaled = standardize(df, list(weights), suffix="__z")
+    return scaled.select(id_col, F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("value"),
+                 F.round(F.lit(float(w)) * F.col(f"`{c}__z`"), digits).alias("shap")) for c, w in weights.items()]).alias("attr"))
+
+
 def shap_sampled(model: PipelineModel, df: DataFrame, features: list[str], m: int = 8,
                  seed: int = 42, id_col: str = "customerID") -> DataFrame:
     """X5 (trees): sampled Shapley values, (id, feature, value, shap)."""

@@ -133,16 +133,30 @@ def all_features(df: DataFrame, num_partitions: int | None = None, id_col: str =
 
 # ---------------------------------------------------------------- encoding
 
-def categorical_levels(df: DataFrame, cols: list[str]) -> dict[str, list]:
+#: Levels that ``categorical_levels`` returns for all columns together, at most.
+MAX_LEVELS = 20_000
+
+
+def categorical_levels(df: DataFrame, cols: list[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
     """Distinct levels per column (sorted, NULL excluded) in one aggregation pass.
 
-    The caller names the categorical columns (``categorical_columns`` leaves ids out);
-    one output column per level is what the encoding means, so levels are not limited.
+    The caller names the categorical columns (``categorical_columns`` leaves ids out). One output
+    column per level is what the encoding means, so more than ``max_levels`` levels, which no frame
+    holds as columns, are an error that names the widest column; no level is left out.
     """
     if not cols:
         return {}
-    row = df.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in cols]).first()
-    return {c: list(row[c]) for c in cols}
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(cols)])
+    # Each task passes on its distinct pairs; a column's levels never meet in one aggregation buffer.
+    levels = df.select(F.inline(pairs)).filter(F.col("v").isNotNull()).distinct()
+    rows = levels.limit(max_levels + 1).collect()
+    if len(rows) > max_levels:
+        widest = levels.groupBy("i").count().orderBy(F.col("count").desc(), "i").first()
+        raise ValueError(f"{cols[widest['i']]} has {widest['count']} levels; at most {max_levels} become columns")
+    found: dict[str, list] = {c: [] for c in cols}
+    for i, v in sorted(map(tuple, rows)):
+        found[cols[i]].append(v)
+    return found
 
 
 def one_hot(df: DataFrame, levels: dict[str, list], drop_first: bool = False,

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import NumericType
 
 from retentio.operators.clean import string_columns
-from retentio.operators.features import categorical_levels
 from retentio.operators.scalars import with_scalars
 from retentio.operators.selection import exact_quantiles, exact_quantiles_of
 
@@ -145,41 +144,38 @@ def box_stats(df: DataFrame, value: str, by: str = "Churn", digits: int = 4) ->
     return out.select(by, "n", "outliers", *[F.round(F.col(c), digits).alias(c) for c in vals])
 
 
-def encoded_numeric(df: DataFrame, target: str = "Churn",
-                    exclude: tuple[str, ...] = ("customerID",)) -> tuple[DataFrame, list[str]]:
-    """One-hot (all levels) plus numeric columns, as pandas ``get_dummies`` on the table."""
-    cats = [c for c in string_columns(df) if c not in exclude]
-    levels = categorical_levels(df, cats)
-    nums = [c for c in numeric_columns(df) if c != target and c not in exclude]
-    cols = [F.col(c).cast("double").alias(c) for c in nums]
-    names = list(nums)
-    for c in cats:
-        for v in levels[c]:
-            nm = f"{c}_{v}"
-            cols.append(F.coalesce((F.col(c) == F.lit(v)).cast("double"), F.lit(0.0)).alias(nm))
-            names.append(nm)
-    return df.select(F.col(target).cast("double").alias(target), *cols), names
-
-
 def target_correlation(df: DataFrame, target: str = "Churn",
                        exclude: tuple[str, ...] = ("customerID",), digits: int = 6) -> DataFrame:
-    """Pearson correlation of each encoded column with the target, one pass.
-
-    Long form: each row emits (feature, x) pairs and one grouped aggregate per
-    feature computes the moments.  The partial aggregate leaves one row per
-    feature per task, and the generated code stays small enough for
-    whole-stage codegen (one wide aggregate with a corr and two standard
-    deviations per feature falls back to interpreted execution).
-    Zero-variance columns give NULL.  Output (feature, correlation).
+    """Pearson correlation of each encoded column (one-hot of all levels) with the target, one pass.
+
+    A row emits one pair for each column, not for each level: how often a level stands and the
+    sum of its targets are all that the correlation of its 0/1 column needs, so levels are
+    neither collected nor turned into columns. The partial aggregate leaves one row per level (or numeric column)
+    per task. Columns without variance give NULL. Output (feature, correlation).
     """
-    enc, names = encoded_numeric(df, target, exclude)
-    pairs = F.array(*[F.struct(F.lit(nm).alias("feature"), F.col(f"`{nm}`").alias("_x"))
-                      for nm in names])
-    y = F.col("_y")
-    long = (enc.filter(F.col(target).isNotNull())
-            .select(F.col(target).alias("_y"), F.inline(pairs)))
-    c = F.when((F.stddev_pop("_x") > 0) & (F.stddev_pop(y) > 0), F.corr("_x", y))
-    return long.groupBy("feature").agg(F.round(c, digits).alias("correlation"))
+    cats = [c for c in string_columns(df) if c not in exclude]
+    nums = [c for c in numeric_columns(df) if c != target and c not in exclude]
+    pair = lambda c, level, x: F.struct(
+        F.lit(c).alias("name"), level.cast("string").alias("level"), x.cast("double").alias("_x"))
+    pairs = F.array(*[pair(c, F.lit(None), F.col(f"`{c}`")) for c in nums],
+                    *[pair(c, F.col(f"`{c}`"), F.lit(None)) for c in cats])
+    x, y = F.col("_x"), F.col("_y")
+    # corr() itself fails on a column without variance.
+    deviations = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    stats = (df.select(F.col(target).cast("double").alias("_y"), F.inline(pairs)).groupBy("name", "level").agg(
+        F.count(y).cast("double").alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"), F.min(y).alias("low"),
+        F.max(y).alias("high"), F.when(deviations > 0, F.try_divide(F.covar_pop(x, y), deviations)).alias("r")))
+    # One row for each level: the column's totals are sums over its levels, the NULL one included.
+    column = Window.partitionBy("name")
+    n, sy, syy = (F.sum(c).over(column) for c in ("n", "sy", "syy"))
+    varies = (F.col("n") > 0) & (F.col("n") < n) & (F.min("low").over(column) < F.max("high").over(column))
+    level_r = F.when(varies, F.try_divide(n * F.col("sy") - F.col("n") * sy,
+                                          F.sqrt((n * F.col("n") - F.col("n") * F.col("n")) * (n * syy - sy * sy))))
+    numeric = F.col("name").isin(nums)
+    return (stats.select(
+        F.when(numeric, F.col("name")).otherwise(F.concat_ws("_", "name", F.col("level"))).alias("feature"),
+        F.round(F.when(numeric, F.col("r")).otherwise(level_r), digits).alias("correlation"), "level", numeric.alias("_numeric"))
+        .filter(F.col("_numeric") | F.col("level").isNotNull()).select("feature", "correlation"))
 
 
 def top_correlations(df: DataFrame, k: int = 5, target: str = "Churn") -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from retentio.operators import clean as C
+from retentio.operators import explain as EX
 from retentio.operators import features as FE
 from retentio.operators import rates as R
 from retentio.plans import oracle as O
@@ -364,7 +365,12 @@ def q_distinct_counts(spark, d):
     return P.distinct_counts(clean_table(spark, d))
 
 
-@register("data_dictionary")
+_TYPES = {"SeniorCitizen": "int", "tenure": "int", "MonthlyCharges": "double", "TotalCharges": "double", "Churn": "int"}
+
+
+@register("data_dictionary", O.with_clean("\nUNION ALL\n".join(
+    f"SELECT {i + 1} AS pos, '{c}' AS \"column\", '{_TYPES.get(c, 'string')}' AS dtype, count(DISTINCT {c}) AS distinct_count, "
+    f"arg_min(CAST({c} AS VARCHAR), customerID) AS sample FROM clean" for i, c in enumerate(_RAW_ORDER))))
 def q_data_dictionary(spark, d):
     return P.data_dictionary(clean_table(spark, d))
 
@@ -993,6 +999,101 @@ def q_encode_frozen(spark, d):
     return _long_onehot(raw(spark, d), levels, True)
 
 
+# The levels that the subscriber view can give.
+_YES_NO = ["No", "Yes"]
+_SERVICE = ["No", "No internet service", "Yes"]
+_LEVELS = {
+    "gender": ["Female", "Male"], "Partner": _YES_NO, "Dependents": _YES_NO, "PhoneService": _YES_NO,
+    "MultipleLines": ["No", "No phone service", "Yes"], "InternetService": ["DSL", "Fiber optic", "No"],
+    "OnlineSecurity": _SERVICE, "OnlineBackup": _SERVICE, "DeviceProtection": _SERVICE, "TechSupport": _SERVICE,
+    "StreamingTV": _SERVICE, "StreamingMovies": _SERVICE, "Contract": ["Month-to-month", "One year", "Two year"],
+    "PaperlessBilling": _YES_NO,
+    "PaymentMethod": ["Bank transfer (automatic)", "Credit card (automatic)", "Electronic check", "Mailed check"]}
+
+
+def _frame_sql(drop_first: bool, src: str = "clean") -> str:
+    out = [f"CAST(coalesce({c} = '{v}', false) AS INTEGER) AS \"{c}_{v}\""
+           for c in _CATS for v in _LEVELS[c][drop_first:]]
+    return f"SELECT * EXCLUDE ({', '.join(_CATS)}), {', '.join(out)} FROM {src}"
+
+
+@register("one_hot_all_frame", O.with_clean(_frame_sql(False)))
+def q_one_hot_all_frame(spark, d):
+    """F7 as a frame: one row for each subscriber, a 0/1 column for each level."""
+    return FE.one_hot_all(clean_table(spark, d))
+
+
+@register("one_hot_drop_first_frame", O.with_clean(_frame_sql(True)))
+def q_one_hot_drop_first_frame(spark, d):
+    """F8 as a frame."""
+    return FE.one_hot_drop_first(clean_table(spark, d))
+
+
+@register("encode_frozen_frame", O.with_clean(", raw_t AS (SELECT customerID, " + ", ".join(_LEVELS) + " FROM subscribers_raw)\n"
+                                              + _frame_sql(True, "raw_t")))
+def q_encode_frozen_frame(spark, d):
+    """F9 as a frame: levels of the clean table, rows of the raw one."""
+    levels = FE.categorical_levels(clean_table(spark, d), _CATS)
+    return FE.one_hot(raw(spark, d).select("customerID", *levels), levels, drop_first=True)
+
+
+#: Weights of a fixed linear score over standardised columns, for attributions that SQL can restate.
+_WEIGHTS = {
+    "tenure": -1.2, "MonthlyCharges": 0.7, "TotalCharges": -0.4, "SeniorCitizen": 0.15, "Contract_One year": -0.5,
+    "Contract_Two year": -0.9, "InternetService_Fiber optic": 0.6, "PaperlessBilling_Yes": 0.2, "TechSupport_Yes": -0.3,
+    "PaymentMethod_Electronic check": 0.35, "Partner_Yes": -0.1, "Dependents_Yes": -0.12, "OnlineSecurity_Yes": -0.25,
+    "MultipleLines_Yes": 0.08}
+
+
+def _weighted_sql() -> str:
+    exprs = {}
+    for name in _WEIGHTS:
+        col, _, level = name.partition("_")
+        exprs[name] = f"CAST(coalesce({col} = '{level}', false) AS DOUBLE)" if level else f"CAST({name} AS DOUBLE)"
+    return ", long AS (" + "\nUNION ALL\n".join(
+        f"SELECT customerID, '{n}' AS feature, {e} AS value, CAST({w} AS DOUBLE) AS w FROM clean"
+        for (n, e), w in zip(exprs.items(), _WEIGHTS.values())) + """),
+mo AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM long GROUP BY feature),
+attr AS (SELECT customerID, feature, value, round(w * ((value - m) / CASE WHEN s = 0 THEN 1.0 ELSE s END), 8) AS shap
+         FROM long JOIN mo USING (feature)),
+top AS (SELECT * FROM attr QUALIFY row_number() OVER (PARTITION BY customerID ORDER BY abs(shap) DESC, feature) <= 12)
+"""
+
+
+def weighted_attributions(spark, d) -> DataFrame:
+    levels: dict[str, list] = {}
+    for name in _WEIGHTS:
+        col, _, level = name.partition("_")
+        if level:
+            levels.setdefault(col, []).append(level)
+    plain = [n for n in _WEIGHTS if "_" not in n]
+    return EX.shap_weights_arrays(FE.one_hot(clean_table(spark, d).select("customerID", *plain, *levels), levels), _WEIGHTS)
+
+
+@register("weighted_attributions", O.with_clean(_weighted_sql() + "SELECT * FROM attr"))
+def q_weighted_attributions(spark, d):
+    """X5 of a fixed linear score, for every subscriber and feature."""
+    return weighted_attributions(spark, d).select("customerID", F.inline("attr"))
+
+
+@register("weighted_top_attributions", O.with_clean(_weighted_sql() + """SELECT *, row_number() OVER (
+  PARTITION BY customerID ORDER BY shap, feature) AS pos FROM top"""))
+def q_weighted_top_attributions(spark, d):
+    """T3 of a fixed linear score."""
+    return EX.top_attributions(weighted_attributions(spark, d), 12)
+
+
+@register("weighted_reasons", O.with_clean(_weighted_sql() + """SELECT * FROM (
+  SELECT customerID, 'increases risk' AS direction, row_number() OVER (PARTITION BY customerID ORDER BY shap DESC, feature) AS rank,
+         feature, value, shap FROM top WHERE shap > 0) WHERE rank <= 3
+UNION ALL SELECT * FROM (
+  SELECT customerID, 'reduces risk' AS direction, row_number() OVER (PARTITION BY customerID ORDER BY shap, feature) AS rank,
+         feature, value, shap FROM top WHERE shap < 0) WHERE rank <= 2"""))
+def q_weighted_reasons(spark, d):
+    """X6 of a fixed linear score."""
+    return EX.attribution_reasons(weighted_attributions(spark, d))
+
+
 _STD_COLS = ["tenure", "MonthlyCharges", "TotalCharges"]
 
 

@@ -12,6 +12,7 @@ from retentio.functions.expr import quintile_from_rank, segment_label
 from retentio.operators import clean as C
 from retentio.operators import features as FE
 from retentio.operators import roi as X
+from retentio.operators.profile import target_correlation
 
 
 def test_tenure_edges(raw_df_factory):
@@ -175,3 +176,31 @@ def test_null_group_dropped_and_grouping_sets_one_shuffle(spark, raw_df_factory)
     assert plan.count("Exchange hashpartitioning") == 1
     got = {(r.dimension, r.level): r.customers for r in gs.collect()}
     assert got[("Contract", "Month-to-month")] == 3 and ("tenure_group", None) not in got
+
+
+def test_levels_are_whole_or_an_error(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", None), ("b", "y"), (None, "z")], "p string, q string")
+    assert FE.categorical_levels(df, ["p", "q"]) == {"p": ["a", "b"], "q": ["x", "y", "z"]}
+    assert FE.categorical_levels(df, ["p", "q"], max_levels=5)["q"] == ["x", "y", "z"]
+    with pytest.raises(ValueError, match="q has 3 levels"):
+        FE.categorical_levels(df, ["p", "q"], max_levels=4)
+    assert FE.categorical_levels(df.limit(0), ["p"]) == {"p": []} and FE.categorical_levels(df, []) == {}
+
+
+def test_correlations_from_level_counts(spark):
+    """Equal to numpy on the one-hot columns, with NULL levels, NULL targets, constant columns and lone levels."""
+    rows = [("a", "k", 1.0, 1), ("a", "k", 2.0, 0), (None, "k", 4.0, 1), ("b", "k", None, 0), ("b", "k", 8.0, 0),
+            ("c", "k", 3.0, None), ("a", "k", 7.0, 1)]
+    df = spark.createDataFrame(rows, "p string, q string, v double, Churn int").repartition(3)
+    got = {r["feature"]: r["correlation"] for r in target_correlation(df, exclude=()).collect()}
+    kept = [r for r in rows if r[3] is not None]
+    y = np.array([r[3] for r in kept], float)
+    for level in "ab":
+        want = np.corrcoef([float(r[0] == level) for r in kept], y)[0, 1]
+        assert abs(got[f"p_{level}"] - want) < 1e-6
+    both = [(r[2], r[3]) for r in kept if r[2] is not None]
+    assert abs(got["v"] - np.corrcoef(np.array(both).T)[0, 1]) < 1e-6
+    assert got["p_c"] is None and got["q_k"] is None and set(got) == {"p_a", "p_b", "p_c", "q_k", "v"}
+    still = df.withColumn("Churn", F.lit(1))
+    assert {r["correlation"] for r in target_correlation(still, exclude=()).collect()} == {None}
+    assert target_correlation(df.limit(0), exclude=()).count() == 0
