@@ -24,6 +24,8 @@ from retentio.session import ship_code
 
 #: Rows that the starting centres are drawn from.
 START_ROWS = 10_000
+#: Rows whose distances to all centres are held at once.
+SCAN_ROWS = 4096
 
 # Clustering features, in order.
 CLUSTER_FEATURES = ["tenure", "MonthlyCharges", "TotalCharges", "engagement_score",
@@ -51,27 +53,48 @@ def plus_plus(sample: np.ndarray, k: int, chance: np.random.Generator) -> np.nda
     return np.array(centres)
 
 
-def _scan(points: DataFrame, models: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """One pass for all models: rows and coordinate sums of every cluster, and the squared distances."""
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For models of as many clusters each (models, clusters, p): every row's cluster (models, rows); ties go to the first."""
+    m, k, p = centres.shape
+    every = centres.reshape(-1, p)
+    # Squared distances without the row's own square, which moves no minimum.
+    apart = (-2 * every @ x.T + (every * every).sum(1)[:, None]).reshape(m, k, len(x))
+    least, near = apart[:, 0].copy(), np.zeros((m, len(x)), np.int8 if k < 128 else np.int64)
+    for c in range(1, k):
+        np.putmask(near, apart[:, c] < least, c)
+        np.minimum(least, apart[:, c], out=least)
+    return near
+
+
+def _scan(points: DataFrame, models: list[np.ndarray], costs: bool = False) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """One pass for all models: rows and coordinate sums of every cluster, and with ``costs`` the squared distances."""
     p = models[0].shape[1]
-    every = np.concatenate(models)
-    starts = np.concatenate([[0], np.cumsum([len(m) for m in models])])
     names = ["m", "c", "n", "cost", *[f"s{j}" for j in range(p)]]
+    alike: dict[int, list[int]] = {}
+    for i, m in enumerate(models):
+        alike.setdefault(len(m), []).append(i)
+    stacked = [(np.array(own), np.array([models[i] for i in own])) for own in alike.values()]
 
     def assign(batches):
-        count, cost, sums = np.zeros(len(every)), np.zeros(len(every)), np.zeros((len(every), p))
+        sums = [np.zeros((*c.shape[:2], p + 1)) for _, c in stacked]
+        cost = [np.zeros(c.shape[:2]) for _, c in stacked]
         for batch in batches:
-            x = np.asarray(batch.column("x").flatten(), float).reshape(-1, p)
-            apart = (x * x).sum(1)[:, None] - 2 * x @ every.T + (every * every).sum(1)
-            for lo, hi in zip(starts[:-1], starts[1:]):
-                nearest = apart[:, lo:hi].argmin(1)
-                count[lo:hi] += np.bincount(nearest, minlength=hi - lo)
-                cost[lo:hi] += np.bincount(nearest, ((x - every[lo:hi][nearest]) ** 2).sum(1), hi - lo)
-                for j in range(p):
-                    sums[lo:hi, j] += np.bincount(nearest, x[:, j], hi - lo)
-        number = np.repeat(np.arange(len(models)), np.diff(starts))
-        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.arange(len(every)) - starts[number]), pa.array(count), pa.array(cost),
-                                          *[pa.array(sums[:, j]) for j in range(p)]], names=names)
+            rows = np.asarray(batch.column("x").flatten(), float).reshape(-1, p)
+            for at in range(0, len(rows), SCAN_ROWS):
+                x = rows[at:at + SCAN_ROWS]
+                wide = np.concatenate([x, np.ones((len(x), 1))], 1)
+                for (_, centres), total, spent in zip(stacked, sums, cost):
+                    near = _nearest(x, centres)
+                    k = centres.shape[1]
+                    member = (near[:, None] == np.arange(k)[:, None]).astype(float)
+                    total += (member.reshape(-1, len(x)) @ wide).reshape(total.shape)
+                    for own, own_near, own_spent in zip(centres, near, spent) if costs else ():
+                        own_spent += np.bincount(own_near, ((x - own[own_near]) ** 2).sum(1), k)
+        flat = [np.concatenate([v.reshape(-1, *v.shape[2:]) for v in part]) for part in (sums, cost)]
+        number = np.concatenate([np.repeat(own, c.shape[1]) for own, c in stacked])
+        cluster = np.concatenate([np.tile(np.arange(c.shape[1]), len(own)) for own, c in stacked])
+        yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(cluster), pa.array(flat[0][:, p]), pa.array(flat[1]),
+                                          *[pa.array(flat[0][:, j]) for j in range(p)]], names=names)
 
     # One row per task and cluster; as many rows as clusters come back.
     parts = points.mapInArrow(assign, "m long, c long, " + ", ".join(f"{c} double" for c in names[2:]))
@@ -102,7 +125,7 @@ def lloyd_grid(points: DataFrame, starts: dict, max_iter: int = 300, tol: float
             centres[key] = new
         moving = still
     keys = list(centres)
-    return {k: (centres[k], cost) for k, (_, _, cost) in zip(keys, _scan(points, [centres[k] for k in keys]))} if keys else {}
+    return {k: (centres[k], cost) for k, (_, _, cost) in zip(keys, _scan(points, [centres[k] for k in keys], costs=True))} if keys else {}
 
 
 def _as_model(spark, centres: np.ndarray) -> KMeansModel:
@@ -155,7 +178,7 @@ def best_kmeans(vec: DataFrame, k: int, n_init: int = 10, seed: int = 42,
 
 
 def prepared_vectors(df: DataFrame) -> DataFrame:
-    """Standardised vectors, partitions balanced by bytes, persisted for the repeated fits."""
+    """Standardised vectors, dealt to all cores by rows, persisted for the repeated fits."""
     from retentio.operators.models import size_partitions
     return size_partitions(cluster_vectors(df))
 
