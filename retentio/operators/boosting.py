@@ -15,8 +15,8 @@ and a leaf is worth -G / (H + l2) times the learning rate.
   node's gain does not depend on the order, so the levels are expanded as above and the best-first
   choice is then made among their splits: the same tree, with one job for each level.
 
-Several boosters that learn from the same rows share every job. A block's scores so far are kept
-beside it and replaced after each round; every ``CHECKPOINT_ROUNDS`` rounds they are written to the
+Several boosters that learn from the same rows share every job. A block is kept with its scores so
+far, which are replaced after each round; every ``CHECKPOINT_ROUNDS`` rounds they are written to the
 checkpoint folder, so a lost executor costs the rounds since then. RDDs are used because a block is
 state for numpy code over many rounds; everything before and after is a DataFrame.
 """
@@ -42,7 +42,9 @@ from pyspark.sql import DataFrame, functions as F
 from retentio.operators.tree_shap import NodeTable
 from retentio.session import ensure_checkpoint_dir, ship_code
 
-CHECKPOINT_ROUNDS = 50
+CHECKPOINT_ROUNDS = 20
+#: Up to so many partitions the driver adds up the histograms itself, without a stage in between.
+DIRECT_PARTS = 16
 #: Accuracy of the sketch that the cuts come from (rank error one in so many rows).
 SKETCH_ACCURACY = 10_000
 
@@ -107,20 +109,23 @@ def best_splits(hist: np.ndarray, offsets: np.ndarray, p: BoosterParams) -> list
     sizes = np.diff(offsets)
     if not len(hist) or not len(sizes) or sizes.max() < 2:
         return [None] * len(hist)
-    # All features side by side, short ones filled up with an empty bin.
-    slot = np.arange(sizes.max())
-    place = np.where(slot < sizes[:, None], offsets[:-1, None] + slot, offsets[-1])
-    left = np.cumsum(np.concatenate([hist, np.zeros((len(hist), 1, 3))], axis=1)[:, place], axis=2)
-    total = left[:, 0, -1]
-    gl, hl, nl = np.moveaxis(left, 3, 0)
-    g, h, n = (total[:, k, None, None] for k in range(3))
-    legal = ((slot < sizes[:, None] - 1) & (hl >= p.min_hessian) & (h - hl >= p.min_hessian) & (nl >= p.min_rows) & (n - nl >= p.min_rows))
+    # The cuts of all features side by side; features of as many bins are added up together.
+    first = np.concatenate([[0], np.cumsum(sizes - 1)])
+    left = np.empty((len(hist), first[-1], 3))
+    for size in np.unique(sizes[sizes > 1]):
+        own = np.flatnonzero(sizes == size)
+        sums = np.cumsum(hist[:, offsets[own, None] + np.arange(size)], axis=2)
+        left[:, first[own, None] + np.arange(size - 1)] = sums[:, :, :-1]
+    total = np.cumsum(hist[:, offsets[0]:offsets[1]], axis=1)[:, -1]
+    gl, hl, nl = np.moveaxis(left, 2, 0)
+    g, h, n = (total[:, k, None] for k in range(3))
+    legal = (hl >= p.min_hessian) & (h - hl >= p.min_hessian) & (nl >= p.min_rows) & (n - nl >= p.min_rows)
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(legal, split_gain(gl, hl, g, h, p), -np.inf).reshape(len(hist), -1)
+        gain = np.where(legal, split_gain(gl, hl, g, h, p), -np.inf)
     at = (gain >= gain.max(1, keepdims=True) - 1e-12).argmax(1)
-    feature, cut = np.divmod(at, len(slot))
-    return [(float(gain[i, at[i]]), int(f), int(c), tuple(map(float, left[i, f, c]))) if gain[i, at[i]] > 1e-12 else None
-            for i, (f, c) in enumerate(zip(feature, cut))]
+    feature = np.searchsorted(first, at, "right") - 1
+    return [(float(gain[i, c]), int(f), int(c - first[f]), tuple(map(float, left[i, c]))) if gain[i, c] > 1e-12 else None
+            for i, (f, c) in enumerate(zip(feature, at))]
 
 
 def prune_to_best(tree: Tree, num_leaves: int) -> Tree:
@@ -147,7 +152,7 @@ def leaf_values(tree: Tree, p: BoosterParams) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Binned rows of one partition."""
+    """Binned rows of one partition; a feature's bins lie side by side."""
     bins: np.ndarray
     label: np.ndarray
     weights: list[np.ndarray]
@@ -166,10 +171,12 @@ def _histogram(block: Block, margins: list[np.ndarray], trees: list[Tree | None]
             rows = np.flatnonzero(at >= 0)
             chance = 1.0 / (1.0 + np.exp(-margin[rows]))
             g, h = weight[rows] * (chance - block.label[rows]), weight[rows] * chance * (1 - chance)
-            place = (at[rows, None] * width + offsets[:-1] + block.bins[rows]).ravel()
-            each = block.bins.shape[1]
-            for k, v in enumerate((g, h, np.ones(len(rows)))):
-                hist[:, :, k] = np.bincount(place, np.repeat(v, each), len(frontier) * width).reshape(len(frontier), width)
+            at = at[rows]
+            for f, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                bins = block.bins[:, f]
+                place = at * (hi - lo) + (bins if len(rows) == len(bins) else bins[rows])
+                for k, v in enumerate((g, h, None)):
+                    hist[:, lo:hi, k] = np.bincount(place, v, len(frontier) * (hi - lo)).reshape(len(frontier), hi - lo)
         out.append(hist)
     return out
 
@@ -204,7 +211,7 @@ def fit(df: DataFrame, boosters: dict[str, tuple[BoosterParams, str]], features_
         parts = [b for b in batches if len(b)]
         x = np.array([r for b in parts for r in b["x"]], float).reshape(-1, n_features)
         kind = np.uint8 if max(map(len, arrays), default=0) < 256 else np.uint16
-        bins = np.stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(arrays)], 1).astype(kind) if len(x) else np.zeros((0, n_features), kind)
+        bins = np.array([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(arrays)]).astype(kind).T if len(x) else np.zeros((0, n_features), kind)
         column = lambda c: np.concatenate([b[c].to_numpy(float) for b in parts]) if parts else np.zeros(0)
         block = Block(bins, column("y"), [column(f"w{i}") for i in range(len(names))])
         yield pd.DataFrame({"block": [pickle.dumps(block)]})
@@ -215,12 +222,13 @@ def fit(df: DataFrame, boosters: dict[str, tuple[BoosterParams, str]], features_
     for i, p in enumerate(params):
         pos, all_w = (sum(t[i][k] for t in totals) for k in (0, 1))
         starts.append(math.log(pos / (all_w - pos)) if p.from_average and 0 < pos < all_w else 0.0)
-    margins = blocks.map(lambda b: [np.full(len(b.label), s) for s in starts]).persist(StorageLevel.MEMORY_AND_DISK)
+    # A block goes along with its scores: a zip of two tables would send both through workers of their own.
+    state = blocks.map(lambda b: (b, [np.full(len(b.label), s) for s in starts])).persist(StorageLevel.MEMORY_AND_DISK)
     ensembles: list[list[Tree]] = [[] for _ in names]
-    held = [margins]
+    held = [blocks, state]
     for turn in range(max(p.rounds for p in params)):
         alive = [turn < p.rounds for p in params]
-        trees = _grow(blocks.zip(margins), offsets, params, alive)
+        trees = _grow(state, offsets, params, alive)
         for ensemble, tree, on in zip(ensembles, trees, alive):
             if on:
                 ensemble.append(tree)
@@ -228,16 +236,16 @@ def fit(df: DataFrame, boosters: dict[str, tuple[BoosterParams, str]], features_
 
         def moved(pair, steps=steps):
             block, old = pair
-            return [m if s is None else m + s[1][s[0].node_of(block.bins)] for m, s in zip(old, steps)]
-        margins = blocks.zip(margins).map(moved).persist(StorageLevel.MEMORY_AND_DISK)
-        held.append(margins)
+            return block, [m if s is None else m + s[1][s[0].node_of(block.bins)] for m, s in zip(old, steps)]
+        state = state.map(moved).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(state)
         if (turn + 1) % CHECKPOINT_ROUNDS == 0:
-            margins.checkpoint()
-            margins.count()
+            state.checkpoint()
+            state.count()
         # The next round's first job fills the new scores from the old ones, which then go.
         while len(held) > 2:
             held.pop(0).unpersist()
-    for r in [*held, blocks]:
+    for r in held:
         r.unpersist()
     return {n: BoostedTreesModel.of(p, s, e, edges, n_features) for n, p, s, e in zip(names, params, starts, ensembles)}
 
@@ -252,7 +260,7 @@ def _grow(pairs, offsets, params, alive) -> list[Tree]:
             break
         ends = [list(f) for f in frontiers]
         hists = pairs.map(lambda pair: _histogram(pair[0], pair[1], trees, ends, offsets)).treeReduce(
-            lambda a, b: [x + y for x, y in zip(a, b)])
+            lambda a, b: [x + y for x, y in zip(a, b)], depth=1 if pairs.getNumPartitions() <= DIRECT_PARTS else 2)
         for i, (tree, p, hist) in enumerate(zip(trees, params, hists)):
             if depth == 0 and frontiers[i]:
                 tree.sums[0] = tuple(map(float, hist[0, offsets[0]:offsets[1]].sum(0)))

@@ -31,7 +31,6 @@ from retentio.operators import boosting as B
 from retentio.operators import model_metrics as MM
 from retentio.operators.clean import DROP_COLS, string_columns
 from retentio.operators.features import categorical_levels
-from retentio.operators.rank import input_bytes
 from retentio.operators.scalars import with_scalars
 from retentio.operators.selection import order_statistics
 
@@ -160,18 +159,26 @@ def _classifier(name: str, label: str, params: dict | None = None):
     raise ValueError(f"unknown model {name}")
 
 
-#: Estimated input bytes of a partition of a training table.
-TRAIN_PARTITION_BYTES = 32 << 20
+#: Rows of a partition of a training table: at most, and at least unless there is one partition.
+MOST_PARTITION_ROWS, LEAST_PARTITION_ROWS = 250_000, 2_000
+
+
+def training_partitions(rows: int, cores: int) -> int:
+    """A partition for each core, unless they get too small, and whole rounds of the cores where they get too large."""
+    if rows > MOST_PARTITION_ROWS * cores:
+        return cores * -(-rows // (MOST_PARTITION_ROWS * cores))
+    return max(1, min(cores, rows // LEAST_PARTITION_ROWS))
 
 
 def size_partitions(df: DataFrame) -> DataFrame:
-    """Persisted copy, its partitions in proportion to the bytes that ``df`` reads.
+    """Persisted copy, its partitions cut by counted rows and the cluster's cores.
 
     Iterative learners (boosting rounds, k-means steps) run several small jobs per
-    iteration, so partitions should be no smaller than needed. The repartition is an
-    exchange: the work before it keeps its own parallelism.
+    iteration, whose time is the rows' work: it is dealt to all cores, but not finer. Estimated
+    bytes would not do: a checkpointed join counts as the product of its inputs. The
+    repartition is an exchange: the work before it keeps its own parallelism.
     """
-    out = df.repartition(1 + input_bytes(df) // TRAIN_PARTITION_BYTES).persist()
+    out = df.repartition(training_partitions(df.count(), df.sparkSession.sparkContext.defaultParallelism)).persist()
     out.count()  # fill the cache once, before concurrent fits read it
     return out
 

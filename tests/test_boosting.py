@@ -132,3 +132,22 @@ def test_one_class_and_constant_features(spark):
     assert model.transform(df).select(vector_to_array("probability")[1].alias("p")).agg(F.min("p")).first()[0] >= 0.5
     with pytest.raises(ValueError, match="no rows"):
         B.fit(df.limit(0), {"m": (B.BoosterParams(rounds=3), "one")})
+
+
+def test_best_splits_of_features_of_unlike_sizes_equal_a_plain_search():
+    chance = np.random.default_rng(5)
+    sizes = [2, 7, 1, 2, 30]
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    rows = 400
+    bins = [chance.integers(0, s, rows) for s in sizes]
+    g, h = chance.normal(size=rows), chance.random(rows) + 0.1
+    hist = np.zeros((1, offsets[-1], 3))
+    for f, b in enumerate(bins):
+        for k, v in enumerate((g, h, np.ones(rows))):
+            hist[0, offsets[f]:offsets[f + 1], k] = np.bincount(b, v, sizes[f])
+    p = B.BoosterParams(min_rows=5)
+    gain, feature, cut, left = B.best_splits(hist, offsets, p)[0]
+    plain = {(f, c): B.split_gain(g[b <= c].sum(), h[b <= c].sum(), g.sum(), h.sum(), p)
+             for f, b in enumerate(bins) for c in range(sizes[f] - 1) if 5 <= (b <= c).sum() <= rows - 5}
+    assert (feature, cut) == max(plain, key=plain.get) and np.isclose(gain, max(plain.values()))
+    assert np.allclose(left, [v[bins[feature] <= cut].sum() for v in (g, h, np.ones(rows))])

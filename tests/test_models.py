@@ -57,3 +57,34 @@ def test_kmeans_profile_and_pca(spark):
     pc = CL.pca_2d(feats)
     assert pc.columns == ["customerID", "PC1", "PC2", "ChurnLabel"]
     assert CL.pca_2d(feats.drop("Churn")).columns == ["customerID", "PC1", "PC2"]
+
+
+def test_training_rows_are_dealt_to_the_cores_whatever_their_bytes_are_estimated_at(spark):
+    from retentio.operators import models as MD
+    assert [MD.training_partitions(n, 12) for n in (0, 150, 4_000, 100_000, 3_000_000, 3_000_001)] == [1, 1, 2, 12, 12, 24]
+    rows = spark.range(300)
+    joined = rows
+    for i in range(8):  # a checkpointed join counts as the product of its inputs
+        joined = joined.join(rows.withColumnRenamed("id", f"id{i}"), F.col("id") == F.col(f"id{i}"))
+    out = MD.size_partitions(joined.checkpoint(eager=True))
+    assert out.rdd.getNumPartitions() == 1 and out.count() == 300
+    out.unpersist()
+    out = MD.size_partitions(spark.range(40_000))
+    assert out.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    out.unpersist()
+
+
+def test_scan_of_many_models_equals_each_one_alone(spark):
+    import numpy as np
+    from retentio.operators import cluster as CL
+    chance = np.random.default_rng(3)
+    x = chance.normal(size=(9_000, 3))
+    models = [x[chance.choice(len(x), k, replace=False)] for k in (3, 2, 3, 5)]
+    models[3][4] = models[3][1]  # of equal centres the first has the rows
+    points = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(3)
+    for (count, sums, cost), own in zip(CL._scan(points, models, costs=True), models):
+        apart = ((x[:, None] - own) ** 2).sum(2)
+        near = apart.argmin(1)
+        assert count.tolist() == np.bincount(near, minlength=len(own)).tolist()
+        assert np.allclose(sums, [x[near == c].sum(0) for c in range(len(own))])
+        assert np.isclose(cost, apart.min(1).sum())
