@@ -12,10 +12,10 @@ and, as k! (m-1-k)! / m! is the integral of t^k (1-t)^(m-1-k) over [0, 1], of
 
     v (o_i - z_i)  integral of  prod_{j != i} ((1-t) z_j + t o_j) dt.
 
-The integrand is a polynomial of degree m - 1, which Gauss-Legendre points integrate exactly. So
-one walk down and up a tree gives all features at once: products of the factors go down, sums over
-leaves come up, and each split adds what its own factor changes. The attributions of a row sum to
-its prediction minus the expectation.
+The integrand is a polynomial of degree m - 1, which Gauss-Legendre points integrate exactly. What a
+leaf adds so depends on z, the same for all rows, and on which of the m features a row passes:
+at most 2^m cases, worked out once for a block of rows, whose cases one walk down the tree finds.
+The attributions of a row sum to its prediction minus the expectation.
 
 A fitted model becomes a flat table of nodes. It is as large as the model (trees x nodes, bounded
 by the model's settings) and goes to every task; rows stay where they are, and each is attributed
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from retentio.session import ensure_checkpoint_dir, ship_code
 from retentio.sources.io import delete_table
 
-#: Rows of one task; attributing a row visits every node of the model.
-ROWS_PER_TASK = 1000
+#: Rows of one task; attributing a row visits every node of the model. Fewer, down to the least, keep all cores at work.
+ROWS_PER_TASK, LEAST_ROWS = 8000, 1000
 #: A table has at most so many tasks, then they take more rows each.
 MOST_TASKS = 100_000
 #: Rows that are walked through a tree together.
-BLOCK_ROWS = 512
+BLOCK_ROWS = 8192
 
 
 @dataclass
@@ -88,52 +89,67 @@ class NodeTable:
         return out
 
 
+@lru_cache(None)
+def _passed(m: int) -> np.ndarray:
+    """(features, cases): whether case c passes feature j, its bit j."""
+    return (np.arange(1 << m) >> np.arange(m)[:, None] & 1).astype(bool)
+
+
+def _leaf_shares(z: np.ndarray, t: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """What a leaf of value 1 adds to each feature of its path (features x cases), by the features that a row passes."""
+    m = len(z)
+    failed = np.multiply.outer(z, 1 - t)
+    factor = failed + t
+    product = np.ones((1 << m, len(t)))
+    for j in range(m):
+        half = 1 << j
+        np.multiply(product[:half], factor[j], out=product[half:2 * half])
+        product[:half] *= failed[j]
+    # The other features' product is that of all, without the feature's own factor.
+    return np.where(_passed(m), (weight * (1 - z)[:, None] / factor) @ product.T, (weight * -z[:, None] / failed) @ product.T)
+
+
 def shapley_values(table: NodeTable, x: np.ndarray) -> np.ndarray:
-    """Attributions (rows x features) of the rows of ``x``."""
+    """Attributions (rows x features) of the rows of ``x``.
+
+    What a leaf adds depends only on which of its path's features a row passes: at most two to the
+    power of the path's features cases, which are worked out once for all rows.
+    """
     phi = np.zeros(x.shape[::-1])
     points = max(1, -(-min(table.depth(), x.shape[1]) // 2))
     t, weight = np.polynomial.legendre.leggauss(points)
     t, weight = (t + 1) / 2, weight / 2
-    # What a feature with z = 0, o = 0 adds; z never appears in it.
-    off = -weight / (1 - t)
-
-    def gain(z: float, o: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        return np.where(o, (weight * (1 - z) / ((1 - t) * z + t)) @ sums, off @ sums)
+    columns = np.ascontiguousarray(x.T)
+    one = np.int32(1)
 
-    def walk(n: int, product: np.ndarray, known: dict) -> np.ndarray:
+    def walk(n: int, passed: np.ndarray, place: dict, z: list) -> None:
+        """``passed`` has bit j of each row set if the row passes all splits so far on the path's feature j."""
         f = int(table.feature[n])
         if f < 0:
-            return product * table.value[n]
-        goes_left = x[:, f] <= table.threshold[n]
-        before = known.get(f)
-        sums = 0.0
+            if table.value[n] and z:
+                case = _leaf_shares(np.array(z), t, weight) * table.value[n]
+                for g, j in place.items():
+                    phi[g] += case[j].take(passed)
+            return
+        goes_left = columns[f] <= table.threshold[n]
+        new = f not in place
+        j = place.setdefault(f, len(z))
+        before = None if new else z[j]
         for child, goes in ((int(table.left[n]), goes_left), (int(table.right[n]), ~goes_left)):
             share = table.cover[child] / table.cover[n]
             if share == 0.0:
                 # No training weight went here: known features alone lead to it.
                 share = 1e-12
-            if before is None:
-                z, o = share, goes
-                below = product * np.where(o, ((1 - t) * z + t)[:, None], ((1 - t) * z)[:, None])
+            if new:
+                walk(child, passed | goes.astype(np.int32) << j, place, [*z, share])
             else:
-                z, o = before[0] * share, before[1] & goes
-                was = (1 - t) * before[0] + t
                 # A row that failed the feature above stays failed: only its share shrinks.
-                below = product * np.where(before[1], np.where(o, (((1 - t) * z + t) / was)[:, None], ((1 - t) * z / was)[:, None]), share)
-            known[f] = z, o
-            found = walk(child, below, known)
-            phi[f] += gain(z, o, found)
-            if before is not None:
-                phi[f] -= gain(*before, found)
-            sums = sums + found
-        if before is None:
-            del known[f]
-        else:
-            known[f] = before
-        return sums
+                walk(child, np.where(goes, passed, passed & ~(one << j)), place, [*z[:j], before * share, *z[j + 1:]])
+        if new:
+            del place[f]
 
     for r in table.roots:
-        walk(int(r), np.ones((points, len(x))), {})
+        walk(int(r), np.zeros(len(x), np.int32), {}, [])
     return phi.T
 
 
@@ -182,20 +198,30 @@ def attribute(vectors: DataFrame, table: NodeTable, features: list[str], input_c
     """One row per id with an array of (feature, value, shap); ``input_col`` holds the model's inputs as an array."""
     kind = vectors.schema[id_col].dataType.simpleString()
 
+    def attributed(batches):
+        ids, values, x = (pa.concat_arrays([b.column(c) for b in batches]) for c in (id_col, "value", "x"))
+        phi = shapley_values(table, np.asarray(x.flatten()).reshape(len(ids), -1))
+        offsets = np.arange(len(ids) + 1, dtype=np.int32) * len(features)
+        return pa.RecordBatch.from_arrays([ids, values, pa.ListArray.from_arrays(pa.array(offsets), pa.array(phi.ravel()))],
+                                          names=[id_col, "value", "shap"])
+
     def run(batches):
-        for batch in batches:
-            rows = batch.num_rows
-            x = np.asarray(batch.column("x").flatten()).reshape(rows, -1) if rows else np.zeros((0, len(features)))
-            phi = [shapley_values(table, x[at:at + BLOCK_ROWS]) for at in range(0, rows, BLOCK_ROWS)]
-            flat = np.concatenate(phi).ravel() if phi else np.zeros(0)
-            offsets = np.arange(rows + 1, dtype=np.int32) * len(features)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("value"),
-                                              pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[id_col, "value", "shap"])
+        held, rows = [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                held.append(whole.slice(at, BLOCK_ROWS))
+                rows += held[-1].num_rows
+                if rows >= BLOCK_ROWS:
+                    yield attributed(held)
+                    held, rows = [], 0
+        if held:
+            yield attributed(held)
 
     # A model visit costs far more than a row's bytes say, so tasks are cut by rows. Ids are dealt evenly whatever they are.
     ship_code(vectors.sparkSession)
     n = vectors.count()
-    tasks = max(1, -(-n // max(ROWS_PER_TASK, n // MOST_TASKS)))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, -(-n // max(ROWS_PER_TASK, n // MOST_TASKS)), min(cores, n // LEAST_ROWS))
     slim = vectors.select(id_col, F.col(input_col).alias("x"), F.col(value_col).alias("value")).repartition(tasks)
     done = slim.mapInArrow(run, f"{id_col} {kind}, value array<double>, shap array<double>")
     names = F.array(*[F.lit(f) for f in features])

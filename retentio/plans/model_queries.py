@@ -7,6 +7,7 @@ the trained set do not refit it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -65,42 +66,53 @@ def split_table(spark, d) -> DataFrame:
         return _CACHE[k]
 
 
-def fitted(spark, d, refresh: bool = False):
-    """(models, spec) trained on the split.
+def fitted(spark, d, names=None, refresh: bool = False):
+    """(models, spec) trained on the split; with ``names`` only those models are fitted or loaded.
 
-    Trained once per data and code version: the fitted pipelines are saved to
+    Trained once per data and code version: every fitted pipeline is saved to
     the shared checkpoint folder and loaded by later sessions (the reference
     trains once and its app loads the stored models); within a session they are
     also kept in memory.
     """
     k = ("models",) + _key(spark, d)
+    names = list(MD.MODEL_PARAMS if names is None else names)
     with _LOCK:
-        if k in _CACHE and not refresh:
-            return _CACHE[k]
+        root = _model_dir(spark, d, "models")
+        # a model's mark and the encoding are written last: their _SUCCESS stands for a complete one
+        marks = {n: f"{root}/done-{_slug(n)}" for n in names}
         if refresh:
+            _CACHE.pop(k, None)
             _CACHE.pop(("best",) + _key(spark, d), None)
-            for kind in ("comparison", "scores", "attributions-random_forest", "attributions-xgboost"):
+            for kind in ("comparison", "scores", "attributions-random_forest", "attributions-xgboost",
+                         *(f"scores-{_slug(n)}" for n in MD.MODEL_PARAMS)):
                 delete_table(spark, _model_dir(spark, d, kind))
-        root = _model_dir(spark, d, "models")
-        names = list(MD.MODEL_PARAMS)
-        done = f"{root}/spec"
-        if not refresh and table_available(spark, done + "/_SUCCESS"):
-            spec_d = json.loads(spark.read.json(done).first()["spec"])
+            for n in MD.MODEL_PARAMS:
+                delete_table(spark, f"{root}/done-{_slug(n)}")
+        models, spec = _CACHE.get(k, ({}, None))
+        for n in names:
+            if n not in models and table_available(spark, marks[n] + "/_SUCCESS"):
+                models[n] = PipelineModel.load(f"{root}/{_slug(n)}")
+        if spec is None and table_available(spark, f"{root}/spec/_SUCCESS"):
+            spec_d = json.loads(spark.read.json(f"{root}/spec").first()["spec"])
             spec = MD.FeatureSpec(spec_d["categorical"], spec_d["numeric"], spec_d["features"])
-            models = {n: PipelineModel.load(f"{root}/{_slug(n)}") for n in names}
-        else:
-            models, spec = MD.train_all(split_table(spark, d))
-            for n, m in models.items():
-                MD.save_model(m, f"{root}/{_slug(n)}")
+        missing = [n for n in names if n not in models]
+        if missing or spec is None:
+            fresh, spec = MD.train_all(split_table(spark, d), names=missing or names)
             payload = json.dumps({"categorical": spec.categorical, "numeric": spec.numeric,
                                   "features": spec.features})
-            # written last: its _SUCCESS marks a complete model set
-            spark.createDataFrame([(payload,)], "spec string").coalesce(1).write.mode(
-                "overwrite").json(done)
+            _mark(spark, payload, f"{root}/spec")
+            for n, m in fresh.items():
+                MD.save_model(m, f"{root}/{_slug(n)}")
+                _mark(spark, payload, marks[n])
+            models |= fresh
         for m in models.values():
             m._retentio_features = spec.features  # noqa: SLF001
         _CACHE[k] = (models, spec)
-        return _CACHE[k]
+        return {n: models[n] for n in names}, spec
+
+
+def _mark(spark, payload: str, path: str) -> None:
+    spark.createDataFrame([(payload,)], "spec string").coalesce(1).write.mode("overwrite").json(path)
 
 
 def _test(spark, d):
@@ -123,18 +135,27 @@ def q_class_weights(spark, d):
     return MD.class_weights(clean_table(spark, d))
 
 
-def test_scores(spark, d) -> DataFrame:
-    """(customerID, label, model, score) of the test rows under every model, scored and stored once per data and code version."""
-    path = _model_dir(spark, d, "scores")
+def test_scores(spark, d, name: str | None = None) -> DataFrame:
+    """(customerID, label, model, score) of the test rows under every model and their vote, or under one model alone.
+
+    Scored and stored once per data and code version; one model's scores need no other model.
+    """
+    whole = _model_dir(spark, d, "scores")
+    if name and table_available(spark, whole + "/_SUCCESS"):
+        return spark.read.parquet(whole).filter(F.col("model") == name)
+    path = _model_dir(spark, d, f"scores-{_slug(name)}") if name else whole
     if not table_available(spark, path + "/_SUCCESS"):
-        models, _ = fitted(spark, d)
-        MD.test_scores(models, split_table(spark, d)).write.mode("overwrite").parquet(path)
+        models, _ = fitted(spark, d, [name] if name else None)
+        MD.test_scores(models, split_table(spark, d), with_voting=not name).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def _report_of(*names):
     def q(spark, d):
-        return MM.comparison(MM.cumulated(test_scores(spark, d).filter(F.col("model").isin(*names))))
+        # Models that learn together are fitted together.
+        fitted(spark, d, names)
+        scores = [test_scores(spark, d, n) for n in names]
+        return MM.comparison(MM.cumulated(functools.reduce(DataFrame.unionByName, scores)))
     return q
 
 
@@ -170,7 +191,7 @@ def q_model_threshold_sweep(spark, d):
 
 @register("soft_vote")
 def q_soft_vote(spark, d):
-    models, _ = fitted(spark, d)
+    models, _ = fitted(spark, d, MD.VOTING_MEMBERS)
     return MD.soft_vote(models, _test(spark, d)).select("customerID", "Churn", "churn_prob")
 
 
@@ -237,10 +258,11 @@ def _best_name(spark, d) -> str:
 
 
 def best_scorer(spark, d):
-    models, _ = fitted(spark, d)
     name = _best_name(spark, d)
     if name == "Voting Ensemble":
+        models, _ = fitted(spark, d, MD.VOTING_MEMBERS)
         return lambda rows: MD.soft_vote(models, rows)
+    models, _ = fitted(spark, d, [name])
     return lambda rows: MD.score(models[name], rows)
 
 
@@ -252,7 +274,7 @@ def q_score_population(spark, d):
 @register("feature_importance")
 def q_feature_importance(spark, d):
     """M16 + T4: top 20 Random Forest importances (a top-k report)."""
-    models, spec = fitted(spark, d)
+    models, spec = fitted(spark, d, ["Random Forest"])
     imp = MD.feature_importance(models["Random Forest"], spark, spec.features)
     return imp.orderBy(F.col("importance").desc(), F.col("feature")).limit(20)
 
@@ -260,7 +282,7 @@ def q_feature_importance(spark, d):
 @register("importance_rank")
 def q_importance_rank(spark, d):
     """Voting-ensemble importances (mean of fitted members) ranked, top-5 flagged."""
-    models, spec = fitted(spark, d)
+    models, spec = fitted(spark, d, MD.VOTING_MEMBERS)
     return MD.importance_rank(MD.ensemble_importance(models, spark, spec.features))
 
 
@@ -271,14 +293,13 @@ def q_strategy_comparison_model(spark, d):
 
 @register("whatif_scenarios_model")
 def q_whatif_scenarios_model(spark, d):
-    models, _ = fitted(spark, d)
     feats = features_table(spark, d)
     return WI.whatif_scenarios(feats, feats, best_scorer(spark, d))
 
 
 @register("risk_factors_model")
 def q_risk_factors_model(spark, d):
-    models, spec = fitted(spark, d)
+    models, spec = fitted(spark, d, MD.VOTING_MEMBERS)
     imp = MD.importance_rank(MD.ensemble_importance(models, spark, spec.features)).filter("in_top_5")
     p = _profiles(spark, d)
     return WI.risk_factors(p, p, importance_top=imp,
@@ -287,27 +308,27 @@ def q_risk_factors_model(spark, d):
 
 @register("shap_linear")
 def q_shap_linear(spark, d):
-    models, spec = fitted(spark, d)
+    models, spec = fitted(spark, d, ["Logistic Regression"])
     return EX.shap_linear(models["Logistic Regression"], features_table(spark, d), spec.features)
 
 
 @register("top_attributions")
 def q_top_attributions(spark, d):
-    models, spec = fitted(spark, d)
+    models, spec = fitted(spark, d, ["Logistic Regression"])
     attr = EX.shap_linear_arrays(models["Logistic Regression"], features_table(spark, d), spec.features)
     return EX.top_attributions(attr, 12)
 
 
 @register("attribution_reasons")
 def q_attribution_reasons(spark, d):
-    models, spec = fitted(spark, d)
+    models, spec = fitted(spark, d, ["Logistic Regression"])
     attr = EX.shap_linear_arrays(models["Logistic Regression"], features_table(spark, d), spec.features)
     return EX.attribution_reasons(attr)
 
 
 def _tree_arrays(spark, d, name: str = "Random Forest") -> DataFrame:
     """Exact attributions of one tree model for every customer, stored once per data and code version."""
-    models, spec = fitted(spark, d)
+    models, spec = fitted(spark, d, [name])
     path = _model_dir(spark, d, f"attributions-{_slug(name)}")
     if not table_available(spark, path + "/_SUCCESS"):
         TS.shap_tree_arrays(models[name], features_table(spark, d), spec.features).write.mode("overwrite").parquet(path)
@@ -341,7 +362,7 @@ def q_attribution_reasons_tree(spark, d):
 @register("shap_sampled")
 def q_shap_sampled(spark, d):
     """Sampled Shapley values of the forest for every customer."""
-    models, spec = fitted(spark, d)
+    models, spec = fitted(spark, d, ["Random Forest"])
     return EX.shap_sampled(models["Random Forest"], features_table(spark, d), spec.features, m=8)
 
 

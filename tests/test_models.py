@@ -88,3 +88,29 @@ def test_scan_of_many_models_equals_each_one_alone(spark):
         assert count.tolist() == np.bincount(near, minlength=len(own)).tolist()
         assert np.allclose(sums, [x[near == c].sum(0) for c in range(len(own))])
         assert np.isclose(cost, apart.min(1).sum())
+
+
+def test_a_query_trains_the_models_it_names_only(spark, monkeypatch):
+    from retentio.operators import models as MD
+    from retentio.plans import model_queries as Q
+    from retentio.sources.io import delete_table
+    monkeypatch.setattr(Q, "_CACHE", {})
+    asked, real = [], MD.train_all
+
+    def train_all(df, label="Churn", names=None, params=None):
+        asked.append(list(names))
+        return real(df, label, names, params)
+    monkeypatch.setattr(MD, "train_all", train_all)
+    folder = Q._model_dir(spark, SF, "test-models")
+    monkeypatch.setattr(Q, "_model_dir", lambda s, d, kind, real=Q._model_dir: f"{folder}/{real(s, d, kind).rsplit('/', 1)[1]}")
+    try:
+        rows = Q._report_of("Decision Tree")(spark, SF).collect()
+        assert [r["model"] for r in rows] == ["Decision Tree"] and asked == [["Decision Tree"]]
+        models, spec = Q.fitted(spark, SF, ["Logistic Regression", "Decision Tree"])
+        assert list(models) == ["Logistic Regression", "Decision Tree"] and asked[1:] == [["Logistic Regression"]]
+        # A later session loads what is stored.
+        Q._CACHE.clear()
+        again, same = Q.fitted(spark, SF, ["Decision Tree"])
+        assert len(asked) == 2 and same.features == spec.features and again["Decision Tree"].stages[-1].depth == models["Decision Tree"].stages[-1].depth
+    finally:
+        delete_table(spark, folder)

@@ -106,3 +106,38 @@ def test_fitted_models(fitted, which):
     one = TS.attribute(pred.filter("customerID = 'c7'"), table, list("abcd"), "x", "x").select(F.inline("attr")).collect()
     assert np.allclose([r["shap"] for r in one], brute(table, x[rows.index[rows["customerID"] == "c7"][0]]), atol=1e-9)
     assert TS.attribute(pred.limit(0), table, list("abcd"), "x", "x").count() == 0
+
+
+def test_leaf_cases_against_sums_over_all_subsets():
+    """What a leaf adds, by the features passed, for shares down to 1e-12; a feature that splits twice keeps one bit."""
+    from itertools import combinations
+    from math import factorial
+    z = np.array([0.3, 1e-12, 0.9])
+    points = max(1, -(-len(z) // 2))
+    t, weight = np.polynomial.legendre.leggauss(points)
+    found = TS._leaf_shares(z, (t + 1) / 2, weight / 2)
+    for case in range(8):
+        o = np.array([case >> j & 1 for j in range(3)], float)
+        for i in range(3):
+            rest = [j for j in range(3) if j != i]
+            total = sum(factorial(k) * factorial(2 - k) / factorial(3) * np.prod([o[j] if j in known else z[j] for j in rest])
+                        for k in range(3) for known in combinations(rest, k))
+            assert np.isclose(found[i, case], (o[i] - z[i]) * total, rtol=1e-9, atol=1e-12)
+
+
+def test_rows_of_many_small_batches_are_attributed_together(spark, monkeypatch):
+    table = TS.NodeTable(*(np.array(v) for v in ([0, -1, -1], [0.5, 0, 0], [1, 0, 0], [2, 0, 0], [4.0, 1, 3], [0.0, 1, 2])), np.array([0]))
+    monkeypatch.setattr(TS, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(TS, "LEAST_ROWS", 1000)
+    rows = spark.range(200).selectExpr("cast(id as string) customerID", "array(double(id % 2)) x")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        out = TS.attribute(rows, table, ["f"], "x", "x").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {v: TS.shapley_values(table, np.array([[v]]))[0, 0] for v in (0.0, 1.0)}
+    assert len(out) == 200
+    for r in out:
+        assert r["attr"][0]["value"] == int(r["customerID"]) % 2
+        assert np.isclose(r["attr"][0]["shap"], want[r["attr"][0]["value"]])
