@@ -368,3 +368,22 @@ def test_language_model(spark, docs, nothing):
     assert set(got["train_tokens"]) == {n} and (got["score"] < 0).all() and (got["bits_per_byte"] > 0).all()
     empty = language_model.fit(nothing, ~held_out, Scratch(spark, "test-lm"))
     assert language_model.score(nothing, empty, Scratch(spark, "test-lm"), held_out).count() == 0
+
+
+def test_language_model_learns_from_texts_of_any_number_and_length(spark):
+    """Code, weights and map are those of all training texts at once, whatever they are divided into."""
+    from retentio.llm import mixing
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(900)]  # 2.2 MB and one text of 1.2 MB: more than was sampled
+    texts.append(" ".join(rng.choice(words, 200_000)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    model = language_model.fit(docs, F.lit(True), Scratch(spark, "test-lm"))
+    raw, offsets = common.text_buffer(pa.array(texts))
+    code = mixing.build_code(*mixing.symbol_counts(raw, offsets))
+    assert np.array_equal(code.path, model.code.path) and np.array_equal(code.which, model.code.which)
+    tables = [np.zeros(2 << b, np.uint32) for b in mixing.SLOT_BITS]
+    mixing.count(code, raw, offsets, tables)
+    mixer = mixing.fit_mixer(code, tables, raw, offsets)
+    assert np.allclose(mixer.weights, model.mixer.weights, atol=1e-6) and np.allclose(mixer.refined, model.mixer.refined, atol=1e-6)
+    assert all(np.array_equal(a, b) for a, b in zip(mixing.stretched(tables), model.maps))
