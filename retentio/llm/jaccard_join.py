@@ -18,8 +18,9 @@ shingles); candidates whose sketches (counts by bucket, an upper bound of the ov
 a link out are dropped, the others joined into components; then only lists that still
 hold members of different components are compared further: every pair of different
 components within the size and position limits. Where verification splits a component,
-its parts are compared in the same way. No link between different components is lost. Lists of frequent keys are divided among tasks, and the parts'
-pivots are compared among each other. Candidates are verified on whole sets, which only
+its parts are compared in the same way: first a few sets of each part, which join most parts of one
+class, then all pairs of the parts still apart. No link between different components is lost.
+Lists of frequent keys are divided among tasks, and the parts' pivots are compared among each other. Candidates are verified on whole sets, which only
 documents in candidate pairs send (a bitmap of fixed size tells which).
 
 A null text has no words: size 0, its own component. Null ids count as the largest id.
@@ -34,7 +35,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from retentio.llm.common import Scratch, arrow_batches, kept
@@ -46,6 +47,8 @@ MAX_COMMON = 1 << 18
 CHUNK, LEAST_COUNT = 4_000_000, 2
 #: Members of a list that one task scans; longer lists are divided.
 LIST_PART = 2048
+#: Sets of each component of a list that are compared before all of them are.
+FEW = 16
 #: Buckets of a set's sketch.
 SKETCH = 256
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -330,9 +333,10 @@ def _members(docs: DataFrame, bitmap_sent, bits: int, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(found, "sid long, shingles array<long>")
 
 
-def _marks(spark, pairs: DataFrame):
+def _marks(scratch: Scratch, pairs: DataFrame, label: str):
     """A bitmap of the sets in ``pairs`` (sent to the tasks), and its size as a power of two."""
-    sids = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    spark = pairs.sparkSession
+    sids = scratch.store(pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct(), f"{label}-sids")
     bits = min(30, max(20, (16 * sids.count()).bit_length()))
     with arrow_batches(spark, 100_000):
         return spark.sparkContext.broadcast(_bitmap(sids, bits)), bits
@@ -348,7 +352,7 @@ def _holding(table: DataFrame, marks, bits: int) -> DataFrame:
     return table.filter(held("sid"))
 
 
-def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def _possible(scratch: Scratch, pairs: DataFrame, sketches: DataFrame, percent: int, label: str) -> DataFrame:
     """The pairs (u, v) whose sketches allow the overlap that a link needs."""
     def allowed(batches):
         kept("jaccard")
@@ -363,7 +367,7 @@ def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 open_[~open_] = most >= least_overlap(*sizes, percent)
             yield batch.select(["u", "v"]).filter(pa.array(open_))
 
-    near = _holding(sketches, *_marks(pairs.sparkSession, pairs)).dropDuplicates(["sid"])
+    near = _holding(sketches, *_marks(scratch, pairs, label)).dropDuplicates(["sid"])
     left = near.select(F.col("sid").alias("u"), F.col("n").alias("m"), F.col("sketch").alias("a"))
     right = near.select(F.col("sid").alias("v"), "n", F.col("sketch").alias("b"))
     return pairs.join(right, "v").join(left, "u").mapInArrow(allowed, "u long, v long")
@@ -382,20 +386,24 @@ def _verified(scratch: Scratch, pairs: DataFrame, members: DataFrame, percent: i
     return scratch.store(links, f"{label}-links")
 
 
-def _crossing(scratch: Scratch, lists: DataFrame, labels: DataFrame, percent: int, label: str) -> DataFrame:
+def _crossing(scratch: Scratch, lists: DataFrame, labels: DataFrame, percent: int, label: str, few: int | None = None) -> DataFrame:
     """Pairs of a list that are in different components, within the size and position limits.
 
     Lists of the same members are one; lists within one component are left out before any pair is made.
+    With ``few``, so many sets of each component of a list are paired: the most typical, as with pivots.
     """
-    tagged = (lists.select("key", "sid", "n", "most")
+    tagged = (lists.select("key", "sid", "n", "most", "rare")
               .join(labels.withColumnRenamed("node", "sid"), "sid", "left")
               .withColumn("component", F.coalesce("component", "sid")))
     open_ = (tagged.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"),
         F.bit_xor(F.xxhash64("sid")).alias("members")).filter("low != high"))
     mixed = (tagged.join(open_.select("key", F.xxhash64("size", "members").alias("list")), "key")
-             .groupBy("list", "sid").agg(F.max("most").alias("most"), F.first("n").alias("n"),
+             .groupBy("list", "sid").agg(F.max("most").alias("most"), F.first("n").alias("n"), F.first("rare").alias("rare"),
                                          F.first("component").alias("component")))
+    if few:
+        nth = F.row_number().over(Window.partitionBy("list", "component").orderBy("rare", "sid"))
+        mixed = mixed.withColumn("nth", nth).filter(F.col("nth") <= few).drop("nth")
     mixed = scratch.store(mixed, f"{label}-mixed")
     one, two = mixed.alias("one"), mixed.alias("two")
     limit = F.ceil(percent * (F.col("one.n") + F.col("two.n")) / (100.0 + percent) - 1e-9)
@@ -405,6 +413,18 @@ def _crossing(scratch: Scratch, lists: DataFrame, labels: DataFrame, percent: in
             .select(F.col("one.sid").alias("u"), F.col("two.sid").alias("v")).distinct())
 
 
+def _merged(scratch: Scratch, labels: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """The components (node, component) after further links: only the components that these join are gone through."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    edges = (links.join(of("u"), "u", "left").join(of("v"), "v", "left")
+             .select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v")).distinct())
+    joined = connected_components(scratch, edges, label)
+    moved = (labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+             .select("node", F.coalesce("to", "component").alias("component")))
+    # A set without a component so far is a node of the joined ones itself.
+    return scratch.store(moved.unionByName(joined.join(labels, "node", "left_anti")), f"{label}-labels")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
             ) -> tuple[DataFrame, Scratch]:
     """(doc_id, tkey, n, component) for every row: hash of the text, set size, smallest id of its class.
@@ -440,23 +460,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     # were links, leave few pairs to compare besides.
     sketches = rows.filter("sid is not null").select("sid", "n", "sketch")
     pairs = scratch.store(stars.select(*_pairs(F.col("pivot"), F.col("sid"))).distinct(), "pairs")
-    near = scratch.store(_possible(pairs, sketches, percent), "near")
+    near = scratch.store(_possible(scratch, pairs, sketches, percent, "near"), "near")
     tentative = connected_components(scratch, near, "tentative")
     across = scratch.store(_crossing(scratch, lists, tentative, percent, "across").join(pairs, ["u", "v"], "left_anti"), "across")
-    candidates = scratch.store(near.unionByName(_possible(across, sketches, percent)), "candidates")
-    marks = _marks(spark, candidates)
+    candidates = scratch.store(near.unionByName(_possible(scratch, across, sketches, percent, "across")), "candidates")
+    marks = _marks(scratch, candidates, "candidates")
     members = scratch.store(_members(docs, *marks, width).dropDuplicates(["sid"]), "members")
     links = _verified(scratch, candidates, members, percent, "first")
     labels = connected_components(scratch, links, "linked")
     # Where a pair was no link after all, its component may have fallen apart: compare the parts.
-    # All their sets are at hand, as each belongs to a candidate pair.
-    apart = _crossing(scratch, _holding(lists, *marks), labels, percent, "apart")
-    apart = apart.join(pairs.unionByName(across), ["u", "v"], "left_anti")
-    apart = scratch.store(_possible(apart, sketches, percent), "apart")
-    more = _verified(scratch, apart, members, percent, "second")
-    if not more.isEmpty():
-        labels = connected_components(scratch, links.unionByName(more), "closed")
-    scratch.drop("members", "lists", "across-mixed", "apart-mixed", "candidates")
+    # All their sets are at hand, as each belongs to a candidate pair. A few sets of each part tell
+    # most parts of a class; comparing them all at once would take a large part's size times the parts.
+    done = pairs.unionByName(across)
+    held = _holding(lists, *marks)
+    for label, few in (("few", FEW), ("apart", None)):
+        apart = _crossing(scratch, held, labels, percent, label, few)
+        apart = scratch.store(apart.join(done, ["u", "v"], "left_anti"), f"{label}-pairs")
+        if apart.isEmpty():
+            continue
+        done = done.unionByName(apart)
+        possible = scratch.store(_possible(scratch, apart, sketches, percent, label), label)
+        more = _verified(scratch, possible, members, percent, label)
+        if not more.isEmpty():
+            labels = _merged(scratch, labels, more, f"{label}-closed")
+    scratch.drop("members", "lists", "across-mixed", "few-mixed", "apart-mixed", "candidates")
     classed = (rows.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
                .withColumn("class", F.coalesce("component", "sid")))
     # The smallest id of each class; rows without a set are classes of their own.

@@ -326,6 +326,24 @@ def test_unsettled_components_are_an_error(spark):
     assert {(r["node"], r["component"]) for r in got} == {(i, 0) for i in range(51)}
 
 
+def test_few_sets_of_a_component_are_compared_first(spark):
+    scratch = common.Scratch(spark, "test")
+    members = [(7, s, 100, 100, s) for s in range(1, 44)]  # one list: 40 sets of a component, 3 apart
+    lists = spark.createDataFrame(members, "key long, sid long, n int, most int, rare int")
+    labels = spark.createDataFrame([(s, 1) for s in range(1, 41)], "node long, component long")
+    pairs = lambda few: {tuple(r) for r in jaccard_join._crossing(scratch, lists, labels, 80, "t", few).collect()}
+    assert pairs(None) == {(u, v) for u in range(1, 44) for v in range(41, 44) if u < v}
+    assert pairs(4) == {(u, v) for u in [1, 2, 3, 4, 41, 42] for v in range(41, 44) if u < v}
+
+
+def test_merged_components(spark):
+    scratch = common.Scratch(spark, "test")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, component long")
+    links = spark.createDataFrame([(6, 9), (3, 9), (20, 21)], "u long, v long")
+    got = {(r["node"], r["component"]) for r in jaccard_join._merged(scratch, labels, links, "t").collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (5, 3), (6, 3), (8, 3), (9, 3), (20, 20), (21, 20)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard(spark, nothing, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LIST_PART", 4)  # divides lists of frequent keys
