@@ -308,3 +308,12 @@ def test_texts_are_scored_alone():
     assert np.allclose(together, alone, rtol=1e-5) and (together > 0).all()
     noise = "".join(chr(c) for c in rng.integers(33, 90, 700))
     assert mixing.score(code, mixer, maps, *common.text_buffer(pa.array([noise])))[0] / 700 > 4 > together[0] / 720
+
+
+def test_log_odds_of_the_other_choices():
+    counts = np.array([0, 0, 1, 0, 0, 1, 3, 5, 1, 1, 4000, 1], np.uint32)
+    got = mixing.others_log_odds(counts)
+    odds = lambda none, one: mixing.whole_log_odds(np.array([none], np.uint32), np.array([one], np.uint32))[0]
+    for slot, (none, one) in enumerate(counts.reshape(-1, 2).tolist()):
+        assert got[2 * slot] == odds(max(none - 1, 0), one)
+        assert got[2 * slot + 1] == odds(none, max(one - 1, 0))
