@@ -8,20 +8,30 @@
   permutations the features are switched from the background (training mean,
   i.e. 0 in scaled space) to the customer's value one at a time; the change in
   the class-1 probability is that feature's contribution; averaged over
-  permutations.  Rows: customers x m x (features + 1), scored in one
-  ``transform`` and summed by (customer, feature); no window.
+  permutations.  Trees and forests are walked once for all steps of a
+  customer (``tree_sampling``).  Other models score customers x m x
+  (features + 1) rows in one ``transform``, summed by (customer, feature);
+  no window.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
+from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassificationModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from retentio.operators.features import standardize
+from retentio.operators.tree_sampling import orders_of, sampled_values
+from retentio.operators.tree_shap import NodeTable, node_table
+from retentio.session import ship_code
 
 #: Scored rows of a task of the sampling explainer.
 SCORED_ROWS_PER_TASK = 250_000
+#: Rows of a task, walked down the trees together; a task has fewer, down to the least, where that keeps all cores at work.
+WALKED_ROWS, LEAST_WALKED = 16_384, 1_000
 
 
 def _scaled(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -71,6 +81,8 @@ def shap_sampled(model: PipelineModel, df: DataFrame, features: list[str], m: in
     clf = model.stages[-1]
     base = _scaled(model, df).select(id_col, vector_to_array("scaled").alias("_xs"),
                                      vector_to_array("features").alias("_x"))
+    if isinstance(clf, (DecisionTreeClassificationModel, RandomForestClassificationModel)):
+        return _sampled_by_walks(base, node_table(clf), features, m, seed, id_col)
     # A row becomes m * (p + 1) scored ones: tasks are cut by those, not by the bytes read.
     base = base.repartition(max(1, -(-base.count() * m * (p + 1) // SCORED_ROWS_PER_TASK)))
     idx = F.sequence(F.lit(0), F.lit(p - 1))
@@ -103,6 +115,46 @@ def shap_sampled(model: PipelineModel, df: DataFrame, features: list[str], m: in
             .select(id_col, names[F.col("_fi")].alias("feature"), "value", "shap"))
 
 
+def _sampled_by_walks(base: DataFrame, table: NodeTable, features: list[str], m: int, seed: int, id_col: str) -> DataFrame:
+    """Sampled Shapley values of additive trees; the same permutations and steps as the scored rows have."""
+    p = len(features)
+    rows, cores = base.count(), base.sparkSession.sparkContext.defaultParallelism
+    # Whole rounds of the cores; fewer tasks only where they would get too small.
+    tasks = max(1, min(cores * -(-rows // (WALKED_ROWS * cores)), rows // LEAST_WALKED))
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(m * p - 1)), lambda k: F.xxhash64(
+        F.col(id_col), F.floor(k / p).cast("int"), (k % p).cast("int"), F.lit(seed)))
+    kind = base.schema[id_col].dataType.simpleString()
+
+    def attributed(held):
+        ids, x, value, order = (pa.concat_arrays([b.column(c) for b in held]) for c in (id_col, "_xs", "_x", "_order"))
+        n = len(ids)
+        phi = sampled_values(table, np.asarray(x.flatten()).reshape(n, p), orders_of(np.asarray(order.flatten()).reshape(n, m, p)))
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * p)
+        return pa.RecordBatch.from_arrays([ids, value, pa.ListArray.from_arrays(offsets, pa.array(phi.ravel()))], names=[id_col, "value", "shap"])
+
+    def run(batches):
+        held, n = [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, WALKED_ROWS):
+                held.append(whole.slice(at, WALKED_ROWS))
+                n += held[-1].num_rows
+                if n >= WALKED_ROWS:
+                    yield attributed(held)
+                    held, n = [], 0
+        if held:
+            yield attributed(held)
+
+    ship_code(base.sparkSession)
+    done = (base.repartition(tasks).withColumn("_order", hashes)
+            .mapInArrow(run, f"{id_col} {kind}, value array<double>, shap array<double>"))
+    names = F.array(*[F.lit(f) for f in features])
+    steps = done.select(id_col, F.posexplode(F.arrays_zip("value", "shap")).alias("_fi", "_s"))
+    # Rows that share an id have one attribution together; without such rows there is nothing to sum.
+    if base.groupBy(id_col).count().filter("count > 1").limit(1).count():
+        steps = steps.groupBy(id_col, "_fi").agg(F.struct(F.max("_s.value").alias("value"), F.sum("_s.shap").alias("shap")).alias("_s"))
+    return steps.select(id_col, names[F.col("_fi")].alias("feature"), "_s.value", "_s.shap")
+
+
 def as_arrays(attr: DataFrame, id_col: str = "customerID") -> DataFrame:
     """Long attributions as one row per customer with an array of (feature, value, shap)."""
     return attr.groupBy(id_col).agg(F.collect_list(F.struct("feature", "value", "shap")).alias("attr"))
