@@ -1,10 +1,12 @@
 """Second-order gradient boosting on Spark (M6): histograms of gradients, level-wise and leaf-wise trees.
 
 Rows are binned once: cuts are quantiles from a mergeable sketch, and each partition becomes one
-block of small integers. A round fits one tree to the loss's first and second derivatives g and h
-(logistic loss, weighted). For every level one Spark job adds up g and h by (node, feature, bin) in
-each task; the histograms, whose size depends on nodes and bins and not on rows, are merged in a
-tree of tasks. The driver picks each node's best split,
+block of small integers. Features of few bins share a code, so that one count serves them all. A
+round fits one tree to the loss's first and second derivatives g and h (logistic loss, weighted).
+For every level one Spark job adds up g and h by (node, code) in each task and from these by (node,
+feature, bin); the histograms, whose size depends on nodes and bins and not on rows, are merged in a
+tree of tasks. A task adds up whole multiples of a small power of two, which is exact in any order:
+equal columns have equal sums. The driver picks each node's best split,
 
     gain = 1/2 (GL^2 / (HL + l2) + GR^2 / (HR + l2) - G^2 / (H + l2)) - gamma,
 
@@ -27,10 +29,11 @@ import heapq
 import json
 import math
 import pickle
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -45,6 +48,8 @@ from retentio.session import ensure_checkpoint_dir, ship_code
 CHECKPOINT_ROUNDS = 20
 #: Up to so many partitions the driver adds up the histograms itself, without a stage in between.
 DIRECT_PARTS = 16
+#: Features share a code as long as it has at most so many values.
+MOST_CODES = 1024
 #: Accuracy of the sketch that the cuts come from (rank error one in so many rows).
 SKETCH_ACCURACY = 10_000
 
@@ -82,17 +87,78 @@ class Tree:
             column.append(v)
         return len(self.feature) - 1
 
-    def node_of(self, bins: np.ndarray) -> np.ndarray:
-        """The deepest node of every row of binned features."""
-        feature, cut, left, right = (np.array(x, np.int64) for x in (self.feature, self.bin, self.left, self.right))
-        at = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
-        while True:
-            rows = rows[feature[at[rows]] >= 0]
-            if not len(rows):
-                return at
-            n = at[rows]
-            at[rows] = np.where(bins[rows, feature[n]] <= cut[n], left[n], right[n])
+
+@dataclass
+class Packing:
+    """Features that share a code: each group's features, and each feature's group, bins and place value in the code."""
+    groups: list[list[int]]
+    group: list[int]
+    size: list[int]
+    stride: list[int]
+    codes: list[int]
+
+    @classmethod
+    def of(cls, sizes: list[int]) -> Packing:
+        """Largest features first, each into the first group that has room for it."""
+        groups, codes = [], []
+        for f in sorted(range(len(sizes)), key=lambda f: (-sizes[f], f)):
+            for k, c in enumerate(codes):
+                if c * sizes[f] <= MOST_CODES:
+                    groups[k].append(f)
+                    codes[k] *= sizes[f]
+                    break
+            else:
+                groups.append([f])
+                codes.append(sizes[f])
+        group, stride = [0] * len(sizes), [1] * len(sizes)
+        for k, members in enumerate(groups):
+            place = 1
+            for f in reversed(members):
+                group[f], stride[f] = k, place
+                place *= sizes[f]
+        return cls(groups, group, list(sizes), stride, codes)
+
+    def pack(self, bins: np.ndarray) -> np.ndarray:
+        """Codes (groups x rows) of binned features (rows x features)."""
+        out = np.zeros((len(self.groups), len(bins)), np.uint16 if max(self.codes, default=0) <= 1 << 16 else np.uint32)
+        for f in range(len(self.size)):
+            out[self.group[f]] += (bins[:, f].astype(np.int64) * self.stride[f]).astype(out.dtype)
+        return out
+
+    def unpack(self, sums: list[np.ndarray], offsets: np.ndarray) -> np.ndarray:
+        """Sums by (node, bin of each feature) from those by (node, code of each group)."""
+        out = np.empty((len(sums[0]), int(offsets[-1])))
+        for members, by_code in zip(self.groups, sums):
+            # The first feature has the highest place value; what is left after it serves the others.
+            rest = by_code
+            for f in members:
+                cube = rest.reshape(len(rest), self.size[f], -1)
+                out[:, offsets[f]:offsets[f + 1]] = cube.sum(2)
+                rest = cube.sum(1)
+        return out
+
+    def node_of(self, tree: Tree, codes: np.ndarray) -> np.ndarray:
+        """The deepest node of every row of packed features."""
+        at = np.zeros(codes.shape[1], np.intp)
+        split = [n for n, f in enumerate(tree.feature) if f >= 0]
+        if not split or not len(at):
+            return at
+        # Which side each code of a split's group goes to; a leaf leads to itself.
+        width = max(self.codes)
+        right = np.zeros((len(tree.feature), width), bool)
+        group, child = np.zeros(len(tree.feature), np.intp), np.repeat(np.arange(len(tree.feature)), 2).reshape(-1, 2)
+        depth = np.zeros(len(tree.feature), int)
+        for n in split:
+            f = tree.feature[n]
+            group[n], child[n] = self.group[f], (tree.left[n], tree.right[n])
+            right[n] = np.arange(width) // self.stride[f] % self.size[f] > tree.bin[n]
+            depth[child[n]] = depth[n] + 1
+        group *= codes.shape[1]
+        flat, right, child, rows = codes.ravel(), right.ravel(), child.ravel(), np.arange(codes.shape[1])
+        for _ in range(depth.max()):
+            code = flat.take(group.take(at) + rows)
+            at = child.take(2 * at + right.take(at * width + code))
+        return at
 
 
 def split_gain(gl, hl, g, h, p: BoosterParams):
@@ -152,31 +218,53 @@ def leaf_values(tree: Tree, p: BoosterParams) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Binned rows of one partition; a feature's bins lie side by side."""
-    bins: np.ndarray
-    label: np.ndarray
-    weights: list[np.ndarray]
+    """Rows of one partition: packed bins (groups x rows); labels and weights as (place, distinct values)."""
+    codes: np.ndarray
+    label_at: np.ndarray
+    labels: np.ndarray
+    weights: list[tuple[np.ndarray, np.ndarray]]
+
+
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value's place among the distinct ones, which are few in labels and weights."""
+    distinct, at = np.unique(values, return_inverse=True)
+    return at.astype(np.uint8 if len(distinct) <= 1 << 8 else np.uint32), distinct
+
+
+def _counts_matter(p: BoosterParams) -> bool:
+    """Whether a split's rows must be counted: a side of enough second derivatives has a row."""
+    return p.min_rows > 1 or p.min_hessian <= 0
 
 
-def _histogram(block: Block, margins: list[np.ndarray], trees: list[Tree | None], frontiers: list[list[int]], offsets: np.ndarray) -> list[np.ndarray]:
-    """For each booster: sums of g, h and rows by (frontier node, bin of each feature)."""
+def _histogram(block: Block, margins: list[np.ndarray], trees: list[Tree | None], frontiers: list[list[int]], offsets: np.ndarray,
+               packing: Packing, counted: list[bool]) -> list[np.ndarray]:
+    """For each booster: sums of g, h and, if they matter, rows by ([g, h, rows], frontier node, bin of each feature)."""
     out = []
-    width = int(offsets[-1])
-    for margin, weight, tree, frontier in zip(margins, block.weights, trees, frontiers):
-        hist = np.zeros((len(frontier), width, 3))
-        if frontier and len(block.bins):
-            number = np.full(len(tree.feature), -1, np.int64)
+    for margin, (weight_at, weights), tree, frontier, count in zip(margins, block.weights, trees, frontiers, counted):
+        hist = np.zeros((3 if count else 2, len(frontier), int(offsets[-1])))
+        if frontier and len(margin):
+            number = np.full(len(tree.feature), -1, np.intp)
             number[frontier] = np.arange(len(frontier))
-            at = number[tree.node_of(block.bins)]
+            at = number.take(packing.node_of(tree, block.codes))
             rows = np.flatnonzero(at >= 0)
-            chance = 1.0 / (1.0 + np.exp(-margin[rows]))
-            g, h = weight[rows] * (chance - block.label[rows]), weight[rows] * chance * (1 - chance)
-            at = at[rows]
-            for f, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                bins = block.bins[:, f]
-                place = at * (hi - lo) + (bins if len(rows) == len(bins) else bins[rows])
-                for k, v in enumerate((g, h, None)):
-                    hist[:, lo:hi, k] = np.bincount(place, v, len(frontier) * (hi - lo)).reshape(len(frontier), hi - lo)
+            most = float(np.abs(weights).take(weight_at).sum())
+            label_at, codes = block.label_at, block.codes
+            if len(rows) < len(at):
+                at, margin, weight_at, label_at = (v.take(rows) for v in (at, margin, weight_at, label_at))
+                codes = codes.take(rows, axis=1)
+            weight, label = weights.take(weight_at), block.labels.take(label_at)
+            chance = 1.0 / (1.0 + np.exp(-margin))
+            # g and h are at most the weight: no sum of these whole numbers is beyond what a double holds exactly.
+            unit = 2.0 ** (math.frexp(max(most, 1e-300))[1] - 52)
+            g, h = (np.rint(v / unit) for v in (weight * (chance - label), weight * chance * (1 - chance)))
+            sums = [[] for _ in hist]
+            for code, size in zip(codes, packing.codes):
+                place = at * size + code
+                for k, v in enumerate((g, h, None)[:len(hist)]):
+                    sums[k].append(np.bincount(place, v, len(frontier) * size).reshape(len(frontier), size))
+            for k, one in enumerate(sums):
+                hist[k] = packing.unpack(one, offsets)
+            hist[:2] *= unit
         out.append(hist)
     return out
 
@@ -206,29 +294,30 @@ def fit(df: DataFrame, boosters: dict[str, tuple[BoosterParams, str]], features_
     edges = bin_edges(rows, n_features, max(p.max_bins for p in params))
     offsets = np.concatenate([[0], np.cumsum([len(e) + 1 for e in edges])]).astype(np.int64)
     arrays = [np.array(e) for e in edges]
+    packing = Packing.of(np.diff(offsets).tolist())
 
     def binned(batches):
-        parts = [b for b in batches if len(b)]
-        x = np.array([r for b in parts for r in b["x"]], float).reshape(-1, n_features)
+        parts = [b for b in batches if b.num_rows]
+        column = lambda c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts]) if parts else np.zeros(0)
+        x = np.concatenate([np.asarray(b.column("x").flatten()).reshape(-1, n_features) for b in parts]) if parts else np.zeros((0, n_features))
         kind = np.uint8 if max(map(len, arrays), default=0) < 256 else np.uint16
-        bins = np.array([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(arrays)]).astype(kind).T if len(x) else np.zeros((0, n_features), kind)
-        column = lambda c: np.concatenate([b[c].to_numpy(float) for b in parts]) if parts else np.zeros(0)
-        block = Block(bins, column("y"), [column(f"w{i}") for i in range(len(names))])
-        yield pd.DataFrame({"block": [pickle.dumps(block)]})
+        bins = np.array([np.searchsorted(e, np.ascontiguousarray(x[:, f]), "left") for f, e in enumerate(arrays)]).astype(kind).T
+        block = Block(packing.pack(bins if len(x) else np.zeros((0, n_features), kind)), *_coded(column("y")), [_coded(column(f"w{i}")) for i in range(len(names))])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
 
-    blocks = rows.mapInPandas(binned, "block binary").rdd.map(lambda r: pickle.loads(bytes(r[0]))).persist(StorageLevel.MEMORY_AND_DISK)
-    totals = blocks.map(lambda b: [(float(w @ b.label), float(w.sum())) for w in b.weights]).collect()
+    blocks = rows.mapInArrow(binned, "block binary").rdd.map(lambda r: pickle.loads(bytes(r[0]))).persist(StorageLevel.MEMORY_AND_DISK)
+    totals = blocks.map(lambda b: [(float(w.take(at) @ b.labels.take(b.label_at)), float(w.take(at).sum())) for at, w in b.weights]).collect()
     starts = []
     for i, p in enumerate(params):
         pos, all_w = (sum(t[i][k] for t in totals) for k in (0, 1))
         starts.append(math.log(pos / (all_w - pos)) if p.from_average and 0 < pos < all_w else 0.0)
     # A block goes along with its scores: a zip of two tables would send both through workers of their own.
-    state = blocks.map(lambda b: (b, [np.full(len(b.label), s) for s in starts])).persist(StorageLevel.MEMORY_AND_DISK)
+    state = blocks.map(lambda b: (b, [np.full(len(b.label_at), s) for s in starts])).persist(StorageLevel.MEMORY_AND_DISK)
     ensembles: list[list[Tree]] = [[] for _ in names]
     held = [blocks, state]
     for turn in range(max(p.rounds for p in params)):
         alive = [turn < p.rounds for p in params]
-        trees = _grow(state, offsets, params, alive)
+        trees = _grow(state, offsets, params, alive, packing)
         for ensemble, tree, on in zip(ensembles, trees, alive):
             if on:
                 ensemble.append(tree)
@@ -236,7 +325,7 @@ def fit(df: DataFrame, boosters: dict[str, tuple[BoosterParams, str]], features_
 
         def moved(pair, steps=steps):
             block, old = pair
-            return block, [m if s is None else m + s[1][s[0].node_of(block.bins)] for m, s in zip(old, steps)]
+            return block, [m if s is None else m + s[1][packing.node_of(s[0], block.codes)] for m, s in zip(old, steps)]
         state = state.map(moved).persist(StorageLevel.MEMORY_AND_DISK)
         held.append(state)
         if (turn + 1) % CHECKPOINT_ROUNDS == 0:
@@ -250,18 +339,22 @@ def fit(df: DataFrame, boosters: dict[str, tuple[BoosterParams, str]], features_
     return {n: BoostedTreesModel.of(p, s, e, edges, n_features) for n, p, s, e in zip(names, params, starts, ensembles)}
 
 
-def _grow(pairs, offsets, params, alive) -> list[Tree]:
+def _grow(pairs, offsets, params, alive, packing) -> list[Tree]:
     """One tree for each booster, level by level; all boosters' histograms come from one job a level."""
     trees = [Tree() for _ in params]
     frontiers = [[t.add((0.0, 0.0, 0.0))] if on else [] for t, on in zip(trees, alive)]
+    counted = [_counts_matter(p) for p in params]
     for depth in range(max(p.max_depth for p in params)):
         frontiers = [f if depth < p.max_depth else [] for f, p in zip(frontiers, params)]
         if not any(frontiers):
             break
         ends = [list(f) for f in frontiers]
-        hists = pairs.map(lambda pair: _histogram(pair[0], pair[1], trees, ends, offsets)).treeReduce(
+        hists = pairs.map(lambda pair: _histogram(pair[0], pair[1], trees, ends, offsets, packing, counted)).treeReduce(
             lambda a, b: [x + y for x, y in zip(a, b)], depth=1 if pairs.getNumPartitions() <= DIRECT_PARTS else 2)
         for i, (tree, p, hist) in enumerate(zip(trees, params, hists)):
+            if not counted[i]:
+                hist, p = np.concatenate([hist, np.zeros_like(hist[:1])]), replace(p, min_rows=0)
+            hist = np.moveaxis(hist, 0, 2)
             if depth == 0 and frontiers[i]:
                 tree.sums[0] = tuple(map(float, hist[0, offsets[0]:offsets[1]].sum(0)))
             new = []

@@ -151,3 +151,43 @@ def test_best_splits_of_features_of_unlike_sizes_equal_a_plain_search():
              for f, b in enumerate(bins) for c in range(sizes[f] - 1) if 5 <= (b <= c).sum() <= rows - 5}
     assert (feature, cut) == max(plain, key=plain.get) and np.isclose(gain, max(plain.values()))
     assert np.allclose(left, [v[bins[feature] <= cut].sum() for v in (g, h, np.ones(rows))])
+
+
+def test_features_that_share_a_code_are_counted_and_walked_as_if_apart():
+    chance = np.random.default_rng(7)
+    sizes, rows = [2, 300, 1, 2, 9, 2, 2000, 2, 13], 500
+    bins = np.column_stack([chance.integers(0, s, rows) for s in sizes])
+    bins[:, 5] = bins[:, 0]  # two equal columns
+    packing = B.Packing.of(sizes)
+    assert sorted(f for g in packing.groups for f in g) == list(range(9)) and len(packing.groups) < 6
+    assert all(c <= B.MOST_CODES or len(g) == 1 for c, g in zip(packing.codes, packing.groups))
+    codes, offsets = packing.pack(bins), np.concatenate([[0], np.cumsum(sizes)])
+    tree = B.Tree()
+    for _ in range(5):
+        tree.add((0.0, 0.0, 0.0))
+    tree.feature[:2], tree.bin[:2], tree.left[:2], tree.right[:2] = [1, 4], [120, 3], [1, 3], [2, 4]
+    node = np.where(bins[:, 1] > 120, 2, np.where(bins[:, 4] > 3, 4, 3))
+    assert packing.node_of(tree, codes).tolist() == node.tolist()
+    label, weight, margin = chance.integers(0, 2, rows).astype(float), chance.choice([1.0, 2.7], rows), chance.normal(size=rows)
+    block = B.Block(codes, *B._coded(label), [B._coded(weight)])
+    hist, = B._histogram(block, [margin], [tree], [[3, 4]], offsets, packing, [True])
+    p = 1 / (1 + np.exp(-margin))
+    for k, v in enumerate((weight * (p - label), weight * p * (1 - p), np.ones(rows))):
+        for i, n in enumerate((3, 4)):
+            for f, s in enumerate(sizes):
+                assert np.allclose(hist[k, i, offsets[f]:offsets[f + 1]], np.bincount(bins[node == n, f], v[node == n], s), atol=1e-9)
+    assert (hist[:, :, offsets[0]:offsets[1]] == hist[:, :, offsets[5]:offsets[6]]).all()
+    # Sums of any grouping are the same to the last bit.
+    assert (hist[:, :, offsets[4]:offsets[5]].sum(2) == hist[:, :, offsets[6]:offsets[7]].sum(2)).all()
+    assert B._histogram(block, [margin], [tree], [[3, 4]], offsets, packing, [False])[0].shape[0] == 2
+
+
+def test_of_a_column_and_its_complement_the_first_is_split(spark):
+    chance = np.random.default_rng(3)
+    a = chance.integers(0, 2, 4000)
+    y = (a == 1) ^ (chance.random(4000) < 0.1)
+    rows = [(1.0 - v, float(v), int(t), 0.1 + 0.7 * (i % 3)) for i, (v, t) in enumerate(zip(a.tolist(), y))]
+    df = VectorAssembler(inputCols=["b", "a"], outputCol="scaled").transform(
+        spark.createDataFrame(rows, "b double, a double, Churn int, w double").repartition(4))
+    model = B.fit(df, {"m": (B.BoosterParams(rounds=12), "w")})["m"]
+    assert {f for k in range(12) for f, _ in tree_of(model, k).values()} == {0}
