@@ -141,3 +141,36 @@ def test_rows_of_many_small_batches_are_attributed_together(spark, monkeypatch):
     for r in out:
         assert r["attr"][0]["value"] == int(r["customerID"]) % 2
         assert np.isclose(r["attr"][0]["shap"], want[r["attr"][0]["value"]])
+
+
+@pytest.mark.parametrize("seed,depth", [(1, 3), (2, 5), (5, 1), (6, 0)])
+def test_leaves_of_small_subtrees_are_looked_up_together(seed, depth, monkeypatch):
+    table = random_table(seed, 3, depth, 4)  # features come again on a path
+    x = np.random.default_rng(seed).normal(size=(4000, 4))
+    looked, shares = [], TS._leaf_shares
+    monkeypatch.setattr(TS, "_leaf_shares", lambda z, t, w: looked.append(len(z)) or shares(z, t, w))
+    together = TS.shapley_values(table, x)
+    once = len(looked)
+    monkeypatch.setattr(TS, "MERGED_SPLITS", 0)
+    apart = TS.shapley_values(table, x)
+    assert np.allclose(together, apart, atol=1e-12) and len(looked) == 2 * once
+    assert np.allclose(together[:3], [brute(table, r) for r in x[:3]], atol=1e-10)
+
+
+def test_rows_are_dealt_to_whole_rounds_of_the_cores(spark, monkeypatch):
+    table = TS.NodeTable(*(np.array(v) for v in ([0, -1, -1], [0.5, 0, 0], [1, 0, 0], [2, 0, 0], [4.0, 1, 3], [0.0, 1, 2])), np.array([0]))
+    monkeypatch.setattr(TS, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(TS, "LEAST_ROWS", 10)
+    rows = spark.range(450).selectExpr("cast(id as string) customerID", "array(double(id % 2)) x")
+    cores = spark.sparkContext.defaultParallelism
+    found = TS.attribute(rows, table, ["f"], "x", "x").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert found == min(cores * -(-450 // (50 * cores)), 45)
+
+
+def test_stored_forest_is_read_once_and_votes_as_spark_does(fitted, monkeypatch):
+    df, models = fitted
+    table = TS.node_table(models[1])
+    monkeypatch.setattr(TS, "_stored_nodes", lambda c: pytest.fail("read again"))
+    assert TS.node_table(models[1]) is table and TS.node_table(models[1]).shares.shape[0] == 2
+    rows = models[1].transform(df).select(vector_to_array("probability")[1].alias("p"), vector_to_array("scaled").alias("x")).toPandas()
+    assert (table.vote(np.array(rows["x"].tolist())) == rows["p"]).all()
