@@ -19,9 +19,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+                                       RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.feature import ElementwiseProduct, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -33,6 +35,8 @@ from retentio.operators.clean import DROP_COLS, string_columns
 from retentio.operators.features import categorical_levels
 from retentio.operators.scalars import with_scalars
 from retentio.operators.selection import order_statistics
+from retentio.operators.tree_shap import node_table
+from retentio.session import ship_code
 
 # Reference model settings (sklearn names in comments).
 MODEL_PARAMS = {
@@ -155,7 +159,8 @@ def _classifier(name: str, label: str, params: dict | None = None):
     if name == "Random Forest":
         return RandomForestClassifier(numTrees=p["n_estimators"], maxDepth=p["max_depth"],
                                       minInstancesPerNode=max(1, p["min_samples_split"] // 2),
-                                      seed=42, **common)
+                                      # The same trees; rows need not walk them again from the root for each group of nodes.
+                                      cacheNodeIds=True, seed=42, **common)
     raise ValueError(f"unknown model {name}")
 
 
@@ -239,7 +244,18 @@ def train_boosters(train: DataFrame, names: list[str], label: str = "Churn", spe
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "churn_prob") -> DataFrame:
-    """M8: score a whole table; keeps the input columns and adds ``out``."""
+    """M8: score a whole table; keeps the input columns and adds ``out``.
+
+    A forest's nodes go to the tasks as flat arrays, and a block of rows walks each tree together.
+    """
+    if isinstance(model.stages[-1], RandomForestClassificationModel) and (table := node_table(model.stages[-1])).shares is not None:
+        ship_code(df.sparkSession)
+        cur = PipelineModel(model.stages[:-1]).transform(df)
+
+        @F.pandas_udf("double")
+        def vote(x: pd.Series) -> pd.Series:
+            return pd.Series(table.vote(np.array(x.tolist(), float)) if len(x) else [], dtype=float)
+        return cur.select(*df.columns, vote(vector_to_array(model.stages[-1].getFeaturesCol())).alias(out))
     pred = model.transform(df)
     return pred.select(*df.columns, vector_to_array("probability")[1].alias(out))
 

@@ -114,3 +114,27 @@ def test_a_query_trains_the_models_it_names_only(spark, monkeypatch):
         assert len(asked) == 2 and same.features == spec.features and again["Decision Tree"].stages[-1].depth == models["Decision Tree"].stages[-1].depth
     finally:
         delete_table(spark, folder)
+
+
+def test_a_forest_is_scored_by_flat_walks_to_the_last_bit_and_trained_with_kept_places(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    from retentio.operators import models as MD
+    chance = np.random.default_rng(1)
+    x = chance.normal(size=(900, 5)).round(1)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] + chance.normal(scale=0.5, size=900) > 0).astype(int)
+    rows = [(f"c{i}", *map(float, r), None if i == 3 else "uv"[i % 2], int(t)) for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "customerID string, a double, b double, c double, d double, e double, k string, Churn int").repartition(3).cache()
+    params = {"n_estimators": 9, "max_depth": 6}
+    model = MD.train_model(df, "Random Forest", params=params)
+    real = MD._classifier
+    monkeypatch.setattr(MD, "_classifier", lambda *a: real(*a).copy({real(*a).cacheNodeIds: False}))
+    other = MD.train_model(df, "Random Forest", params=params)
+    trees = lambda m: m.stages[-1].toDebugString.split("\n", 1)[1]
+    assert real("Random Forest", "Churn").getCacheNodeIds() and trees(model) == trees(other)
+    want = {r[0]: r[1] for r in model.transform(df).select("customerID", vector_to_array("probability")[1]).collect()}
+    monkeypatch.setattr(type(model.stages[-1]), "transform", lambda *a: 1 / 0)  # Spark's walk row by row is not used
+    scored = MD.score(model, df)
+    assert scored.columns == [*df.columns, "churn_prob"]
+    assert {r["customerID"]: r["churn_prob"] for r in scored.collect()} == want
+    assert MD.score(model, df.limit(0)).count() == 0
